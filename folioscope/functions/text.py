@@ -12,8 +12,8 @@ WHITE_SPACE = "".join(
     chr(c) for c in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680,
                      *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 )
-_SPACE_RUN = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITE_SPACE) + "]+"
-_SPACE_CLASS = _SPACE_RUN[:-2].lstrip("[")
+_SPACE_CLASS = r"\s\x1c-\x1f"  # the same set under (?U)
+_SPACE_RUN = f"(?U)[{_SPACE_CLASS}]+"
 
 # Letters, digits and underscore: the same set in Java and in RE2, unlike \w.
 WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"
@@ -30,7 +30,7 @@ def strip(col) -> Column:
 
 def one_line(col) -> Column:
     """Stripped text with line breaks turned to spaces."""
-    return F.translate(strip(col), "\n", " ")
+    return F.replace(strip(col), F.lit("\n"), F.lit(" "))
 
 
 def null_words_to_null(col, words=None) -> Column:
@@ -94,11 +94,15 @@ def stop_words(language="portuguese", extra=None):
 
 def is_relevant(col, phrases=None, min_length=V.MIN_TEXT_LENGTH) -> Column:
     """True for a text worth annotating: no stop phrase, no leader, long enough."""
-    low = F.lower(col)
-    keep = F.length(low) >= min_length
-    for phrase in V.TEXT_STOP_PHRASES if phrases is None else phrases:
-        keep = keep & ~F.contains(low, F.lit(phrase))
-    return keep & ~F.rlike(low, F.lit(LEADER_PATTERN))
+    def keep(low):
+        ok = F.length(low) >= min_length
+        for phrase in V.TEXT_STOP_PHRASES if phrases is None else phrases:
+            ok = ok & ~F.contains(low, F.lit(phrase))
+        return ok & ~F.rlike(low, F.lit(LEADER_PATTERN))
+
+    # A filter evaluates each of its terms on its own; binding the lower-case text once
+    # keeps a list of phrases from lowering it once per phrase.
+    return F.exists(F.array(F.lower(col)), keep)
 
 
 def longer_than(col, length=V.MIN_TEXT_LENGTH) -> Column:
@@ -106,11 +110,17 @@ def longer_than(col, length=V.MIN_TEXT_LENGTH) -> Column:
     return F.length(col) > length
 
 
+def literal(text):
+    """``text`` as a regex that means itself. Plain text stays as it is, which lets a
+    one-character separator take the split without a regex."""
+    return text if not re.search(r"[\\^$.|?*+()\[\]{}]", text) else f"\\Q{text}\\E"
+
+
 def _after(col, marker, stop=None):
     """Text after the first ``marker``, up to its next repeat and up to ``stop``."""
-    part = F.get(F.split(col, f"\\Q{marker}\\E", 3), 1)
+    part = F.get(F.split(col, literal(marker), 3), 1)
     if stop is not None:
-        part = F.get(F.split(part, f"\\Q{stop}\\E", 2), 0)
+        part = F.get(F.split(part, literal(stop), 2), 0)
     return strip(part)
 
 

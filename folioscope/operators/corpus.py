@@ -16,7 +16,7 @@ def page_blocks(pages: DataFrame, text="text", page="page", separator="\n") -> D
 
     A narrow step: no shuffle, and the other columns of ``pages`` are kept.
     """
-    pieces = F.split(F.col(text), f"\\Q{separator}\\E")
+    pieces = F.split(F.col(text), X.literal(separator))
     return block_rows(pages.withColumn(text, pieces), blocks=text, page=page)
 
 

@@ -7,14 +7,20 @@ from .. import fixed_values as V
 
 def flatten(records: DataFrame, users: DataFrame) -> DataFrame:
     """One row per response with the rater's name; a record without responses stays as a
-    pending row. ``value`` is null exactly there; ``relevancia`` is its display form."""
+    pending row. ``value`` is null exactly there; ``relevancia`` is its display form.
+
+    Pending rows have no user. They get spread-out join keys that match nobody, so that
+    a mostly unrated data set does not meet in one task.
+    """
     fields = [c for c in records.columns if c != "responses"]
     rows = records.select(*fields, F.explode_outer("responses").alias("response")).select(
         *fields, F.col("response").isNotNull().alias("rated"),
         F.col("response.user_id").alias("user_id"), F.col("response.value").alias("value"),
     )
-    names = users.select(F.col("id").alias("user_id"), "username")
-    return rows.join(names, "user_id", "left").select(
+    nobody = F.concat(F.lit("\u0000"), F.xxhash64(*fields))
+    rows = rows.withColumn("user_key", F.coalesce(F.col("user_id").cast("string"), nobody))
+    names = users.select(F.col("id").cast("string").alias("user_key"), "username")
+    return rows.join(names, "user_key", "left").select(
         *fields,
         F.when(F.col("rated"), F.col("username")).otherwise(V.NO_USER).alias("user"),
         "value",

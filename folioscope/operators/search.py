@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from .. import fixed_values as V
 from ..functions import text as X
 
-MAX_SENT_QUERIES = 8192
-MAX_SENT_BYTES = 256 << 20
+MAX_SENT_QUERIES = 65_536
+MAX_SENT_BYTES = 64 << 20
+MAX_LITERALS = 100
 CELL_ITEMS = 20_000
 CELL_QUERIES = 2_000
 _SCORES_AT_ONCE = 4_000_000
@@ -248,7 +249,9 @@ def top_k(items: DataFrame, queries: DataFrame, k=V.TOP_K, by=(), id_col="id",
     if fits:
         wanted = items
         for c in by:  # literals, so that only the folders of these groups are read
-            wanted = wanted.filter(F.col(c).isin(sorted(set(probe.column(c).to_pylist()) - {None})))
+            values = set(probe.column(c).to_pylist()) - {None}
+            if len(values) <= MAX_LITERALS:
+                wanted = wanted.filter(F.col(c).isin(sorted(values)))
         scored = _send_queries(
             wanted, probe, k, by, id_col, vector, query_id, keep, normalize, digits, schema
         )

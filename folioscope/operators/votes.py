@@ -162,17 +162,19 @@ def report(macro_rows: DataFrame) -> DataFrame:
 
 def false_positives(evaluations: DataFrame, approach_ids=ALL_APPROACHES) -> DataFrame:
     """Returned but not relevant, for queries that have a relevant result."""
-    judged = _judged(evaluations, approach_ids)
-    known = judged.filter("relevant = 1").select("query").distinct()
-    return _listed(judged.filter("relevant = 0"), approach_ids, 1).join(known, "query", "left_semi") \
+    rejected = _judged(evaluations, approach_ids).filter("relevant = 0")
+    known = evaluations.filter((relevance() == 1) & F.col("query").isNotNull()) \
+        .select("query").distinct()
+    return _listed(rejected, approach_ids, 1).join(known, "query", "left_semi") \
         .select("approach_id", "query", "result_id")
 
 
 def false_negatives(evaluations: DataFrame, approach_ids=ALL_APPROACHES) -> DataFrame:
     """Relevant but not returned, for queries the approach returned anything for."""
-    judged = _judged(evaluations, approach_ids)
-    answered = _listed(judged, approach_ids, 1).select("approach_id", "query").distinct()
-    return _listed(judged.filter("relevant = 1"), approach_ids, 0) \
+    wanted = _judged(evaluations, approach_ids).filter("relevant = 1")
+    answered = evaluations.filter(F.col("approach_id").isin(list(approach_ids))) \
+        .select("approach_id", "query").distinct()
+    return _listed(wanted, approach_ids, 0) \
         .join(answered, ["approach_id", "query"], "left_semi") \
         .select("approach_id", "query", "result_id")
 

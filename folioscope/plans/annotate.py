@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .. import fixed_values as V
 from ..operators import corpus
-from ..session import spread
+from ..session import checkpointed
 from ..sources import annotations as store
 
 
@@ -72,15 +72,23 @@ def candidates(pages: DataFrame, done: DataFrame, mode="relevant", phrases=None,
     return corpus.not_done(blocks, done)
 
 
-def run(pages: DataFrame, path, make_annotate, mode="relevant", phrases=None):
+def ask(candidates: DataFrame, make_annotate, parallelism=None) -> DataFrame:
+    """Prompts and answers for text blocks.
+
+    Model calls dominate, so the rows are spread by id over ``parallelism`` tasks first,
+    however few bytes they have.
+    """
+    n = parallelism or candidates.sparkSession.sparkContext.defaultParallelism
+    return answer(corpus.prompts(candidates.repartition(n, "id")), make_annotate)
+
+
+def run(pages: DataFrame, path, make_annotate, mode="relevant", phrases=None, parallelism=None):
     """Annotate what is missing in the store at ``path``; returns rows added and failed.
 
-    Model calls dominate, so candidates are spread over all cores first, and their
-    answers are checkpointed: neither the append nor the failure count calls the model
-    again, and a lost executor cannot repeat calls that were already paid for.
+    The answers are checkpointed: neither the append nor the failure count calls the
+    model again, and an executor lost later cannot repeat calls that were paid for.
     """
-    spark = pages.sparkSession
-    todo = corpus.prompts(candidates(pages, store.read(spark, path), mode, phrases))
-    answered = answer(spread(todo), make_annotate).checkpoint()
+    todo = candidates(pages, store.read(pages.sparkSession, path), mode, phrases)
+    answered = checkpointed(ask(todo, make_annotate, parallelism))
     added = store.append_counted(text_annotations(answered), path)
     return added, answered.filter(F.col("error").isNotNull()).count()

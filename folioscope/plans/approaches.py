@@ -58,65 +58,86 @@ def registry_table(spark, registry=REGISTRY) -> DataFrame:
     )
 
 
-def _text_vector(model: Encoder):
-    return model.text(E.prefixed("text_for_embedding", model.passage_prefix))
+_ELEMENTS = {"float": T.FloatType(), "double": T.DoubleType()}
 
 
-def _image_vector(approach: Approach, model: Encoder, content):
-    if approach.image_from == FROM_TEXT:
-        return U.l2_normalize(U.zero_if_missing(_text_vector(model), model.width))
-    pixels = U.zero_if_missing(model.image(F.col(content)), model.width)
-    if approach.image_from == FROM_PIXELS:
-        return U.l2_normalize(pixels)
-    return pixels
+def with_configuration(df: DataFrame, registry=REGISTRY) -> DataFrame:
+    """The configuration of each row's approach; unknown approaches get nulls. The
+    registry is a handful of rows, so it is broadcast."""
+    return df.join(F.broadcast(registry_table(df.sparkSession, registry)), "approach_id", "left")
 
 
-def build(approach: Approach, clean: DataFrame, encoders, content="content",
-          element_type="float") -> DataFrame:
-    """Unit vectors for the texts and images of one approach, keyed by approach and id.
+class _Encoded:
+    """Adds encoder outputs to a table, each distinct (model, input) once."""
 
-    Rows of other types take no part. Texts and images are two branches, so each encoder
-    sees only its own rows and each branch prunes its own partitions. A failed encode is
-    a zero vector; for a fused vector one failed half is enough.
-    """
-    base = E.with_embedding_text(clean, approach.templates)
-    others = [c for c in base.columns if c != content]
-    text_model, image_model = encoders[approach.text_model], encoders[approach.image_model]
-
-    def finish(df):
-        return df.select(
-            F.lit(approach.approach_id).alias("approach_id"), *others,
-            F.col("vector").cast(T.ArrayType(_ELEMENTS[element_type])).alias("vector"),
-        )
+    def __init__(self, df, encoders, content):
+        self.df, self.encoders, self.content, self.names = df, encoders, content, {}
 
-    texts = base.filter(F.col("type") == "text").withColumn(
-        "vector", U.l2_normalize(U.zero_if_missing(_text_vector(text_model), text_model.width))
-    )
-    images = base.filter(F.col("type") == "image").withColumn(
-        "vector", _image_vector(approach, image_model, content)
-    )
-    if approach.image_from == FUSED:
-        width = image_model.width
-        images = images.withColumn("_words", U.zero_if_missing(_text_vector(image_model), width))
-        both = (U.norm("vector") > 0) & (U.norm("_words") > 0)
-        images = images.withColumn(
-            "vector",
-            F.when(both, U.fuse("vector", "_words", approach.visual_weight, approach.text_weight))
-            .otherwise(F.array_repeat(F.lit(0.0), width)),
-        )
-    return finish(texts).unionByName(finish(images))
+    def _add(self, key, column):
+        if key not in self.names:
+            self.names[key] = f"_{len(self.names)}"
+            self.df = self.df.withColumn(self.names[key], column())
+        return F.col(self.names[key])
 
+    def text(self, templates):
+        key = templates if isinstance(templates, str) else "by type"
+        return self._add(("text", key), lambda: E.embedding_text(templates))
 
-_ELEMENTS = {"float": T.FloatType(), "double": T.DoubleType()}
+    def _vector(self, key, model, encode):
+        return self._add(key, lambda: U.zero_if_missing(encode(self.encoders[model]), self.encoders[model].width))
 
+    def words(self, model, templates):
+        text = self.text(templates)
+        key = ("words", model, templates if isinstance(templates, str) else "by type")
+        return self._vector(key, model, lambda e: e.text(E.prefixed(text, e.passage_prefix)))
 
-def build_all(clean: DataFrame, encoders, registry=REGISTRY, content="content",
-              element_type="float") -> DataFrame:
-    out = None
-    for approach in registry:
-        built = build(approach, clean, encoders, content, element_type)
-        out = built if out is None else out.unionByName(built)
-    return out
+    def pixels(self, model):
+        return self._vector(("pixels", model), model, lambda e: e.image(F.col(self.content)))
+
+    def image(self, a):
+        """An image's vector under one approach. One failed half fails a fused vector."""
+        if a.image_from == FROM_TEXT:
+            return U.l2_normalize(self.words(a.image_model, a.templates))
+        pixels = self.pixels(a.image_model)
+        if a.image_from == FROM_PIXELS:
+            return U.l2_normalize(pixels)
+        words = self.words(a.image_model, a.templates)
+        both = (U.norm(pixels) > 0) & (U.norm(words) > 0)
+        zero = F.array_repeat(F.lit(0.0), self.encoders[a.image_model].width)
+        return F.when(both, U.fuse(pixels, words, a.visual_weight, a.text_weight)).otherwise(zero)
+
+
+def build(clean: DataFrame, encoders, registry=REGISTRY, content="content",
+          element_type="float") -> DataFrame:
+    """Unit vectors of texts and images for every approach in ``registry``.
+
+    Rows of other types take no part. Texts and images are two branches, so an encoder
+    sees only its own rows; within a branch approaches share one scan, and an input that
+    several of them encode with the same model is encoded once. A failed encode is a
+    zero vector.
+    """
+    others = [c for c in clean.columns if c != content]
+    ids = F.array(*[F.lit(a.approach_id) for a in registry])
+
+    def branch(kind, vector):
+        rows = _Encoded(clean.filter(F.col("type") == kind), encoders, content)
+        mine = {a.approach_id: (rows.text(a.templates), vector(rows, a)) for a in registry}
+
+        def per_approach(place):
+            out = F
+            for approach_id, parts in mine.items():
+                out = out.when(F.col("approach_id") == approach_id, parts[place])
+            return out
+
+        # the vector is made after the rows are multiplied, so a reader that wants one
+        # approach, or no vector at all, does not pay for the others
+        return rows.df.withColumn("approach_id", F.explode(ids)).select(
+            "approach_id", *others, per_approach(0).alias("text_for_embedding"),
+            per_approach(1).cast(T.ArrayType(_ELEMENTS[element_type])).alias("vector"),
+        )
+
+    texts = branch("text", lambda rows, a: U.l2_normalize(rows.words(a.text_model, a.templates)))
+    return texts.unionByName(branch("image", lambda rows, a: rows.image(a)))
 
 
 def with_image_bytes(clean: DataFrame, images: DataFrame, path="content_path") -> DataFrame:

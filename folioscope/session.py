@@ -27,11 +27,11 @@ def build_session(app="folioscope", master=None, **conf):
     return builder.getOrCreate()
 
 
-def scratch_path(spark, name):
-    """A new path in the folder the cluster names in ``spark.checkpoint.dir``.
+def _shared_folder(spark):
+    """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of its own; on a cluster
-    a machine-local folder would be invisible to the other executors.
+    Only a local session without that setting gets a folder of its own; on a cluster a
+    machine-local folder would be invisible to the other executors.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
@@ -39,19 +39,30 @@ def scratch_path(spark, name):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="folioscope-")
         spark.conf.set("spark.checkpoint.dir", base)
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def scratch_path(spark, name):
+    """A new path in the shared folder."""
+    return f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame, per_core=1) -> DataFrame:
-    """Use all cores when the scan yields fewer splits than there are cores.
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder once, whatever reads them afterwards."""
+    _shared_folder(df.sparkSession)
+    return df.checkpoint()
 
-    A table of many files already has enough splits and is returned unchanged, so
-    this adds a shuffle to small inputs only.
+
+def spread(df: DataFrame, *keys) -> DataFrame:
+    """Use all cores when a scan yields fewer splits than there are cores.
+
+    For scans: asking a plan with shuffles for its partitions would run them. A table of many files already has enough splits and is returned unchanged, so this
+    adds a shuffle to small inputs only. Give unique ``keys`` where there are any: a
+    round-robin shuffle has to sort the rows to be repeatable.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism * per_core
+    cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(cores)
-
-
+    return df.repartition(cores, *keys)

@@ -9,11 +9,8 @@ PARTITIONS = ("approach_id", "type")
 
 
 def write(items: DataFrame, path, mode="append"):
-    """Store built items.
-
-    Each branch of a build holds one approach and one type, so a task writes one file
-    and no shuffle is needed before the write.
-    """
+    """Store built items. Nothing is shuffled: a task sorts its own rows by folder and
+    writes one file for each approach it has rows of."""
     items.write.mode(mode).partitionBy(*PARTITIONS).parquet(path)
 
 

@@ -14,17 +14,21 @@ def _done_near(batch: DataFrame, path) -> DataFrame:
     return done.filter(F.col("page").between(low, high)) if low is not None else done.limit(0)
 
 
-def annotate_batch(batch: DataFrame, path, make_annotate, mode="relevant", phrases=None):
+def annotate_batch(batch: DataFrame, path, make_annotate, mode="relevant", phrases=None,
+                   parallelism=None):
     blocks = corpus.keep_texts(corpus.page_blocks(batch), mode, phrases=phrases)
-    todo = corpus.prompts(corpus.not_done(blocks.dropDuplicates(["id"]), _done_near(batch, path)))
-    store.append(annotate.text_annotations(annotate.answer(todo, make_annotate)), path)
+    todo = corpus.not_done(blocks.dropDuplicates(["id"]), _done_near(batch, path))
+    store.append(annotate.text_annotations(annotate.ask(todo, make_annotate, parallelism)), path)
 
 
-def run(pages: DataFrame, path, checkpoint, make_annotate, mode="relevant", phrases=None):
+def run(pages: DataFrame, path, checkpoint, make_annotate, mode="relevant", phrases=None,
+        parallelism=None):
     """Annotate the blocks of a page stream. A repeated batch adds nothing, because its
     ids are already in the store."""
+    def batch(df, _):
+        annotate_batch(df, path, make_annotate, mode, phrases, parallelism)
+
     return (
         pages.writeStream.option("checkpointLocation", checkpoint)
-        .foreachBatch(lambda batch, _: annotate_batch(batch, path, make_annotate, mode, phrases))
-        .trigger(availableNow=True).start()
+        .foreachBatch(batch).trigger(availableNow=True).start()
     )

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 from folioscope import fixed_values as V, schemas
 from folioscope.functions import encoders, text as X, vectors as U
 from folioscope.operators import corpus, embedtext, images, profile, ratings, search, votes
-from folioscope.plans import annotate, approaches, judge
-from folioscope.session import scratch_path, spread
+from folioscope.plans import annotate, approaches, judge, search as search_plan
+from folioscope.session import scratch_path
 from folioscope.sources import annotations, evaluations, records, vectors
 from folioscope.streaming import annotations as annotation_stream, evaluations as vote_stream
 
@@ -102,7 +102,7 @@ def encoder_prefix(spark, sf):
 
 @query
 def snippet_label(spark, sf):
-    return views.table(spark, sf, "documents").select(
+    return views.documents(spark, sf).select(
         "doc_id", X.first_words(F.col("text")).alias("snippet"), X.short_label("text").alias("label")
     )
 
@@ -212,20 +212,36 @@ def approach_build(spark, sf):
 @query
 def encode_batch(spark, sf):
     encode = encoders.encoder(encoders.hashed_words(64), 64)
-    docs = spread(views.table(spark, sf, "documents").select("doc_id", "text"))
+    docs = views.documents(spark, sf)
     return _coordinates(docs.withColumn("v", U.l2_normalize(encode("text"))), "v", "doc_id")
 
 
 @query
 def hashed_text_search(spark, sf):
     encode = encoders.encoder(encoders.hashed_words(HASH_WIDTH), HASH_WIDTH)
-    docs = spread(views.table(spark, sf, "documents").select("doc_id", "text")).select(
+    docs = views.documents(spark, sf).select(
         F.col("doc_id").alias("id"), encode("text").alias("vector"))
     asked = views.table(spark, sf, "benchmark").select(
         F.col("item_id").alias("query_id"), encode("text").alias("vector"))
     return search.top_k(docs, asked)
 
 
+@query
+def search_job(spark, sf):
+    """Annotations to vectors to answers: benchmark texts ask under every approach."""
+    asked = views.table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return search_plan.answer(asked, views.built_annotations(spark, sf), views.word_encoders(), fetch=())
+
+
+@query
+def approach_lookup(spark, sf):
+    """Votes with the configuration of the approach they were cast under."""
+    used = views.evaluations(spark, sf).groupBy("approach_id").agg(F.count(F.lit(1)).alias("votes"))
+    return approaches.with_configuration(used).select(
+        "approach_id", "votes", "text_model", "image_model", "image_from", "template")
+
+
 # --- votes and ratings ----------------------------------------------------------------
 
 
@@ -314,7 +330,7 @@ def rating_records(spark, sf):
     asked = views.query_vectors(spark, sf).filter(
         (F.col("approach_id") == V.APPROACH_TEXT_ONLY) & (F.col("type") == "text"))
     hits = search.top_k(items, asked, by=BY, keep=("page",), fetch=("text_for_embedding",))
-    return ratings.text_records(hits, query="query_id")
+    return ratings.text_records(hits, query="query_id").drop("score")
 
 
 @query
@@ -430,8 +446,7 @@ def top_ngrams(spark, sf):
 
 @query
 def top_ngrams_two_three(spark, sf):
-    texts = spread(views.table(spark, sf, "documents").select("text"))
-    return profile.top_ngrams(texts, text="text", sizes=(2, 3))
+    return profile.top_ngrams(views.documents(spark, sf), text="text", sizes=(2, 3))
 
 
 # --- stores and streams --------------------------------------------------------------------

@@ -383,7 +383,7 @@ _QUERIES = {
         WHERE c.evaluator <> ''""",
     "rating_records": f"""
         SELECT query_id AS query, {template(V.TEMPLATE_TEXT, _LINE, _WORDS)} AS result_text,
-               'Página ' || page AS page, printf('Score: %.4f', round(score, 4)) AS score
+               'Página ' || page AS page
         FROM hits LEFT JOIN documents d ON d.doc_id = hits.id WHERE approach_id = {lit(IDS[0])} AND type = 'text'""",
     "rating_records_multimodal": f"""
         SELECT query_id AS query, CASE type WHEN 'text' THEN 'Texto' ELSE 'Imagem' END AS type,
@@ -446,6 +446,46 @@ _QUERIES = {
         SELECT id, page::INTEGER AS page, 'text' AS type, description_llm, keywords_llm FROM ({ANNOTATED})
         WHERE error IS NULL""",
 }
+# Hashed words of the four inputs an encoder reads, and of the two forms of a query.
+_SOURCES = f"""
+    SELECT 'passage' AS kind, id, {lit(V.PASSAGE_PREFIX)} || text_for_embedding AS t FROM embedded
+    UNION ALL SELECT 'plain', id, text_for_embedding FROM embedded
+    UNION ALL SELECT 'unified', id, {template(V.TEMPLATE_UNIFIED)} FROM clean
+    UNION ALL SELECT 'file', id, CASE WHEN doc_id % 4 <> 0 THEN d.text END FROM clean JOIN documents d USING (doc_id)
+    UNION ALL SELECT 'ask', item_id::VARCHAR, {lit(V.QUERY_PREFIX)} || text FROM benchmark
+    UNION ALL SELECT 'ask plain', item_id::VARCHAR, text FROM benchmark"""
+VIEWS["hashed"] = f"""
+    SELECT kind, id, {unit('v')} AS v FROM (
+        SELECT kind, id, list_transform(range(64), lambda b: coalesce(m[b], 0)::DOUBLE) AS v FROM (
+            SELECT kind, id, map_from_entries(list((b, n))) AS m FROM (
+                SELECT kind, id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS b, count(*) AS n
+                FROM (SELECT kind, id, unnest(regexp_extract_all(lower(t), '{WORD}')) AS w FROM ({_SOURCES}))
+                GROUP BY ALL) GROUP BY kind, id))"""
+_ZERO = "list_transform(range(64), lambda b: 0.0::DOUBLE)"
+VIEWS["built"] = f"""
+    WITH rows AS (SELECT c.id, c.type, c.page, p.v AS passage, t.v AS plain, u.v AS unified, f.v AS file
+        FROM clean c LEFT JOIN hashed p ON p.id = c.id AND p.kind = 'passage'
+        LEFT JOIN hashed t ON t.id = c.id AND t.kind = 'plain' LEFT JOIN hashed u ON u.id = c.id AND u.kind = 'unified'
+        LEFT JOIN hashed f ON f.id = c.id AND f.kind = 'file' WHERE c.type IN ('text', 'image'))
+    SELECT {lit(IDS[0])} AS approach_id, id, type, page, passage AS v FROM rows
+    UNION ALL SELECT {lit(IDS[1])}, id, type, page, CASE WHEN type = 'text' THEN passage WHEN file IS NULL THEN {_ZERO}
+        ELSE {unit(fused('file', 'plain'))} END FROM rows
+    UNION ALL SELECT {lit(IDS[2])}, id, type, page, CASE WHEN type = 'text' THEN plain ELSE coalesce(file, {_ZERO}) END FROM rows
+    UNION ALL SELECT {lit(IDS[3])}, id, type, page, CASE WHEN type = 'text' THEN unified WHEN file IS NULL THEN {_ZERO}
+        ELSE {unit(fused('file', 'unified'))} END FROM rows"""
+_QUERIES["search_job"] = f"""
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY approach_id, type, query_id ORDER BY score DESC, id)::INTEGER AS rank
+        FROM (SELECT b.approach_id, b.type, q.id::BIGINT AS query_id, b.id, b.page, {r6('list_dot_product(q.v, b.v)')} AS score
+              FROM built b JOIN hashed q ON q.kind = CASE WHEN b.approach_id = {lit(IDS[0])}
+                  OR (b.approach_id = {lit(IDS[1])} AND b.type = 'text') THEN 'ask' ELSE 'ask plain' END))
+    WHERE rank <= {V.TOP_K}"""
+_QUERIES["approach_lookup"] = f"""
+    SELECT approach_id, votes, text_model, image_model, image_from, template
+    FROM (SELECT approach_id, count(*) AS votes FROM votes GROUP BY approach_id)
+    LEFT JOIN (VALUES {', '.join(
+        "(" + lits([a.approach_id, a.text_model, a.image_model, a.image_from,
+                    'unified' if isinstance(a.templates, str) else 'by_type']) + ")" for a in REGISTRY)})
+        r(approach_id, text_model, image_model, image_from, template) USING (approach_id)"""
 _QUERIES["topk_search_grid"] = _QUERIES["topk_search"]
 
 SQL = {name: with_views(sql) for name, sql in _QUERIES.items()}

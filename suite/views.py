@@ -6,8 +6,10 @@ Every view uses its tables whole. The DuckDB twins are in ``oracles.py``.
 from pyspark.sql import functions as F
 
 from folioscope import fixed_values as V
+from folioscope.functions import encoders as E
 from folioscope.operators import corpus
 from folioscope.plans import approaches
+from folioscope.session import spread
 
 STOP_PHRASES = ["licensed under", "all rights reserved", "copyright"]
 UNBUILT = "approach_0_unbuilt"
@@ -19,8 +21,13 @@ def table(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark, sf):
+    """Whole texts, on all cores: a small table is one split."""
+    return spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+
+
 def pages(spark, sf):
-    return table(spark, sf, "documents").select((F.col("doc_id") + 1).alias("page"), "text")
+    return documents(spark, sf).select((F.col("doc_id") + 1).alias("page"), "text")
 
 
 def blocks(spark, sf):
@@ -158,8 +165,33 @@ def encoders():
     return {V.TEXT_MODEL: text_only, V.JOINT_MODEL: both}
 
 
+def word_encoders(width=64):
+    """Models without weights: hashed words of a text, or of an image file's bytes."""
+    texts = E.encoder(E.hashed_words(width), width)
+
+    def file_words():
+        predict = E.hashed_words(width)()
+        return lambda files: predict([None if f is None else bytes(f).decode("utf-8") for f in files])
+
+    return {
+        V.TEXT_MODEL: approaches.Encoder(text=texts, passage_prefix=V.PASSAGE_PREFIX,
+                                         query_prefix=V.QUERY_PREFIX, width=width),
+        V.JOINT_MODEL: approaches.Encoder(text=texts, image=E.encoder(file_words, width), width=width),
+    }
+
+
+def built_annotations(spark, sf):
+    """The clean annotations under every approach, encoded from their texts and files."""
+    files = image_bytes(spark, sf).withColumn(
+        "content_path", F.regexp_replace("content_path", r"/(\d+)\.png$", r"/$1"))
+    paths = clean(spark, sf).withColumn(
+        "content_path", F.when(F.col("type") == "image", F.concat(F.lit("images/"), "doc_id")))
+    return approaches.build(
+        approaches.with_image_bytes(paths, files), word_encoders(), element_type="double")
+
+
 def items(spark, sf, texts=False):
-    return approaches.build_all(
+    return approaches.build(
         vector_annotations(spark, sf, texts), encoders(), element_type="double"
     )
 
