@@ -94,21 +94,22 @@ def table_counts(**tables) -> DataFrame:
 def histogram(df: DataFrame, column, bins) -> DataFrame:
     """Equal-width bins from the smallest to the largest value, empty bins included.
 
-    The last bin includes its upper edge. A column with one value has all rows in bin 0
-    (of width 0). Rows shrink to value frequencies first; the bounds come from a scalar
-    subquery over the same narrow column.
+    The last bin includes its upper edge. Where all values are equal the range is widened
+    by half a unit on either side. Rows shrink to value frequencies first; the bounds
+    come from a scalar subquery over the same narrow column.
     """
     values = df.select(F.col(column).cast("double").alias("value")).filter(F.col("value").isNotNull())
     frequencies = values.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    low, high = F.min("value"), F.max("value")
+    margin = F.when(low == high, 0.5).otherwise(0.0)
     bounds = values.agg(
-        F.struct(F.min("value").alias("lo"), F.max("value").alias("hi")).alias("b")
+        F.struct((low - margin).alias("lo"), (high + margin).alias("hi")).alias("b")
     ).scalar()
     lo, hi = F.col("b.lo"), F.col("b.hi")
-    place = F.least(F.floor(F.try_divide((F.col("value") - lo) * bins, hi - lo)), F.lit(bins - 1))
+    place = F.least(F.floor((F.col("value") - lo) * bins / (hi - lo)), F.lit(bins - 1))
     counted = (
         frequencies.withColumn("b", bounds)
-        .groupBy(F.coalesce(place, F.lit(0)).cast("int").alias("bin"))
-        .agg(F.sum("n").alias("n"))
+        .groupBy(place.cast("int").alias("bin")).agg(F.sum("n").alias("n"))
     )
     width = (hi - lo) / bins
     all_bins = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).withColumn("b", bounds)

@@ -285,8 +285,9 @@ BEST = f"""
     LEFT JOIN documents d ON d.doc_id = txt_id
     WHERE img > txt OR txt <> -1"""
 
-_LINE = "string_split(d.text, chr(10))[1]"
-_WORDS = f"array_to_string(string_split({_LINE}, ' ')[1:5], ', ')"
+_FIRST = "string_split(d.text, chr(10))[1]"
+_LINE = f"coalesce({_FIRST}, 'd')"
+_WORDS = f"coalesce(array_to_string(string_split({_FIRST}, ' ')[1:5], ', '), 'k')"
 
 # The flagship judges search hits instead of votes: the same views over another "votes".
 HITS_AS_VOTES = """
@@ -387,7 +388,7 @@ _QUERIES = {
         FROM hits LEFT JOIN documents d ON d.doc_id = hits.id WHERE approach_id = {lit(IDS[0])} AND type = 'text'""",
     "rating_records_multimodal": f"""
         SELECT query_id AS query, CASE type WHEN 'text' THEN 'Texto' ELSE 'Imagem' END AS type,
-               CASE WHEN type = 'text' THEN '' WHEN hits.id % 4 <> 0 THEN
+               CASE WHEN type = 'text' THEN '' WHEN hits.id % 4 <> 0 AND d.text IS NOT NULL THEN
                    {lit(V.IMAGE_TAG_HEAD)} || to_base64(encode(d.text)) || {lit(V.IMAGE_TAG_TAIL + V.IMAGE_CAPTION)}
                ELSE {lit(V.IMAGE_MISSING + V.IMAGE_CAPTION)} END
                || {template(V.TEMPLATE_UNIFIED, _LINE, _WORDS)} AS content

@@ -147,7 +147,8 @@ def vector_annotations(spark, sf, texts=False):
     line = _first_line("text")
     return base.join(docs, "id", "left").select(
         *base.columns, F.when(F.col("type") == "text", F.col("text")).alias("original_text"),
-        line.alias("description_llm"), _keywords(line).alias("keywords_llm"),
+        F.coalesce(line, F.lit("d")).alias("description_llm"),
+        F.coalesce(_keywords(line), F.lit("k")).alias("keywords_llm"),
     )
 
 

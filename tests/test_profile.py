@@ -1,0 +1,106 @@
+import random
+from collections import Counter
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from folioscope.operators import profile
+from tests.conftest import plan
+
+
+def numbers(spark, values):
+    return spark.createDataFrame([(v,) for v in values], "x double")
+
+
+@pytest.mark.parametrize("values", [[3.0], [1.0, 2.0], [5.0, 5.0, 5.0], list(range(17)), [1, 1, 2, 100, 7, 7, 7, 30]])
+def test_describe_equals_pandas(spark, values):
+    values = [float(v) for v in values]
+    row = profile.describe(numbers(spark, [*values, None]), ["x"]).first()
+    want = pd.Series(values).describe()
+    got = [row["count"], row["mean"], row["std"], row["min"], row["p25"], row["p50"], row["p75"], row["max"]]
+    for mine, theirs in zip(got, want):
+        assert (mine is None and np.isnan(theirs)) or mine == pytest.approx(theirs)
+
+
+def test_describe_several_columns_in_one_pass(spark):
+    df = spark.createDataFrame([(1, 10), (2, None), (3, 30)], "a int, b int")
+    got = {r.column: (r["count"], r["mean"]) for r in profile.describe(df, ["a", "b"]).collect()}
+    assert got == {"a": (3, 2.0), "b": (2, 20.0)}
+
+
+@pytest.mark.parametrize("bins", [1, 4, 10])
+def test_histogram_equals_numpy(spark, bins):
+    rng = random.Random(bins)
+    values = [float(rng.randint(0, 40)) for _ in range(200)]
+    rows = profile.histogram(numbers(spark, [*values, None]), "x", bins).orderBy("bin").collect()
+    counts, edges = np.histogram(values, bins=bins)
+    assert [r["items"] for r in rows] == counts.tolist()
+    assert np.allclose([r.lower for r in rows], edges[:-1]) and np.allclose([r.upper for r in rows], edges[1:])
+
+
+def test_histogram_of_one_value_and_of_nothing(spark):
+    rows = profile.histogram(numbers(spark, [7.0, 7.0]), "x", 3).orderBy("bin").collect()
+    counts, edges = np.histogram([7.0, 7.0], bins=3)
+    assert [r["items"] for r in rows] == counts.tolist() and rows[0].lower == edges[0]
+    rows = profile.histogram(numbers(spark, [None]), "x", 3).collect()
+    assert [r["items"] for r in rows] == [0, 0, 0]
+
+
+ANNOTATIONS = "id string, page int, type string, description_llm string, keywords_llm string"
+
+
+def annotations(spark, rows):
+    return spark.createDataFrame(rows, ANNOTATIONS)
+
+
+def test_pages(spark):
+    df = annotations(spark, [(str(i), p, "text", "d", "k") for i, p in enumerate([1, 1, 2, 5, 5, 9])])
+    assert profile.page_count(df).first().pages == 9
+    assert [(r.page, r["items"]) for r in profile.top_pages(df, 3).collect()] == [(1, 2), (5, 2), (2, 1)]
+    row = profile.items_per_page_stats(df).first()
+    assert (row["count"], row["mean"], row["max"]) == (4, 1.5, 2.0)
+
+
+def test_types_and_overview(spark):
+    df = annotations(spark, [("a", 1, "text", "abc", "k"), ("b", 1, "image", "é", None), ("c", 1, "text", "abcde", "k")])
+    assert {r.type: r.mean_desc_len for r in profile.mean_length_by_type(df).collect()} == {"text": 4.0, "image": 1.0}
+    assert {r.type: r["items"] for r in profile.count_by_type(df).collect()} == {"text": 2, "image": 1}
+    got = {r.column: (r.non_null, r["rows"]) for r in profile.column_overview(df).collect()}
+    assert got["keywords_llm"] == (2, 3) and got["id"] == (3, 3)
+    assert [r.id for r in profile.first_rows(df, ["id"], 2).collect()] == ["a", "b"]
+    assert {r.table_name: r["rows"] for r in profile.table_counts(x=df, y=df.limit(1)).collect()} == {"x": 3, "y": 1}
+
+
+def test_words(spark):
+    df = annotations(spark, [("a", 1, "text", "Célula de célula a x Núcleo", "k"), ("b", 1, "text", "imagem célula núcleo", "k"),
+                             ("c", 1, "text", None, "k")])
+    rows = profile.word_frequency(df).collect()
+    assert [(r.word, r["items"], round(r.weight, 3)) for r in rows] == [("célula", 3, 1.0), ("núcleo", 2, 0.667)]
+
+
+def test_ngrams_span_removed_stop_words_but_not_texts(spark):
+    df = annotations(spark, [("a", 1, "text", "membrana da célula", "k"), ("b", 1, "text", "animal", "k"),
+                             ("c", 1, "text", "membrana célula animal", "k")])
+    rows = [(r.ngram, r["items"]) for r in profile.top_ngrams(df).collect()]
+    assert rows == [("membrana célula", 2), ("célula animal", 1)]
+
+
+def test_ngram_counts_by_brute_force(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["aa", "bb", "cc", "de", "dd"]) for _ in range(rng.randint(0, 12))) for _ in range(40)]
+    want = Counter()
+    for t in texts:
+        words = [w for w in t.split() if w != "de"]
+        for n in (2, 3):
+            want.update(" ".join(words[i:i + n]) for i in range(len(words) - n + 1))
+    df = spark.createDataFrame([(t,) for t in texts], "description_llm string")
+    got = profile.top_ngrams(df, sizes=(2, 3), stop=["de"], n=1000).collect()
+    assert {r.ngram: r["items"] for r in got} == dict(want)
+
+
+def test_top_lists_do_not_sort_everything(spark):
+    df = annotations(spark, [("a", 1, "text", "x", "k")])
+    assert "TakeOrderedAndProject" in plan(profile.top_pages(df))
+    assert "partial_count" in plan(profile.top_ngrams(df)) and "TakeOrderedAndProject" in plan(profile.top_ngrams(df))
