@@ -37,12 +37,16 @@ def guarded(make_predict, width):
 
 
 def encoder(make_predict, width, batch_size=256):
-    """A function ``Column -> Column`` (array of float) around the model."""
+    """A function ``Column -> Column`` (array of float) around the model.
+
+    It is declared nondeterministic, which stops the optimizer from copying the call into
+    a filter or a second projection: each row is encoded once.
+    """
     return predict_batch_udf(
         guarded(make_predict, width),
         return_type=T.ArrayType(T.FloatType()),
         batch_size=batch_size,
-    )
+    ).asNondeterministic()
 
 
 def hashed_words(width, cache_size=1 << 16):

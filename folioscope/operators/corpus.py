@@ -23,7 +23,7 @@ def page_blocks(pages: DataFrame, text="text", page="page", separator="\n") -> D
 def block_rows(pages: DataFrame, blocks="blocks", page="page") -> DataFrame:
     """As ``page_blocks`` for pages that already hold an array of blocks."""
     others = [c for c in pages.columns if c != blocks]
-    rows = pages.select(*others, F.posexplode(blocks).alias("block_index", "raw"))
+    rows = _numbered(pages.select(*others, F.posexplode_outer(blocks).alias("block_index", "raw")))
     return rows.select(
         *others,
         "block_index",
@@ -32,10 +32,17 @@ def block_rows(pages: DataFrame, blocks="blocks", page="page") -> DataFrame:
     )
 
 
+def _numbered(rows):
+    """Drops the row an outer explode makes of an empty page. A plain explode would have
+    the optimizer test the array's size first, and so split every text twice."""
+    return rows.filter(F.col("block_index").isNotNull())
+
+
 def image_rows(pages: DataFrame, images="images", page="page", folder="images") -> DataFrame:
     """One row per image of a page, with its id and the path its file gets."""
     others = [c for c in pages.columns if c != images]
-    rows = pages.select(*others, F.posexplode(images).alias("image_index", "image"))
+    rows = _numbered(pages.select(*others, F.posexplode_outer(images).alias("block_index", "image")))
+    rows = rows.withColumnRenamed("block_index", "image_index")
     key = item_id(F.col(page), "img", F.col("image_index"))
     return rows.select(
         *others, "image_index", key.alias("id"), "image",

@@ -125,6 +125,12 @@ def top_pages(clean: DataFrame, n=V.TOP_PAGES) -> DataFrame:
     return items_per_page(clean).orderBy(F.desc("items"), F.asc("page")).limit(n)
 
 
+def _each(array, name):
+    """One row per element. The outer form keeps the optimizer from computing the array
+    a second time to test its size; an empty array leaves one null."""
+    return F.explode_outer(array).alias(name)
+
+
 def _kept_words(words, stop):
     return F.filter(words, lambda w: ~w.isin(stop))
 
@@ -133,8 +139,8 @@ def word_frequency(clean: DataFrame, text="description_llm", stop=None, n=V.TOP_
     """The most frequent words without stop words, with weight relative to the first."""
     stop = X.stop_words() if stop is None else list(stop)
     top = (
-        clean.select(F.explode(X.tokens(F.col(text))).alias("word"))
-        .filter(~F.col("word").isin(stop))
+        clean.select(_each(X.tokens(F.col(text)), "word"))
+        .filter(~F.col("word").isin(stop))  # drops nulls, too
         .groupBy("word").agg(F.count(F.lit(1)).alias("items"))
         .orderBy(F.desc("items"), F.asc("word")).limit(n)
     )
@@ -148,7 +154,8 @@ def top_ngrams(clean: DataFrame, text="description_llm", sizes=(2, 2), stop=None
     stop = X.stop_words() if stop is None else list(stop)
     words = clean.select(_kept_words(X.tokens(F.col(text)), stop).alias("words"))
     return (
-        words.select(F.explode(X.ngrams("words", sizes)).alias("ngram"))
+        words.select(_each(X.ngrams("words", sizes), "ngram"))
+        .filter(F.col("ngram").isNotNull())
         .groupBy("ngram").agg(F.count(F.lit(1)).alias("items"))
         .orderBy(F.desc("items"), F.asc("ngram")).limit(n)
     )

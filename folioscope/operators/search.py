@@ -136,6 +136,8 @@ def _send_queries(items, queries_table, k, by, id_col, vector, query_id, keep, n
         groups, names = sent.value
         best, floors = {}, {}
         for batch in batches:
+            if batch.column(vector).null_count:
+                batch = batch.filter(batch.column(vector).is_valid())
             if batch.num_rows == 0:
                 continue
             payload = batch.select([id_col, *keep])
@@ -207,6 +209,7 @@ def _by_cells(items, queries, k, by, id_col, vector, query_id, keep, normalize,
         import pandas as pd
 
         names = [*by, query_id, id_col, "score", *keep]
+        some_items = some_items[some_items[vector].notna()].reset_index(drop=True)
         if not len(some_items) or not len(some_queries):
             return pd.DataFrame(columns=names)
         item_matrix = np.stack(some_items[vector].to_numpy())
@@ -233,7 +236,8 @@ def top_k(items: DataFrame, queries: DataFrame, k=V.TOP_K, by=(), id_col="id",
     ``queries`` holds ``by`` columns, ``query_id`` and ``vector``; a query is answered
     within its own group of ``by`` values (an approach, a result type). ``keep`` are
     small item columns carried along; ``fetch`` are wide ones read afterwards, for the
-    hits only. Equal scores are ordered by id. Scores are rounded to ``digits`` before
+    hits only. Equal scores are ordered by id. Items without a vector are not found (the
+    test is made while scoring: as a filter it would compute the vector twice). Scores are rounded to ``digits`` before
     ranking, so the order does not depend on how the data was split.
     """
     by, keep, fetch = list(by), list(keep), list(fetch)
@@ -242,7 +246,6 @@ def top_k(items: DataFrame, queries: DataFrame, k=V.TOP_K, by=(), id_col="id",
         items.schema[id_col], T.StructField("score", T.DoubleType(), True),
         *[items.schema[c] for c in keep],
     ])
-    items = items.filter(F.col(vector).isNotNull())
     queries = queries.select(*by, query_id, vector).filter(F.col(vector).isNotNull())
     probe = queries.limit(max_sent_queries + 1).toArrow()
     fits = probe.num_rows <= max_sent_queries and probe.nbytes <= max_sent_bytes

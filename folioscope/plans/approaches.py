@@ -67,34 +67,40 @@ def with_configuration(df: DataFrame, registry=REGISTRY) -> DataFrame:
     return df.join(F.broadcast(registry_table(df.sparkSession, registry)), "approach_id", "left")
 
 
-class _Encoded:
-    """Adds encoder outputs to a table, each distinct (model, input) once."""
+class _Inputs:
+    """The texts and encoder outputs that approaches need, each distinct one once."""
 
-    def __init__(self, df, encoders, content):
-        self.df, self.encoders, self.content, self.names = df, encoders, content, {}
+    def __init__(self, encoders, content):
+        self.encoders, self.content = encoders, content
+        self.texts, self.vectors, self.names = {}, {}, {}
 
-    def _add(self, key, column):
+    def _name(self, key, table, column):
         if key not in self.names:
             self.names[key] = f"_{len(self.names)}"
-            self.df = self.df.withColumn(self.names[key], column())
-        return F.col(self.names[key])
+            table[self.names[key]] = column()
+        return self.names[key]
 
     def text(self, templates):
         key = templates if isinstance(templates, str) else "by type"
-        return self._add(("text", key), lambda: E.embedding_text(templates))
+        return self._name(("text", key), self.texts, lambda: E.embedding_text(templates))
 
     def _vector(self, key, model, encode):
-        return self._add(key, lambda: U.zero_if_missing(encode(self.encoders[model]), self.encoders[model].width))
+        encoder = self.encoders[model]
+        return self._name(key, self.vectors, lambda: U.zero_if_missing(encode(encoder), encoder.width))
 
     def words(self, model, templates):
         text = self.text(templates)
-        key = ("words", model, templates if isinstance(templates, str) else "by type")
-        return self._vector(key, model, lambda e: e.text(E.prefixed(text, e.passage_prefix)))
+        return self._vector(
+            ("words", model, text), model, lambda e: e.text(E.prefixed(text, e.passage_prefix))
+        )
 
     def pixels(self, model):
         return self._vector(("pixels", model), model, lambda e: e.image(F.col(self.content)))
 
-    def image(self, a):
+    def text_vector(self, a):
+        return U.l2_normalize(self.words(a.text_model, a.templates))
+
+    def image_vector(self, a):
         """An image's vector under one approach. One failed half fails a fused vector."""
         if a.image_from == FROM_TEXT:
             return U.l2_normalize(self.words(a.image_model, a.templates))
@@ -102,9 +108,13 @@ class _Encoded:
         if a.image_from == FROM_PIXELS:
             return U.l2_normalize(pixels)
         words = self.words(a.image_model, a.templates)
-        both = (U.norm(pixels) > 0) & (U.norm(words) > 0)
-        zero = F.array_repeat(F.lit(0.0), self.encoders[a.image_model].width)
-        return F.when(both, U.fuse(pixels, words, a.visual_weight, a.text_weight)).otherwise(zero)
+        return F.when(
+            (U.norm(pixels) > 0) & (U.norm(words) > 0),
+            U.fuse(pixels, words, a.visual_weight, a.text_weight),
+        ).otherwise(F.expr(f"array_repeat(0D, {self.encoders[a.image_model].width})"))
+
+    def add_to(self, df):
+        return df.withColumns(self.texts).withColumns(self.vectors)
 
 
 def build(clean: DataFrame, encoders, registry=REGISTRY, content="content",
@@ -120,24 +130,21 @@ def build(clean: DataFrame, encoders, registry=REGISTRY, content="content",
     ids = F.array(*[F.lit(a.approach_id) for a in registry])
 
     def branch(kind, vector):
-        rows = _Encoded(clean.filter(F.col("type") == kind), encoders, content)
-        mine = {a.approach_id: (rows.text(a.templates), vector(rows, a)) for a in registry}
-
-        def per_approach(place):
-            out = F
-            for approach_id, parts in mine.items():
-                out = out.when(F.col("approach_id") == approach_id, parts[place])
-            return out
-
-        # the vector is made after the rows are multiplied, so a reader that wants one
-        # approach, or no vector at all, does not pay for the others
-        return rows.df.withColumn("approach_id", F.explode(ids)).select(
-            "approach_id", *others, per_approach(0).alias("text_for_embedding"),
-            per_approach(1).cast(T.ArrayType(_ELEMENTS[element_type])).alias("vector"),
+        inputs = _Inputs(encoders, content)
+        text, vectors = F, F
+        for a in registry:
+            mine = F.col("approach_id") == a.approach_id
+            text = text.when(mine, F.col(inputs.text(a.templates)))
+            vectors = vectors.when(mine, vector(inputs, a))
+        # The vector is made after the rows are multiplied, so a reader that wants one
+        # approach, or no vector at all, does not pay for the others.
+        rows = inputs.add_to(clean.filter(F.col("type") == kind)).withColumn("approach_id", F.explode(ids))
+        return rows.select(
+            "approach_id", *others, text.alias("text_for_embedding"),
+            vectors.cast(T.ArrayType(_ELEMENTS[element_type])).alias("vector"),
         )
 
-    texts = branch("text", lambda rows, a: U.l2_normalize(rows.words(a.text_model, a.templates)))
-    return texts.unionByName(branch("image", lambda rows, a: rows.image(a)))
+    return branch("text", _Inputs.text_vector).unionByName(branch("image", _Inputs.image_vector))
 
 
 def with_image_bytes(clean: DataFrame, images: DataFrame, path="content_path") -> DataFrame:

@@ -24,7 +24,7 @@ def query(f):
 
 def _coordinates(df, vector, *keys):
     """One row per coordinate, so vectors compare as plain numbers."""
-    return df.select(*keys, F.posexplode(vector).alias("i", "x")).select(
+    return df.select(*keys, F.posexplode_outer(vector).alias("i", "x")).select(
         *keys, "i", F.round("x", 6).alias("x")
     )
 
@@ -156,7 +156,7 @@ def vector_fuse(spark, sf):
 def vector_zero_fallback(spark, sf):
     broken = views.table(spark, sf, "embeddings").withColumn(
         "v", F.when(F.col("vec_id") % 7 != 0, F.col("embedding")))
-    filled = broken.withColumn("v", U.l2_normalize(U.zero_if_missing("v", 64)))
+    filled = broken.withColumn("v", U.zero_if_missing("v", 64)).withColumn("v", U.l2_normalize("v"))
     return filled.select("vec_id", F.round(U.norm("v"), 6).alias("length"), F.size("v").alias("width"))
 
 
@@ -213,7 +213,8 @@ def approach_build(spark, sf):
 def encode_batch(spark, sf):
     encode = encoders.encoder(encoders.hashed_words(64), 64)
     docs = views.documents(spark, sf)
-    return _coordinates(docs.withColumn("v", U.l2_normalize(encode("text"))), "v", "doc_id")
+    return _coordinates(
+        docs.withColumn("v", encode("text")).withColumn("v", U.l2_normalize("v")), "v", "doc_id")
 
 
 @query

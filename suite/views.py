@@ -125,7 +125,7 @@ def vector_annotations(spark, sf, texts=False):
     ``vis`` is the item's own vector, ``txt`` the next item's, ``txt2`` the one after.
     """
     emb = table(spark, sf, "embeddings")
-    n = emb.agg(F.count(F.lit(1))).scalar()
+    n = emb.count()
     v = F.col("vec_id")
 
     def shifted(by, name):

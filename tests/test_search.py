@@ -90,6 +90,13 @@ def test_empty_items_and_empty_queries(spark):
     assert search.top_k(left, right.limit(0), by=BY).count() == 0
 
 
+@pytest.mark.parametrize("limit", [100, 0])
+def test_items_without_a_vector_are_not_found(spark, limit):
+    items = [("a", "t", "i", [1.0, 2.0]), ("a", "t", "none", None), ("a", "t", "j", [1.0, 0.0])]
+    got = search.top_k(*tables(spark, items, [("a", "t", "q", [1.0, 0.0])], parts=1), by=BY, max_sent_queries=limit)
+    assert [r[4] for r in rows(got)] == ["j", "i"]
+
+
 def test_different_widths_are_an_error(spark):
     with pytest.raises(Exception, match="width"):
         search.top_k(*tables(spark, [("a", "t", "i", [1.0, 2.0])], [("a", "t", "q", [1.0])]), by=BY).collect()
