@@ -40,8 +40,9 @@ def _rounded(scores, digits):
 
 
 def _candidates(queries, items, k, floor, digits):
-    """(query position, item position, score) of every item that can be among the best
-    ``k`` of its query. Ties with the k-th score are all kept: ids decide later."""
+    """(query position, item position, score) of the items that can be among the best
+    ``k`` of their query. Items come ordered by id, so of equal scores the first ``k``
+    are enough: a batch full of copies yields no more rows than any other."""
     import numpy as np
 
     step = max(1, _SCORES_AT_ONCE // max(1, len(queries)))
@@ -52,7 +53,12 @@ def _candidates(queries, items, k, floor, digits):
         bound = floor
         if n > k:
             bound = np.maximum(bound, np.partition(scores, n - k, axis=1)[:, n - k])
-        q, i = np.nonzero(scores >= bound[:, None])
+        wanted = scores >= bound[:, None]
+        crowded = np.nonzero(wanted.sum(axis=1) > 2 * k)[0]
+        if len(crowded):
+            tied = scores[crowded] == bound[crowded, None]
+            wanted[crowded] &= ~tied | (np.cumsum(tied, axis=1) <= k)
+        q, i = np.nonzero(wanted)
         found.append((q, i + start, scores[q, i]))
     return tuple(np.concatenate(part) for part in zip(*found))
 
@@ -132,6 +138,7 @@ def _send_queries(items, queries_table, k, by, id_col, vector, query_id, keep, n
     def score(batches):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         groups, names = sent.value
         best, floors = {}, {}
@@ -140,6 +147,7 @@ def _send_queries(items, queries_table, k, by, id_col, vector, query_id, keep, n
                 batch = batch.filter(batch.column(vector).is_valid())
             if batch.num_rows == 0:
                 continue
+            batch = batch.take(pc.sort_indices(batch.column(id_col)))
             payload = batch.select([id_col, *keep])
             for key, rows in _group_rows(batch, by):
                 if key not in groups:
@@ -209,7 +217,7 @@ def _by_cells(items, queries, k, by, id_col, vector, query_id, keep, normalize,
         import pandas as pd
 
         names = [*by, query_id, id_col, "score", *keep]
-        some_items = some_items[some_items[vector].notna()].reset_index(drop=True)
+        some_items = some_items[some_items[vector].notna()].sort_values(id_col).reset_index(drop=True)
         if not len(some_items) or not len(some_queries):
             return pd.DataFrame(columns=names)
         item_matrix = np.stack(some_items[vector].to_numpy())

@@ -64,6 +64,17 @@ def test_cells_match_brute_force(spark, seed):
     assert rows(got) == expected(items, queries)
 
 
+@pytest.mark.parametrize("limit", [100, 0])
+def test_a_crowd_of_equal_scores_is_cut_by_id(spark, limit):
+    rng = np.random.default_rng(5)
+    names = [f"i{j:04d}" for j in rng.permutation(900)]
+    items = [("a1", "text", x, [1.0, 0.0] if j % 3 else [0.0, 1.0]) for j, x in enumerate(names)]
+    items += [("a1", "text", "zz", [1.0, 0.1])]
+    queries = [("a1", "text", "q", [1.0, 0.0]), ("a1", "text", "r", [1.0, 1.0]), ("a1", "text", "s", [1.0, 0.1])]
+    got = search.top_k(*tables(spark, items, queries, parts=2), by=BY, max_sent_queries=limit, cell_items=300)
+    assert rows(got) == expected(items, queries)
+
+
 def test_byte_limit_also_leads_to_cells(spark):
     items, queries = random_case(1, n=30, q=2)
     got = search.top_k(*tables(spark, items, queries), by=BY, max_sent_bytes=10)
