@@ -41,25 +41,31 @@ def _rounded(scores, digits):
 
 def _candidates(queries, items, k, floor, digits):
     """(query position, item position, score) of the items that can be among the best
-    ``k`` of their query. Items come ordered by id, so of equal scores the first ``k``
-    are enough: a batch full of copies yields no more rows than any other."""
+    ``k`` of their query, given the scores they have to reach so far (``floor``).
+
+    Where there is no such score yet, the k-th best of the first block sets it; after
+    that a block costs a product and a comparison. Items come ordered by id, so of equal
+    scores the first ``k`` are enough: a block full of copies yields few rows, too.
+    """
     import numpy as np
 
+    slack = 0.0 if digits is None else 0.51 * 10.0 ** -digits
+    bar = floor.copy()
     step = max(1, _SCORES_AT_ONCE // max(1, len(queries)))
     found = []
     for start in range(0, len(items), step):
-        scores = _rounded(queries @ items[start:start + step].T, digits)
+        scores = queries @ items[start:start + step].T
         n = scores.shape[1]
-        bound = floor
-        if n > k:
-            bound = np.maximum(bound, np.partition(scores, n - k, axis=1)[:, n - k])
-        wanted = scores >= bound[:, None]
-        crowded = np.nonzero(wanted.sum(axis=1) > 2 * k)[0]
-        if len(crowded):
-            tied = scores[crowded] == bound[crowded, None]
-            wanted[crowded] &= ~tied | (np.cumsum(tied, axis=1) <= k)
-        q, i = np.nonzero(wanted)
-        found.append((q, i + start, scores[q, i]))
+        fresh = np.nonzero(np.isneginf(bar))[0]
+        if n > k and len(fresh):
+            bar[fresh] = _rounded(np.partition(scores[fresh], n - k, axis=1)[:, n - k], digits)
+        q, i = np.nonzero(scores >= (bar - slack)[:, None])
+        s = _rounded(scores[q, i], digits)
+        tied = s == bar[q]
+        count = np.concatenate([[0], np.cumsum(tied)])
+        earlier = count[:-1] - count[np.searchsorted(q, q)]
+        keep = (s > bar[q]) | (tied & (earlier < k))
+        found.append((q[keep], i[keep] + start, s[keep]))
     return tuple(np.concatenate(part) for part in zip(*found))
 
 
@@ -153,6 +159,11 @@ def _send_queries(items, queries_table, k, by, id_col, vector, query_id, keep, n
                 if key not in groups:
                     continue
                 matrix = _matrix(batch.column(vector).take(pa.array(rows)))
+                sound = np.isfinite(matrix).all(axis=1)
+                if not sound.all():
+                    matrix, rows = matrix[sound], rows[sound]
+                if not len(rows):
+                    continue
                 places, query_matrix = groups[key]
                 if query_matrix.shape[1] != matrix.shape[1]:
                     raise ValueError(
@@ -220,7 +231,11 @@ def _by_cells(items, queries, k, by, id_col, vector, query_id, keep, normalize,
         some_items = some_items[some_items[vector].notna()].sort_values(id_col).reset_index(drop=True)
         if not len(some_items) or not len(some_queries):
             return pd.DataFrame(columns=names)
-        item_matrix = np.stack(some_items[vector].to_numpy())
+        item_matrix = np.stack(some_items[vector].to_numpy()).astype(np.float64)
+        sound = np.isfinite(item_matrix).all(axis=1)
+        item_matrix, some_items = item_matrix[sound], some_items[sound]
+        if not len(some_items):
+            return pd.DataFrame(columns=names)
         query_matrix = np.stack(some_queries[vector].to_numpy())
         if normalize:
             item_matrix, query_matrix = _unit(item_matrix), _unit(query_matrix)
@@ -244,8 +259,9 @@ def top_k(items: DataFrame, queries: DataFrame, k=V.TOP_K, by=(), id_col="id",
     ``queries`` holds ``by`` columns, ``query_id`` and ``vector``; a query is answered
     within its own group of ``by`` values (an approach, a result type). ``keep`` are
     small item columns carried along; ``fetch`` are wide ones read afterwards, for the
-    hits only. Equal scores are ordered by id. Items without a vector are not found (the
-    test is made while scoring: as a filter it would compute the vector twice). Scores are rounded to ``digits`` before
+    hits only. Equal scores are ordered by id. Items without a vector, or with a
+    coordinate that is no number, are not found (the test is made while scoring: as a
+    filter it would compute the vector twice). Scores are rounded to ``digits`` before
     ranking, so the order does not depend on how the data was split.
     """
     by, keep, fetch = list(by), list(keep), list(fetch)

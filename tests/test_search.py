@@ -75,6 +75,22 @@ def test_a_crowd_of_equal_scores_is_cut_by_id(spark, limit):
     assert rows(got) == expected(items, queries)
 
 
+def test_many_blocks_per_task(spark, monkeypatch):
+    monkeypatch.setattr(search, "_SCORES_AT_ONCE", 50)
+    items, queries = random_case(9)
+    got = search.top_k(*tables(spark, items, queries, parts=1), by=BY)
+    assert rows(got) == expected(items, queries)
+
+
+def test_scores_out_of_order_and_unrounded(spark):
+    items = [("a1", "text", f"i{j:03d}", [float(j), 1.0]) for j in range(300)]
+    queries = [("a1", "text", "q", [1.0, 0.0]), ("a1", "text", "r", [-1.0, 0.0])]
+    left, right = tables(spark, items, queries, parts=1)
+    got = search.top_k(left.orderBy("id").coalesce(1), right, by=BY, normalize=False, digits=None)
+    assert [(r[2], r[4], r[5]) for r in rows(got)] == (
+        [("q", f"i{299 - j:03d}", 299.0 - j) for j in range(5)] + [("r", f"i{j:03d}", -float(j)) for j in range(5)])
+
+
 def test_byte_limit_also_leads_to_cells(spark):
     items, queries = random_case(1, n=30, q=2)
     got = search.top_k(*tables(spark, items, queries), by=BY, max_sent_bytes=10)
@@ -103,7 +119,8 @@ def test_empty_items_and_empty_queries(spark):
 
 @pytest.mark.parametrize("limit", [100, 0])
 def test_items_without_a_vector_are_not_found(spark, limit):
-    items = [("a", "t", "i", [1.0, 2.0]), ("a", "t", "none", None), ("a", "t", "j", [1.0, 0.0])]
+    items = [("a", "t", "i", [1.0, 2.0]), ("a", "t", "none", None), ("a", "t", "j", [1.0, 0.0]),
+             ("a", "t", "nan", [float("nan"), 0.0]), ("a", "t", "gap", [None, 0.0])]
     got = search.top_k(*tables(spark, items, [("a", "t", "q", [1.0, 0.0])], parts=1), by=BY, max_sent_queries=limit)
     assert [r[4] for r in rows(got)] == ["j", "i"]
 
