@@ -1,6 +1,8 @@
 """Image relevance: large enough, and not one uniform colour."""
 
-from pyspark.sql import DataFrame, functions as F, types as T
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
 
 from .. import fixed_values as V
 
@@ -9,42 +11,33 @@ def large_enough(width, height, min_width=V.MIN_IMAGE_WIDTH, min_height=V.MIN_IM
     return (F.col(width) >= min_width) & (F.col(height) >= min_height)
 
 
+def _luma_deviation(channels: pd.Series, data: pd.Series) -> pd.Series:
+    def deviation(n, raw):
+        if raw is None:
+            return None
+        pixels = np.frombuffer(raw, dtype=np.uint8)
+        if n == 1:
+            return float(pixels.std())
+        pixels = pixels.reshape(-1, n)
+        grey = pixels[:, 2] * np.uint32(19595)
+        grey += pixels[:, 1] * np.uint32(38470)
+        grey += pixels[:, 0] * np.uint32(7471)
+        grey += np.uint32(0x8000)
+        grey >>= np.uint32(16)
+        return float(grey.std())
+
+    return pd.Series([deviation(n, raw) for n, raw in zip(channels, data)], dtype="float64")
+
+
 def grey_stddev(images: DataFrame, image="image") -> DataFrame:
     """Adds the population deviation of the grey values of decoded images.
 
     ``image`` is the struct of Spark's image source (BGR or BGRA bytes, or one grey
-    channel). Pixels are worked on in Arrow batches; grey is the usual luma in 16-bit
-    fixed point.
+    channel). Grey is the usual luma in 16-bit fixed point. Only the pixels go to
+    Python, in Arrow batches, and each image once.
     """
-    schema = T.StructType([*images.schema.fields, T.StructField("grey_std", T.DoubleType(), True)])
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        def deviation(channels, data):
-            pixels = np.frombuffer(data, dtype=np.uint8)
-            if channels == 1:
-                return float(pixels.std())
-            pixels = pixels.reshape(-1, channels)
-            # one multiply-add per colour value instead of a copy in 32 bits per channel
-            grey = pixels[:, 2] * np.uint32(19595)
-            grey += pixels[:, 1] * np.uint32(38470)
-            grey += pixels[:, 0] * np.uint32(7471)
-            grey += np.uint32(0x8000)
-            grey >>= np.uint32(16)
-            return float(grey.std())
-
-        for batch in batches:
-            struct = batch.column(batch.schema.get_field_index(image))
-            channels = struct.field("nChannels").to_pylist()
-            data = struct.field("data")
-            out = [deviation(c, d.as_buffer()) if d.is_valid else None for c, d in zip(channels, data)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "grey_std"]
-            )
-
-    return images.mapInArrow(run, schema)
+    deviation = F.pandas_udf(_luma_deviation, "double").asNondeterministic()
+    return images.withColumn("grey_std", deviation(f"{image}.nChannels", f"{image}.data"))
 
 
 def keep_images(images: DataFrame, image="image", min_width=V.MIN_IMAGE_WIDTH,

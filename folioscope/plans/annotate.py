@@ -1,6 +1,9 @@
 """The annotate job: pages to annotations, with resume and an injected annotator."""
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from typing import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
 
 from .. import fixed_values as V
 from ..operators import corpus
@@ -13,16 +16,10 @@ def answer(prompts: DataFrame, make_annotate, prompt="prompt") -> DataFrame:
 
     ``make_annotate`` runs once per task and returns ``annotate(prompt) -> text``. An
     exception is caught per row: its text goes to ``error`` and the row can be tried
-    again in the next run.
+    again in the next run. Only prompts go to Python, and each is asked once: the call
+    is declared nondeterministic, so the optimizer makes no copies of it.
     """
-    schema = T.StructType([
-        *prompts.schema.fields,
-        T.StructField("answer", T.StringType(), True), T.StructField("error", T.StringType(), True),
-    ])
-
-    def run(batches):
-        import pyarrow as pa
-
+    def ask_all(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         annotate = make_annotate()
 
         def one(value):
@@ -35,15 +32,10 @@ def answer(prompts: DataFrame, make_annotate, prompt="prompt") -> DataFrame:
                 return None, f"{type(problem).__name__}: {problem}"
 
         for batch in batches:
-            asked = batch.column(batch.schema.get_field_index(prompt))
-            done = [one(value.as_py()) for value in asked]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([a for a, _ in done], pa.string()),
-                 pa.array([e for _, e in done], pa.string())],
-                names=[*batch.schema.names, "answer", "error"],
-            )
-
-    return prompts.mapInArrow(run, schema)
+            yield pd.DataFrame([one(v) for v in batch], columns=["answer", "error"])
+
+    asked = F.pandas_udf(ask_all, "answer string, error string").asNondeterministic()
+    return prompts.withColumn("_asked", asked(prompt)).select(*prompts.columns, "_asked.answer", "_asked.error")
 
 
 def text_annotations(answered: DataFrame) -> DataFrame:

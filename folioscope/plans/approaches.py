@@ -149,13 +149,13 @@ def build(clean: DataFrame, encoders, registry=REGISTRY, content="content",
 
 def with_image_bytes(clean: DataFrame, images: DataFrame, path="content_path") -> DataFrame:
     """Image bytes next to the annotation; a missing file leaves null, which an encoder
-    turns into the zero vector."""
-    bytes_by_path = images.select(F.col("content_path").alias(path), "content")
+    turns into the zero vector. Images without a path get spread-out keys that match
+    no file, as nulls would all meet in one task."""
     texts = clean.filter(F.col("type") != "image").withColumn("content", F.lit(None).cast("binary"))
-    return texts.unionByName(
-        clean.filter(F.col("type") == "image").join(bytes_by_path, path, "left")
-        .select(*texts.columns)
-    )
+    no_file = F.concat(F.lit("\u0000"), F.xxhash64("id"))
+    wanted = clean.filter(F.col("type") == "image").withColumn("_file", F.coalesce(path, no_file))
+    files = images.select(F.col("content_path").alias("_file"), "content")
+    return texts.unionByName(wanted.join(files, "_file", "left").select(*texts.columns))
 
 
 def query_vectors(queries: DataFrame, encoders, registry=REGISTRY, query_id="query_id",

@@ -53,7 +53,8 @@ def test_image_files(spark, folder):
 
 def test_small_images_do_not_reach_python(spark, folder):
     text = plan(images.keep_images(pages.read_images(spark, folder[0])))
-    python = text.index("MapInArrow")
+    python = text.index("ArrowEvalPython")
+    assert text.count("ArrowEvalPython") == 1
     assert "width" in text[python:] and ">= 100" in text[python:]
 
 

@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 import check
+from tests.conftest import plan
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
@@ -28,6 +29,7 @@ def test_query(spark, db, name):
     result = db.execute(ORACLES[name])
     columns = [d[0] for d in result.description]
     assert sorted(columns) == sorted(got.columns)
+    assert "CartesianProduct" not in plan(got) and "NestedLoopJoin" not in plan(got)
     assert check.rows(got.columns, got.collect()) == check.rows(columns, result.fetchall())
 
 
