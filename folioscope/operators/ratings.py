@@ -87,12 +87,12 @@ def image_html(content) -> Column:
 
 
 def multimodal_records(hits: DataFrame, images: DataFrame, query="query",
-                       text="text_for_embedding", small_hits=False) -> DataFrame:
+                       text="text_for_embedding") -> DataFrame:
     """Records for judging text and image results in one list.
 
-    ``images`` is ``(content_path, content)``. With ``small_hits`` (queries times k is
-    known to be small) the paths are broadcast, and only the bytes of images that were
-    hit get past the scan.
+    ``images`` is ``(content_path, content)``. Give hits that are a table
+    (``session.stored``): then the paths of a small one are broadcast, and only the
+    bytes of images that were hit get past the scan.
     """
     labels = V.TYPE_LABELS
     texts = hits.filter(F.col("type") == "text").select(
@@ -101,7 +101,7 @@ def multimodal_records(hits: DataFrame, images: DataFrame, query="query",
     )
     shown = hits.filter(F.col("type") == "image").select(query, "content_path", text)
     paths = shown.select("content_path").distinct()
-    needed = images.join(F.broadcast(paths) if small_hits else paths, "content_path", "left_semi")
+    needed = images.join(paths, "content_path", "left_semi")
     pictures = shown.join(needed, "content_path", "left").select(
         F.col(query).alias("query"), F.lit(labels["image"]).alias("type"),
         F.concat(image_html("content"), F.lit(V.IMAGE_CAPTION), F.col(text)).alias("content"),

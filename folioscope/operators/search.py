@@ -15,6 +15,7 @@ from ..functions import text as X
 
 MAX_SENT_QUERIES = 65_536
 MAX_SENT_BYTES = 64 << 20
+MAX_SENT_HITS = 1_000_000
 MAX_LITERALS = 100
 CELL_ITEMS = 20_000
 CELL_QUERIES = 2_000
@@ -272,7 +273,10 @@ def top_k(items: DataFrame, queries: DataFrame, k=V.TOP_K, by=(), id_col="id",
     ])
     queries = queries.select(*by, query_id, vector).filter(F.col(vector).isNotNull())
     probe = queries.limit(max_sent_queries + 1).toArrow()
-    fits = probe.num_rows <= max_sent_queries and probe.nbytes <= max_sent_bytes
+    fits = (
+        probe.num_rows <= max_sent_queries and probe.nbytes <= max_sent_bytes
+        and probe.num_rows * k <= MAX_SENT_HITS
+    )
     if fits:
         wanted = items
         for c in by:  # literals, so that only the folders of these groups are read
@@ -290,7 +294,7 @@ def top_k(items: DataFrame, queries: DataFrame, k=V.TOP_K, by=(), id_col="id",
     order = Window.partitionBy(*by, query_id).orderBy(F.desc("score"), F.asc(id_col))
     hits = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     if fetch:
-        # at most k rows per sent query: that many are safe to broadcast
+        # at most k rows per sent query, and that product has been checked
         side = F.broadcast(hits) if fits else hits
         hits = side.join(items.select(*by, id_col, *fetch), [*by, id_col])
     return hits.select(*by, query_id, "rank", id_col, "score", *keep, *fetch)

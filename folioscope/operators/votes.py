@@ -23,13 +23,12 @@ def storable(events: DataFrame, evaluator="evaluator") -> DataFrame:
     return events.filter(F.col(evaluator) != "")
 
 
-def events(hits: DataFrame, votes: DataFrame, now=None, query="query",
-           small_hits=False) -> DataFrame:
+def events(hits: DataFrame, votes: DataFrame, now=None, query="query") -> DataFrame:
     """Evaluation events from search hits and votes ``(evaluator, approach_id, query,
     result_id, liked)``.
 
-    Set ``small_hits`` when the number of queries times k is known to be small: then the
-    votes are not shuffled. Otherwise many votes on one hit make a skewed partition,
+    Give hits that are a table (``session.stored``): then small ones are broadcast and
+    the votes are not shuffled. Otherwise many votes on one hit make a skewed partition,
     which adaptive execution splits.
     """
     keys = ["approach_id", query, "result_id"]
@@ -39,7 +38,6 @@ def events(hits: DataFrame, votes: DataFrame, now=None, query="query",
         F.col("type").alias("result_type"), F.col("page").cast("int").alias("result_page"),
         F.col("score").cast("double").alias("result_score"),
     )
-    shown = F.broadcast(shown) if small_hits else shown
     return storable(votes).join(shown, keys).select(
         now.alias("timestamp"), "evaluator", "approach_id", F.col(query).alias("query"),
         "result_id", "result_type", "result_page", "result_score",

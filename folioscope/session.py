@@ -55,6 +55,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name="stored") -> DataFrame:
+    """``df`` written as a table in the shared folder and read back.
+
+    For a small result of costly work, such as search hits: whatever reads it next does
+    not repeat the work, and since the size of a table is known, a join broadcasts it
+    exactly when it is below the session's threshold.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, *keys) -> DataFrame:
     """Use all cores when a scan yields fewer splits than there are cores.
 

@@ -6,7 +6,7 @@ from folioscope import fixed_values as V, schemas
 from folioscope.functions import encoders, text as X, vectors as U
 from folioscope.operators import corpus, embedtext, images, profile, ratings, search, votes
 from folioscope.plans import annotate, approaches, judge, search as search_plan
-from folioscope.session import scratch_path
+from folioscope.session import scratch_path, stored
 from folioscope.sources import annotations, evaluations, records, vectors
 from folioscope.streaming import annotations as annotation_stream, evaluations as vote_stream
 
@@ -320,8 +320,8 @@ def evaluation_guards(spark, sf):
 
 @query
 def evaluation_events(spark, sf):
-    hits = dual_search(spark, sf)
-    rows = votes.events(hits, views.clicks(spark, sf), query="query_id", small_hits=True)
+    hits = stored(dual_search(spark, sf), "hits")
+    rows = votes.events(hits, views.clicks(spark, sf), query="query_id")
     return rows.drop("timestamp")
 
 
@@ -339,7 +339,8 @@ def rating_records_multimodal(spark, sf):
     items = views.items(spark, sf, texts=True).filter(F.col("approach_id") == V.APPROACH_UNIFIED)
     asked = views.query_vectors(spark, sf).filter(F.col("approach_id") == V.APPROACH_UNIFIED)
     hits = search.top_k(items, asked, by=BY, fetch=("text_for_embedding", "content_path"))
-    return ratings.multimodal_records(hits, views.image_bytes(spark, sf), query="query_id", small_hits=True)
+    return ratings.multimodal_records(
+        stored(hits, "hits"), views.image_bytes(spark, sf), query="query_id")
 
 
 @query

@@ -3,6 +3,7 @@ import base64
 from pyspark.sql import functions as F
 
 from folioscope.operators import ratings
+from folioscope.session import stored
 
 RECORDS = "query string, result_text string, page string, score string, responses array<struct<user_id:string,value:int>>"
 
@@ -59,8 +60,8 @@ def test_multimodal_records(spark):
                                   ("q", "image", 2, "c", 0.9, 7, "j", "p2"), ("q", "image", 3, "d", 0.9, 7, "k", "p3")], HITS)
     data = bytes(range(256))
     images = spark.createDataFrame([("p1", data), ("p3", None), ("p9", data)], "content_path string, content binary")
-    for small in (True, False):
-        rows = {r.content for r in ratings.multimodal_records(hits, images, small_hits=small).collect()}
+    for shown in (hits, stored(hits)):
+        rows = {r.content for r in ratings.multimodal_records(shown, images).collect()}
         tag = f'<img src="data:image/png;base64,{base64.b64encode(data).decode()}" width="200">'
         missing = "<i>Imagem não encontrada</i>"
         assert rows == {"t", f"{tag}<br><br><b>Descrição:</b> i", f"{missing}<br><br><b>Descrição:</b> j",

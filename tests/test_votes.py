@@ -4,6 +4,8 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from folioscope.session import stored
+
 from folioscope.operators import votes
 from folioscope.plans import approaches, judge
 from tests.conftest import plan
@@ -98,8 +100,8 @@ def test_events(spark):
     thumbs = spark.createDataFrame([("ana", "a", "q", "r1", True), ("", "a", "q", "r2", True), ("ana", "a", "q", "r2", False),
                                     ("ana", "a", "q", "unknown", True)],
                                    "evaluator string, approach_id string, query string, result_id string, liked boolean")
-    for small in (True, False):
-        rows = votes.events(hits, thumbs, small_hits=small).collect()
+    for shown in (hits, stored(hits)):
+        rows = votes.events(shown, thumbs).collect()
         got = sorted((r.evaluator, r.result_id, r.result_type, r.result_page, r.result_score, r.evaluation) for r in rows)
         assert got == [("ana", "r1", "text", 3, 0.5, "relevante"), ("ana", "r2", "image", 4, 0.4, "nao_relevante")]
         assert all("T" in r.timestamp for r in rows)
