@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import fixed_values as V
 from ..functions import vectors as U
-from ..operators import embedtext as E
+from ..operators import corpus, embedtext as E
+from ..sources import vectors as store
 
 FROM_TEXT, FROM_PIXELS, FUSED = "text", "pixels", "fused"
 
@@ -158,6 +159,20 @@ def with_image_bytes(clean: DataFrame, images: DataFrame, path="content_path") -
     return texts.unionByName(wanted.join(files, "_file", "left").select(*texts.columns))
 
 
+def build_store(annotations: DataFrame, encoders, path, images: DataFrame = None, registry=REGISTRY):
+    """The build job: annotations to clean rows to vectors, stored per approach and type.
+
+    Rebuilt approaches take the place of their old vectors; others stay. ``images`` is
+    ``(content_path, content)``; without it every image is a failed encode.
+    """
+    clean = corpus.clean(annotations)
+    if images is None:
+        clean = clean.withColumn("content", F.lit(None).cast("binary"))
+    else:
+        clean = with_image_bytes(clean, images)
+    store.replace_approach(build(clean, encoders, registry), path)
+
+
 def query_vectors(queries: DataFrame, encoders, registry=REGISTRY, query_id="query_id",
                   text="query") -> DataFrame:
     """One row per approach, result type and query, with the vector of the model that
