@@ -49,7 +49,7 @@ def encoder(make_predict, width, batch_size=256):
     ).asNondeterministic()
 
 
-def hashed_words(width, cache_size=1 << 16):
+def hashed_words(width, cache_size=1 << 18):
     """A model stand-in that needs no weights: a hashed bag of words.
 
     A word's slot is the first 32 bits of its MD5 modulo ``width``; the vector holds
@@ -58,25 +58,32 @@ def hashed_words(width, cache_size=1 << 16):
     """
 
     def make():
-        import functools
         import hashlib
-
         import re
 
         import numpy as np
 
         find = re.compile(r"\w{2,}").findall
 
-        @functools.lru_cache(maxsize=cache_size)
-        def slot(word):
-            return int(hashlib.md5(word.encode("utf-8")).hexdigest()[:8], 16) % width
+        class Slots(dict):
+            """Slots of words seen before; emptied when it has grown too large."""
+
+            def __missing__(self, word):
+                if len(self) >= cache_size:
+                    self.clear()
+                slot = int(hashlib.md5(word.encode("utf-8")).hexdigest()[:8], 16) % width
+                self[word] = slot
+                return slot
+
+        slots = Slots()
 
         def predict(texts):
             out = np.zeros((len(texts), width), dtype=np.float32)
             for i, text in enumerate(texts):
-                slots = [slot(w) for w in find(text.lower())] if text is not None else []
-                if slots:
-                    out[i] = np.bincount(slots, minlength=width)
+                words = find(text.lower()) if text is not None else []
+                if words:
+                    found = np.fromiter(map(slots.__getitem__, words), np.int64, len(words))
+                    out[i] = np.bincount(found, minlength=width)
             return out
 
         return predict

@@ -19,9 +19,9 @@ _SPACE_RUN = f"(?U)[{_SPACE_CLASS}]+"
 WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
 # "Ten or more dots or spaces, more spaces, digits" holds exactly where ten such
-# characters stand right before a digit. This form has no nested repeat, so long runs
-# cannot exhaust the regex stack.
-LEADER_PATTERN = rf"(?U)[.{_SPACE_CLASS}]{{10}}\d"
+# characters stand right before a digit. Looking back from a digit has no nested repeat,
+# so long runs cannot exhaust the regex stack, and text without digits is passed quickly.
+LEADER_PATTERN = rf"(?U)\d(?<=[.{_SPACE_CLASS}]{{10}}\d)"
 
 
 def strip(col) -> Column:
@@ -76,8 +76,8 @@ def ngrams(words, sizes=(2, 2)) -> Column:
 
     def of(n):
         grams = F.transform(
-            F.sequence(F.lit(1), F.size(words) - (n - 1)),
-            lambda i: F.array_join(F.slice(words, i, n), " "),
+            F.sequence(F.lit(0), F.size(words) - n),
+            lambda i: F.concat_ws(" ", *[F.get(words, i + j) for j in range(n)]),
         )
         return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<string>"))
 

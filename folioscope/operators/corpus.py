@@ -23,12 +23,15 @@ def page_blocks(pages: DataFrame, text="text", page="page", separator="\n") -> D
 def block_rows(pages: DataFrame, blocks="blocks", page="page") -> DataFrame:
     """As ``page_blocks`` for pages that already hold an array of blocks."""
     others = [c for c in pages.columns if c != blocks]
-    rows = _numbered(pages.select(*others, F.posexplode_outer(blocks).alias("block_index", "raw")))
+    # cleaned before the explode: a filter on the text then reads it instead of
+    # repeating the cleaning
+    pieces = F.transform(blocks, X.one_line)
+    rows = _numbered(pages.select(*others, F.posexplode_outer(pieces).alias("block_index", "text")))
     return rows.select(
         *others,
         "block_index",
         item_id(F.col(page), "txt", F.col("block_index")).alias("id"),
-        X.one_line(F.col("raw")).alias("text"),
+        "text",
     )
 
 

@@ -516,8 +516,8 @@ def stream_precision(spark, sf):
 def annotate_stream(spark, sf):
     out, mark = scratch_path(spark, "annotations"), scratch_path(spark, "annotate-mark")
     schema = views.table(spark, sf, "documents").schema
-    pages = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    pages = (  # a glob, as a stream takes a folder or a glob but no single file
+        spark.readStream.schema(schema).parquet(f"{sf}/documents.parque[t]")
         .select((F.col("doc_id") + 1).alias("page"), "text")
     )
     annotation_stream.run(pages, out, mark, counting_annotator, phrases=views.STOP_PHRASES) \
