@@ -144,6 +144,7 @@ def word_frequency(clean: DataFrame, text="description_llm", stop=None, n=V.TOP_
         .groupBy("word").agg(F.count(F.lit(1)).alias("items"))
         .orderBy(F.desc("items"), F.asc("word")).limit(n)
     )
+    # the window covers the n rows of the list, nothing more
     return top.withColumn("weight", F.col("items") / F.max("items").over(Window.partitionBy()))
 
 

@@ -168,10 +168,11 @@ def encoders():
 
 def word_encoders(width=64):
     """Models without weights: hashed words of a text, or of an image file's bytes."""
-    texts = E.encoder(E.hashed_words(width), width)
+    words = E.hashed_words(width)
+    texts = E.encoder(words, width)
 
     def file_words():
-        predict = E.hashed_words(width)()
+        predict = words()
         return lambda files: predict([None if f is None else bytes(f).decode("utf-8") for f in files])
 
     return {

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from folioscope import fixed_values as V
 from folioscope.functions import text as X
 from folioscope.operators import corpus, embedtext
+from tests.conftest import plan
 
 LONG = "x" * 60
 
@@ -19,6 +20,22 @@ def test_length_bounds_differ_by_mode(spark):
     assert keep(spark, texts, "length_only") == texts[2:]
 
 
+def test_resume_is_an_anti_join_on_distinct_ids(spark):
+    blocks = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2)], "id string, doc_id int")
+    done = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "id string, doc_id int")
+    left = corpus.not_done(blocks, done)
+    assert "LeftAnti" in plan(left) and [r.id for r in left.collect()] == ["c"]
+    both = corpus.not_done(blocks, done, keys=("doc_id", "id"))
+    assert sorted(r.id for r in both.collect()) == ["b", "c"]
+
+
+def test_a_filter_reads_cleaned_blocks_and_splits_once(spark, tmp_path):
+    path = str(tmp_path / "pages")
+    spark.createDataFrame([(1, "a\nb")], "page int, text string").write.parquet(path)
+    text = plan(corpus.keep_texts(corpus.page_blocks(spark.read.parquet(path))))
+    assert text.count("split(") == 1 and text.count("trim(") == 1
+
+
 def test_unknown_mode(spark):
     with pytest.raises(ValueError):
         keep(spark, [LONG], "both")
