@@ -84,12 +84,10 @@ def ngrams(words, sizes=(2, 2)) -> Column:
     return F.concat(*[of(n) for n in range(sizes[0], sizes[1] + 1)])
 
 
-def stop_words(language="portuguese", extra=None):
-    """The language's stop words that ship with Spark, plus the domain words."""
-    from pyspark.ml.feature import StopWordsRemover
-
-    extra = V.DOMAIN_STOP_WORDS if extra is None else extra
-    return sorted({*StopWordsRemover.loadDefaultStopWords(language), *extra})
+def stop_words(words=None, extra=None):
+    """The Portuguese stop words, or ``words``, plus the domain words."""
+    words = V.PORTUGUESE_STOP_WORDS if words is None else words
+    return sorted({*words, *(V.DOMAIN_STOP_WORDS if extra is None else extra)})
 
 
 def is_relevant(col, phrases=None, min_length=V.MIN_TEXT_LENGTH) -> Column:

@@ -4,12 +4,7 @@
 whatever they need in turn, as common table expressions.
 """
 
-import glob
-import os
 import re
-import zipfile
-
-import pyspark
 
 from folioscope import fixed_values as V
 from folioscope.plans.approaches import REGISTRY
@@ -33,15 +28,7 @@ def r6(expression):
     return f"(round({expression}, 6) + 0.0)"
 
 
-def _stop_words():
-    """The Portuguese list inside Spark's own jar, plus the domain words."""
-    jar = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))[0]
-    with zipfile.ZipFile(jar) as z:
-        words = z.read("org/apache/spark/ml/feature/stopwords/portuguese.txt").decode().split("\n")
-    return sorted({w for w in words if w} | set(V.DOMAIN_STOP_WORDS))
-
-
-STOP = lits(_stop_words())
+STOP = lits(sorted({*V.PORTUGUESE_STOP_WORDS, *V.DOMAIN_STOP_WORDS}))
 
 
 def template(text, description="description_llm", keywords="keywords_llm"):

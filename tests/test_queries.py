@@ -1,5 +1,9 @@
 """Every registered query against its DuckDB twin on the smallest tables."""
 
+import os
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -8,7 +12,7 @@ import check
 from tests.conftest import plan
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = dict(entry.catalog.QUERIES), dict(entry.oracles.SQL)
 
 
 @pytest.fixture(scope="module")
@@ -35,3 +39,24 @@ def test_query(spark, db, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 5
+
+
+def test_the_entry_imports_without_the_jars_of_spark(tmp_path):
+    """Another process may hold Spark elsewhere: importing must not look into its files."""
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    script = tmp_path / "probe.py"
+    script.write_text(
+        "import builtins, glob\n"
+        "real = builtins.open\n"
+        "def closed(path, *a, **k):\n"
+        "    assert 'jars' not in str(path), path\n"
+        "    return real(path, *a, **k)\n"
+        "builtins.open = closed\n"
+        "glob.glob = lambda *a, **k: []\n"
+        "import __spark_entry__ as e\n"
+        "print(len(e.queries()) >= 70, len(e.oracle_sql()) >= 70)\n"
+    )
+    done = subprocess.run([sys.executable, str(script)], capture_output=True, text=True,
+                          cwd=str(tmp_path), env=os.environ | {"PYTHONPATH": root})
+    assert done.stdout.split() == ["True", "True"], done.stderr
+
