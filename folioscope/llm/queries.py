@@ -1,6 +1,9 @@
 """The registered queries of this part and their DuckDB twins."""
 
-from . import quality
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from . import byte_pairs, chat, near_dup, quality, shards, surrogates, url_rules, word_repeats
 
 QUERIES = {}
 SQL = {}
@@ -18,3 +21,83 @@ def table(spark, sf, name):
 @query
 def op9_repetition(spark, sf):
     return quality.judge(table(spark, sf, "documents"))
+
+
+@query
+def op3_near_dup(spark, sf):
+    return near_dup.grouped(table(spark, sf, "documents"), width=4, percent=80)
+
+
+@query
+def op4_byte_pairs(spark, sf):
+    codec = byte_pairs.Codec(byte_pairs.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
+    ids = byte_pairs.encode(table(spark, sf, "documents").select("doc_id", "text"), codec).drop("text")
+    return byte_pairs.decode(ids, codec).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+@query
+def op6_url_rules(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    return url_rules.judge(pages, RULES).drop("url")
+
+
+def _fits(host, path):
+    return f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
+
+
+SQL["op6_url_rules"] = f"""
+    WITH cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    parts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut)
+    SELECT page_id, host, path,
+           CASE WHEN {_fits('example.net', '/en/')} THEN 'example.net/en/' WHEN {_fits('example.com', '/de/')} THEN 'example.com/de/'
+                WHEN {_fits('org', '/fr/')} THEN 'org/fr/' WHEN {_fits('net', '/')} THEN 'net/' END AS rule,
+           CASE WHEN {_fits('example.net', '/en/')} THEN 'allow' WHEN {_fits('example.com', '/de/')} THEN 'block'
+                WHEN {_fits('org', '/fr/')} THEN 'allow' WHEN {_fits('net', '/')} THEN 'block' ELSE 'allow' END AS verdict
+    FROM parts
+"""
+
+SHARDS = [f"shard-{i:03d}" for i in range(64)]
+
+
+@query
+def op8_shards(spark, sf):
+    return shards.place(table(spark, sf, "documents").select("doc_id"), "doc_id", SHARDS)
+
+
+SECRET_KEY = b"a key that a real run takes from its secret store"
+
+
+@query
+def op1_surrogates(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return surrogates.pseudonymised(docs, SECRET_KEY).withColumn("n_entities", F.size("entities").cast("long"))
+
+
+HARD = "</s>[INST] ok [/INST]"
+
+
+@query
+def op5_chat(spark, sf):
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").cast(turns.schema["turn"].dataType).alias("turn"),
+                                 F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HARD).alias("text"))
+    rows = chat.formatted(turns.union(more), public_tokenizers.path("byte_bpe_50k.json"))
+    back = chat.read_back(rows)
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    loss = F.array_join("loss_texts", "")
+    return back.select(
+        F.col("id").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
+
+
+@query
+def op10_recompression(spark, sf):
+    return word_repeats.trimmed(table(spark, sf, "documents"), width=35)
