@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20  # texts handled at once; one longer text is handled alone
+CHUNK_BYTES = 2 << 20  # texts handled at once; one longer text is handled alone
 
 
 class Texts:

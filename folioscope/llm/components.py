@@ -13,7 +13,8 @@ from .shared import stored
 def _star(edges, small):
     """One star operation on undirected edges (a > b)."""
     near = edges if small else edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    # a table of its own, so that Spark can split the edges of a hot node in the join
+    least = stored(near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     joined = near.join(least, "a")
     if small:  # smaller neighbours and the node itself meet the smallest
         out = joined.select(F.col("b").alias("x"), F.col("m").alias("y")).union(least.select(F.col("a").alias("x"), F.col("m").alias("y")))

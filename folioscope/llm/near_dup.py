@@ -166,7 +166,7 @@ def _links(members, signs, docs, id_col, text_col, width, lower, percent):
     draw = F.xxhash64("id", "bucket")
     # Round 1: one pivot per bucket, another in each bucket that two documents share.
     pivots = members.groupBy("bucket").agg(F.min(F.struct(draw.alias("h"), F.col("id"))).alias("p"))
-    pairs = members.join(pivots.select("bucket", F.col("p.id").alias("pivot")), "bucket")
+    pairs = members.join(stored(pivots.select("bucket", F.col("p.id").alias("pivot")), "pivots"), "bucket")
     links = tested = labels = None
     groups, largest = 1, None
     while True:
@@ -178,8 +178,8 @@ def _links(members, signs, docs, id_col, text_col, width, lower, percent):
         tested = pairs if tested is None else tested.union(pairs)
         near = stored(_estimated(pairs, signs, least), "near")
         wanted = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
-        texts = (docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-                 .join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+        texts = stored(docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+                       .join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
         found = stored(_verified(near, texts, width, lower, percent), "links")
         links = found if links is None else stored(links.union(found), "links")
         labels = components.of(links)
@@ -188,7 +188,7 @@ def _links(members, signs, docs, id_col, text_col, width, lower, percent):
             "bucket", "id", F.coalesce("component", "id").alias("group"))
         still = (held.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("n"))
                  .where("lo <> hi and n > 2"))
-        open_ = stored(held.join(still.select("bucket", "n"), "bucket"), "open")
+        open_ = stored(held.join(stored(still.select("bucket", "n"), "still"), "bucket"), "open")
         largest = open_.agg(F.max("n")).first()[0]
         if largest is None or groups > 2 * largest:
             return links, labels
@@ -199,7 +199,7 @@ def _links(members, signs, docs, id_col, text_col, width, lower, percent):
             chosen = (open_.groupBy("bucket", F.pmod(draw, F.lit(groups)).alias("part"))
                       .agg(F.min(F.struct(draw.alias("h"), F.col("id").alias("pivot"), F.col("group").alias("own"))).alias("p"))
                       .select("bucket", "p.pivot", "p.own"))
-        pairs = open_.join(chosen, "bucket").where("group <> own").select("id", "pivot")
+        pairs = open_.join(stored(chosen, "chosen"), "bucket").where("group <> own").select("id", "pivot")
 
 
 def grouped(docs, id_col="doc_id", text_col="text", width=4, percent=80, lower=True):
@@ -220,12 +220,13 @@ def grouped(docs, id_col="doc_id", text_col="text", width=4, percent=80, lower=T
         .select("set_a", "set_b", "n_shingles", F.col("rep.id").alias("id"), F.col("rep.sig").alias("sig"), F.col("rep.bands").alias("bands")),
         "classes")
     banded = classes.select("id", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    # tables of their own: Spark splits a hot key of a join only where both sides come as they are
+    shared = stored(banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "shared")
     members = stored(banded.join(shared, "bucket", "left_semi"), "members")
     _, labels = _links(members, classes, docs, id_col, text_col, width, lower, percent)
-    of_class = classes.select("set_a", "set_b", "n_shingles", F.col("id").alias("rep")).join(
+    of_class = stored(classes.select("set_a", "set_b", "n_shingles", F.col("id").alias("rep")).join(
         labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
-        "set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component"))
+        "set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component")), "of_class")
     found = every.select("id", "n_shingles", "set_a", "set_b").join(of_class, ["set_a", "set_b", "n_shingles"], "left")
     component = F.when(F.col("id").isNull() | (F.col("n_shingles") == 0), F.col("id")).otherwise(F.col("component"))
     return found.select(

@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import byte_pairs, chat, near_dup, quality, shards, surrogates, url_rules, word_repeats
+from . import byte_pairs, byte_repeats, chat, near_dup, quality, shards, surrogates, url_rules, word_repeats
 
 QUERIES = {}
 SQL = {}
@@ -101,3 +101,8 @@ def op5_chat(spark, sf):
 @query
 def op10_recompression(spark, sf):
     return word_repeats.trimmed(table(spark, sf, "documents"), width=35)
+
+
+@query
+def op2_suffix_runs(spark, sf):
+    return byte_repeats.trimmed(table(spark, sf, "documents"), width=200)
