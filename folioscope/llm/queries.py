@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import byte_pairs, byte_repeats, chat, near_dup, quality, shards, surrogates, url_rules, word_repeats
+from . import byte_pairs, byte_repeats, chat, decontaminate, near_dup, quality, shards, surrogates, url_rules, word_repeats
 
 QUERIES = {}
 SQL = {}
@@ -106,3 +106,62 @@ def op10_recompression(spark, sf):
 @query
 def op2_suffix_runs(spark, sf):
     return byte_repeats.trimmed(table(spark, sf, "documents"), width=200)
+
+
+@query
+def op7_decontamination(spark, sf):
+    found = decontaminate.hits(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
+# --- DuckDB twins: plain counts of all windows ----------------------------------------
+SPACED = r"'[^\x20\x09-\x0D]+'"
+WORDED = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+
+def _low(text):
+    return f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+SQL["op5_chat"] = r"""
+    WITH turns AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+    sized AS (SELECT *, length(role) + length(text) + length('<s>[INST]</s>')
+                     + len(regexp_extract_all(role, '{0}')) + len(regexp_extract_all(text, '{0}')) AS chars FROM turns),
+    whole AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS t,
+                     coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS a, sum(chars) AS c
+              FROM sized GROUP BY conv_id)
+    SELECT conv_id, n_turns, sha256(t) AS turns_sha256, length(a) AS loss_chars, sha256(a) AS loss_sha256,
+           c::BIGINT AS formatted_chars FROM whole
+""".replace("{0}", r"<\\*(s>|/s>|\|endoftext\|>)|\[\\*/?INST\]")
+
+SQL["op7_decontamination"] = f"""
+    WITH d AS (SELECT doc_id, regexp_extract_all({_low('text')}, {WORDED}) AS w FROM documents),
+    b AS (SELECT item_id, regexp_extract_all({_low('text')}, {WORDED}) AS w FROM benchmark),
+    bw AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(w, k + 1, k + n), ' ') AS s
+           FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(0, greatest(len(w) - 10, 0) + 1)) AS k FROM b WHERE len(w) > 0)),
+    dw AS (SELECT doc_id, n, k, array_to_string(list_slice(w, k + 1, k + n), ' ') AS s
+           FROM (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS k FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+    hit AS (SELECT DISTINCT doc_id, k, n, item_id FROM dw JOIN bw USING (n, s)),
+    places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hit) GROUP BY doc_id),
+    items AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS list
+              FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM hit) GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+SQL["op10_recompression"] = f"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {SPACED}) AS w FROM documents),
+    win AS (SELECT doc_id, k, array_to_string(list_slice(w, k + 1, k + 35), ' ') AS s
+            FROM (SELECT doc_id, w, unnest(range(0, len(w) - 34)) AS k FROM d WHERE len(w) >= 35)),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 35)) AS p FROM win WHERE s IN (SELECT s FROM win GROUP BY s HAVING count(*) > 1)),
+    cut AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (before IS NULL OR before < p - 1) AS n_spans
+            FROM (SELECT *, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM gone) GROUP BY doc_id),
+    kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t FROM (SELECT doc_id, unnest(w) AS x, unnest(range(0, len(w))) AS p FROM d)
+             ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+           sha256(coalesce(t, '')) AS kept_sha256
+    FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
