@@ -116,18 +116,19 @@ def repeated_spans(docs, id_col="doc_id", text_col="text", width=35):
     rows = spans.keyed(docs, id_col, text_col)
     spark = docs.sparkSession
     all_path, all_borders = scratch(_anchored(rows, width), "borders")
-    blocks = all_borders.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block")
+    # tables of their own: Spark splits a hot key of a join only where both sides come as they are
+    blocks = stored(all_borders.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block"), "blocks")
     shared = stored(all_borders.join(blocks, "block", "left_semi"), "shared")
     released(spark, all_path)
     contexts = stored(shared.groupBy("block", "context").agg(F.count("*").alias("n"), F.min(F.struct("i", "h", "lo", "hi")).alias("one")), "contexts")
     settled = shared.join(contexts.where("n > 1").select("block", "context"), ["block", "context"], "left_semi")
     open_blocks = contexts.groupBy("block").agg(F.min("n").alias("least"), F.count("*").alias("contexts")).where("least = 1 AND contexts > 1")
-    compared = contexts.join(open_blocks.select("block"), "block", "left_semi")
+    compared = contexts.join(stored(open_blocks.select("block"), "open"), "block", "left_semi")
     wanted = compared.groupBy(F.col("one.i").alias("i"), F.col("one.h").alias("h")).agg(
         F.collect_set(F.struct("block", F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi"))).alias("open"))
     # a text that is there twice is read twice; its windows do occur twice
     windows = stored(_windows(spans.packed(rows).join(wanted, ["i", "h"]), width), "windows")
-    twice = windows.groupBy("block", "name").agg(F.count("*").alias("n")).where("n > 1").select("block", "name")
+    twice = stored(windows.groupBy("block", "name").agg(F.count("*").alias("n")).where("n > 1").select("block", "name"), "twice")
     found = windows.join(twice, ["block", "name"], "left_semi")
     return settled.select("i", "h", F.col("lo").alias("a"), (F.col("hi") + width).alias("b")).union(
         found.select("i", "h", "a", (F.col("a") + width).alias("b")))
