@@ -11,7 +11,7 @@ def scratch(df, name):
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     spark._jvm.System.gc()
     return path, spark.read.schema(df.schema).parquet(path)
 
