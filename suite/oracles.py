@@ -67,18 +67,17 @@ VIEWS = {
                replace(trim(raw, {WHITE}), chr(10), ' ') AS text
         FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw,
                      generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)""",
-    "lines": "SELECT *, string_split(text, chr(10))[1] AS line FROM documents",
     "annotations": """
         SELECT doc_id, id, page, type,
                CASE WHEN type = 'image' THEN 'images/' || id || '.png' END AS content_path,
                CASE WHEN type <> 'image' THEN text END AS original_text,
-               CASE WHEN doc_id % 17 = 0 THEN 'N/A' WHEN doc_id % 19 = 0 THEN '' ELSE line END AS description_llm,
-               CASE WHEN doc_id % 23 <> 0 THEN array_to_string(string_split(line, ' ')[1:5], ', ') END AS keywords_llm
+               CASE WHEN doc_id % 17 = 0 THEN 'N/A' WHEN doc_id % 19 = 0 THEN '' ELSE text END AS description_llm,
+               CASE WHEN doc_id % 23 <> 0 THEN array_to_string(string_split(text, ' '), ', ') END AS keywords_llm
         FROM (SELECT *, (doc_id // 10 + 1)::INTEGER AS page,
                      CASE WHEN doc_id % 50 = 7 THEN 'table' WHEN doc_id % 3 = 0 THEN 'image' ELSE 'text' END AS type,
                      'p' || (doc_id // 10 + 1) || CASE WHEN doc_id % 3 = 0 THEN '_img_' ELSE '_txt_' END
                          || (doc_id % 10) AS id
-              FROM lines)""",
+              FROM documents)""",
     "clean": f"""
         SELECT * FROM (SELECT doc_id, id, page, type,
                CASE WHEN content_path NOT IN ({lits(V.NULL_WORDS)}) THEN content_path END AS content_path,
@@ -154,7 +153,7 @@ VIEWS = {
                coalesce(avg(f1), 0) AS f1, count(query) AS queries
         FROM registry LEFT JOIN prf USING (approach_id) GROUP BY approach_id""",
     "records": """
-        SELECT 'q' || (doc_id % 10) AS query, string_split(text, chr(10))[1] AS result_text,
+        SELECT 'q' || (doc_id % 10) AS query, text AS result_text,
                'Página ' || (doc_id + 1) AS page, doc_id, quality, toxic
         FROM documents LEFT JOIN labels USING (doc_id)""",
     "flat": """
@@ -272,9 +271,8 @@ BEST = f"""
     LEFT JOIN documents d ON d.doc_id = txt_id
     WHERE img > txt OR txt <> -1"""
 
-_FIRST = "string_split(d.text, chr(10))[1]"
-_LINE = f"coalesce({_FIRST}, 'd')"
-_WORDS = f"coalesce(array_to_string(string_split({_FIRST}, ' ')[1:5], ', '), 'k')"
+_TEXT = "coalesce(d.text, 'd')"
+_WORDS = "coalesce(array_to_string(string_split(d.text, ' '), ', '), 'k')"
 
 # The flagship judges search hits instead of votes: the same views over another "votes".
 HITS_AS_VOTES = """
@@ -287,11 +285,11 @@ _QUERIES = {
     "text_length_only": f"SELECT id, text FROM blocks WHERE length(text) > {V.MIN_TEXT_LENGTH}",
     "annotation_resume": "SELECT id, text FROM blocks b WHERE NOT EXISTS (SELECT 1 FROM annotations a WHERE a.id = b.id)",
     "prompt_table": f"SELECT id, replace({lit(V.TEXT_PROMPT)}, '{{}}', text) AS prompt FROM blocks WHERE {relevant_text('text')}",
-    "llm_response_parse": """
-        SELECT id, coalesce(trim(string_split(string_split(answer, 'RESUMO:')[2], 'PALAVRAS-CHAVE:')[1]),
-                            trim(string_split(string_split(answer, 'DESCRIÇÃO:')[2], 'PALAVRAS-CHAVE:')[1]), 'N/A')
+    "llm_response_parse": f"""
+        SELECT id, coalesce(trim(string_split(string_split(answer, 'RESUMO:')[2], 'PALAVRAS-CHAVE:')[1], {WHITE}),
+                            trim(string_split(string_split(answer, 'DESCRIÇÃO:')[2], 'PALAVRAS-CHAVE:')[1], {WHITE}), 'N/A')
                    AS description_llm,
-               coalesce(trim(string_split(answer, 'PALAVRAS-CHAVE:')[2]), 'N/A') AS keywords_llm FROM answers""",
+               coalesce(trim(string_split(answer, 'PALAVRAS-CHAVE:')[2], {WHITE}), 'N/A') AS keywords_llm FROM answers""",
     "annotation_clean": "SELECT id, page, type, description_llm, keywords_llm FROM clean",
     "split_by_type": "SELECT id, type FROM clean WHERE type IN ('text', 'image')",
     "embedding_text_by_type": "SELECT id, text_for_embedding FROM embedded",
@@ -370,7 +368,7 @@ _QUERIES = {
         JOIN hits h ON h.approach_id = c.approach_id AND h.query_id = c.query_id AND h.id = c.result_id
         WHERE c.evaluator <> ''""",
     "rating_records": f"""
-        SELECT query_id AS query, {template(V.TEMPLATE_TEXT, _LINE, _WORDS)} AS result_text,
+        SELECT query_id AS query, {template(V.TEMPLATE_TEXT, _TEXT, _WORDS)} AS result_text,
                'Página ' || page AS page
         FROM hits LEFT JOIN documents d ON d.doc_id = hits.id WHERE approach_id = {lit(IDS[0])} AND type = 'text'""",
     "rating_records_multimodal": f"""
@@ -378,7 +376,7 @@ _QUERIES = {
                CASE WHEN type = 'text' THEN '' WHEN hits.id % 4 <> 0 AND d.text IS NOT NULL THEN
                    {lit(V.IMAGE_TAG_HEAD)} || to_base64(encode(d.text)) || {lit(V.IMAGE_TAG_TAIL + V.IMAGE_CAPTION)}
                ELSE {lit(V.IMAGE_MISSING + V.IMAGE_CAPTION)} END
-               || {template(V.TEMPLATE_UNIFIED, _LINE, _WORDS)} AS content
+               || {template(V.TEMPLATE_UNIFIED, _TEXT, _WORDS)} AS content
         FROM hits LEFT JOIN documents d ON d.doc_id = hits.id WHERE approach_id = {lit(IDS[3])}""",
     "ratings_flatten": 'SELECT query, result_text, page, "user", value, relevancia FROM named',
     "ratings_completed": 'SELECT query, page, "user", value FROM named WHERE value IS NOT NULL',

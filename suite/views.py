@@ -1,6 +1,6 @@
 """Inputs of the registered queries, derived from the driver's tables.
 
-Every view uses its tables whole. The DuckDB twins are in ``oracles.py``.
+Every view uses its tables whole, and the texts in them from end to end. The DuckDB twins are in ``oracles.py``.
 """
 
 from pyspark.sql import functions as F
@@ -34,17 +34,14 @@ def blocks(spark, sf):
     return corpus.page_blocks(pages(spark, sf))
 
 
-def _first_line(text):
-    return F.substring_index(text, "\n", 1)
-
-
-def _keywords(line):
-    return F.array_join(F.slice(F.split(line, " "), 1, 5), ", ")
+def _keywords(text):
+    """Every piece of the text."""
+    return F.array_join(F.split(text, " "), ", ")
 
 
 def annotations(spark, sf):
-    d, line = F.col("doc_id"), F.col("line")
-    docs = table(spark, sf, "documents").select("doc_id", "text", _first_line("text").alias("line"))
+    d, text = F.col("doc_id"), F.col("text")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
     page = F.floor(d / 10).cast("int") + 1
     key = F.concat(
         F.lit("p"), page, F.when(d % 3 == 0, "_img_").otherwise("_txt_"), d % 10
@@ -54,8 +51,8 @@ def annotations(spark, sf):
         "doc_id", key.alias("id"), page.alias("page"), kind.alias("type"),
         F.when(kind == "image", F.concat(F.lit("images/"), key, F.lit(".png"))).alias("content_path"),
         F.when(kind != "image", F.col("text")).alias("original_text"),
-        F.when(d % 17 == 0, "N/A").when(d % 19 == 0, "").otherwise(line).alias("description_llm"),
-        F.when(d % 23 != 0, _keywords(line)).alias("keywords_llm"),
+        F.when(d % 17 == 0, "N/A").when(d % 19 == 0, "").otherwise(text).alias("description_llm"),
+        F.when(d % 23 != 0, _keywords(text)).alias("keywords_llm"),
     )
 
 
@@ -144,11 +141,10 @@ def vector_annotations(spark, sf, texts=False):
     if not texts:
         return base.withColumn("description_llm", F.lit("d")).withColumn("keywords_llm", F.lit("k"))
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    line = _first_line("text")
     return base.join(docs, "id", "left").select(
         *base.columns, F.when(F.col("type") == "text", F.col("text")).alias("original_text"),
-        F.coalesce(line, F.lit("d")).alias("description_llm"),
-        F.coalesce(_keywords(line), F.lit("k")).alias("keywords_llm"),
+        F.coalesce("text", F.lit("d")).alias("description_llm"),
+        F.coalesce(_keywords(F.col("text")), F.lit("k")).alias("keywords_llm"),
     )
 
 
@@ -279,7 +275,7 @@ def rating_records(spark, sf):
     )
     return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").select(
         F.concat(F.lit("q"), d % 10).alias("query"),
-        _first_line("text").alias("result_text"),
+        F.col("text").alias("result_text"),
         F.format_string(V.PAGE_LABEL, d + 1).alias("page"),
         F.format_string(V.SCORE_LABEL, F.col("n_chars") / 65536).alias("score"),
         F.when(F.col("quality").isNotNull(), responses)
