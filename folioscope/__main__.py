@@ -1,8 +1,9 @@
 """The jobs from the command line.
 
     spark-submit … -m folioscope annotate PAGES STORE --annotator module:factory
-    python -m folioscope build ANNOTATIONS VECTORS --encoders module:factory [--images DIR]
+    python -m folioscope build ANNOTATIONS VECTORS --encoders module:factory [--images DIR] [--approaches A,B]
     python -m folioscope search QUERIES VECTORS OUT --encoders module:factory
+    python -m folioscope records VECTORS OUT --encoders module:factory [--queries QUERIES] [--images DIR]
     python -m folioscope judge EVALUATIONS
     python -m folioscope ratings RECORDS USERS
     python -m folioscope profile ANNOTATIONS OUT
@@ -38,8 +39,12 @@ def _annotate(spark, a):
 
 def _build(spark, a):
     images = pages.read_image_bytes(spark, a.images) if a.images else None
-    approaches.build_store(_annotations(spark, a.annotations), _load(a.encoders)(), a.vectors, images)
-    vectors.build_status(vectors.read(spark, a.vectors), approaches.registry_table(spark)).show(truncate=False)
+    registry = approaches.only(*a.approaches.split(",")) if a.approaches else approaches.REGISTRY
+    approaches.build_store(_annotations(spark, a.annotations), _load(a.encoders)(), a.vectors, images, registry,
+                           pages.qualified(spark, pages.parent(a.images)) if a.images else "")
+    built = vectors.read(spark, a.vectors)
+    vectors.build_status(built, approaches.registry_table(spark)).show(truncate=False)
+    vectors.failures(built).show(truncate=False)
 
 
 def _search(spark, a):
@@ -47,6 +52,13 @@ def _search(spark, a):
     hits.write.mode("overwrite").parquet(a.out)
 
 
+def _records(spark, a):
+    asked = spark.read.parquet(a.queries) if a.queries else search.fixed_queries(spark)
+    search.write_records(asked, vectors.read(spark, a.vectors), _load(a.encoders)(), a.out,
+                         pages.read_image_bytes(spark, a.images) if a.images else None,
+                         pages.qualified(spark, pages.parent(a.images)) if a.images else "")
+
+
 def _judge(spark, a):
     judge.report_log(spark, a.evaluations).show(truncate=False)
 
@@ -65,8 +77,9 @@ def _profile(spark, a):
 
 JOBS = {
     "annotate": (_annotate, ["pages", "store"], {"annotator": None, "mode": "relevant"}),
-    "build": (_build, ["annotations", "vectors"], {"encoders": None, "images": ""}),
+    "build": (_build, ["annotations", "vectors"], {"encoders": None, "images": "", "approaches": ""}),
     "search": (_search, ["queries", "vectors", "out"], {"encoders": None}),
+    "records": (_records, ["vectors", "out"], {"encoders": None, "queries": "", "images": ""}),
     "judge": (_judge, ["evaluations"], {}),
     "ratings": (_ratings, ["records", "users"], {}),
     "profile": (_profile, ["annotations", "out"], {}),

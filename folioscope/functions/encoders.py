@@ -8,10 +8,15 @@ from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import types as T
 
 
+ALL_FAILED = 16  # so many inputs of one batch that all fail are the model's fault
+
+
 def guarded(make_predict, width):
     """Let a failing row cost only itself: it becomes a zero vector.
 
-    A batch that fails as a whole is retried row by row.
+    A missing input is a zero vector without asking the model. A batch that fails as a whole
+    is retried row by row; where a whole batch of inputs fails even so, the model is broken
+    and the job ends with its error, as it does when the model cannot be made.
     """
 
     def make():
@@ -20,30 +25,59 @@ def guarded(make_predict, width):
         predict = make_predict()
 
         def run(batch):
+            out = np.zeros((len(batch), width), dtype=np.float32)
+            there = np.array([i for i in range(len(batch)) if batch[i] is not None], dtype=np.int64)
+            if not len(there):
+                return out
             try:
-                return np.asarray(predict(batch), dtype=np.float32).reshape(len(batch), width)
-            except Exception:
-                out = np.zeros((len(batch), width), dtype=np.float32)
-                for i in range(len(batch)):
+                out[there] = np.asarray(predict(batch[there]), dtype=np.float32).reshape(len(there), width)
+            except Exception as problem:
+                failed = 0
+                for i in there:
                     try:
                         out[i] = np.asarray(predict(batch[i:i + 1]), dtype=np.float32).reshape(width)
                     except Exception:
-                        pass
-                return out
+                        failed += 1
+                if failed == len(there) >= ALL_FAILED:
+                    raise RuntimeError(f"the model fails on every input: {type(problem).__name__}: {problem}") from problem
+            return out
+
+        return run
+
+    return make
+
+
+def strict(make_predict, width):
+    """For texts, which have no reason to fail: a failure ends the job. Null is a zero vector."""
+
+    def make():
+        import numpy as np
+
+        predict = make_predict()
+
+        def run(batch):
+            out = np.zeros((len(batch), width), dtype=np.float32)
+            there = np.array([i for i in range(len(batch)) if batch[i] is not None], dtype=np.int64)
+            if len(there):
+                out[there] = np.asarray(predict(batch[there]), dtype=np.float32).reshape(len(there), width)
+            return out
 
         return run
 
     return make
 
 
-def encoder(make_predict, width, batch_size=256):
+def encoder(make_predict, width, batch_size=256, failures="zero"):
     """A function ``Column -> Column`` (array of float) around the model.
 
+    ``failures``: ``zero`` makes a failing row a zero vector, for images, whose files may be
+    damaged; ``raise`` ends the job, for texts. ``sources.vectors.failures`` counts the former.
     It is declared nondeterministic, which stops the optimizer from copying the call into
     a filter or a second projection: each row is encoded once.
     """
+    guard = {"zero": guarded, "raise": strict}[failures]
     return predict_batch_udf(
-        guarded(make_predict, width),
+        guard(make_predict, width),
         return_type=T.ArrayType(T.FloatType()),
         batch_size=batch_size,
     ).asNondeterministic()

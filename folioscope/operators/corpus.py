@@ -65,11 +65,20 @@ def keep_texts(blocks: DataFrame, mode="relevant", text="text", phrases=None,
     raise ValueError(f"unknown filter mode: {mode}")
 
 
-def not_done(candidates: DataFrame, done: DataFrame, keys=("id",)) -> DataFrame:
-    """Candidates without an annotation. Ids are unique within one document; give
-    ``keys=("doc_id", "id")`` for a table of many documents."""
-    keys = list(keys)
-    return candidates.join(done.select(*keys).distinct(), keys, "left_anti")
+def not_done(candidates: DataFrame, done: DataFrame, keys=None) -> DataFrame:
+    """Candidates without an annotation.
+
+    Ids are unique within one document: where both sides have a ``doc_id`` it is part of the
+    key, and an unnamed document is one, too.
+    """
+    if keys is None:
+        keys = ("doc_id", "id") if "doc_id" in candidates.columns and "doc_id" in done.columns else ("id",)
+    other = done.select(*[F.col(c).alias(f"_{c}") for c in keys])
+    same = F.col("id") == F.col("_id") if "id" in keys else F.lit(True)
+    for c in keys:
+        if c != "id":
+            same = same & F.col(c).cast("string").eqNullSafe(F.col(f"_{c}").cast("string"))
+    return candidates.join(other, same, "left_anti")
 
 
 def prompts(blocks: DataFrame, text="text", template=V.TEXT_PROMPT) -> DataFrame:

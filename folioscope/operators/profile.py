@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import fixed_values as V
 from ..functions import text as X
+from ..session import stored
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -21,31 +22,51 @@ def lengths(clean: DataFrame) -> DataFrame:
 def describe(df: DataFrame, columns) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quartiles and maximum per column.
 
-    The first aggregate turns the rows into (column, value, frequency); everything else
-    is computed from those frequencies. So the exact quartiles need the distinct values
-    of a column in one place, not its rows, which suits lengths and counts.
+    The moments are merged from partial ones, which keeps a small spread of large values. The
+    quartiles come from the frequencies of the values in sorted order: the sorted table is
+    cut into ranges, a range knows how many rows come before it, and so every value knows
+    its ranks. No column's values meet in one task.
     """
     pairs = F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns
     ])
-    frequencies = (
-        df.select(F.inline(pairs)).filter(F.col("value").isNotNull())
-        .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    )
-    total, first, second = F.sum("n"), F.sum(F.col("value") * F.col("n")), F.sum(
-        F.col("value") * F.col("value") * F.col("n")
-    )
-    spread = F.greatest(second - first * first / total, F.lit(0.0))
-    quartiles = F.percentile("value", F.array(*[F.lit(q) for q in QUARTILES]), F.col("n"))
-    return frequencies.groupBy("column").agg(
-        total.alias("count"), (first / total).alias("mean"),
-        F.sqrt(F.try_divide(spread, total - 1)).alias("std"),
-        F.min("value").alias("min"),
-        quartiles.alias("q"), F.max("value").alias("max"),
-    ).select(
-        "column", "count", "mean", "std", "min",
-        *[F.col("q")[i].alias(f"p{int(q * 100)}") for i, q in enumerate(QUARTILES)], "max",
+    rows = df.select(F.inline(pairs)).filter(F.col("value").isNotNull())
+    frequencies = stored(rows.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")), "frequencies")
+    weighted = rows.groupBy("column").agg(
+        F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+        F.min("value").alias("min"), F.max("value").alias("max"))
+    moments = stored(weighted, "moments")
+    ranked = _ranked(frequencies)
+    out = moments
+    for q in QUARTILES:
+        out = out.withColumn(f"_{int(q * 100)}", (F.col("count") - 1) * F.lit(q))
+    wanted = F.explode(F.array(*[F.struct(F.lit(int(q * 100)).alias("q"), F.col(f"_{int(q * 100)}").alias("place")) for q in QUARTILES]))
+    places = out.select(F.col("column").alias("_column"), wanted.alias("w")).select("_column", "w.*")
+    hit = (F.floor("place") < F.col("after")) & (F.ceil("place") >= F.col("before")) & (F.col("column") == F.col("_column"))
+    low = F.max(F.when((F.floor("place") >= F.col("before")) & (F.floor("place") < F.col("after")), F.col("value")))
+    high = F.max(F.when((F.ceil("place") >= F.col("before")) & (F.ceil("place") < F.col("after")), F.col("value")))
+    quartiles = (
+        ranked.join(F.broadcast(places), hit)  # three rows per column
+        .groupBy("column", "q", "place").agg(low.alias("low"), high.alias("high"))
+        .groupBy("column").agg(*[
+            F.max(F.when(F.col("q") == int(q * 100), F.col("low") + (F.col("high") - F.col("low")) * (F.col("place") - F.floor("place")))).alias(f"p{int(q * 100)}")
+            for q in QUARTILES])
     )
+    return moments.join(quartiles, "column").select(
+        "column", "count", "mean", "std", "min", *[f"p{int(q * 100)}" for q in QUARTILES], "max")
+
+
+def _ranked(frequencies):
+    """(column, value, before, after): the ranks a value takes, from 0, the last one exclusive."""
+    ranges = stored(
+        frequencies.repartitionByRange("column", "value").withColumn("part", F.spark_partition_id()), "ranges")
+    # one row per range and column; a running sum over those few
+    sums = ranges.groupBy("column", "part").agg(F.sum("n").alias("rows"))
+    earlier = Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("column", "part", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("start"))
+    upto = Window.partitionBy("column", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    after = F.col("start") + F.sum("n").over(upto)
+    return ranges.join(sums, ["column", "part"]).select("column", "value", (after - F.col("n")).alias("before"), after.alias("after"))
 
 
 def page_count(clean: DataFrame) -> DataFrame:
@@ -95,14 +116,14 @@ def histogram(df: DataFrame, column, bins) -> DataFrame:
     """Equal-width bins from the smallest to the largest value, empty bins included.
 
     The last bin includes its upper edge. Where all values are equal the range is widened
-    by half a unit on either side. Rows shrink to value frequencies first; the bounds
-    come from a scalar subquery over the same narrow column.
+    by half a unit on either side. Rows shrink to a table of value frequencies first, from which
+    the bounds come, too: the input is scanned once.
     """
     values = df.select(F.col(column).cast("double").alias("value")).filter(F.col("value").isNotNull())
-    frequencies = values.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    frequencies = stored(values.groupBy("value").agg(F.count(F.lit(1)).alias("n")), "frequencies")
     low, high = F.min("value"), F.max("value")
     margin = F.when(low == high, 0.5).otherwise(0.0)
-    bounds = values.agg(
+    bounds = frequencies.agg(
         F.struct((low - margin).alias("lo"), (high + margin).alias("hi")).alias("b")
     ).scalar()
     lo, hi = F.col("b.lo"), F.col("b.hi")

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as V
+from ..sources.pages import relative_path
 
 
 def flatten(records: DataFrame, users: DataFrame) -> DataFrame:
@@ -87,19 +88,21 @@ def image_html(content) -> Column:
 
 
 def multimodal_records(hits: DataFrame, images: DataFrame, query="query",
-                       text="text_for_embedding") -> DataFrame:
+                       text="text_for_embedding", root="") -> DataFrame:
     """Records for judging text and image results in one list.
 
-    ``images`` is ``(content_path, content)``. Give hits that are a table
+    ``images`` is ``(content_path, content)``; paths are compared below ``root``. Give hits that are a table
     (``session.stored``): then the paths of a small one are broadcast, and only the
     bytes of images that were hit get past the scan.
     """
+    images = images.withColumn("content_path", relative_path("content_path", root))
     labels = V.TYPE_LABELS
     texts = hits.filter(F.col("type") == "text").select(
         F.col(query).alias("query"), F.lit(labels["text"]).alias("type"),
         F.col(text).alias("content"),
     )
-    shown = hits.filter(F.col("type") == "image").select(query, "content_path", text)
+    shown = hits.filter(F.col("type") == "image").select(
+        query, relative_path("content_path", root).alias("content_path"), text)
     paths = shown.select("content_path").distinct()
     needed = images.join(paths, "content_path", "left_semi")
     pictures = shown.join(needed, "content_path", "left").select(

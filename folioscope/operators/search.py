@@ -2,23 +2,18 @@
 
 Scoring is a matrix product per Arrow batch, so only the best ``k`` items per query
 and task ever leave a task: no pair of query and item is materialised, and vectors are
-in no shuffle. Query tables under a checked size travel to the tasks; larger ones are
-paired with the items block by block.
+in no shuffle. Queries travel to the tasks, a table of many of them in parts of a checked size.
 """
 
-import math
-
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .. import fixed_values as V
 from ..functions import text as X
+from ..session import stored
 
 MAX_SENT_QUERIES = 65_536
 MAX_SENT_BYTES = 64 << 20
 MAX_SENT_HITS = 1_000_000
-MAX_LITERALS = 100
-CELL_ITEMS = 20_000
-CELL_QUERIES = 2_000
 _SCORES_AT_ONCE = 4_000_000
 
 
@@ -136,7 +131,7 @@ def _group_rows(batch, by):
 
 def _send_queries(items, queries_table, k, by, id_col, vector, query_id, keep, normalize,
                   digits, schema):
-    """Score against queries sent to every task; a task keeps a running best ``k``."""
+    """Score against queries sent to every task; a task keeps a running best ``k``. Returns the hits and the broadcast."""
     sent = items.sparkSession.sparkContext.broadcast((
         _query_groups(queries_table, by, vector, normalize),
         queries_table.select([*by, query_id]),
@@ -199,113 +194,107 @@ def _send_queries(items, queries_table, k, by, id_col, vector, query_id, keep, n
             yield from out.combine_chunks().to_batches()
 
     used = list(dict.fromkeys([*by, id_col, vector, *keep]))
-    return items.select(*used).mapInArrow(score, schema)
-
+    return items.select(*used).mapInArrow(score, schema), sent
 
-def _by_cells(items, queries, k, by, id_col, vector, query_id, keep, normalize, digits,
-              schema, cell_items, cell_queries):
-    """Pair blocks of items with blocks of queries.
-
-    Items are hashed into ``rows`` blocks and queries into ``columns`` blocks; each cell
-    of that grid sees one block of either side, whose size does not grow with the data.
-    A group that holds most of the items is spread over all blocks like any other.
-    """
-    rows = max(1, math.ceil(items.count() / cell_items))
-    columns = max(1, math.ceil(queries.count() / cell_queries))
-    left = items.select(
-        *by, id_col, F.col(vector).cast("array<double>").alias(vector), *keep,
-        F.pmod(F.xxhash64(id_col), F.lit(rows)).alias("_row"),
-        F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("_column"),
-    )
-    right = queries.select(
-        *by, query_id, F.col(vector).cast("array<double>").alias(vector),
-        F.pmod(F.xxhash64(query_id), F.lit(columns)).cast("int").alias("_column"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(rows - 1).cast("bigint"))).alias("_row"),
-    )
-    cell = [*by, "_row", "_column"]
 
-    def score(key, some_items, some_queries):
-        import numpy as np
-        import pandas as pd
-
-        names = [*by, query_id, id_col, "score", *keep]
-        some_items = some_items[some_items[vector].notna()].sort_values(id_col).reset_index(drop=True)
-        if not len(some_items) or not len(some_queries):
-            return pd.DataFrame(columns=names)
-        item_matrix = np.stack(some_items[vector].to_numpy()).astype(np.float64)
-        sound = np.isfinite(item_matrix).all(axis=1)
-        item_matrix, some_items = item_matrix[sound], some_items[sound]
-        if not len(some_items):
-            return pd.DataFrame(columns=names)
-        query_matrix = np.stack(some_queries[vector].to_numpy())
-        if normalize:
-            item_matrix, query_matrix = _unit(item_matrix), _unit(query_matrix)
-        floor = np.full(len(query_matrix), -np.inf)
-        q, i, s = _candidates(query_matrix, item_matrix, k, floor, digits)
-        out = some_items[[*by, id_col, *keep]].take(i).reset_index(drop=True)
-        out[query_id] = some_queries[query_id].to_numpy()[q]
-        out["score"] = s
-        out = out.sort_values([query_id, "score", id_col], ascending=[True, False, True])
-        return out.groupby(query_id, sort=False).head(k)[names]
-
-    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(score, schema)
+def _rows_at_once(queries, vector, k, max_queries, max_bytes):
+    """How many queries may be sent at once; the width of the first vector tells their size."""
+    first = queries.select(F.size(vector).alias("width")).first()
+    width = max(1, first["width"]) if first else 1
+    return max(1, min(max_queries, max_bytes // (8 * width), MAX_SENT_HITS // max(1, k)))
 
 
 def top_k(items: DataFrame, queries: DataFrame, k=V.TOP_K, by=(), id_col="id",
           vector="vector", query_id="query_id", keep=(), fetch=(), normalize=True, digits=6,
-          max_sent_queries=MAX_SENT_QUERIES, max_sent_bytes=MAX_SENT_BYTES,
-          cell_items=CELL_ITEMS, cell_queries=CELL_QUERIES) -> DataFrame:
+          key=(), max_sent_queries=MAX_SENT_QUERIES, max_sent_bytes=MAX_SENT_BYTES) -> DataFrame:
     """The best ``k`` items per query, exactly; fewer than ``k`` where there are fewer.
 
     ``queries`` holds ``by`` columns, ``query_id`` and ``vector``; a query is answered
-    within its own group of ``by`` values (an approach, a result type). ``keep`` are
-    small item columns carried along; ``fetch`` are wide ones read afterwards, for the
-    hits only. Equal scores are ordered by id. Items without a vector, or with a
+    within its own group of ``by`` values (an approach, a result type). A null group has
+    no answers. ``keep`` are small item columns carried along; ``fetch`` are wide ones read
+    afterwards, for the hits only. ``key`` are the columns besides ``by`` and the id that make
+    an item unique, such as the document; they are carried along, too. Equal scores are
+    ordered by id. Items without a vector, or with a
     coordinate that is no number, are not found (the test is made while scoring: as a
     filter it would compute the vector twice). Scores are rounded to ``digits`` before
     ranking, so the order does not depend on how the data was split.
+
+    Queries beyond the limits are sent in parts of that size, one after the other: a part's
+    hits are stored before the next part is read, so the driver holds one part. Every part
+    scans the items once; no vector is shuffled and no item copied.
     """
-    by, keep, fetch = list(by), list(keep), list(fetch)
+    by, keep, fetch, key = list(by), list(keep), list(fetch), list(key)
+    keep = [*[c for c in key if c not in keep], *keep]
     schema = T.StructType([
         *[queries.schema[c] for c in [*by, query_id]],
         items.schema[id_col], T.StructField("score", T.DoubleType(), True),
         *[items.schema[c] for c in keep],
     ])
     queries = queries.select(*by, query_id, vector).filter(F.col(vector).isNotNull())
-    probe = queries.limit(max_sent_queries + 1).toArrow()
-    fits = (
-        probe.num_rows <= max_sent_queries and probe.nbytes <= max_sent_bytes
-        and probe.num_rows * k <= MAX_SENT_HITS
-    )
-    if fits:
+    limit = _rows_at_once(queries, vector, k, max_sent_queries, max_sent_bytes)
+
+    def scored(part):
         wanted = items
         for c in by:  # literals, so that only the folders of these groups are read
-            values = set(probe.column(c).to_pylist()) - {None}
-            if len(values) <= MAX_LITERALS:
-                wanted = wanted.filter(F.col(c).isin(sorted(values)))
-        scored = _send_queries(
-            wanted, probe, k, by, id_col, vector, query_id, keep, normalize, digits, schema
-        )
+            wanted = wanted.filter(F.col(c).isin(sorted(set(part.column(c).to_pylist()) - {None})))
+        return _send_queries(wanted, part, k, by, id_col, vector, query_id, keep, normalize, digits, schema)
+
+    probe = queries.limit(limit + 1).toArrow()
+    if probe.num_rows <= limit:
+        found, _ = scored(probe)
     else:
-        scored = _by_cells(
-            items, queries, k, by, id_col, vector, query_id, keep, normalize, digits, schema,
-            cell_items, cell_queries,
-        )
-    order = Window.partitionBy(*by, query_id).orderBy(F.desc("score"), F.asc(id_col))
-    hits = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        held = stored(queries, "queries")
+        parts = -(-2 * held.count() // limit)  # twice as many as needed: a hash deals unevenly
+        place = F.pmod(F.xxhash64(*by, query_id), F.lit(parts))
+        found = None
+        for i in range(parts):
+            part = held.filter(place == i).toArrow()
+            if part.num_rows:
+                rows, sent = scored(part)
+                rows = stored(rows, "scored")
+                sent.unpersist()
+                found = rows if found is None else found.unionByName(rows)
+    order = Window.partitionBy(*by, query_id).orderBy(F.desc("score"), F.asc(id_col), *[F.asc(c) for c in key])
+    hits = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     if fetch:
-        # at most k rows per sent query, and that product has been checked
-        side = F.broadcast(hits) if fits else hits
-        hits = side.join(items.select(*by, id_col, *fetch), [*by, id_col])
+        hits = fetched(stored(hits, "hits"), items, fetch, [*by, *key, id_col])
     return hits.select(*by, query_id, "rank", id_col, "score", *keep, *fetch)
 
 
+def fetched(hits: DataFrame, items: DataFrame, columns, keys) -> DataFrame:
+    """Hits with further columns of their items. ``hits`` is a table, so Spark knows its
+    size and sends it out only where that is small. A null key meets a null key."""
+    side = items.select(*[F.col(c).alias(f"_{c}") for c in keys], *columns)
+    same = None
+    for c in keys:
+        one = F.col(c).eqNullSafe(F.col(f"_{c}")) if hits.schema[c].nullable else F.col(c) == F.col(f"_{c}")
+        same = one if same is None else same & one
+    return hits.join(side, same).drop(*[f"_{c}" for c in keys])
+
+
+def agreement(hits: DataFrame, query_id="query_id", id_col="id") -> DataFrame:
+    """How much the approaches have to say: results and pages per query and approach, and the best result."""
+    return hits.groupBy(query_id, "approach_id").agg(
+        F.count(F.lit(1)).alias("results"), F.countDistinct("page").alias("pages"),
+        F.max("score").alias("best_score"),
+        F.min(F.struct((-F.col("score")).alias("s"), F.col(id_col).alias("i")))["i"].alias("best_id"),
+    )
+
+
 def best_page(hits: DataFrame, by=("approach_id",), query_id="query_id", id_col="id",
-              text="original_text") -> DataFrame:
+              text="original_text", items: DataFrame = None, key=()) -> DataFrame:
     """The page to open per query: the image's if its best score is strictly higher, else
     the text's, with a snippet to mark. A side without a hit counts as -1; when neither
-    side has more than that there is no page."""
-    first = hits.filter(F.col("rank") == 1).withColumn("_snippet", X.first_words(F.col(text)))
+    side has more than that there is no page.
+
+    Either the hits carry the ``text``, or ``items`` does: then it is read for the texts
+    that come first, and for no others."""
+    first = hits.filter(F.col("rank") == 1)
+    if items is not None:
+        first = stored(first, "first")
+        texts = fetched(first.filter(F.col("type") == "text"), items, [text], [*by, "type", *key, id_col])
+        first = first.filter(F.col("type") != "text").withColumn(text, F.lit(None).cast("string")).unionByName(texts)
+    first = first.withColumn("_snippet", X.first_words(F.col(text)))
 
     def top(kind, column):
         return F.max(F.when(F.col("type") == kind, F.col(column)))

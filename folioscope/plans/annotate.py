@@ -1,60 +1,71 @@
-"""The annotate job: pages to annotations, with resume and an injected annotator."""
+"""The annotate job: pages and images to annotations, with resume and an injected annotator."""
 
-from typing import Iterator
+from typing import Iterator, Tuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .. import fixed_values as V
-from ..operators import corpus
-from ..session import checkpointed
+from ..operators import corpus, images as image_filter
+from ..session import checkpointed, stored
 from ..sources import annotations as store
 
+ROWS_PER_TASK = 500  # prompts a task asks; a model call takes far longer than a row
 
-def answer(prompts: DataFrame, make_annotate, prompt="prompt") -> DataFrame:
+
+def answer(prompts: DataFrame, make_annotate, prompt="prompt", image=None) -> DataFrame:
     """Adds ``answer`` and ``error``.
 
-    ``make_annotate`` runs once per task and returns ``annotate(prompt) -> text``. An
+    ``make_annotate`` runs once per task and returns ``annotate(prompt) -> text``, or
+    ``annotate(prompt, image bytes) -> text`` where ``image`` names a column of bytes. An
     exception is caught per row: its text goes to ``error`` and the row can be tried
-    again in the next run. Only prompts go to Python, and each is asked once: the call
-    is declared nondeterministic, so the optimizer makes no copies of it.
+    again in the next run. Only prompts and images go to Python, and each is asked once: the
+    call is declared nondeterministic, so the optimizer makes no copies of it.
     """
-    def ask_all(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        annotate = make_annotate()
-
-        def one(value):
+    def asked_rows(annotate, rows):
+        def one(*values):
             try:
-                text = annotate(value)
+                text = annotate(*values)
                 if not isinstance(text, str):
                     raise TypeError(f"answer is {type(text).__name__}, not text")
                 return text, None
             except Exception as problem:
                 return None, f"{type(problem).__name__}: {problem}"
 
+        return pd.DataFrame([one(*v) for v in rows], columns=["answer", "error"])
+
+    def ask_texts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        annotate = make_annotate()
         for batch in batches:
-            yield pd.DataFrame([one(v) for v in batch], columns=["answer", "error"])
+            yield asked_rows(annotate, zip(batch))
 
-    asked = F.pandas_udf(ask_all, "answer string, error string").asNondeterministic()
-    return prompts.withColumn("_asked", asked(prompt)).select(*prompts.columns, "_asked.answer", "_asked.error")
+    def ask_images(batches: Iterator[Tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        annotate = make_annotate()
+        for texts, files in batches:
+            yield asked_rows(annotate, zip(texts, files))
 
+    call = ask_texts if image is None else ask_images
+    asked = F.pandas_udf(call, "answer string, error string").asNondeterministic()
+    inputs = [prompt] if image is None else [prompt, image]
+    return prompts.withColumn("_asked", asked(*inputs)).select(*prompts.columns, "_asked.answer", "_asked.error")
 
-def text_annotations(answered: DataFrame) -> DataFrame:
-    """Annotation rows from answered text blocks; rows with an error are left out."""
-    ok = corpus.parse_answers(answered.filter(F.col("error").isNull()))
+
+def _annotations(answered, kind, path, text):
+    ok = corpus.parse_answers(store.with_document(answered).filter(F.col("error").isNull()))
     return ok.select(
-        "id", F.col("page").cast("int").alias("page"), F.lit("text").alias("type"),
-        F.lit(None).cast("string").alias("content_path"),
-        F.col("text").alias("original_text"), "description_llm", "keywords_llm",
+        F.col("doc_id").cast("string").alias("doc_id"), "id", F.col("page").cast("int").alias("page"),
+        F.lit(kind).alias("type"), path.alias("content_path"), text.alias("original_text"),
+        "description_llm", "keywords_llm",
     )
 
 
+def text_annotations(answered: DataFrame) -> DataFrame:
+    """Annotation rows from answered text blocks; rows with an error are left out."""
+    return _annotations(answered, "text", F.lit(None).cast("string"), F.col("text"))
+
+
 def image_annotations(answered: DataFrame) -> DataFrame:
-    ok = corpus.parse_answers(answered.filter(F.col("error").isNull()))
-    return ok.select(
-        "id", F.col("page").cast("int").alias("page"), F.lit("image").alias("type"),
-        "content_path", F.lit(None).cast("string").alias("original_text"),
-        "description_llm", "keywords_llm",
-    )
+    return _annotations(answered, "image", F.col("content_path"), F.lit(None).cast("string"))
 
 
 def candidates(pages: DataFrame, done: DataFrame, mode="relevant", phrases=None,
@@ -64,23 +75,46 @@ def candidates(pages: DataFrame, done: DataFrame, mode="relevant", phrases=None,
     return corpus.not_done(blocks, done)
 
 
-def ask(candidates: DataFrame, make_annotate, parallelism=None) -> DataFrame:
-    """Prompts and answers for text blocks.
+def image_candidates(images: DataFrame, done: DataFrame, image="image", **limits) -> DataFrame:
+    """Relevant images that have no annotation yet. The finished ones go first: their pixels
+    are not looked at again."""
+    return image_filter.keep_images(corpus.not_done(images, done), image, **limits)
 
-    Model calls dominate, so the rows are spread by id over ``parallelism`` tasks first,
-    however few bytes they have.
-    """
-    n = parallelism or candidates.sparkSession.sparkContext.defaultParallelism
-    return answer(corpus.prompts(candidates.repartition(n, "id")), make_annotate)
 
+def spread_rows(todo: DataFrame, rows_per_task=ROWS_PER_TASK) -> DataFrame:
+    """``todo`` as a table, dealt out by id in tasks of about ``rows_per_task`` rows: model
+    calls dominate, however few bytes the rows have."""
+    todo = stored(todo, "todo")
+    return todo.repartition(max(1, -(-todo.count() // rows_per_task)), "id")
 
-def run(pages: DataFrame, path, make_annotate, mode="relevant", phrases=None, parallelism=None):
-    """Annotate what is missing in the store at ``path``; returns rows added and failed.
 
-    The answers are checkpointed: neither the append nor the failure count calls the
-    model again, and an executor lost later cannot repeat calls that were paid for.
-    """
-    todo = candidates(pages, store.read(pages.sparkSession, path), mode, phrases)
-    answered = checkpointed(ask(todo, make_annotate, parallelism))
-    added = store.append_counted(text_annotations(answered), path)
+def ask(candidates: DataFrame, make_annotate, rows_per_task=ROWS_PER_TASK) -> DataFrame:
+    """Prompts and answers for text blocks."""
+    return answer(corpus.prompts(spread_rows(candidates, rows_per_task)), make_annotate)
+
+
+def ask_images(candidates: DataFrame, make_annotate, image="image.data", rows_per_task=ROWS_PER_TASK) -> DataFrame:
+    """Prompts and answers for images; the annotator gets the prompt and the bytes in ``image``."""
+    rows = spread_rows(candidates, rows_per_task).withColumn("_bytes", F.col(image))
+    return answer(corpus.image_prompts(rows), make_annotate, image="_bytes").drop("_bytes")
+
+
+def _finish(answered, rows, path):
+    """The answers are checkpointed: neither the append nor the failure count calls the
+    model again, and an executor lost later cannot repeat calls that were paid for."""
+    answered = checkpointed(answered)
+    added = store.append_counted(rows(answered), path)
     return added, answered.filter(F.col("error").isNotNull()).count()
+
+
+def run(pages: DataFrame, path, make_annotate, mode="relevant", phrases=None, rows_per_task=ROWS_PER_TASK):
+    """Annotate what is missing in the store at ``path``; returns rows added and failed."""
+    todo = candidates(pages, store.read(pages.sparkSession, path), mode, phrases)
+    return _finish(ask(todo, make_annotate, rows_per_task), text_annotations, path)
+
+
+def run_images(images: DataFrame, path, make_annotate, rows_per_task=ROWS_PER_TASK, **limits):
+    """The same for images: (doc_id, id, page, content_path, image), the image decoded as Spark's
+    image source does it. Small and one-coloured images are not asked about."""
+    todo = image_candidates(images, store.read(images.sparkSession, path), **limits)
+    return _finish(ask_images(todo, make_annotate, rows_per_task=rows_per_task), image_annotations, path)

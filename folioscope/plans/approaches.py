@@ -9,6 +9,7 @@ from .. import fixed_values as V
 from ..functions import vectors as U
 from ..operators import corpus, embedtext as E
 from ..sources import vectors as store
+from ..sources.pages import relative_path
 
 FROM_TEXT, FROM_PIXELS, FUSED = "text", "pixels", "fused"
 
@@ -137,8 +138,9 @@ def build(clean: DataFrame, encoders, registry=REGISTRY, content="content",
             mine = F.col("approach_id") == a.approach_id
             text = text.when(mine, F.col(inputs.text(a.templates)))
             vectors = vectors.when(mine, vector(inputs, a))
-        # The vector is made after the rows are multiplied, so a reader that wants one
-        # approach, or no vector at all, does not pay for the others.
+        # The unit vector is made after the rows are multiplied, so a reader without use for it
+        # does not pay for it. The encoders of all entries run: give the registry entries that
+        # are wanted (``only``), a filter afterwards comes too late.
         rows = inputs.add_to(clean.filter(F.col("type") == kind)).withColumn("approach_id", F.explode(ids))
         return rows.select(
             "approach_id", *others, text.alias("text_for_embedding"),
@@ -148,18 +150,27 @@ def build(clean: DataFrame, encoders, registry=REGISTRY, content="content",
     return branch("text", _Inputs.text_vector).unionByName(branch("image", _Inputs.image_vector))
 
 
-def with_image_bytes(clean: DataFrame, images: DataFrame, path="content_path") -> DataFrame:
+def with_image_bytes(clean: DataFrame, images: DataFrame, path="content_path", root="") -> DataFrame:
     """Image bytes next to the annotation; a missing file leaves null, which an encoder
-    turns into the zero vector. Images without a path get spread-out keys that match
+    turns into the zero vector. Files are found by their path below ``root``, whichever form
+    it has on either side. Images without a path get spread-out keys that match
     no file, as nulls would all meet in one task."""
     texts = clean.filter(F.col("type") != "image").withColumn("content", F.lit(None).cast("binary"))
     no_file = F.concat(F.lit("\u0000"), F.xxhash64("id"))
-    wanted = clean.filter(F.col("type") == "image").withColumn("_file", F.coalesce(path, no_file))
-    files = images.select(F.col("content_path").alias("_file"), "content")
+    wanted = clean.filter(F.col("type") == "image").withColumn("_file", F.coalesce(relative_path(path, root), no_file))
+    files = images.select(relative_path("content_path", root).alias("_file"), "content")
     return texts.unionByName(wanted.join(files, "_file", "left").select(*texts.columns))
 
 
-def build_store(annotations: DataFrame, encoders, path, images: DataFrame = None, registry=REGISTRY):
+def only(*approach_ids, registry=REGISTRY):
+    """The registry entries asked for. What the others read is then not encoded."""
+    unknown = set(approach_ids) - {a.approach_id for a in registry}
+    if unknown:
+        raise ValueError(f"unknown approaches: {sorted(unknown)}")
+    return tuple(a for a in registry if a.approach_id in approach_ids)
+
+
+def build_store(annotations: DataFrame, encoders, path, images: DataFrame = None, registry=REGISTRY, root=""):
     """The build job: annotations to clean rows to vectors, stored per approach and type.
 
     Rebuilt approaches take the place of their old vectors; others stay. ``images`` is
@@ -169,7 +180,7 @@ def build_store(annotations: DataFrame, encoders, path, images: DataFrame = None
     if images is None:
         clean = clean.withColumn("content", F.lit(None).cast("binary"))
     else:
-        clean = with_image_bytes(clean, images)
+        clean = with_image_bytes(clean, images, root=root)
     store.replace_approach(build(clean, encoders, registry), path)
 
 

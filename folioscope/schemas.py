@@ -9,11 +9,17 @@ def _fields(*pairs):
 
 _S, _I, _D = T.StringType(), T.IntegerType(), T.DoubleType()
 
-ANNOTATION = _fields(
+# The exchange file holds one document, within which ids are unique.
+ANNOTATION_FILE = _fields(
     ("id", _S), ("page", _I), ("type", _S), ("content_path", _S),
     ("original_text", _S), ("description_llm", _S), ("keywords_llm", _S),
 )
 
+# The store holds many: a row is known by document and id. One document may do without a name.
+ANNOTATION = _fields(("doc_id", _S)).add("id", _S)
+for _field in ANNOTATION_FILE.fields[1:]:
+    ANNOTATION = ANNOTATION.add(_field)
+
 # The time stays text on disk: a bad clock value must not cost the vote.
 EVALUATION = _fields(
     ("timestamp", _S), ("evaluator", _S), ("approach_id", _S), ("query", _S),
@@ -33,7 +39,7 @@ RATING_RECORD_MULTIMODAL = _fields(
 )
 
 VECTOR_ITEM = _fields(
-    ("id", _S), ("page", _I), ("content_path", _S), ("original_text", _S),
+    ("doc_id", _S), ("id", _S), ("page", _I), ("content_path", _S), ("original_text", _S),
     ("description_llm", _S), ("keywords_llm", _S), ("text_for_embedding", _S),
     ("vector", T.ArrayType(T.FloatType())), ("approach_id", _S), ("type", _S),
 )

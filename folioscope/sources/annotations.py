@@ -10,25 +10,32 @@ from .. import schemas
 from . import files
 
 
-def read_csv(spark, path) -> DataFrame:
-    """Header, UTF-8 with or without BOM, quoted line breaks, doubled quotes.
+def with_document(df: DataFrame) -> DataFrame:
+    """Rows of one unnamed document get a null ``doc_id``."""
+    return df if "doc_id" in df.columns else df.withColumn("doc_id", F.lit(None).cast("string"))
+
+
+def read_csv(spark, path, doc_id=None) -> DataFrame:
+    """The rows of the document ``doc_id``. Header, UTF-8 with or without BOM, quoted line
+    breaks, doubled quotes.
 
     An empty field is null, quoted or not. Page numbers such as ``3.0`` (an integer column that once held a gap) are read too.
     """
-    text = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schemas.ANNOTATION])
+    text = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schemas.ANNOTATION_FILE])
     df = (
         spark.read.schema(text)
         .option("header", True).option("multiLine", True).option("encoding", "UTF-8")
         .option("quote", '"').option("escape", '"')
         .csv(path)
     )
-    return df.withColumn("page", F.col("page").try_cast("double").cast("int"))
+    return df.select(F.lit(doc_id).cast("string").alias("doc_id"), *df.columns) \
+        .withColumn("page", F.col("page").try_cast("double").cast("int"))
 
 
 def write_csv(df: DataFrame, path, mode="append"):
     """Each part file carries the header, so the folder reads back as one table."""
     (
-        df.select(*schemas.ANNOTATION.fieldNames())
+        df.select(*schemas.ANNOTATION_FILE.fieldNames())
         .write.mode(mode)
         .option("header", True).option("quote", '"').option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
@@ -37,7 +44,8 @@ def write_csv(df: DataFrame, path, mode="append"):
 
 
 def append(df: DataFrame, path):
-    df.select(*schemas.ANNOTATION.fieldNames()).write.mode("append").parquet(path)
+    with_document(df).select(*schemas.ANNOTATION.fieldNames()).withColumn("doc_id", F.col("doc_id").cast("string")) \
+        .write.mode("append").parquet(path)
 
 
 def read(spark, path) -> DataFrame:

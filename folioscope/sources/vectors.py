@@ -11,13 +11,18 @@ PARTITIONS = ("approach_id", "type")
 def write(items: DataFrame, path, mode="append"):
     """Store built items. Nothing is shuffled: a task sorts its own rows by folder and
     writes one file for each approach it has rows of."""
-    items.write.mode(mode).partitionBy(*PARTITIONS).parquet(path)
+    _as_stored(items).write.mode(mode).partitionBy(*PARTITIONS).parquet(path)
+
+
+def _as_stored(items):
+    """Coordinates are stored as float, whatever they were computed in."""
+    return items.withColumn("vector", F.col("vector").cast("array<float>"))
 
 
 def replace_approach(items: DataFrame, path):
     """Rebuild the approaches in ``items`` and leave the others as they are."""
     (
-        items.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        _as_stored(items).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(*PARTITIONS).parquet(path)
     )
 
@@ -35,3 +40,11 @@ def build_status(items: DataFrame, registry: DataFrame) -> DataFrame:
         F.coalesce("items", F.lit(0)).cast("bigint").alias("items"),
         F.col("items").isNotNull().alias("built"),
     )
+
+
+def failures(items: DataFrame) -> DataFrame:
+    """Zero vectors per approach and type: inputs that were missing or could not be encoded."""
+    zero = F.array_max("vector") == F.array_min("vector")
+    zero = zero & (F.array_max("vector") == 0)
+    return items.groupBy(*PARTITIONS).agg(
+        F.count(F.lit(1)).alias("items"), F.count_if(F.coalesce(zero, F.lit(True))).alias("failed"))

@@ -1,34 +1,82 @@
-"""Incremental annotate: a stream of pages, only new blocks are annotated."""
+"""Incremental annotate: a stream of pages or images, only what is new is annotated.
 
-from pyspark.sql import DataFrame, functions as F
+What failed is kept beside the store and asked again with the next batch, and when the
+job starts; an annotation in the store ends it.
+"""
+
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..operators import corpus
 from ..plans import annotate
-from ..sources import annotations as store
+from ..session import checkpointed
+from ..sources import annotations as store, files
+
+KEY = ["doc_id", "id"]
+FAILED_TEXT = T.StructType([T.StructField(n, T.IntegerType() if n == "page" else T.StringType()) for n in (*KEY, "page", "text")])
+
+
+def failed_path(path):
+    return path.rstrip("/") + "-failed"
+
+
+def failed(spark, path) -> DataFrame:
+    """Text blocks that were asked about and have no annotation, once each."""
+    rows = files.read_parquet(spark, failed_path(path), FAILED_TEXT).dropDuplicates(KEY)
+    return corpus.not_done(rows, store.read(spark, path))
 
 
 def _done_near(batch: DataFrame, path) -> DataFrame:
     """Finished ids on the pages of this batch; the page range prunes the store's scan."""
     low, high = batch.agg(F.min("page"), F.max("page")).first()
-    done = store.read(batch.sparkSession, path).select("id", "page")
+    done = store.read(batch.sparkSession, path).select("doc_id", "id", "page")
     return done.filter(F.col("page").between(low, high)) if low is not None else done.limit(0)
 
 
+def _asked(todo: DataFrame, path, make_annotate, rows_per_task):
+    answered = checkpointed(annotate.ask(todo, make_annotate, rows_per_task))
+    known = files.read_parquet(todo.sparkSession, failed_path(path), FAILED_TEXT)
+    new = corpus.not_done(answered.filter(F.col("error").isNotNull()).select(*FAILED_TEXT.fieldNames()), known)
+    new.write.mode("append").parquet(failed_path(path))
+    store.append(annotate.text_annotations(answered), path)
+
+
 def annotate_batch(batch: DataFrame, path, make_annotate, mode="relevant", phrases=None,
-                   parallelism=None):
-    blocks = corpus.keep_texts(corpus.page_blocks(batch), mode, phrases=phrases)
-    todo = corpus.not_done(blocks.dropDuplicates(["id"]), _done_near(batch, path))
-    store.append(annotate.text_annotations(annotate.ask(todo, make_annotate, parallelism)), path)
+                   rows_per_task=annotate.ROWS_PER_TASK):
+    """Annotate the new blocks of a batch and those that failed before."""
+    blocks = corpus.keep_texts(corpus.page_blocks(store.with_document(batch)), mode, phrases=phrases)
+    blocks = blocks.select(F.col("doc_id").cast("string").alias("doc_id"), "id", F.col("page").cast("int").alias("page"), "text")
+    new = corpus.not_done(blocks, _done_near(batch, path))
+    again = failed(batch.sparkSession, path)
+    _asked(new.unionByName(again).dropDuplicates(KEY), path, make_annotate, rows_per_task)
+
+
+def retry(spark, path, make_annotate, rows_per_task=annotate.ROWS_PER_TASK):
+    """Ask again about what failed."""
+    todo = failed(spark, path)
+    if not todo.isEmpty():
+        _asked(todo, path, make_annotate, rows_per_task)
 
 
 def run(pages: DataFrame, path, checkpoint, make_annotate, mode="relevant", phrases=None,
-        parallelism=None):
-    """Annotate the blocks of a page stream. A repeated batch adds nothing, because its
-    ids are already in the store."""
+        rows_per_task=annotate.ROWS_PER_TASK):
+    """Annotate the blocks of a page stream, after those that an earlier run failed on. A
+    repeated batch adds nothing, because its keys are already in the store."""
+    retry(pages.sparkSession, path, make_annotate, rows_per_task)
+
+    def batch(df, _):
+        annotate_batch(df, path, make_annotate, mode, phrases, rows_per_task)
+
+    return _started(pages, checkpoint, batch)
+
+
+def run_images(images: DataFrame, path, checkpoint, make_annotate, **options):
+    """Annotate the images of a stream. What fails is asked again when its file comes again."""
     def batch(df, _):
-        annotate_batch(df, path, make_annotate, mode, phrases, parallelism)
+        annotate.run_images(store.with_document(df).dropDuplicates(KEY), path, make_annotate, **options)
+
+    return _started(images, checkpoint, batch)
+
 
-    return (
-        pages.writeStream.option("checkpointLocation", checkpoint)
+def _started(stream, checkpoint, batch):
+    return stream.writeStream.option("checkpointLocation", checkpoint) \
         .foreachBatch(batch).trigger(availableNow=True).start()
-    )

@@ -63,8 +63,8 @@ WHITE = "E' \\t\\n\\r\\f\\x0b'"
 
 VIEWS = {
     "blocks": f"""
-        SELECT doc_id + 1 AS page, i - 1 AS block_index, 'p' || (doc_id + 1) || '_txt_' || (i - 1) AS id,
-               replace(trim(raw, {WHITE}), chr(10), ' ') AS text
+        SELECT 'd' || (doc_id % 2) AS doc_id, (doc_id // 2 + 1)::INTEGER AS page, i - 1 AS block_index,
+               'p' || (doc_id // 2 + 1) || '_txt_' || (i - 1) AS id, replace(trim(raw, {WHITE}), chr(10), ' ') AS text
         FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw,
                      generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)""",
     "annotations": """
@@ -239,10 +239,10 @@ EVENT_COLUMNS = ("timestamp, evaluator, approach_id, query, result_id, result_ty
                  "result_score, evaluation")
 PROMPT_LENGTH = len(V.TEXT_PROMPT) - 2
 ANNOTATED = f"""
-    SELECT id, page, n, CASE WHEN n % 7 = 0 THEN 'ValueError: busy' END AS error,
+    SELECT doc_id, id, page, n, CASE WHEN n % 7 = 0 THEN 'ValueError: busy' END AS error,
            CASE WHEN n % 7 <> 0 THEN n || ' chars' END AS description_llm,
            CASE WHEN n % 7 <> 0 THEN 'a' || (n % 3) || ', b' || (n % 5) END AS keywords_llm
-    FROM (SELECT id, page, length(text) + {PROMPT_LENGTH} AS n FROM blocks WHERE {relevant_text('text')})"""
+    FROM (SELECT doc_id, id, page, length(text) + {PROMPT_LENGTH} AS n FROM blocks WHERE {relevant_text('text')})"""
 
 # grey value of the repeated pixel pattern: luma of red = green = level, blue = 255 - level
 _LEVEL = "least(greatest(floor(128.0 + (100 + vec_id % 5 * 50) * e::DOUBLE), 0), 255)::BIGINT"
@@ -280,11 +280,14 @@ HITS_AS_VOTES = """
            CASE WHEN label = query_label THEN 'relevante' ELSE 'nao_relevante' END AS evaluation FROM hits"""
 
 _QUERIES = {
-    "block_explode": "SELECT id, page, block_index::INTEGER AS block_index, text FROM blocks",
-    "text_relevance": f"SELECT id, text FROM blocks WHERE {relevant_text('text')}",
-    "text_length_only": f"SELECT id, text FROM blocks WHERE length(text) > {V.MIN_TEXT_LENGTH}",
-    "annotation_resume": "SELECT id, text FROM blocks b WHERE NOT EXISTS (SELECT 1 FROM annotations a WHERE a.id = b.id)",
-    "prompt_table": f"SELECT id, replace({lit(V.TEXT_PROMPT)}, '{{}}', text) AS prompt FROM blocks WHERE {relevant_text('text')}",
+    "block_explode": "SELECT doc_id, id, page, block_index::INTEGER AS block_index, text FROM blocks",
+    "text_relevance": f"SELECT doc_id, id, text FROM blocks WHERE {relevant_text('text')}",
+    "text_length_only": f"SELECT doc_id, id, text FROM blocks WHERE length(text) > {V.MIN_TEXT_LENGTH}",
+    "annotation_resume": """
+        SELECT doc_id, id, text FROM blocks WHERE NOT (CASE WHEN doc_id = 'd0' THEN page % 3 = 0 ELSE block_index % 5 = 0 END)""",
+    "prompt_table": f"""
+        SELECT doc_id, id, replace({lit(V.TEXT_PROMPT)}, '{{}}', text) AS prompt FROM blocks WHERE {relevant_text('text')}
+        UNION ALL SELECT 'images', image_id::VARCHAR, {lit(V.IMAGE_PROMPT)} FROM ({IMAGE_BYTES})""",
     "llm_response_parse": f"""
         SELECT id, coalesce(trim(string_split(string_split(answer, 'RESUMO:')[2], 'PALAVRAS-CHAVE:')[1], {WHITE}),
                             trim(string_split(string_split(answer, 'DESCRIÇÃO:')[2], 'PALAVRAS-CHAVE:')[1], {WHITE}), 'N/A')
@@ -300,7 +303,12 @@ _QUERIES = {
     "snippet_label": f"""
         SELECT doc_id, array_to_string(regexp_split_to_array(trim(text, {WHITE}), '[\\s]+')[1:{V.SNIPPET_WORDS}], ' ') AS snippet,
                substr(text, 1, {V.LABEL_CHARS}) || '...' AS label FROM documents""",
-    "annotate_batch": f"SELECT id, description_llm, keywords_llm, error FROM ({ANNOTATED})",
+    "annotate_batch": f"SELECT doc_id, id, description_llm, keywords_llm, error FROM ({ANNOTATED})",
+    "annotate_images": f"""
+        SELECT 'd' || (image_id % 2) AS doc_id, 'p' || (image_id // 2 + 1) || '_img_0' AS id, (image_id // 2 + 1)::INTEGER AS page,
+               'image' AS type, 'images/' || image_id || '.png' AS content_path, n || ' chars' AS description_llm,
+               'a' || (n % 3) || ', b' || (n % 5) AS keywords_llm
+        FROM (SELECT image_id, {len(V.IMAGE_PROMPT)} + width * height * 3 AS n FROM ({IMAGE_BYTES})) WHERE n % 7 <> 0""",
     "image_filter_pixels": f"""
         SELECT image_id, width, height, {r6('stddev_pop(grey)')} AS grey_std FROM pixels
         WHERE width >= 100 AND height >= 100 GROUP BY ALL HAVING stddev_pop(grey) >= 20""",
@@ -369,7 +377,7 @@ _QUERIES = {
         WHERE c.evaluator <> ''""",
     "rating_records": f"""
         SELECT query_id AS query, {template(V.TEMPLATE_TEXT, _TEXT, _WORDS)} AS result_text,
-               'Página ' || page AS page
+               'Página ' || page AS page, score AS exact, true AS label_fits
         FROM hits LEFT JOIN documents d ON d.doc_id = hits.id WHERE approach_id = {lit(IDS[0])} AND type = 'text'""",
     "rating_records_multimodal": f"""
         SELECT query_id AS query, CASE type WHEN 'text' THEN 'Texto' ELSE 'Imagem' END AS type,
@@ -422,15 +430,18 @@ _QUERIES = {
                 [{user_id: (doc_id % 150)::VARCHAR, value: quality::BIGINT},
                  {user_id: ((doc_id + 1) % 150)::VARCHAR, value: (1 - toxic)::BIGINT}] END) AS u FROM records)""",
     "vector_store_roundtrip": """
-        SELECT approach_id, count(id) AS items, count(id) > 0 AS built
+        SELECT approach_id, type, id::VARCHAR AS id, page, (i - 1)::INTEGER AS i, round(x::FLOAT::DOUBLE, 5) + 0.0 AS x
+        FROM (SELECT approach_id, type, id, page, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM item_units)""",
+    "vector_store_status": """
+        SELECT approach_id, count(id) AS items, count(id) > 0 AS built, CASE WHEN count(id) > 0 THEN 0::BIGINT END AS failed
         FROM registry LEFT JOIN items USING (approach_id) GROUP BY approach_id""",
     "evaluation_stream": f"SELECT {EVENT_COLUMNS} FROM votes WHERE evaluator <> ''",
     "stream_precision": f"""
         SELECT approach_id, count(*) AS votes, {r6("avg((evaluation = 'relevante')::INTEGER)")} AS precision
         FROM votes GROUP BY approach_id""",
     "annotate_stream": f"""
-        SELECT id, page::INTEGER AS page, 'text' AS type, description_llm, keywords_llm FROM ({ANNOTATED})
-        WHERE error IS NULL""",
+        SELECT doc_id, id, page, 'text' AS type, coalesce(description_llm, 'second ' || n) AS description_llm,
+               coalesce(keywords_llm, 'again') AS keywords_llm FROM ({ANNOTATED})""",
 }
 # Hashed words of the four inputs an encoder reads, and of the two forms of a query.
 _SOURCES = f"""

@@ -26,8 +26,19 @@ def documents(spark, sf):
     return spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
 
 
+def page_of(d):
+    """(doc_id, page): the texts are the pages of two documents, which share page numbers."""
+    return F.concat(F.lit("d"), d % 2).alias("doc_id"), (F.floor(d / 2) + 1).cast("int").alias("page")
+
+
 def pages(spark, sf):
-    return documents(spark, sf).select((F.col("doc_id") + 1).alias("page"), "text")
+    return documents(spark, sf).select(*page_of(F.col("doc_id")), "text")
+
+
+def done(spark, sf):
+    """Annotated blocks: every third of the first document's, every fifth of the second's."""
+    rows = blocks(spark, sf).select("doc_id", "id", "page", "block_index")
+    return rows.filter(F.when(F.col("doc_id") == "d0", F.col("page") % 3 == 0).otherwise(F.col("block_index") % 5 == 0))
 
 
 def blocks(spark, sf):

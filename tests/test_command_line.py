@@ -28,8 +28,8 @@ def test_jobs_from_pages_to_metrics(spark, tmp_path, capsys):
     assert "8 annotations added, 0 failed" in capsys.readouterr().out
     (tmp_path / "images").mkdir()
     (tmp_path / "images" / "x.png").write_bytes(b"123")
-    image = "file:" + p("images/x.png")
-    store.append(spark.createDataFrame([("p1_img_0", 1, "image", image, None, "a drawing", "cell")], schemas.ANNOTATION), p("store"))
+    image = "images/x.png"  # as annotations name their files; the reader gives URIs
+    store.append(spark.createDataFrame([(None, "p1_img_0", 1, "image", image, None, "a drawing", "cell")], schemas.ANNOTATION), p("store"))
     cli.main(["build", p("store"), p("vectors"), "--encoders", f"{__name__}:models", "--images", p("images")])
     assert vectors.read(spark, p("vectors")).count() == 36
     fused = vectors.read(spark, p("vectors"), [V.APPROACH_HYBRID]).filter("type = 'image'").first()
@@ -48,6 +48,14 @@ def test_jobs_from_pages_to_metrics(spark, tmp_path, capsys):
     both = search_plan.multimodal_rating_records(asked, vectors.read(spark, p("vectors")), models(), images)
     assert both.filter("type = 'Imagem' and content like '<img%'").count() == 10 and both.count() == 60
 
+    cli.main(["records", p("vectors"), p("rated"), "--encoders", f"{__name__}:models", "--queries", p("queries")])
+    cli.main(["records", p("vectors"), p("rated"), "--encoders", f"{__name__}:models", "--queries", p("queries")])
+    assert spark.read.json(p("rated")).count() == 50  # created once
+    cli.main(["records", p("vectors"), p("rated2"), "--encoders", f"{__name__}:models", "--images", p("images")])
+    assert spark.read.json(p("rated2")).filter("type = 'Imagem' and content like '<img%'").count() == 10
+    cli.main(["build", p("store"), p("one"), "--encoders", f"{__name__}:models", "--approaches", V.APPROACH_TEXT_ONLY])
+    assert [r.approach_id for r in vectors.read(spark, p("one")).select("approach_id").distinct().collect()] == [V.APPROACH_TEXT_ONLY]
+
     votes = [("2024-01-01T00:00:00", "ana", a.approach_id, "q", "r", "text", 1, 0.5, "relevante") for a in approaches.REGISTRY[:2]]
     evaluations.append(spark.createDataFrame(votes, schemas.EVALUATION), p("log"))
     cli.main(["judge", p("log")])

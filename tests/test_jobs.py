@@ -48,6 +48,60 @@ def test_each_prompt_is_asked_once(spark):
     assert text.count("ArrowEvalPython") == 1
 
 
+def two_documents(spark):
+    """Pages that share their numbers, and so the ids of their blocks."""
+    return spark.createDataFrame([("a", 1, f"{BODY}0\n{BODY}1"), ("b", 1, f"{BODY}2\n{BODY}3")], "doc_id string, page int, text string")
+
+
+def test_resume_by_document(spark, tmp_path):
+    path, pages = str(tmp_path / "store"), two_documents(spark)
+    assert annotate.run(pages.filter("doc_id = 'a'"), path, answering()) == (2, 0)
+    assert annotate.run(pages.filter("doc_id = 'b'"), path, answering(broken="3")) == (1, 1)
+    assert annotate.run(pages, path, answering()) == (1, 0)
+    assert annotate.run(pages, path, answering()) == (0, 0)
+    rows = {(r.doc_id, r.id): r.description_llm for r in store.read(spark, path).collect()}
+    assert rows == {("a", "p1_txt_0"): "about 0", ("a", "p1_txt_1"): "about 1", ("b", "p1_txt_0"): "about 2", ("b", "p1_txt_1"): "about 3"}
+
+
+def test_rows_decide_the_number_of_tasks(spark):
+    todo = spark.range(10).select(F.col("id").cast("string").alias("id"))
+    assert annotate.spread_rows(todo, 3).rdd.getNumPartitions() == 4
+    assert annotate.spread_rows(todo.limit(0), 3).rdd.getNumPartitions() == 1
+
+
+def image_table(spark, *rows):
+    """(doc_id, id, width, height, value per pixel): grey ramps are kept, flat and small ones go."""
+    return spark.createDataFrame(
+        [(d, i, 1, f"images/{i}.png", ("x", h, w, 1, 0, bytearray((j * step) % 256 for j in range(w * h)))) for d, i, w, h, step in rows],
+        "doc_id string, id string, page int, content_path string, image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>")
+
+
+def test_images_are_annotated_from_prompt_and_bytes(spark, tmp_path):
+    path = str(tmp_path / "store")
+    images = image_table(spark, ("a", "p1_img_0", 110, 100, 1), ("a", "p1_img_1", 110, 100, 0), ("b", "p1_img_0", 120, 100, 3), ("b", "p1_img_2", 20, 20, 1))
+
+    def seeing(broken=0):
+        def annotate_one(prompt, image):
+            if len(image) == broken:
+                raise RuntimeError("quota")
+            return f"DESCRIÇÃO: {'prompt' if prompt == V.IMAGE_PROMPT else '?'} {len(image)} PALAVRAS-CHAVE: k"
+
+        return lambda: annotate_one
+
+    assert annotate.run_images(images, path, seeing(broken=12_000)) == (1, 1)
+    assert annotate.run_images(images, path, seeing()) == (1, 0)
+    assert annotate.run_images(images, path, seeing()) == (0, 0)
+    rows = {(r.doc_id, r.id): (r.type, r.content_path, r.description_llm, r.original_text) for r in store.read(spark, path).collect()}
+    assert rows == {("a", "p1_img_0"): ("image", "images/p1_img_0.png", "prompt 11000", None), ("b", "p1_img_0"): ("image", "images/p1_img_0.png", "prompt 12000", None)}
+
+    folder, mark, streamed = (str(tmp_path / n) for n in ("in", "mark", "streamed"))
+    images.write.parquet(folder)
+    read = spark.readStream.schema(images.schema).parquet(folder)
+    annotation_stream.run_images(read, streamed, mark, seeing()).awaitTermination()
+    as_set = lambda p: sorted(map(str, store.read(spark, p).collect()))
+    assert as_set(streamed) == as_set(path)
+
+
 def test_an_answer_that_is_no_text_is_an_error(spark):
     df = spark.createDataFrame([("p",)], "prompt string")
     row = annotate.answer(df, lambda: (lambda prompt: None)).first()
@@ -76,6 +130,24 @@ def test_streamed_annotate_equals_batch(spark, tmp_path):
     assert as_set(path) == as_set(batch)
 
 
+def test_streamed_annotate_keeps_documents_apart_and_asks_again(spark, tmp_path):
+    folder, path, mark = (str(tmp_path / n) for n in ("in", "store", "mark"))
+    pages = two_documents(spark)
+    read = lambda: spark.readStream.schema(pages.schema).parquet(folder)
+    pages.write.mode("append").parquet(folder)
+    annotation_stream.run(read(), path, mark, answering(broken="013")).awaitTermination()
+    assert [(r.doc_id, r.id) for r in store.read(spark, path).collect()] == [("b", "p1_txt_0")]
+    annotation_stream.run(read(), path, mark, answering(broken="0")).awaitTermination()  # nothing new has come
+    assert store.read(spark, path).count() == 3
+    spark.createDataFrame([("c", 1, f"{BODY}9")], pages.schema).write.mode("append").parquet(folder)
+    annotation_stream.run(read(), path, mark, answering()).awaitTermination()
+    assert annotation_stream.failed(spark, path).isEmpty()
+    batch = str(tmp_path / "batch")
+    annotate.run(spark.read.parquet(folder), batch, answering())
+    as_set = lambda p: sorted(map(str, store.read(spark, p).collect()))
+    assert as_set(path) == as_set(batch) and len(as_set(path)) == 5
+
+
 EVAL = ["2024-01-01T00:00:00", "ana", "a1", "q", "r", "text", 1, 0.5, "relevante"]
 
 

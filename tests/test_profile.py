@@ -24,6 +24,25 @@ def test_describe_equals_pandas(spark, values):
         assert (mine is None and np.isnan(theirs)) or mine == pytest.approx(theirs)
 
 
+def test_a_small_spread_of_large_values(spark):
+    assert profile.describe(numbers(spark, [1e9, 1e9 + 1, 1e9 + 2]), ["x"]).first()["std"] == pytest.approx(1.0)
+
+
+def test_quartiles_across_ranges(spark):
+    """Values in many ranges, one of them a third of all rows."""
+    rng = random.Random(2)
+    values = [rng.random() * 1000 for _ in range(400)] + [500.0] * 200
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", "23")
+    own.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    df = own.createDataFrame([(v, 1.0) for v in values], "x double, y double")
+    got = {r.column: r for r in profile.describe(df, ["x", "y"]).collect()}
+    want = pd.Series(values).describe()
+    for mine, theirs in (("p25", "25%"), ("p50", "50%"), ("p75", "75%"), ("std", "std")):
+        assert got["x"][mine] == pytest.approx(want[theirs])
+    assert (got["y"]["p25"], got["y"]["p75"], got["y"]["std"]) == (1.0, 1.0, 0.0)
+
+
 def test_describe_several_columns_in_one_pass(spark):
     df = spark.createDataFrame([(1, 10), (2, None), (3, 30)], "a int, b int")
     got = {r.column: (r["count"], r["mean"]) for r in profile.describe(df, ["a", "b"]).collect()}

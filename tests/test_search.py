@@ -57,10 +57,10 @@ def test_sent_queries_match_brute_force(spark, seed):
 
 
 @pytest.mark.parametrize("seed", range(2))
-def test_cells_match_brute_force(spark, seed):
+def test_parts_match_brute_force(spark, seed):
     items, queries = random_case(seed)
-    got = search.top_k(*tables(spark, items, queries), by=BY, max_sent_queries=3, cell_items=60, cell_queries=4)
-    assert "FlatMapCoGroups" in plan(got)
+    got = search.top_k(*tables(spark, items, queries), by=BY, max_sent_queries=3)
+    assert "MapInArrow" not in plan(got)  # every part's hits are a table by now
     assert rows(got) == expected(items, queries)
 
 
@@ -71,7 +71,7 @@ def test_a_crowd_of_equal_scores_is_cut_by_id(spark, limit):
     items = [("a1", "text", x, [1.0, 0.0] if j % 3 else [0.0, 1.0]) for j, x in enumerate(names)]
     items += [("a1", "text", "zz", [1.0, 0.1])]
     queries = [("a1", "text", "q", [1.0, 0.0]), ("a1", "text", "r", [1.0, 1.0]), ("a1", "text", "s", [1.0, 0.1])]
-    got = search.top_k(*tables(spark, items, queries, parts=2), by=BY, max_sent_queries=limit, cell_items=300)
+    got = search.top_k(*tables(spark, items, queries, parts=2), by=BY, max_sent_queries=limit)
     assert rows(got) == expected(items, queries)
 
 
@@ -91,10 +91,35 @@ def test_scores_out_of_order_and_unrounded(spark):
         [("q", f"i{299 - j:03d}", 299.0 - j) for j in range(5)] + [("r", f"i{j:03d}", -float(j)) for j in range(5)])
 
 
-def test_byte_limit_also_leads_to_cells(spark):
+def test_byte_limit_also_leads_to_parts(spark):
     items, queries = random_case(1, n=30, q=2)
     got = search.top_k(*tables(spark, items, queries), by=BY, max_sent_bytes=10)
-    assert "FlatMapCoGroups" in plan(got) and rows(got) == expected(items, queries)
+    assert "MapInArrow" not in plan(got) and rows(got) == expected(items, queries)
+
+
+@pytest.mark.parametrize("limit", [100, 1])
+def test_a_null_group_has_no_answers(spark, limit):
+    items = [(None, "t", "i", [1.0, 0.0]), ("a", "t", "j", [1.0, 0.0]), ("a", None, "k", [1.0, 0.0])]
+    queries = [(None, "t", "q", [1.0, 0.0]), ("a", "t", "q", [1.0, 0.0]), ("a", None, "q", [1.0, 0.0])]
+    got = search.top_k(*tables(spark, items, queries), by=BY, max_sent_queries=limit)
+    assert [(r[0], r[1], r[4]) for r in rows(got)] == [("a", "t", "j")]
+
+
+def test_equal_ids_of_two_documents(spark):
+    items = spark.createDataFrame([("d1", "p1_txt_0", [1.0, 0.0], "one"), ("d2", "p1_txt_0", [1.0, 0.1], "two"), (None, "p1_txt_0", [0.0, 1.0], "none")],
+                                  "doc_id string, id string, vector array<double>, body string")
+    asked = spark.createDataFrame([(0, [1.0, 0.0])], "query_id int, vector array<double>")
+    got = search.top_k(items, asked, key=("doc_id",), fetch=("body",)).orderBy("rank").collect()
+    assert [(r.doc_id, r.body) for r in got] == [("d1", "one"), ("d2", "two"), (None, "none")]
+
+
+def test_best_page_reads_the_text_of_first_hits(spark):
+    hits = spark.createDataFrame([("a", "text", "q", 1, "t", 0.5, 3), ("a", "image", "q", 1, "i", 0.4, 4), ("a", "text", "q", 2, "u", 0.4, 9)],
+                                 "approach_id string, type string, query_id string, rank int, id string, score double, page int")
+    items = spark.createDataFrame([("a", "text", "t", "some  words"), ("a", "text", "u", "other"), ("a", "image", "i", "x")],
+                                  "approach_id string, type string, id string, original_text string")
+    got = search.best_page(hits, items=items).collect()
+    assert [(r.type, r.id, r.page, r.snippet) for r in got] == [("text", "t", 3, "some words")]
 
 
 def test_fewer_items_than_k_and_unknown_groups(spark):
@@ -144,6 +169,8 @@ def test_plan_limits_early_and_shuffles_no_vector(spark):
     assert text.count("WindowGroupLimit") == 2
     after = text[:text.index("MapInArrow")]
     assert "vector" not in after
+    stored_parts = plan(search.top_k(*tables(spark, items, queries), by=BY, max_sent_queries=2))
+    assert "vector" not in stored_parts and "WindowGroupLimit" in stored_parts
     assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 

@@ -33,7 +33,7 @@ def test_pages_written_as_floats(spark, tmp_path):
 
 def test_csv_written_here_reads_back_and_appends(spark, tmp_path):
     path = str(tmp_path / "out")
-    df = spark.createDataFrame([tuple(r.values()) for r in CSV_ROWS], schemas.ANNOTATION)
+    df = spark.createDataFrame([tuple(r.values()) for r in CSV_ROWS], schemas.ANNOTATION_FILE)
     annotations.write_csv(df, path)
     annotations.write_csv(df, path)
     back = annotations.read_csv(spark, path)
@@ -46,7 +46,7 @@ def test_csv_written_here_reads_back_and_appends(spark, tmp_path):
 def test_annotation_store(spark, tmp_path):
     path = str(tmp_path / "store")
     assert annotations.read(spark, path).count() == 0
-    df = spark.createDataFrame([tuple(r.values()) for r in CSV_ROWS], schemas.ANNOTATION)
+    df = spark.createDataFrame([tuple(r.values()) for r in CSV_ROWS], schemas.ANNOTATION_FILE)
     assert annotations.append_counted(df, path) == 3
     annotations.append(df.limit(1), path)
     assert annotations.read(spark, path).count() == 4
@@ -95,7 +95,7 @@ def test_records_create_or_append(spark, tmp_path):
 def test_vector_store(spark, tmp_path):
     path = str(tmp_path / "vectors")
     assert vectors.read(spark, path).count() == 0
-    row = lambda a, i, t: (i, 1, None, "o", "d", "k", "e", [1.0, 0.0], a, t)
+    row = lambda a, i, t: ("d", i, 1, None, "o", "d", "k", "e", [1.0, 0.0], a, t)
     df = spark.createDataFrame([row("a1", "x", "text"), row("a1", "y", "image"), row("a2", "x", "text")], schemas.VECTOR_ITEM)
     vectors.write(df, path)
     vectors.replace_approach(spark.createDataFrame([row("a2", "z", "text")], schemas.VECTOR_ITEM), path)
@@ -107,6 +107,20 @@ def test_vector_store(spark, tmp_path):
     assert status == {"a1": (2, True), "a2": (1, True), "a3": (0, False)}
 
 
+def test_failures_of_a_build_are_counted(spark):
+    rows = [("a", "text", [1.0, 0.0]), ("a", "text", [0.0, 0.0]), ("a", "image", None), ("b", "text", [-1.0, 1.0])]
+    got = {(r.approach_id, r.type): (r["items"], r.failed) for r in vectors.failures(
+        spark.createDataFrame(rows, "approach_id string, type string, vector array<float>")).collect()}
+    assert got == {("a", "text"): (2, 1), ("a", "image"): (1, 1), ("b", "text"): (1, 0)}
+
+
+def test_relative_paths(spark):
+    forms = ["file:/data/images/x.png", "file:///data/images/x.png", "/data/images/x.png", "images/x.png", "hdfs://data/images/x.png"]
+    df = spark.createDataFrame([(f,) for f in forms], "p string")
+    assert {r[0] for r in df.select(pages.relative_path("p", "file:/data")).collect()} == {"images/x.png"}
+    assert [r[0] for r in df.limit(1).select(pages.relative_path("p", "/other/")).collect()] == ["/data/images/x.png"]
+
+
 def test_page_files(spark, tmp_path):
     (tmp_path / "cell_1.txt").write_text("é um\n\nbloco", encoding="utf-8")
     (tmp_path / "cell_12.txt").write_text("x", encoding="utf-8")

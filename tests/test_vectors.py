@@ -55,3 +55,20 @@ def test_hashed_words_counts(spark):
     df = spark.createDataFrame([("casa Casa azul",), ("",), (None,)], "t string")
     a, b, c = [r[0] for r in df.select(encoders.encoder(encoders.hashed_words(32), 32)("t")).collect()]
     assert sum(a) == 3 and max(a) >= 2 and sum(b) == 0 and sum(c) == 0
+
+
+def broken():
+    def predict(batch):
+        raise OSError("no weights")
+
+    return predict
+
+
+def test_a_broken_model_raises(spark):
+    df = spark.createDataFrame([(f"t{i}",) for i in range(40)], "t string").coalesce(1)
+    with pytest.raises(Exception, match="fails on every input"):
+        df.select(encoders.encoder(broken, 2)("t")).collect()
+    with pytest.raises(Exception, match="no weights"):
+        df.limit(1).select(encoders.encoder(broken, 2, failures="raise")("t")).collect()
+    nothing = spark.createDataFrame([(None,)] * 40, "t string").coalesce(1)
+    assert {tuple(r[0]) for r in nothing.select(encoders.encoder(broken, 2)("t")).collect()} == {(0.0, 0.0)}
