@@ -23,21 +23,20 @@ def _star(edges, small):
     return out.where("x > y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
-def _state(edges):
-    return edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+def _stars(edges):
+    """Does every edge lead from a node of its own to the middle of a star?"""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("middle")).union(
+        edges.select("b", F.lit(0), F.lit(1)))
+    odd = ends.groupBy("x").agg(F.sum("child").alias("child"), F.max("middle").alias("middle"))
+    return odd.where("child > 1 OR child > 0 AND middle > 0").isEmpty()
 
 
 def of(links):
     """(id, component) of every id in ``links`` (a, b); the component is its smallest id."""
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = stored(edges, "edges")
-    state = _state(edges)
-    while state[0]:
+    while not _stars(edges):
         edges = stored(_star(_star(edges, small=False), small=True), "edges")
-        new = _state(edges)
-        if new == state:
-            break
-        state = new
-    roots = edges.select(F.col("b").alias("id")).distinct()
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(
-        roots.select("id", F.col("id").alias("component")))
+    middles = edges.select(F.col("b").alias("id")).distinct()
+    return stored(edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(
+        middles.select("id", F.col("id").alias("component"))), "components")

@@ -18,6 +18,7 @@ from .words import U, Words, mix, per_row, run_names
 SLOTS = 128
 BAND = 4  # slots per band; a pair at 0.8 shares none of the 32 bands with probability 5e-8
 ESTIMATE_SLACK = 0.25  # a pair whose signatures agree this much less than asked is not verified
+FEW_PAIRS = 4  # pairs per member of an open bucket that are looked at without choosing pivots first
 STEP = U(0x9E3779B97F4A7C15)
 
 
@@ -159,16 +160,16 @@ def _verified(pairs, texts, width, lower, percent):
     return over_texts(both, 0, work, f"a {kind}, b {kind}", limit=2 << 20)
 
 
-def _links(members, signs, docs, id_col, text_col, width, lower, percent):
-    """Verified links between representatives, enough to connect every group."""
+def _labels(members, signs, docs, id_col, text_col, width, lower, percent):
+    """(id, component) of the representatives that verified links connect."""
     spark = members.sparkSession
     least = percent / 100 - ESTIMATE_SLACK
     draw = F.xxhash64("id", "bucket")
     # Round 1: one pivot per bucket, another in each bucket that two documents share.
     pivots = members.groupBy("bucket").agg(F.min(F.struct(draw.alias("h"), F.col("id"))).alias("p"))
     pairs = members.join(stored(pivots.select("bucket", F.col("p.id").alias("pivot")), "pivots"), "bucket")
-    links = tested = labels = None
-    groups, largest = 1, None
+    tested = labels = None
+    groups = 1
     while True:
         pairs = (pairs.where("id <> pivot")
                  .select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct())
@@ -181,22 +182,28 @@ def _links(members, signs, docs, id_col, text_col, width, lower, percent):
         texts = stored(docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
                        .join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
         found = stored(_verified(near, texts, width, lower, percent), "links")
-        links = found if links is None else stored(links.union(found), "links")
-        labels = components.of(links)
-        # Buckets whose members lie in several groups go on with eight times the pivots.
+        # the groups so far stand for the links behind them
+        labels = components.of(found if labels is None else found.union(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+        # Buckets whose members lie in several groups go on. Of two members of different groups one is
+        # outside the largest, so pivots come from the rest: eight times as many in every round,
+        # or all at once where that asks for few pairs.
         held = members.join(labels, "id", "left").select(
             "bucket", "id", F.coalesce("component", "id").alias("group"))
-        still = (held.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("n"))
-                 .where("lo <> hi and n > 2"))
-        open_ = stored(held.join(stored(still.select("bucket", "n"), "still"), "bucket"), "open")
-        largest = open_.agg(F.max("n")).first()[0]
-        if largest is None or groups > 2 * largest:
-            return links, labels
-        groups *= 8
-        if groups > 2 * largest:  # now every member is a pivot
-            chosen = open_.select("bucket", F.col("id").alias("pivot"), F.col("group").alias("own"))
+        still = stored(
+            held.groupBy("bucket", "group").agg(F.count("*").alias("c"))
+            .groupBy("bucket").agg(F.sum("c").alias("n"), F.max(F.struct("c", "group")).alias("top"))
+            .select("bucket", "n", F.col("top.group").alias("largest"), (F.col("n") - F.col("top.c")).alias("rest"))
+            .where("n > 2 AND rest > 0"), "still")
+        rest, total, asked = still.agg(F.max("rest"), F.sum("n"), F.sum(F.col("rest") * F.col("n"))).first()
+        if rest is None or groups > 2 * rest:
+            return labels
+        groups = 8 * groups if asked > FEW_PAIRS * total else 2 * rest + 1
+        open_ = stored(held.join(still.select("bucket", "largest"), "bucket"), "open")
+        others = open_.where("group <> largest")
+        if groups > 2 * rest:  # now every one of the rest is a pivot
+            chosen = others.select("bucket", F.col("id").alias("pivot"), F.col("group").alias("own"))
         else:
-            chosen = (open_.groupBy("bucket", F.pmod(draw, F.lit(groups)).alias("part"))
+            chosen = (others.groupBy("bucket", F.pmod(draw, F.lit(groups)).alias("part"))
                       .agg(F.min(F.struct(draw.alias("h"), F.col("id").alias("pivot"), F.col("group").alias("own"))).alias("p"))
                       .select("bucket", "p.pivot", "p.own"))
         pairs = open_.join(stored(chosen, "chosen"), "bucket").where("group <> own").select("id", "pivot")
@@ -223,7 +230,7 @@ def grouped(docs, id_col="doc_id", text_col="text", width=4, percent=80, lower=T
     # tables of their own: Spark splits a hot key of a join only where both sides come as they are
     shared = stored(banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "shared")
     members = stored(banded.join(shared, "bucket", "left_semi"), "members")
-    _, labels = _links(members, classes, docs, id_col, text_col, width, lower, percent)
+    labels = _labels(members, classes, docs, id_col, text_col, width, lower, percent)
     of_class = stored(classes.select("set_a", "set_b", "n_shingles", F.col("id").alias("rep")).join(
         labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
         "set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component")), "of_class")
