@@ -44,9 +44,25 @@ def _shared_folder(spark):
     return base.rstrip("/")
 
 
+_scratch_folders = {}
+
+
+def _scratch_folder(spark):
+    """A folder of this application in the shared one; it goes when the application ends."""
+    key = (spark.sparkContext.applicationId, _shared_folder(spark))
+    if key not in _scratch_folders:
+        path = f"{key[1]}/scratch-{key[0]}-{uuid.uuid4().hex[:8]}"
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+        _scratch_folders[key] = path
+    return _scratch_folders[key]
+
+
 def scratch_path(spark, name):
-    """A new path in the shared folder."""
-    return f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, kept until the application ends."""
+    return f"{_scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
