@@ -2,8 +2,8 @@
 
 Documents with equal shingle sets are one class from the start, so copies meet no further
 step. Class representatives get a SuperMinHash signature; equal bands put them into
-buckets. In a bucket only pivots are compared with the rest, on their full sets; buckets
-that still hold several groups go on with more pivots, until nothing is left to compare.
+buckets. In a bucket a pivot is compared with the rest, on their full sets; members of
+buckets that still hold several groups meet again under narrower keys.
 """
 
 import numpy as np
@@ -17,8 +17,7 @@ from .words import U, Words, mix, per_row, run_names
 
 SLOTS = 128
 BAND = 4  # slots per band; a pair at 0.8 shares none of the 32 bands with probability 5e-8
-ESTIMATE_SLACK = 0.25  # a pair whose signatures agree this much less than asked is not verified
-FEW_PAIRS = 4  # pairs per member of an open bucket that are looked at without choosing pivots first
+ESTIMATE_SLACK = 0.18  # a pair whose signatures agree this much less than asked, five deviations, is not verified
 STEP = U(0x9E3779B97F4A7C15)
 
 
@@ -160,53 +159,49 @@ def _verified(pairs, texts, width, lower, percent):
     return over_texts(both, 0, work, f"a {kind}, b {kind}", limit=2 << 20)
 
 
-def _labels(members, signs, docs, id_col, text_col, width, lower, percent):
-    """(id, component) of the representatives that verified links connect."""
-    spark = members.sparkSession
-    least = percent / 100 - ESTIMATE_SLACK
+def _compared(pairs, tested, signs, docs, id_col, text_col, width, lower, percent):
+    """(pairs looked at, links among them): estimated by signature, then verified on full sets."""
+    pairs = (pairs.where("id <> pivot")
+             .select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct())
+    if tested is not None:
+        pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    pairs = stored(pairs, "pairs")
+    near = stored(_estimated(pairs, signs, percent / 100 - ESTIMATE_SLACK), "near")
+    wanted = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
+    texts = stored(docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+                   .join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
+    return pairs, stored(_verified(near, texts, width, lower, percent), "links")
+
+
+def _labels(members, signs, docs, *how):
+    """(id, component) of the representatives that verified links connect.
+
+    A bucket's members are compared with one pivot each, drawn at random, so the number of
+    comparisons grows with the members and never with the square of a bucket. A similar
+    pair shares 13 of the 32 buckets on average, each with a pivot of its own. Members of
+    buckets that hold several groups even so meet again under 64 keys of two bands each,
+    whose sharers are more alike, again one pivot per key, and only across groups.
+    """
     draw = F.xxhash64("id", "bucket")
-    # Round 1: one pivot per bucket, another in each bucket that two documents share.
     pivots = members.groupBy("bucket").agg(F.min(F.struct(draw.alias("h"), F.col("id"))).alias("p"))
     pairs = members.join(stored(pivots.select("bucket", F.col("p.id").alias("pivot")), "pivots"), "bucket")
-    tested = labels = None
-    groups = 1
-    while True:
-        pairs = (pairs.where("id <> pivot")
-                 .select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct())
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        near = stored(_estimated(pairs, signs, least), "near")
-        wanted = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
-        texts = stored(docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-                       .join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
-        found = stored(_verified(near, texts, width, lower, percent), "links")
-        # the groups so far stand for the links behind them
-        labels = components.of(found if labels is None else found.union(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))))
-        # Buckets whose members lie in several groups go on. Of two members of different groups one is
-        # outside the largest, so pivots come from the rest: eight times as many in every round,
-        # or all at once where that asks for few pairs.
-        held = members.join(labels, "id", "left").select(
-            "bucket", "id", F.coalesce("component", "id").alias("group"))
-        still = stored(
-            held.groupBy("bucket", "group").agg(F.count("*").alias("c"))
-            .groupBy("bucket").agg(F.sum("c").alias("n"), F.max(F.struct("c", "group")).alias("top"))
-            .select("bucket", "n", F.col("top.group").alias("largest"), (F.col("n") - F.col("top.c")).alias("rest"))
-            .where("n > 2 AND rest > 0"), "still")
-        rest, total, asked = still.agg(F.max("rest"), F.sum("n"), F.sum(F.col("rest") * F.col("n"))).first()
-        if rest is None or groups > 2 * rest:
-            return labels
-        groups = 8 * groups if asked > FEW_PAIRS * total else 2 * rest + 1
-        open_ = stored(held.join(still.select("bucket", "largest"), "bucket"), "open")
-        others = open_.where("group <> largest")
-        if groups > 2 * rest:  # now every one of the rest is a pivot
-            chosen = others.select("bucket", F.col("id").alias("pivot"), F.col("group").alias("own"))
-        else:
-            chosen = (others.groupBy("bucket", F.pmod(draw, F.lit(groups)).alias("part"))
-                      .agg(F.min(F.struct(draw.alias("h"), F.col("id").alias("pivot"), F.col("group").alias("own"))).alias("p"))
-                      .select("bucket", "p.pivot", "p.own"))
-        pairs = open_.join(stored(chosen, "chosen"), "bucket").where("group <> own").select("id", "pivot")
+    tested, found = _compared(pairs, None, signs, docs, *how)
+    labels = components.of(found)
+    held = members.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("group"))
+    still = stored(held.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("n"))
+                   .where("n > 2 AND lo <> hi").select("bucket"), "still")
+    open_ = stored(held.join(still, "bucket", "left_semi").select("id", "group").distinct(), "open")
+    n = SLOTS // BAND
+    keys = F.array(*[F.xxhash64(F.lit(step), F.lit(i), F.get("bands", F.lit(i)), F.get("bands", F.lit((i + step) % n)))
+                     for step in (1, 7) for i in range(n)])
+    deep = stored(signs.join(open_, "id").select("id", "group", F.explode(keys).alias("bucket")), "deep")
+    chosen = (deep.groupBy("bucket").agg(F.min(F.struct(draw.alias("h"), F.col("id").alias("pivot"), F.col("group").alias("own"))).alias("p"),
+                                         F.min("group").alias("lo"), F.max("group").alias("hi"))
+              .where("lo <> hi").select("bucket", "p.pivot", "p.own"))
+    pairs = deep.join(stored(chosen, "chosen"), "bucket").where("group <> own").select("id", "pivot")
+    _, more = _compared(pairs, tested, signs, docs, *how)
+    # the groups so far stand for the links behind them
+    return components.of(more.union(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))))
 
 
 def grouped(docs, id_col="doc_id", text_col="text", width=4, percent=80, lower=True):
