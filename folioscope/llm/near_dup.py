@@ -125,7 +125,8 @@ def _estimated(pairs, signs, least):
     """Pairs whose signatures agree in at least a share ``least`` of the slots."""
     a = signs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"))
     b = signs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"))
-    both = pairs.join(a, "a").join(b, "b")
+    # candidates grow with the documents, so neither side is ever sent out whole
+    both = pairs.hint("merge").join(a, "a").hint("merge").join(b, "b")
     kind = pairs.schema["a"].dataType.simpleString()
 
     def run(batches):
@@ -144,7 +145,7 @@ def _verified(pairs, texts, width, lower, percent):
     kind = pairs.schema["a"].dataType.simpleString()
     a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(a, "a").join(b, "b").select("text_a", "text_b", "a", "b")
+    both = pairs.hint("merge").join(a, "a").hint("merge").join(b, "b").select("text_a", "text_b", "a", "b")
 
     def work(piece):
         n = piece.num_rows
@@ -169,7 +170,7 @@ def _compared(pairs, tested, signs, docs, id_col, text_col, width, lower, percen
     near = stored(_estimated(pairs, signs, percent / 100 - ESTIMATE_SLACK), "near")
     wanted = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
     texts = stored(docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-                   .join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
+                   .join(wanted.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
     return pairs, stored(_verified(near, texts, width, lower, percent), "links")
 
 
