@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-CHUNK_CHARS = 2 << 20  # rendered text encoded at once; one longer conversation is encoded alone
+CHUNK_CHARS = 1 << 18  # rendered text encoded at once; one longer conversation is encoded alone
 
 
 @dataclass(frozen=True)
@@ -135,7 +135,7 @@ def formatted(turns, tokenizer_path, template=Template(), loss_roles=("assistant
         for (text, spans, roles), e in zip(rendered, encoded):
             offsets = np.array(e.offsets, np.int32).reshape(-1, 2)
             starts, ends = np.ascontiguousarray(offsets[:, 0]), np.ascontiguousarray(offsets[:, 1])
-            out["ids"].append(e.ids)
+            out["ids"].append(np.array(e.ids, np.int32))
             out["starts"].append(starts)
             out["ends"].append(ends)
             out["loss"].append(mask(starts, ends, [s for s, r in zip(spans, roles) if r in loss_roles]))
@@ -152,7 +152,8 @@ def formatted(turns, tokenizer_path, template=Template(), loss_roles=("assistant
     def run(batches):
         for rows in batches:
             ids, rendered, size = [], [], 0
-            for id_, turns in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+            for id_, cell in zip(rows.column(0).to_pylist(), rows.column(1)):
+                turns = cell.as_py()
                 text, spans = template.render([(t["role"], t["text"]) for t in turns])
                 ids.append(id_)
                 rendered.append((text, spans, [t["role"] for t in turns]))
@@ -177,14 +178,14 @@ def read_back(rows, template=Template(), loss_roles=("assistant",)):
     def run(batches):
         for batch in batches:
             turns, texts, chars = [], [], []
-            for r in batch.select(["formatted", "starts", "ends", "loss", "spans"]).to_pylist():
-                found = template.parse(r["formatted"])
-                spans = [(s["start"], s["end"]) for s in r["spans"] if s["role"] in loss_roles]
-                cut = masked_texts(r["formatted"], np.array(r["starts"], np.int32), np.array(r["ends"], np.int32),
-                                   np.array(r["loss"], bool), spans)
-                turns.append([{"role": a, "text": b} for a, b in found])
-                texts.append([template.unescape(t) for t in cut])
-                chars.append(len(r["formatted"]))
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("formatted", "starts", "ends", "loss", "spans")]
+            for text, starts, ends, loss, cell in zip(*columns):  # row by row: tokens stay in arrays
+                text = text.as_py()
+                spans = [(s["start"], s["end"]) for s in cell.as_py() if s["role"] in loss_roles]
+                starts, ends, loss = (x.values.to_numpy(zero_copy_only=False) for x in (starts, ends, loss))
+                turns.append([{"role": a, "text": b} for a, b in template.parse(text)])
+                texts.append([template.unescape(t) for t in masked_texts(text, starts, ends, loss, spans)])
+                chars.append(len(text))
             turn = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index("id")), pa.array(turns, turn), pa.array(texts, pa.list_(pa.string())), pa.array(chars, pa.int64())],
