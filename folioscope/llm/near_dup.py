@@ -3,7 +3,8 @@
 Documents with equal shingle sets are one class from the start, so copies meet no further
 step. Class representatives get a SuperMinHash signature; equal bands put them into
 buckets. In a bucket a pivot is compared with the rest, on their full sets; members of
-buckets that still hold several groups meet again under narrower keys.
+buckets that still hold several groups meet again under narrower keys. In buckets that
+hold several groups even then, all members of different groups are compared.
 """
 
 import numpy as np
@@ -19,6 +20,8 @@ SLOTS = 128
 BAND = 4  # slots per band; a pair at 0.8 shares none of the 32 bands with probability 5e-8
 ESTIMATE_SLACK = 0.18  # a pair whose signatures agree this much less than asked, five deviations, is not verified
 STEP = U(0x9E3779B97F4A7C15)
+BLOCK = 1024  # members of a bucket that meet those of another block in one task
+FAMILY, FAMILY_SHINGLES = 256, 100_000  # texts, and their shingles, that are verified against another block's in one task
 
 
 def shingles(texts, width, lower=True):
@@ -169,19 +172,109 @@ def _compared(pairs, tested, signs, docs, id_col, text_col, width, lower, percen
     pairs = stored(pairs, "pairs")
     near = stored(_estimated(pairs, signs, percent / 100 - ESTIMATE_SLACK), "near")
     wanted = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
-    texts = stored(docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-                   .join(wanted.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
+    texts = _texts(docs, id_col, text_col, wanted)
     return pairs, stored(_verified(near, texts, width, lower, percent), "links")
 
 
+def _agreeing(crowd, signs, least):
+    """Pairs of different groups in a bucket whose signatures agree in at least a share ``least`` of the slots.
+
+    Large buckets are cut into blocks and any two blocks meet in a task of their own, so
+    a hot bucket is many small tasks, and only pairs that agree become rows.
+    """
+    kind = crowd.schema["id"].dataType.simpleString()
+    n = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = crowd.hint("merge").join(signs.select("id", "sig"), "id").withColumn("own", F.pmod(F.xxhash64("id"), n).cast("int"))
+    rows = rows.select("bucket", "id", "group", "sig", "own", F.explode(F.sequence(F.lit(0), n - 1)).alias("other"))
+    rows = rows.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id", "group", "sig", "own")
+
+    def meet(key, table):
+        lo, hi = key[1].as_py(), key[2].as_py()
+        own = table.column("own").to_numpy()
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, SLOTS)
+        _, group = np.unique(table.column("group").to_numpy(), return_inverse=True)
+        right = np.flatnonzero(own == hi)
+        x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in np.flatnonzero(own == lo):
+            at = right[right > i] if lo == hi else right
+            at = at[group[at] != group[i]]
+            at = at[(sig[at] == sig[i]).mean(1) >= least]
+            x.append(np.full(len(at), i))
+            y.append(at)
+        ids = table.column("id").combine_chunks()
+        return pa.table({"x": ids.take(pa.array(np.concatenate(x))), "y": ids.take(pa.array(np.concatenate(y)))})
+
+    met = rows.groupBy("bucket", "lo", "hi").applyInArrow(meet, f"x {kind}, y {kind}")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _verified_in_blocks(pairs, blocks, texts, width, lower, percent):
+    """As ``_verified``, for many pairs among few texts: a text is sent once per pair of blocks."""
+    kind = pairs.schema["a"].dataType.simpleString()
+    a = blocks.select(F.col("id").alias("a"), F.col("block").alias("block_a"))
+    b = blocks.select(F.col("id").alias("b"), F.col("block").alias("block_b"))
+    placed = stored(pairs.join(a, "a").join(b, "b").select(
+        "a", "b", F.least("block_a", "block_b").alias("u"), F.greatest("block_a", "block_b").alias("v")), "placed")
+    wanted = placed.select("u", "v", F.col("a").alias("id")).union(placed.select("u", "v", "b")).distinct()
+    # names of their own, since a cogroup cannot tell columns of one origin apart
+    sent = wanted.hint("merge").join(texts, "id").select(F.col("u").alias("u2"), F.col("v").alias("v2"), "id", "text")
+
+    def verify(pairs, members):
+        place = {x: k for k, x in enumerate(members.column("id").to_pylist())}
+        rows, names = shingles(Texts(members.column("text")), width, lower)
+        order = np.argsort(rows, kind="stable")
+        size = np.bincount(rows, minlength=len(place))
+        edges = np.concatenate([[0], np.cumsum(size)])
+        known, code = np.unique(names[order], return_inverse=True)
+        sets = [code[p:q] for p, q in zip(edges[:-1], edges[1:])]
+        x, y = (np.array([place[i] for i in pairs.column(c).to_pylist()], np.int64) for c in ("a", "b"))
+        keep = np.zeros(len(x), bool)
+        inside, now = np.zeros(len(known), bool), None
+        for k in np.argsort(x, kind="stable"):
+            if x[k] != now:
+                if now is not None:
+                    inside[sets[now]] = False
+                now = x[k]
+                inside[sets[now]] = True
+            inter = int(np.count_nonzero(inside[sets[y[k]]]))
+            union = int(size[now] + size[y[k]]) - inter
+            keep[k] = union > 0 and 100 * inter >= percent * union
+        return pairs.select(["a", "b"]).filter(pa.array(keep))
+
+    return placed.groupBy("u", "v").cogroup(sent.groupBy("u2", "v2")).applyInArrow(verify, f"a {kind}, b {kind}")
+
+
+def _texts(docs, id_col, text_col, wanted):
+    return stored(docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+                  .join(wanted.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
+
+
+def _rest(members, labels, tested, signs, docs, id_col, text_col, width, lower, percent):
+    """Links between groups that still share a bucket: of its pairs, all that no pass has looked at."""
+    held = stored(members.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("group")), "held")
+    crowded = stored(held.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("n"))
+                     .where("lo <> hi").select("bucket", "n"), "crowded")
+    crowd = stored(held.join(crowded, "bucket"), "crowd")
+    near = _agreeing(crowd, signs, percent / 100 - ESTIMATE_SLACK)
+    near = stored(near.join(tested, ["a", "b"], "left_anti"), "near")
+    wanted = stored(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), "wanted")
+    # the members of a family mostly share their largest bucket
+    family = stored(crowd.join(wanted, "id", "left_semi").groupBy("id").agg(F.max(F.struct("n", "bucket")).alias("m"))
+                    .join(signs.select("id", "n_shingles"), "id").select("id", "n_shingles", F.col("m.bucket").alias("family")), "family")
+    sizes = stored(family.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / FAMILY, F.sum("n_shingles") / FAMILY_SHINGLES)).alias("n")), "sizes")
+    blocks = stored(family.join(sizes, "family").select("id", F.xxhash64("family", F.pmod(F.xxhash64("id"), "n")).alias("block")), "blocks")
+    return stored(_verified_in_blocks(near, blocks, _texts(docs, id_col, text_col, wanted), width, lower, percent), "links")
+
+
 def _labels(members, signs, docs, *how):
     """(id, component) of the representatives that verified links connect.
 
-    A bucket's members are compared with one pivot each, drawn at random, so the number of
-    comparisons grows with the members and never with the square of a bucket. A similar
+    A bucket's members are compared with one pivot each, drawn at random. A similar
     pair shares 13 of the 32 buckets on average, each with a pivot of its own. Members of
     buckets that hold several groups even so meet again under 64 keys of two bands each,
-    whose sharers are more alike, again one pivot per key, and only across groups.
+    whose sharers are more alike, again one pivot per key, and only across groups. The
+    comparisons of these two passes grow with the members. What they leave, pairs of different
+    groups in one bucket, is then compared in full, whatever its number.
     """
     draw = F.xxhash64("id", "bucket")
     pivots = members.groupBy("bucket").agg(F.min(F.struct(draw.alias("h"), F.col("id"))).alias("p"))
@@ -200,9 +293,11 @@ def _labels(members, signs, docs, *how):
                                          F.min("group").alias("lo"), F.max("group").alias("hi"))
               .where("lo <> hi").select("bucket", "p.pivot", "p.own"))
     pairs = deep.join(stored(chosen, "chosen"), "bucket").where("group <> own").select("id", "pivot")
-    _, more = _compared(pairs, tested, signs, docs, *how)
+    again, more = _compared(pairs, tested, signs, docs, *how)
     # the groups so far stand for the links behind them
-    return components.of(more.union(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+    labels = components.of(more.union(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+    rest = _rest(members, labels, tested.union(again), signs, docs, *how)
+    return components.of(rest.union(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))))
 
 
 def grouped(docs, id_col="doc_id", text_col="text", width=4, percent=80, lower=True):

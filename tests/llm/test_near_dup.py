@@ -66,6 +66,32 @@ def test_edited_copies(spark, seed):
     check(spark, list(enumerate(docs)))
 
 
+def template_families(draw, heavy=400, pairs=12):
+    """Pairs at 0.8 and more, each among many texts that share a template with them but are not similar."""
+    words = [f"w{i}" for i in range(400)]
+
+    def edited(text, n):
+        out = list(text)
+        for k in draw.sample(range(len(out)), n):
+            out[k] = f"n{draw.randrange(10 ** 9)}"
+        return out
+
+    docs = [" ".join(edited(words, 40)) for _ in range(heavy)]
+    for _ in range(pairs):
+        light = edited(words, 30)
+        docs += [" ".join(edited(light, 4)), " ".join(edited(light, 4))]
+    draw.shuffle(docs)
+    return list(enumerate(docs))
+
+
+@pytest.mark.parametrize("block,family", [(1024, 256), (40, 9)])
+def test_similar_pairs_in_crowded_buckets(spark, monkeypatch, block, family):
+    """No pivot need be one of the pair: what the pivots leave in a bucket is compared in full."""
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    monkeypatch.setattr(near_dup, "FAMILY", family)
+    check(spark, template_families(random.Random(6)))
+
+
 def test_odd(spark):
     check(spark, list(enumerate([None, "", " ", "a", "A", "a b c", "a  b\nc", "a b c d", "a b c d", "x " * 5000, "x " * 5, "É", "é"])))
     df = spark.createDataFrame([(None, "a b"), (None, "a b"), (5, "a b"), (5, "a b"), (9, "A B")], "doc_id long, text string")
