@@ -4,11 +4,14 @@ An entity is normalised, so that its spellings share one surrogate. Its surrogat
 by a keyed hash from the values of its kind: same script, case and length, digits for
 digits, a given name of the same gender. Spark then checks all surrogates of the corpus
 at once: one that equals another entity's surrogate, or any real entity, is drawn anew.
+Every few draws the values to draw from become more, so that no kind is ever used up.
 """
 
+import functools
 import hashlib
 import hmac
 import re
+import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import functions as F, types as T
@@ -16,7 +19,7 @@ from pyspark.sql import functions as F, types as T
 from .shared import stored
 
 MAX_BROADCAST_BYTES = 16 << 20
-MAX_DRAWS = 200
+WIDEN = 4  # draws after which a surrogate gets one more character, or an address a larger range
 
 # --- fixed values: titles by gender, and given names by script and gender ------------
 TITLES = {
@@ -142,6 +145,13 @@ def _names(text):
     return [(m.start(), m.end(), parts[m[0]]) for m in again.finditer(text)]
 
 
+@functools.lru_cache(1024)
+def _caseless(script_name, block):
+    """Letters without case of one script in a block of 256."""
+    return [c for c in map(chr, range(block * 256, block * 256 + 256))
+            if unicodedata.category(c) == "Lo" and unicodedata.name(c, "").split(" ")[0].split("-")[0] == script_name]
+
+
 class _Draw:
     """Numbers from a keyed hash."""
 
@@ -161,48 +171,60 @@ class _Draw:
         """A character of the same class."""
         if c in "0123456789":
             return "0123456789"[self.below(10)]
+        if not c.isalpha():
+            digit = unicodedata.decimal(c, None)
+            return c if digit is None else chr(ord(c) - digit + self.below(10))
         low = c.lower()
-        letters = ALPHABETS.get(next((s for s, a in ALPHABETS.items() if low in a), "latin"))
-        if not c.isalpha() or (c.isalpha() and ord(c) > 0x250 and low not in "".join(ALPHABETS.values()) and not c.isupper() and not c.islower()):
-            # no letter, or one of a script without case: a neighbour in its block of 64
-            return chr(ord(c) - ord(c) % 64 + self.below(64)) if c.isalpha() and 0x3040 <= ord(c) <= 0xD7A3 else c
+        if ord(c) > 0x250 and low not in "".join(ALPHABETS.values()) and not c.isupper() and not c.islower():
+            same = _caseless(unicodedata.name(c, "").split(" ")[0].split("-")[0], ord(c) // 256)
+            return same[self.below(len(same))] if same else c
+        letters = ALPHABETS[next((s for s, a in ALPHABETS.items() if low in a), "latin")]
         drawn = letters[self.below(len(letters))]
         return drawn.upper() if c.isupper() else drawn
 
 
 def surrogate(key, kind, value, draw):
-    """The surrogate of a normal form at its ``draw``-th draw."""
+    """The surrogate of a normal form at its ``draw``-th draw.
+
+    Every ``WIDEN`` draws it gets one more character; an address first leaves its own range
+    for a larger one and then IPv4. So its possible values grow until there is a free one.
+    """
     d = _Draw(key, kind, value, draw)
+    more = draw // WIDEN
     if kind == "ip":
+        if more > 1:  # a unique local address: 120 bits
+            return "fd%02x:" % d.below(256) + ":".join("%x" % d.below(1 << 16) for _ in range(7))
+        if more and value.startswith(("192.168.", "127.")):
+            value = "10." + value
         keep = next((p for p in ("10.", "192.168.", "127.") if value.startswith(p)), "")
-        octets = value[len(keep):].split(".")
+        octets = value[len(keep):].split(".")[-3 if keep == "10." else 0:]
         return keep + ".".join(str(1 + d.below(254)) for _ in octets)
     if kind == "email":
         local, _, domain = value.rpartition("@")
         labels, dot, top = domain.rpartition(".")
-        return "".join(map(d.like, local)) + "@" + "".join(map(d.like, labels)) + dot + top
+        return "".join(map(d.like, "a" * more + local)) + "@" + "".join(map(d.like, labels)) + dot + top
     if kind == "phone" and value.startswith("+"):
         keep = 2 if value[1] in "17" else 3  # the country code, as far as its first digit tells
-        return value[:keep] + "".join(map(d.like, value[keep:]))
+        return value[:keep] + "".join(map(d.like, value[keep:] + "0" * more))
     if kind == "card":
-        body = value[0] + "".join(map(d.like, value[1:-1]))
+        body = value[0] + "".join(map(d.like, value[1:-1] + "0" * more))
         ends = [c for c in "0123456789" if _luhn(body + c) == _luhn(value)]
         return body + ends[d.below(len(ends))]
     if kind == "iban":
-        body = "".join(map(d.like, value[4:]))
+        body = "".join(map(d.like, value[4:] + "0" * more))
         check = 98 - int("".join(str(int(c, 36)) for c in body + value[:2] + "00")) % 97
         return f"{value[:2]}{check:02d}{body}"
     if kind == "secret":
         if re.fullmatch(r"[0-9a-f]+", value):
-            return "".join("0123456789abcdef"[d.below(16)] for _ in value)
+            return "".join("0123456789abcdef"[d.below(16)] for _ in range(len(value) + more))
         if re.fullmatch(r"[0-9A-F]+", value):
-            return "".join("0123456789ABCDEF"[d.below(16)] for _ in value)
+            return "".join("0123456789ABCDEF"[d.below(16)] for _ in range(len(value) + more))
         keep = next((p for p in ("AKIA", "ghp_", "sk-") if value.startswith(p)), "")
-        return keep + "".join(map(d.like, value[len(keep):]))
+        return keep + "".join(map(d.like, value[len(keep):] + "0" * more))
     if kind.startswith(("given", "family")):
         s = script(value)
         if s not in SYLLABLES:
-            return "".join(map(d.like, value))
+            return "".join(map(d.like, value + ALPHABETS[s][0] * more))
         gender = kind[6:]
         if kind != "family" and draw == 0:
             names = GIVEN[s].get(gender) or GIVEN[s]["m"] + GIVEN[s]["f"]
@@ -210,16 +232,17 @@ def surrogate(key, kind, value, draw):
         made = "".join(SYLLABLES[s][d.below(len(SYLLABLES[s]))] for _ in range(3 + draw // 4))
         ending = {"f": {"latin": "a", "cyrillic": "а"}, "m": {"latin": "n", "cyrillic": "н"}}.get(gender, {}).get(s, "")
         return made + ending
-    return "".join(map(d.like, value))
+    return "".join(map(d.like, value + "0" * more))
 
 
 def _dressed(kind, raw, made):
     """A surrogate in the spelling of the mention: its separators and its case."""
     if kind in ("phone", "ssn", "card", "iban"):
         it = iter(made)
-        return "".join(c if c in " ().-" else next(it) for c in raw)
+        return "".join([c if c in " ().-" else next(it) for c in raw] + [*it])
     if kind == "email":
-        return "".join(m.upper() if c.isupper() else m for c, m in zip(raw, made))
+        more = len(made) - len(raw)
+        return made[:more] + "".join(m.upper() if c.isupper() else m for c, m in zip(raw, made[more:]))
     if kind.startswith(("given", "family")):
         if raw.isupper() and len(raw) > 1:
             return made.upper()
@@ -255,7 +278,8 @@ def redrawn(found, key):
     """(kind, value, draw) of the entities whose first surrogate is taken.
 
     Of entities with equal surrogates the smallest keeps it. A surrogate that is the value
-    of a real entity is nobody's. The others draw again until all surrogates differ.
+    of a real entity is nobody's. The others draw again until all surrogates differ, which
+    happens because the values of every kind grow with the draws.
     """
     def drawn(rows):
         def run(batches):
@@ -268,7 +292,7 @@ def redrawn(found, key):
     taken = found.select("kind", F.col("value").alias("made"))
     pending = found.withColumn("draw", F.lit(0))
     parts = []
-    for _ in range(MAX_DRAWS):
+    while True:
         tried = stored(drawn(pending), "drawn")
         won = (tried.groupBy("kind", "made").agg(F.min("value").alias("value"), F.min("draw").alias("draw"))
                .join(taken, ["kind", "made"], "left_anti"))
@@ -285,7 +309,6 @@ def redrawn(found, key):
                 out = out.union(p)
             return out.select("kind", "value", "draw")
         taken = taken.union(won.select("kind", "made"))
-    raise ValueError("no free surrogates left: the values of a kind are used up")
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
