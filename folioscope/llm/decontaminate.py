@@ -70,21 +70,19 @@ def _prefixes(wins, docs):
             .select(F.col("r.one").alias("one"), F.col("r.two").alias("two"), "window", "size", "items", F.col("r.skip").alias("skip")))
 
 
-def keyed(docs, id_col, text_col):
+def _key(docs, id_col, text_col):
+    """Columns that are never null and differ where id or text differ."""
     id_, text = docs[id_col], docs[text_col].cast("string")
-    return docs.select(F.coalesce(id_.cast("long"), F.lit(0)).alias("i"), F.xxhash64(id_.isNull(), text).alias("h"),
-                       id_.alias("id"), text.alias("text"))
+    return F.coalesce(id_.cast("long"), F.lit(0)), F.xxhash64(id_.isNull(), text)
 
 
-def hits(docs, items, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", width=WINDOW):
-    """(id, n_words, n_hit, n_items, items, contaminated) of each row of ``docs``.
+def keyed(docs, id_col, text_col):
+    i, h = _key(docs, id_col, text_col)
+    return docs.select(i.alias("i"), h.alias("h"), docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
 
-    A word inside any occurrence of a window is hit; ``items`` are the ids of the items with
-    an occurring window, as sorted strings. Null, empty and wordless texts have no words and
-    no hits; null and wordless items have no windows, and an item whose id is null hits words
-    without being listed. Repeated rows of either table are judged alike and count once per
-    row or id. Empty tables give no rows, or rows without hits. Other columns are not read.
-    """
+
+def _judged(docs, items, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", width=WINDOW):
+    """``hits`` with the key (__i, __h) of each row."""
     rows = keyed(docs, id_col, text_col)
     wins = windows(items, item_col, item_text_col, width)
     prefixes = stored(_prefixes(stored(wins, "windows"), rows), "prefixes")
@@ -101,18 +99,35 @@ def hits(docs, items, id_col="doc_id", text_col="text", item_col="item_id", item
     # one array element binds the words, which would else be cut again for every candidate
     found = F.get(F.transform(F.array(words(F.col("text"))), lambda cut: F.filter("near", same(cut))), 0)
     out = rows.join(near, ["i", "h"], "left").select(
-        "id", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"),
+        "i", "h", "id", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"),
         F.when(F.col("near").isNotNull(), found).alias("found"))
     places = F.flatten(F.transform("found", lambda c: F.sequence(c["start"], c["start"] + F.size(c["window"]) - 1)))
     listed = F.sort_array(F.array_distinct(F.flatten(F.transform("found", lambda c: c["items"]))))
-    out = out.select("id", "n_words", F.coalesce(F.size(F.array_distinct(places)), F.lit(0)).cast("long").alias("n_hit"),
+    out = out.select("i", "h", "id", "n_words", F.coalesce(F.size(F.array_distinct(places)), F.lit(0)).cast("long").alias("n_hit"),
                      F.coalesce(listed, F.array().cast("array<string>")).alias("items"))
     out = out.withColumn("n_hit", F.greatest("n_hit", F.lit(0)))
-    return out.select(F.col("id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items",
+    return out.select(F.col("i").alias("__i"), F.col("h").alias("__h"), F.col("id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items",
                       (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def hits(docs, items, id_col="doc_id", text_col="text", **more):
+    """(id, n_words, n_hit, n_items, items, contaminated) of each row of ``docs``.
+
+    A word inside any occurrence of a window is hit; ``items`` are the ids of the items with
+    an occurring window, as sorted strings. Null, empty and wordless texts have no words and
+    no hits; null and wordless items have no windows, and an item whose id is null hits words
+    without being listed. Repeated rows of either table are judged alike and count once per
+    row or id. Empty tables give no rows, or rows without hits. Other columns are not read.
+    """
+    return _judged(docs, items, id_col, text_col, **more).drop("__i", "__h")
+
+
 def clean(docs, items, id_col="doc_id", text_col="text", **more):
-    """The rows of ``docs`` without any hit, all columns as they were."""
-    bad = hits(docs, items, id_col, text_col, **more).where("contaminated").select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(stored(bad, "contaminated"), docs[id_col].eqNullSafe(F.col("__bad")), "left_anti")
+    """The rows of ``docs`` without any hit, all columns as they were.
+
+    A row is judged by its own text: rows that repeat an id with another text, and rows
+    with a null id, go or stay one by one.
+    """
+    bad = _judged(docs, items, id_col, text_col, **more).where("contaminated").select("__i", "__h").distinct()
+    i, h = _key(docs, id_col, text_col)
+    return docs.join(stored(bad, "contaminated"), (i == F.col("__i")) & (h == F.col("__h")), "left_anti")

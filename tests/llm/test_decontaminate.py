@@ -76,3 +76,12 @@ def test_clean_and_plan(spark):
     assert sorted(r["start"] for r in decontaminate.clean(d, b).collect()) == ["l", "m"]
     text = plan(decontaminate.hits(d, b))
     assert "Python" not in text and "Arrow" not in text and "NestedLoop" not in text and "Cartesian" not in text
+
+
+def test_clean_judges_rows_by_their_text(spark):
+    rows = [(None, "alpha beta", "gone"), (None, "clean", "a"), (None, None, "b"), (None, "clean", "c"), (None, "x Alpha, beta", "gone"),
+            (7, "alpha beta", "gone"), (7, "other", "d"), (0, "clean", "e"), (0, None, "f"), (8, "alpha beta", "gone"), (8, "alpha beta", "gone")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, i string").repartition(3)
+    b = spark.createDataFrame([(1, "alpha beta")], "item_id long, text string")
+    got = decontaminate.clean(d, b)
+    assert got.columns == d.columns and sorted(r["i"] for r in got.collect()) == list("abcdef")
