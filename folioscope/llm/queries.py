@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import byte_pairs, byte_repeats, chat, decontaminate, near_dup, quality, shards, surrogates, url_rules, word_repeats
+from . import byte_pairs, byte_repeats, chat, decontaminate, filter_audit, near_dup, quality, shards, surrogates, url_rules, word_repeats
 
 QUERIES = {}
 SQL = {}
@@ -114,6 +114,11 @@ def op7_decontamination(spark, sf):
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+@query
+def op13_filter_audit(spark, sf):
+    return filter_audit.audit(filter_audit.cells(table(spark, sf, "documents"), table(spark, sf, "labels")))
+
+
 # --- DuckDB twins: plain counts of all windows ----------------------------------------
 SPACED = r"'[^\x20\x09-\x0D]+'"
 WORDED = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -165,3 +170,31 @@ SQL["op10_recompression"] = f"""
            sha256(coalesce(t, '')) AS kept_sha256
     FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+SQL["op13_filter_audit"] = f"""
+    WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {SPACED}) AS w FROM documents),
+    f AS (SELECT doc_id, part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+                 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+                 coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false) AS e FROM d),
+    g AS (SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS mask,
+                 EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = f.doc_id AND quality = 1) AS good,
+                 EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = f.doc_id AND toxic = 1) AS toxic FROM f),
+    cells AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM g GROUP BY part, mask),
+    x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l, unnest([1, 2, 4, 8, 16]) AS bit),
+    orders AS (SELECT [x1, x2, x3, x4, x5] AS o FROM x a(x1, b1), x b(x2, b2), x c(x3, b3), x d(x4, b4), x e(x5, b5)
+               WHERE b1 + b2 + b3 + b4 + b5 = 31 AND len(list_distinct([x1, x2, x3, x4, x5])) = 5),
+    steps AS (SELECT o, k, o[k] AS letter FROM orders, (SELECT unnest(range(1, 6)) AS k)),
+    bits AS (SELECT o, k, s.letter, max(bit) FILTER (l = s.letter) AS bit, coalesce(sum(bit) FILTER (list_position(o, l) < k), 0)::INT AS applied
+             FROM steps s, x GROUP BY o, k, s.letter),
+    found AS (SELECT part, o, k, letter, sum(CASE WHEN mask & (applied | bit) = 0 THEN n ELSE 0 END) AS kept,
+                     sum(CASE WHEN mask & applied = 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS removed,
+                     sum(CASE WHEN mask & applied <> 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS redundant,
+                     sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+                     sum(CASE WHEN mask & applied = 0 AND mask & bit <> 0 THEN good ELSE 0 END) AS good_lost,
+                     sum(CASE WHEN mask & applied = 0 AND mask & bit <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+              FROM cells, bits GROUP BY part, o, k, letter)
+    SELECT part, array_to_string(o, '') AS filter_order, k::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+           redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+           (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+    FROM found
+"""
