@@ -3,7 +3,9 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import byte_pairs, byte_repeats, chat, decontaminate, filter_audit, near_dup, quality, shards, surrogates, url_rules, word_repeats
+from ..session import scratch_path
+from . import byte_pairs, byte_repeats, chat, decontaminate, filter_audit, near_dup, quality, shards, surrogates, token_files, url_rules, word_repeats
+from .shared import stored
 
 QUERIES = {}
 SQL = {}
@@ -114,6 +116,14 @@ def op7_decontamination(spark, sf):
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+@query
+def op11_token_files(spark, sf):
+    tokens, wide = token_files.tokenized(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    path = scratch_path(spark, "token-files")
+    token_files.write(stored(tokens, "tokens"), path, wide)
+    return token_files.read(spark, path).select(F.col("id").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 @query
 def op13_filter_audit(spark, sf):
     return filter_audit.audit(filter_audit.cells(table(spark, sf, "documents"), table(spark, sf, "labels")))
