@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import byte_pairs, byte_repeats, chat, decontaminate, filter_audit, near_dup, quality, shards, surrogates, token_files, url_rules, word_repeats
+from . import byte_pairs, byte_repeats, chat, decontaminate, filter_audit, hard_negatives, near_dup, quality, shards, surrogates, token_files, url_rules, word_repeats
 from .shared import stored
 
 QUERIES = {}
@@ -124,6 +124,13 @@ def op11_token_files(spark, sf):
     return token_files.read(spark, path).select(F.col("id").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+@query
+def op12_hard_negatives(spark, sf):
+    rows = hard_negatives.participants(table(spark, sf, "embeddings"))
+    moved = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved), F.col("id") % 100 == 0)
+
+
 @query
 def op13_filter_audit(spark, sf):
     return filter_audit.audit(filter_audit.cells(table(spark, sf, "documents"), table(spark, sf, "labels")))
@@ -208,3 +215,17 @@ SQL["op13_filter_audit"] = f"""
            (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
     FROM found
 """
+
+SQL["op12_hard_negatives"] = """
+    WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                      list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+               FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+                    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.id AS a, e.id AS id, a.label = e.label AS same, list_dot_product(a.v, e.v)::BIGINT AS score
+          FROM e a JOIN e ON a.id % 100 = 0 AND a.id <> e.id),
+    p AS (SELECT a, id AS p, score AS ps FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, id) <= 5)
+    SELECT a AS anchor_id, p AS positive_id, (row_number() OVER (PARTITION BY a, p ORDER BY score DESC, id))::INT AS rank,
+           id AS negative_id, ps AS positive_score, score AS negative_score
+    FROM p JOIN s USING (a) WHERE NOT same AND 100 * score BETWEEN 30 * ps AND 90 * ps
+    QUALIFY row_number() OVER (PARTITION BY a, p ORDER BY score DESC, id) <= 10
+"""
