@@ -109,5 +109,6 @@ def clean(annotations: DataFrame, null_words=None) -> DataFrame:
     )
 
 
-def of_type(items: DataFrame, kind) -> DataFrame:
-    return items.filter(F.col("type") == kind)
+def of_type(items: DataFrame, *kinds) -> DataFrame:
+    """The items of one type, or of several in one scan."""
+    return items.filter(F.col("type").isin(list(kinds)))

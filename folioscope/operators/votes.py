@@ -187,11 +187,8 @@ def _listed(judged, approach_ids, flag):
 
 
 def retrieved_relevant(evaluations: DataFrame, approach_id) -> DataFrame:
-    """The intersection as rows: results of one approach that are relevant."""
-    mine = evaluations.filter(
-        (F.col("approach_id") == approach_id) & F.col("query").isNotNull()
-    ).select("query", "result_id")
-    return mine.intersect(truth_sets(evaluations))
+    """The intersection as rows: results of one approach that are relevant. One aggregate of flags, no join."""
+    return _judged(evaluations, [approach_id]).filter("relevant = 1 AND r0 = 1").select("query", "result_id")
 
 
 def hits_as_evaluations(hits: DataFrame, relevant, query="query_id", id_col="id") -> DataFrame:

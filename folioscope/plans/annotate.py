@@ -68,19 +68,6 @@ def image_annotations(answered: DataFrame) -> DataFrame:
     return _annotations(answered, "image", F.col("content_path"), F.lit(None).cast("string"))
 
 
-def candidates(pages: DataFrame, done: DataFrame, mode="relevant", phrases=None,
-               min_length=V.MIN_TEXT_LENGTH) -> DataFrame:
-    """Blocks worth annotating that have no annotation yet."""
-    blocks = corpus.keep_texts(corpus.page_blocks(pages), mode, phrases=phrases, min_length=min_length)
-    return corpus.not_done(blocks, done)
-
-
-def image_candidates(images: DataFrame, done: DataFrame, image="image", **limits) -> DataFrame:
-    """Relevant images that have no annotation yet. The finished ones go first: their pixels
-    are not looked at again."""
-    return image_filter.keep_images(corpus.not_done(images, done), image, **limits)
-
-
 def spread_rows(todo: DataFrame, rows_per_task=ROWS_PER_TASK) -> DataFrame:
     """``todo`` as a table, dealt out by id in tasks of about ``rows_per_task`` rows: model
     calls dominate, however few bytes the rows have."""
@@ -109,12 +96,13 @@ def _finish(answered, rows, path):
 
 def run(pages: DataFrame, path, make_annotate, mode="relevant", phrases=None, rows_per_task=ROWS_PER_TASK):
     """Annotate what is missing in the store at ``path``; returns rows added and failed."""
-    todo = candidates(pages, store.read(pages.sparkSession, path), mode, phrases)
+    blocks = corpus.keep_texts(corpus.page_blocks(pages), mode, phrases=phrases)
+    todo = store.not_done(blocks, path)
     return _finish(ask(todo, make_annotate, rows_per_task), text_annotations, path)
 
 
 def run_images(images: DataFrame, path, make_annotate, rows_per_task=ROWS_PER_TASK, **limits):
     """The same for images: (doc_id, id, page, content_path, image), the image decoded as Spark's
     image source does it. Small and one-coloured images are not asked about."""
-    todo = image_candidates(images, store.read(images.sparkSession, path), **limits)
+    todo = image_filter.keep_images(store.not_done(images, path), "image", **limits)
     return _finish(ask_images(todo, make_annotate, rows_per_task=rows_per_task), image_annotations, path)

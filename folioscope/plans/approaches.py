@@ -181,7 +181,7 @@ def build_store(annotations: DataFrame, encoders, path, images: DataFrame = None
         clean = clean.withColumn("content", F.lit(None).cast("binary"))
     else:
         clean = with_image_bytes(clean, images, root=root)
-    store.replace_approach(build(clean, encoders, registry), path)
+    store.replace_approach(build(clean, encoders, registry), path, [a.approach_id for a in registry])
 
 
 def query_vectors(queries: DataFrame, encoders, registry=REGISTRY, query_id="query_id",

@@ -61,13 +61,13 @@ def multimodal_rating_records(queries: DataFrame, items: DataFrame, encoders, im
     return ratings.multimodal_records(hits, images, root=root)
 
 
-def write_records(queries: DataFrame, items: DataFrame, encoders, path, images: DataFrame = None, root=""):
+def write_records(queries: DataFrame, items: DataFrame, encoders, path, images: DataFrame = None, root="", run=None):
     """The records job: queries to hits to a data set that people rate.
 
-    With ``images`` the records show texts and images and are added on every run; without, they
+    With ``images`` the records show texts and images and are added, once per ``run`` key; without, they
     are texts, written only where there is no data set yet.
     """
     if images is None:
         records.create_if_absent(text_rating_records(queries, items, encoders), path)
     else:
-        records.append(multimodal_rating_records(queries, items, encoders, images, root=root), path)
+        records.append(multimodal_rating_records(queries, items, encoders, images, root=root), path, run)

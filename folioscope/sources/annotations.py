@@ -1,13 +1,13 @@
 """Annotation tables: CSV exchange and the Parquet store.
 
-CSV with quoted line breaks cannot be split, so one file is one task. It is the
-exchange format; jobs read the Parquet store.
+CSV is the exchange format; jobs read the Parquet store, whose rows lie in folders by part (``done_keys``).
 """
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .. import schemas
-from . import files
+from ..operators import corpus
+from . import done_keys, files, versions
 
 
 def with_document(df: DataFrame) -> DataFrame:
@@ -25,37 +25,65 @@ def read_csv(spark, path, doc_id=None) -> DataFrame:
     df = (
         spark.read.schema(text)
         .option("header", True).option("multiLine", True).option("encoding", "UTF-8")
-        .option("quote", '"').option("escape", '"')
+        .option("quote", '"').option("escape", '"').option("recursiveFileLookup", True)
         .csv(path)
     )
     return df.select(F.lit(doc_id).cast("string").alias("doc_id"), *df.columns) \
         .withColumn("page", F.col("page").try_cast("double").cast("int"))
 
 
-def write_csv(df: DataFrame, path, mode="append"):
-    """Each part file carries the header, so the folder reads back as one table."""
-    (
-        df.select(*schemas.ANNOTATION_FILE.fieldNames())
-        .write.mode(mode)
-        .option("header", True).option("quote", '"').option("escape", '"')
-        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
-    )
+CSV = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
 
+def write_csv(df: DataFrame, path, run=None):
+    """Add rows, once per run key. Each part file carries the header, so the folder reads back as one table."""
+    files.append_run(df.select(*schemas.ANNOTATION_FILE.fieldNames()), path, lambda writer, folder: writer.csv(folder), run, **CSV)
 
-def append(df: DataFrame, path):
-    with_document(df).select(*schemas.ANNOTATION.fieldNames()).withColumn("doc_id", F.col("doc_id").cast("string")) \
-        .write.mode("append").parquet(path)
 
+def append(df: DataFrame, path, run=None):
+    """Add rows to the store, once per run key, with a filter of their keys beside them."""
+    rows = with_document(df).select(*schemas.ANNOTATION.fieldNames()).withColumn("doc_id", F.col("doc_id").cast("string"))
+    versions.append(rows.withColumn("part", done_keys.part()), path, run, ("part",), lambda folder: done_keys.write(rows.select("doc_id", "id", "page"), folder))
 
-def read(spark, path) -> DataFrame:
+
+def read(spark, path, where=None) -> DataFrame:
     """The store; a store that was never written is an empty table."""
-    return files.read_parquet(spark, path, schemas.ANNOTATION)
+    return versions.read(spark, path, schemas.ANNOTATION, where=where)
+
+
+def not_done(candidates: DataFrame, path) -> DataFrame:
+    """Candidates (doc_id, id, page and more) without an annotation in the store.
+
+    The filters beside the store tell which parts can hold one of them. Only the folders of these parts are
+    opened, for an exact comparison; where there are none, nothing is joined.
+    """
+    spark = candidates.sparkSession
+    filters = versions.beside(spark, path)
+    if not filters:
+        return candidates
+    keys = with_document(candidates).select("doc_id", "id", "page")
+    parts = done_keys.parts_to_open(keys, spark.read.schema(done_keys.SCHEMA).parquet(*filters))
+    if not parts:
+        return candidates
+    done = read(spark, path, F.col("part").isin(parts)).select("doc_id", "id")
+    if "doc_id" not in candidates.columns:
+        return corpus.not_done(with_document(candidates), done).drop("doc_id")
+    return corpus.not_done(candidates, done)
+
+
+def compact(spark, path):
+    """Many small appends become one folder with one filter; the rows stay the same."""
+    rows = read(spark, path)
+    versions.replace(rows.withColumn("part", done_keys.part()), path, None, ("part",), lambda folder: done_keys.write(rows.select("doc_id", "id", "page"), folder))
+
+
+def replace_clean(df: DataFrame, path, run=None):
+    """The clean table takes the place of the old one in one step; a write that fails leaves the old one."""
+    versions.replace(df, path, run)
 
 
-def replace_clean(df: DataFrame, path):
-    """The clean table takes the place of the old one."""
-    df.write.mode("overwrite").parquet(path)
+def read_clean(spark, path, schema) -> DataFrame:
+    return versions.read(spark, path, schema)
 
 
 def append_counted(df: DataFrame, path):
@@ -64,4 +92,4 @@ def append_counted(df: DataFrame, path):
 
     seen = Observation()
     append(df.observe(seen, F.count(F.lit(1)).alias("rows")), path)
-    return seen.get["rows"]
+    return seen.get["rows"]  # of the first of the writes, which see the same rows

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import schemas
+from . import files
 
 _BAD = "_bad_line"
 
@@ -26,19 +27,19 @@ def parse_lines(lines: DataFrame, schema=schemas.EVALUATION) -> DataFrame:
 
 
 def read(spark, path) -> DataFrame:
-    return parse_lines(spark.read.text(path))
+    return parse_lines(spark.read.option("recursiveFileLookup", True).text(path))
 
 
 def read_stream(spark, path, max_files=None) -> DataFrame:
-    reader = spark.readStream
+    reader = spark.readStream.option("recursiveFileLookup", True)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return parse_lines(reader.text(path))
 
 
-def append(df: DataFrame, path):
-    """The file commit makes an append all or nothing; non-ASCII text stays as it is."""
-    df.select(*schemas.EVALUATION.fieldNames()).write.mode("append").json(path)
+def append(df: DataFrame, path, run=None):
+    """The file commit makes an append all or nothing, ``run`` makes it happen once; non-ASCII text stays as it is."""
+    files.append_run(df.select(*schemas.EVALUATION.fieldNames()), path, lambda writer, folder: writer.json(folder), run)
 
 
 def event_time(col="timestamp") -> Column:

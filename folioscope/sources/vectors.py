@@ -1,17 +1,17 @@
-"""The vector store: one keyed Parquet table, a folder per approach and type."""
+"""The vector store: one keyed Parquet table, a folder per approach and type, replaced in one step."""
 
 from pyspark.sql import DataFrame, functions as F
 
 from .. import schemas
-from . import files
+from . import versions
 
 PARTITIONS = ("approach_id", "type")
 
 
-def write(items: DataFrame, path, mode="append"):
-    """Store built items. Nothing is shuffled: a task sorts its own rows by folder and
+def write(items: DataFrame, path, run=None):
+    """Add built items, once per run key. Nothing is shuffled: a task sorts its own rows by folder and
     writes one file for each approach it has rows of."""
-    _as_stored(items).write.mode(mode).partitionBy(*PARTITIONS).parquet(path)
+    versions.append(_as_stored(items), path, run, PARTITIONS)
 
 
 def _as_stored(items):
@@ -19,16 +19,13 @@ def _as_stored(items):
     return items.withColumn("vector", F.col("vector").cast("array<float>"))
 
 
-def replace_approach(items: DataFrame, path):
-    """Rebuild the approaches in ``items`` and leave the others as they are."""
-    (
-        _as_stored(items).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*PARTITIONS).parquet(path)
-    )
+def replace_approach(items: DataFrame, path, approach_ids, run=None):
+    """Rebuild the named approaches and leave the others as they are; searches see either all of the old or all of the new."""
+    versions.replace_groups(_as_stored(items), path, "approach_id", approach_ids, run, PARTITIONS)
 
 
 def read(spark, path, approach_ids=None, schema=schemas.VECTOR_ITEM) -> DataFrame:
-    df = files.read_parquet(spark, path, schema)
+    df = versions.read(spark, path, schema, "approach_id")
     return df if approach_ids is None else df.filter(F.col("approach_id").isin(list(approach_ids)))
 
 

@@ -79,8 +79,7 @@ def annotation_clean(spark, sf):
 
 @query
 def split_by_type(spark, sf):
-    clean = views.clean(spark, sf)
-    return corpus.of_type(clean, "text").unionByName(corpus.of_type(clean, "image")).select("id", "type")
+    return corpus.of_type(views.clean(spark, sf), "text", "image").select("id", "type")
 
 
 @query
@@ -485,8 +484,9 @@ def csv_roundtrip(spark, sf):
 @query
 def clean_table_roundtrip(spark, sf):
     path = scratch_path(spark, "clean")
-    annotations.replace_clean(_with_text(spark, sf), path)
-    return spark.read.parquet(path).select("id", "page", "type", "text_for_embedding")
+    rows = _with_text(spark, sf)
+    annotations.replace_clean(rows, path)
+    return annotations.read_clean(spark, path, rows.schema).select("id", "page", "type", "text_for_embedding")
 
 
 @query

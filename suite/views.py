@@ -47,7 +47,7 @@ def blocks(spark, sf):
 
 def _keywords(text):
     """Every piece of the text."""
-    return F.array_join(F.split(text, " "), ", ")
+    return F.replace(text, F.lit(" "), F.lit(", "))
 
 
 def annotations(spark, sf):

@@ -102,6 +102,27 @@ def test_images_are_annotated_from_prompt_and_bytes(spark, tmp_path):
     assert as_set(streamed) == as_set(path)
 
 
+def test_images_that_fail_are_asked_again(spark, tmp_path):
+    folder, path, mark = (str(tmp_path / n) for n in ("in", "store", "mark"))
+    images = image_table(spark, ("a", "p1_img_0", 110, 100, 1), ("b", "p1_img_0", 120, 100, 3), ("b", "p1_img_1", 110, 100, 0))
+
+    def failing(size):
+        def annotate_one(prompt, image):
+            if len(image) == size:
+                raise RuntimeError("quota")
+            return f"DESCRIÇÃO: {len(image)} PALAVRAS-CHAVE: k"
+
+        return lambda: annotate_one
+
+    images.write.parquet(folder)
+    read = lambda: spark.readStream.schema(images.schema).parquet(folder)
+    annotation_stream.run_images(read(), path, mark, failing(12_000)).awaitTermination()
+    assert [r.doc_id for r in annotation_stream.failed(spark, path, "image").collect()] == ["b"]
+    annotation_stream.run_images(read(), path, mark, failing(0)).awaitTermination()  # no file has come again
+    assert sorted(r.description_llm for r in store.read(spark, path).collect()) == ["11000", "12000"]
+    assert annotation_stream.failed(spark, path, "image").isEmpty()
+
+
 def test_an_answer_that_is_no_text_is_an_error(spark):
     df = spark.createDataFrame([("p",)], "prompt string")
     row = annotate.answer(df, lambda: (lambda prompt: None)).first()

@@ -53,7 +53,7 @@ def test_annotation_store(spark, tmp_path):
     clean = str(tmp_path / "clean")
     annotations.replace_clean(df, clean)
     annotations.replace_clean(df.limit(2), clean)
-    assert spark.read.parquet(clean).count() == 2
+    assert annotations.read_clean(spark, clean, df.schema).count() == 2
 
 
 GOOD = {"timestamp": "2024-05-01T10:00:00.123456", "evaluator": "zé", "approach_id": "a", "query": "o que é?", "result_id": "r",
@@ -98,7 +98,7 @@ def test_vector_store(spark, tmp_path):
     row = lambda a, i, t: ("d", i, 1, None, "o", "d", "k", "e", [1.0, 0.0], a, t)
     df = spark.createDataFrame([row("a1", "x", "text"), row("a1", "y", "image"), row("a2", "x", "text")], schemas.VECTOR_ITEM)
     vectors.write(df, path)
-    vectors.replace_approach(spark.createDataFrame([row("a2", "z", "text")], schemas.VECTOR_ITEM), path)
+    vectors.replace_approach(spark.createDataFrame([row("a2", "z", "text")], schemas.VECTOR_ITEM), path, ["a2"])
     stored = vectors.read(spark, path)
     assert sorted((r.approach_id, r.id) for r in stored.collect()) == [("a1", "x"), ("a1", "y"), ("a2", "z")]
     assert vectors.read(spark, path, ["a1"]).count() == 2
