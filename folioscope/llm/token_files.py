@@ -14,6 +14,7 @@ runs that counted, so a lost executor leaves at most files that nothing refers t
 import io
 import json
 import os
+import sys
 import uuid
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyarrow import fs, ipc
 from pyspark import TaskContext
 from pyspark.sql import functions as F, types as T
 
-from . import ans
+from . import ans, pretokens
 from .arrow import over_texts
 from .shared import stored
 
@@ -30,12 +31,9 @@ BLOCK_IDS = 131_072
 TOGETHER = 16  # blocks that are coded side by side
 FILE_IDS = 1 << 26  # ids per file, about 90 MB
 TASK_IDS = 1 << 22  # ids that a reading task decodes
-TEXT_BYTES = 256 << 10  # text tokenised at once
+TEXT_BYTES = 512 << 10  # text tokenised at once
 SEGMENT = ans.STEPS * ans.LANES
 
-_loaded = {}
-
-
 def _load(path):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
     from tokenizers import Tokenizer
@@ -43,26 +41,63 @@ def _load(path):
     return Tokenizer.from_file(path)
 
 
-def _tokenizer(path):
-    if path not in _loaded:
-        _loaded[path] = _load(path)
-    return _loaded[path]
+def _cuts_by_pattern(tokenizer):
+    """Does this tokenizer do nothing before its merges but cut by the public pattern?"""
+    parts = json.loads(tokenizer.to_str())
+    cut = parts["pre_tokenizer"] or {}
+    return (parts["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space"))
+
+
+class _Encoder:
+    """Ids of whole texts. Pre-tokens that repeat are asked from the library once; texts that hold a special token or code points
+    that not all versions of Unicode know are asked whole."""
+
+    def __init__(self, path, table):
+        self.tokenizer = _load(path)
+        self.special = [t["content"] for t in json.loads(self.tokenizer.to_str())["added_tokens"]]
+        self.memory = pretokens.Memory(self._ask, table) if _cuts_by_pattern(self.tokenizer) else None
+
+    def _ask(self, texts):
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, texts):
+        out = [None] * len(texts)
+        whole = [self.memory is None or any(s in t for s in self.special) for t in texts]
+        plain = [k for k, w in enumerate(whole) if not w]
+        if plain:
+            ids, sizes, odd = self.memory([texts[k] for k in plain])
+            for k, strange, some in zip(plain, odd, np.split(ids, np.cumsum(sizes)[:-1])):
+                out[k], whole[k] = some, strange
+        asked = [k for k, w in enumerate(whole) if w]
+        for k, ids in zip(asked, self._ask([texts[k] for k in asked])):
+            out[k] = np.array(ids, np.uint32)
+        return out
+
+
+def _encoder(path, sent):
+    """The encoder of this Python worker. It is kept where all tasks of a worker find it, since functions arrive anew with each task."""
+    kept = vars(sys).setdefault("_encoders_of_this_worker", {})
+    if path not in kept:
+        kept.clear()
+        kept[path] = _Encoder(path, sent.value)
+    return kept[path]
 
 
 def tokenized(docs, tokenizer_path, end_id=None, id_col="doc_id", text_col="text"):
-    """(id, n, ids): the ids of each text, little-endian of 16 or 32 bits, ``end_id`` after the last.
+    """(rows, kind): rows (id, n, ids) with the ids of each text, little-endian of 16 or 32 bits as ``kind`` says, ``end_id`` after the last.
 
-    A null text is empty. Rows are independent: repeated rows and rows with a null id each
+    The ids are those of the tokenizer's library for the whole text, without added special tokens. A
+    null text is empty. Rows are independent: repeated rows and rows with a null id each
     give a row. A text is encoded whole, whatever its length. Columns not named are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     wide = "<u2" if max(_load(tokenizer_path).get_vocab_size(), (end_id or 0) + 1) <= 1 << 16 else "<u4"
-    tail = [] if end_id is None else [end_id]
+    tail = np.array([] if end_id is None else [end_id], wide)
+    sent = docs.sparkSession.sparkContext.broadcast(pretokens.classes())  # one byte per code point
 
     def work(piece):
-        texts = [t or "" for t in piece.column(1).to_pylist()]
-        found = _tokenizer(tokenizer_path).encode_batch_fast(texts, add_special_tokens=False)
-        ids = [np.array(e.ids + tail, wide) for e in found]
+        found = _encoder(tokenizer_path, sent)([t or "" for t in piece.column(1).to_pylist()])
+        ids = [np.concatenate([x.astype(wide), tail]) for x in found]
         return pa.RecordBatch.from_arrays(
             [piece.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["id", "n", "ids"])
 
