@@ -1,9 +1,11 @@
 """The evaluation log as a stream."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..operators import votes
-from ..sources import evaluations
+from ..sources import evaluations, versions
+
+PRECISION = T.StructType([T.StructField("approach_id", T.StringType()), T.StructField("votes", T.LongType()), T.StructField("precision", T.DoubleType())])
 
 
 def ingest(spark, folder, out, checkpoint, max_files=None):
@@ -31,12 +33,17 @@ def running_precision(stream: DataFrame) -> DataFrame:
 
 
 def write_running_precision(stream: DataFrame, out, checkpoint):
-    """Keep the current table at ``out``; every batch replaces it as a whole."""
-    def replace(batch, _):
-        batch.write.mode("overwrite").parquet(out)
+    """Keep the current table at ``out``; every batch takes the place of the last in one step."""
+    def replace(batch, number):
+        versions.replace(batch, out, f"{checkpoint}#{number}", forget=True)
+        versions.clean_up(batch.sparkSession, out)
 
     return (
         running_precision(stream).writeStream.outputMode("complete")
         .option("checkpointLocation", checkpoint)
         .foreachBatch(replace).trigger(availableNow=True).start()
     )
+
+
+def read_running_precision(spark, out) -> DataFrame:
+    return versions.read(spark, out, PRECISION)

@@ -8,7 +8,7 @@ from folioscope.operators import corpus, embedtext, images, profile, ratings, se
 from folioscope.plans import annotate, approaches, judge, search as search_plan
 from folioscope.session import scratch_path, stored
 from folioscope.sources import annotations, evaluations, records, vectors
-from folioscope.streaming import annotations as annotation_stream, evaluations as vote_stream
+from folioscope.streaming import annotations as annotation_stream, evaluations as vote_stream, quality as quality_stream
 
 from . import views
 
@@ -543,7 +543,19 @@ def stream_precision(spark, sf):
     own = spark.newSession()  # its state has a handful of keys, so few state partitions do
     own.conf.set("spark.sql.shuffle.partitions", "4")
     vote_stream.write_running_precision(evaluations.read_stream(own, folder), out, mark).awaitTermination()
-    return _rounded(spark.read.parquet(out), "precision")
+    return _rounded(vote_stream.read_running_precision(spark, out), "precision")
+
+
+@query
+def stream_quality(spark, sf):
+    """Macro precision, recall and F1 kept up to date: in the first batch nothing is relevant yet, the second brings the
+    votes that make results relevant and so corrects what was counted before."""
+    folder, out, mark = (scratch_path(spark, n) for n in ("votes-in", "quality", "quality-mark"))
+    rows, own = views.evaluations(spark, sf), quality_stream.session(spark, 4)
+    for part in (rows.filter(F.col("evaluation") != V.VOTE_RELEVANT), rows.filter(F.col("evaluation") == V.VOTE_RELEVANT)):
+        evaluations.append(part, folder)
+        quality_stream.write(evaluations.read_stream(own, folder), out, mark).awaitTermination()
+    return _rounded(quality_stream.read(spark, out, views.registry(spark)), "precision", "recall", "f1")
 
 
 @query

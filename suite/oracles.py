@@ -484,6 +484,7 @@ _QUERIES["approach_lookup"] = f"""
                     'unified' if isinstance(a.templates, str) else 'by_type']) + ")" for a in REGISTRY)})
         r(approach_id, text_model, image_model, image_from, template) USING (approach_id)"""
 _QUERIES["topk_search_grid"] = _QUERIES["topk_search"]
+_QUERIES["stream_quality"] = _QUERIES["retrieval_macro"]
 
 SQL = {name: with_views(sql) for name, sql in _QUERIES.items()}
 
