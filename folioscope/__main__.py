@@ -1,7 +1,7 @@
 """The jobs from the command line.
 
     spark-submit … -m folioscope annotate PAGES STORE --annotator module:factory
-    python -m folioscope build ANNOTATIONS VECTORS --encoders module:factory [--images DIR] [--approaches A,B]
+    python -m folioscope build ANNOTATIONS VECTORS --encoders module:factory [--images DIR] [--approaches A,B] [--cache DIR]
     python -m folioscope search QUERIES VECTORS OUT --encoders module:factory
     python -m folioscope records VECTORS OUT --encoders module:factory [--queries QUERIES] [--images DIR]
     python -m folioscope judge EVALUATIONS
@@ -17,7 +17,7 @@ import argparse
 import importlib
 
 from folioscope.operators import corpus
-from folioscope.plans import annotate, approaches, corpus_profile, judge, search
+from folioscope.plans import annotate, approaches, corpus_profile, judge, search, vector_cache
 from folioscope.session import build_session, stored
 from folioscope.sources import annotations, pages, vectors
 
@@ -41,7 +41,8 @@ def _build(spark, a):
     images = pages.read_image_bytes(spark, a.images) if a.images else None
     registry = approaches.only(*a.approaches.split(",")) if a.approaches else approaches.REGISTRY
     approaches.build_store(_annotations(spark, a.annotations), _load(a.encoders)(), a.vectors, images, registry,
-                           pages.qualified(spark, pages.parent(a.images)) if a.images else "")
+                           pages.qualified(spark, pages.parent(a.images)) if a.images else "",
+                           vector_cache.Cache(spark, a.cache, spark.sparkContext.applicationId) if a.cache else None)
     built = vectors.read(spark, a.vectors)
     vectors.build_status(built, approaches.registry_table(spark)).show(truncate=False)
     vectors.failures(built).show(truncate=False)
@@ -77,7 +78,7 @@ def _profile(spark, a):
 
 JOBS = {
     "annotate": (_annotate, ["pages", "store"], {"annotator": None, "mode": "relevant"}),
-    "build": (_build, ["annotations", "vectors"], {"encoders": None, "images": "", "approaches": ""}),
+    "build": (_build, ["annotations", "vectors"], {"encoders": None, "images": "", "approaches": "", "cache": ""}),
     "search": (_search, ["queries", "vectors", "out"], {"encoders": None}),
     "records": (_records, ["vectors", "out"], {"encoders": None, "queries": "", "images": ""}),
     "judge": (_judge, ["evaluations"], {}),

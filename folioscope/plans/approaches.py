@@ -69,7 +69,7 @@ def with_configuration(df: DataFrame, registry=REGISTRY) -> DataFrame:
     return df.join(F.broadcast(registry_table(df.sparkSession, registry)), "approach_id", "left")
 
 
-class _Inputs:
+class Inputs:
     """The texts and encoder outputs that approaches need, each distinct one once."""
 
     def __init__(self, encoders, content):
@@ -120,24 +120,25 @@ class _Inputs:
 
 
 def build(clean: DataFrame, encoders, registry=REGISTRY, content="content",
-          element_type="float") -> DataFrame:
+          element_type="float", cache=None) -> DataFrame:
     """Unit vectors of texts and images for every approach in ``registry``.
 
     Rows of other types take no part. Texts and images are two branches, so an encoder
     sees only its own rows; within a branch approaches share one scan, and an input that
     several of them encode with the same model is encoded once. A failed encode is a
-    zero vector.
+    zero vector. With a ``cache`` (``plans.vector_cache``) only inputs that are new to it are
+    encoded, here and now; equal inputs of different rows are encoded once, too.
     """
     others = [c for c in clean.columns if c != content]
     ids = F.array(*[F.lit(a.approach_id) for a in registry])
 
     def branch(kind, vector):
-        inputs = _Inputs(encoders, content)
+        inputs = Inputs(encoders, content) if cache is None else cache.inputs(encoders, content)
         text, vectors = F, F
         for a in registry:
             mine = F.col("approach_id") == a.approach_id
             text = text.when(mine, F.col(inputs.text(a.templates)))
-            vectors = vectors.when(mine, vector(inputs, a))
+            vectors = vectors.when(mine, getattr(inputs, vector)(a))
         # The unit vector is made after the rows are multiplied, so a reader without use for it
         # does not pay for it. The encoders of all entries run: give the registry entries that
         # are wanted (``only``), a filter afterwards comes too late.
@@ -147,7 +148,7 @@ def build(clean: DataFrame, encoders, registry=REGISTRY, content="content",
             vectors.cast(T.ArrayType(_ELEMENTS[element_type])).alias("vector"),
         )
 
-    return branch("text", _Inputs.text_vector).unionByName(branch("image", _Inputs.image_vector))
+    return branch("text", "text_vector").unionByName(branch("image", "image_vector"))
 
 
 def with_image_bytes(clean: DataFrame, images: DataFrame, path="content_path", root="") -> DataFrame:
@@ -170,10 +171,11 @@ def only(*approach_ids, registry=REGISTRY):
     return tuple(a for a in registry if a.approach_id in approach_ids)
 
 
-def build_store(annotations: DataFrame, encoders, path, images: DataFrame = None, registry=REGISTRY, root=""):
+def build_store(annotations: DataFrame, encoders, path, images: DataFrame = None, registry=REGISTRY, root="", cache=None):
     """The build job: annotations to clean rows to vectors, stored per approach and type.
 
-    Rebuilt approaches take the place of their old vectors; others stay. ``images`` is
+    Rebuilt approaches take the place of their old vectors; others stay. With a ``cache`` a rebuild
+    encodes what is new. ``images`` is
     ``(content_path, content)``; without it every image is a failed encode.
     """
     clean = corpus.clean(annotations)
@@ -181,7 +183,7 @@ def build_store(annotations: DataFrame, encoders, path, images: DataFrame = None
         clean = clean.withColumn("content", F.lit(None).cast("binary"))
     else:
         clean = with_image_bytes(clean, images, root=root)
-    store.replace_approach(build(clean, encoders, registry), path, [a.approach_id for a in registry])
+    store.replace_approach(build(clean, encoders, registry, cache=cache), path, [a.approach_id for a in registry])
 
 
 def query_vectors(queries: DataFrame, encoders, registry=REGISTRY, query_id="query_id",

@@ -250,6 +250,18 @@ def search_job(spark, sf):
         .drop("doc_id")
 
 
+@query
+def rebuild_vectors(spark, sf):
+    """A build that finds most of its vectors in the cache of an earlier one."""
+    return _coordinates(views.rebuilt(spark, sf)[1], "vector", "approach_id", "type", "id", "page")
+
+
+@query
+def rebuild_encodes(spark, sf):
+    """The encoder calls of both builds: every distinct input once, in the second only what is new."""
+    return views.rebuilt(spark, sf)[0].encodes()
+
+
 @query
 def approach_lookup(spark, sf):
     """Votes with the configuration of the approach they were cast under."""

@@ -483,6 +483,27 @@ _QUERIES["approach_lookup"] = f"""
         "(" + lits([a.approach_id, a.text_model, a.image_model, a.image_from,
                     'unified' if isinstance(a.templates, str) else 'by_type']) + ")" for a in REGISTRY)})
         r(approach_id, text_model, image_model, image_from, template) USING (approach_id)"""
+_QUERIES["rebuild_vectors"] = coordinates("built", unit("v"), "approach_id", "type", "id", "page")
+
+
+def _sources_of(description):
+    """The texts that the text models of all approaches read, for one form of the description."""
+    by_type = f"CASE type WHEN 'text' THEN {template(V.TEMPLATE_TEXT, description)} ELSE {template(V.TEMPLATE_IMAGE, description)} END"
+    rows = "FROM clean WHERE type IN ('text', 'image')"
+    return f"""SELECT {lit(V.TEXT_MODEL)} AS model, {lit(V.PASSAGE_PREFIX)} || {by_type} AS t {rows}
+        UNION SELECT {lit(V.JOINT_MODEL)}, {by_type} {rows}
+        UNION SELECT {lit(V.JOINT_MODEL)}, {template(V.TEMPLATE_UNIFIED, description)} {rows}"""
+
+
+_EARLIER = "CASE WHEN doc_id % 5 = 0 THEN 'earlier ' || description_llm ELSE description_llm END"
+VIEWS["asked_first"], VIEWS["asked_second"] = _sources_of(_EARLIER), _sources_of("description_llm")
+VIEWS["asked_files"] = "SELECT DISTINCT d.text AS t FROM clean JOIN documents d USING (doc_id) WHERE type = 'image' AND doc_id % 4 <> 0"
+_QUERIES["rebuild_encodes"] = f"""
+    SELECT run, model, kind, count(*) AS encoded FROM (
+        SELECT 'first' AS run, model, 'text' AS kind, t FROM asked_first
+        UNION ALL SELECT 'second', model, 'text', t FROM (SELECT * FROM asked_second EXCEPT SELECT * FROM asked_first)
+        UNION ALL SELECT 'first', {lit(V.JOINT_MODEL)}, 'image', t FROM asked_files)
+    WHERE regexp_matches(lower(t), '{WORD}') GROUP BY run, model, kind"""
 _QUERIES["topk_search_grid"] = _QUERIES["topk_search"]
 _QUERIES["stream_quality"] = _QUERIES["retrieval_macro"]
 

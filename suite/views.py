@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from folioscope import fixed_values as V
 from folioscope.functions import encoders as E
 from folioscope.operators import corpus
-from folioscope.plans import approaches
-from folioscope.session import spread
+from folioscope.plans import approaches, vector_cache
+from folioscope.session import scratch_path, spread
 
 STOP_PHRASES = ["licensed under", "all rights reserved", "copyright"]
 UNBUILT = "approach_0_unbuilt"
@@ -189,14 +189,28 @@ def word_encoders(width=64):
     }
 
 
-def built_annotations(spark, sf):
+def built_annotations(spark, sf, rows=None, cache=None):
     """The clean annotations under every approach, encoded from their texts and files."""
     files = image_bytes(spark, sf).withColumn(
         "content_path", F.regexp_replace("content_path", r"/(\d+)\.png$", r"/$1"))
-    paths = clean(spark, sf).withColumn(
+    paths = (clean(spark, sf) if rows is None else rows).withColumn(
         "content_path", F.when(F.col("type") == "image", F.concat(F.lit("images/"), "doc_id")))
     return approaches.build(
-        approaches.with_image_bytes(paths, files), word_encoders(), element_type="double")
+        approaches.with_image_bytes(paths, files), word_encoders(), element_type="double", cache=cache)
+
+
+def earlier_annotations(spark, sf):
+    """The annotations as they were before every fifth got its present description."""
+    old = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("earlier "), "description_llm")).otherwise(F.col("description_llm"))
+    return clean(spark, sf).withColumn("description_llm", old)
+
+
+def rebuilt(spark, sf):
+    """(cache, items): a build over the earlier annotations, then one over the present ones with the same cache."""
+    path = scratch_path(spark, "vector-cache")
+    built_annotations(spark, sf, earlier_annotations(spark, sf), vector_cache.Cache(spark, path, "first"))
+    cache = vector_cache.Cache(spark, path, "second")
+    return cache, built_annotations(spark, sf, cache=cache)
 
 
 def items(spark, sf, texts=False):
