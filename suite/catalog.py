@@ -4,10 +4,10 @@ from pyspark.sql import functions as F
 
 from folioscope import fixed_values as V, schemas
 from folioscope.functions import encoders, text as X, vectors as U
-from folioscope.operators import corpus, embedtext, images, profile, ratings, search, votes
+from folioscope.operators import clusters, corpus, embedtext, images, profile, ratings, search, votes
 from folioscope.plans import annotate, approaches, judge, search as search_plan
 from folioscope.session import scratch_path, stored
-from folioscope.sources import annotations, evaluations, records, vectors
+from folioscope.sources import annotations, evaluations, records, vectors, versions
 from folioscope.streaming import annotations as annotation_stream, evaluations as vote_stream, quality as quality_stream
 
 from . import views
@@ -200,6 +200,16 @@ def topk_search_grid(spark, sf):
     return search.top_k(items, asked, keep=("label",), max_sent_queries=1000)
 
 
+@query
+def topk_search_clustered(spark, sf):
+    """The same answers from a store with clusters, of which a query reads those that can matter."""
+    items, asked = _own_vectors(spark, sf)
+    path = scratch_path(spark, "clustered")
+    rows = clusters.clustered(stored(items, "items"))
+    versions.replace(rows, path, partition_by=("cluster",))
+    return clusters.top_k(versions.read(spark, path, rows.schema), asked, keep=("label",))
+
+
 @query
 def dual_search(spark, sf):
     return search.top_k(views.items(spark, sf), views.query_vectors(spark, sf), by=BY, keep=("page",))

@@ -504,7 +504,7 @@ _QUERIES["rebuild_encodes"] = f"""
         UNION ALL SELECT 'second', model, 'text', t FROM (SELECT * FROM asked_second EXCEPT SELECT * FROM asked_first)
         UNION ALL SELECT 'first', {lit(V.JOINT_MODEL)}, 'image', t FROM asked_files)
     WHERE regexp_matches(lower(t), '{WORD}') GROUP BY run, model, kind"""
-_QUERIES["topk_search_grid"] = _QUERIES["topk_search"]
+_QUERIES["topk_search_grid"] = _QUERIES["topk_search_clustered"] = _QUERIES["topk_search"]
 _QUERIES["stream_quality"] = _QUERIES["retrieval_macro"]
 
 SQL = {name: with_views(sql) for name, sql in _QUERIES.items()}

@@ -1,0 +1,66 @@
+"""Search by clusters gives the answers of the full search, and reads less where vectors do cluster."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from folioscope.operators import clusters, search
+from folioscope.session import stored
+from folioscope.sources import versions
+
+SCHEMA = "id long, g string, vector array<double>, label int"
+
+
+def answers(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def compare(spark, items, queries, path=None, **more):
+    items, queries = spark.createDataFrame(items, SCHEMA), spark.createDataFrame(queries, "query_id long, g string, vector array<double>")
+    options = {"by": ("g",), "keep": ("label",), **more}
+    rows = clusters.clustered(stored(items), ("g",), pivots=8, sample=200)
+    if path:
+        versions.replace(rows, path, partition_by=("g", "cluster"))
+        rows = versions.read(spark, path, rows.schema)
+    else:
+        rows = stored(rows)
+    report = {}
+    assert answers(clusters.top_k(rows, queries, report=report, **options)) == answers(search.top_k(items, queries, **options))
+    return report, rows
+
+
+def test_clustered_vectors_are_mostly_left_out(spark, tmp_path):
+    draw = np.random.default_rng(1)
+    centres = draw.normal(size=(8, 16))
+    points = [(int(i), "ab"[i % 2], (centres[i % 8] + 0.1 * draw.normal(size=16)).tolist(), int(i % 8)) for i in range(1200)]
+    asked = [(int(i), "ab"[i % 2], (centres[i % 8] + 0.1 * draw.normal(size=16)).tolist()) for i in range(20)]
+    report, rows = compare(spark, points, asked, str(tmp_path / "store"))
+    assert report["pairs_scored"] < 0.5 and report["rows_opened"] <= 1
+    some = [a for a in asked if a[0] in (2, 3)]
+    report, _ = compare(spark, points, some, str(tmp_path / "again"), k=3)
+    assert report["rows_opened"] < 0.6
+    # pruning is by folder: the clusters of a group that a query asks for
+    assert rows.select("g", "cluster").distinct().count() <= 16
+
+
+@pytest.mark.parametrize("k", [1, 7, 500])
+def test_random_vectors_ties_and_odd_rows(spark, k):
+    """Copies, zero vectors, missing and unsound ones, a group without items, a query of zeros, fewer items than k."""
+    draw = np.random.default_rng(k)
+    points = [(int(i), "ab"[i % 2], np.round(draw.normal(size=3), 0).tolist(), 0) for i in range(300)]
+    points += [(1000 + i, "a", [0.0, 0.0, 0.0], 1) for i in range(9)] + [(2000 + i, "a", [1.0, 2.0, 2.0], 2) for i in range(40)]
+    points += [(3000, "a", None, 3), (3001, "a", [1.0, float("nan"), 0.0], 3), (3002, None, [1.0, 0.0, 0.0], 3), (3003, "z", [0.0, 0.0, 0.0], 3)]
+    asked = [(i, "abz"[i % 3], draw.normal(size=3).tolist()) for i in range(12)] + [(50, "a", [0.0, 0.0, 0.0]), (51, "c", [1.0, 0.0, 0.0]), (52, "a", None), (53, None, [1.0, 0.0, 0.0])]
+    compare(spark, points, asked, k=k)
+
+
+def test_nothing(spark):
+    compare(spark, [], [(1, "a", [1.0, 0.0])])
+    compare(spark, [(1, "a", [1.0, 0.0], 1)], [])
+
+
+def test_without_groups(spark):
+    draw = np.random.default_rng(3)
+    items = stored(spark.createDataFrame([(int(i), draw.normal(size=4).tolist()) for i in range(200)], "id long, vector array<double>"))
+    asked = items.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
+    assert answers(clusters.top_k(stored(clusters.clustered(items, pivots=5)), asked)) == answers(search.top_k(items, asked))
