@@ -52,7 +52,7 @@ def _keywords(text):
 
 def annotations(spark, sf):
     d, text = F.col("doc_id"), F.col("text")
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = documents(spark, sf)
     page = F.floor(d / 10).cast("int") + 1
     key = F.concat(
         F.lit("p"), page, F.when(d % 3 == 0, "_img_").otherwise("_txt_"), d % 10

@@ -122,4 +122,49 @@ def test_ngram_counts_by_brute_force(spark):
 def test_top_lists_do_not_sort_everything(spark):
     df = annotations(spark, [("a", 1, "text", "x", "k")])
     assert "TakeOrderedAndProject" in plan(profile.top_pages(df))
-    assert "partial_count" in plan(profile.top_ngrams(df)) and "TakeOrderedAndProject" in plan(profile.top_ngrams(df))
+
+
+@pytest.mark.parametrize("buckets", [1, 7, 64, 1 << 16])
+def test_frequent_words_are_proven(spark, monkeypatch, buckets):
+    """However few buckets share the vocabulary: ties, a list longer than the vocabulary, rare words in full buckets."""
+    monkeypatch.setattr(profile, "BUCKETS", buckets)
+    rng = random.Random(buckets)
+    words = [f"w{min(int(rng.paretovariate(0.7)), 400)}" for _ in range(3000)]
+    df = spark.createDataFrame([(" ".join(words[i:i + 50]),) for i in range(0, 3000, 50)] + [(None,), ("",)], "description_llm string")
+    count = Counter(words)
+    for n in (1, 5, 40, 1000):
+        want = sorted(count.items(), key=lambda x: (-x[1], x[0]))[:n]
+        got = profile.word_frequency(df, stop=["w1"], n=n).collect()
+        want = [(w, c) for w, c in sorted(count.items(), key=lambda x: (-x[1], x[0])) if w != "w1"][:n]
+        assert [(r.word, r["items"]) for r in sorted(got, key=lambda r: (-r["items"], r.word))] == want
+
+
+def test_what_is_shuffled_first_does_not_grow_with_the_vocabulary(spark, monkeypatch):
+    """Rows that leave the first pass: buckets, not words."""
+    monkeypatch.setattr(profile, "BUCKETS", 8)
+    seen, own = [], profile._frequent
+    df = spark.range(20_000).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("description_llm")).union(
+        spark.createDataFrame([("aa",)] * 50 + [("bb",)] * 30, "description_llm string"))
+
+    def counted(grams, columns, n):
+        bucket = F.pmod(F.xxhash64(*columns), F.lit(profile.BUCKETS))
+        seen.append(grams.groupBy(bucket).count().count())
+        return own(grams, columns, n)
+
+    monkeypatch.setattr(profile, "_frequent", counted)
+    got = profile.word_frequency(df, stop=[], n=2).collect()
+    assert seen == [8] and sorted((r.word, r["items"]) for r in got) == [("aa", 50), ("bb", 30)]
+
+
+def test_quartiles_by_several_rounds(spark, monkeypatch):
+    """Few ranges and few values at once: brackets narrow until a value is told, also between extreme values."""
+    monkeypatch.setattr(profile, "BRACKETS", 4)
+    monkeypatch.setattr(profile, "FEW", 3)
+    rng = random.Random(5)
+    for values in ([rng.random() for _ in range(300)] + [1e300, -1e300, float("inf"), float("nan"), None],
+                   [rng.choice([1.0, 2.0, 2.0 + 1e-12]) for _ in range(200)], [float(x) for x in range(1000)], [7.0], [1e308, -1e308, 0.0, 5.0]):
+        df = spark.createDataFrame([(v,) for v in values], "x double")
+        row = profile.describe(df, ["x"]).first()
+        want = pd.Series([v for v in values if v is not None and abs(v) < float("inf")]).quantile([0.25, 0.5, 0.75])
+        assert [row.p25, row.p50, row.p75] == pytest.approx(list(want))
+    assert profile.describe(spark.createDataFrame([], "x double"), ["x"]).count() == 0
