@@ -2,9 +2,10 @@
 
 Documents with equal shingle sets are one class from the start, so copies meet no further
 step. Class representatives get a SuperMinHash signature; equal bands put them into
-buckets. In a bucket a pivot is compared with the rest, on their full sets; members of
-buckets that still hold several groups meet again under narrower keys. In buckets that
-hold several groups even then, all members of different groups are compared.
+buckets. In a bucket a pivot is compared with the rest, on their full sets, which joins what is
+much alike. Buckets that hold several groups even then are cut into blocks of texts. Blocks meet in tasks
+of their own, where full sets are compared exactly, and a union-find leaves only links that join
+groups: no pair of members is ever a row.
 """
 
 import numpy as np
@@ -12,16 +13,17 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from . import components
-from .arrow import Texts, batch, over_texts
+from .arrow import Texts, over_texts
 from .shared import stored
-from .words import U, Words, mix, per_row, run_names
+from .words import U, Words, mix, per_row
 
 SLOTS = 128
 BAND = 4  # slots per band; a pair at 0.8 shares none of the 32 bands with probability 5e-8
 ESTIMATE_SLACK = 0.18  # a pair whose signatures agree this much less than asked, five deviations, is not verified
 STEP = U(0x9E3779B97F4A7C15)
-BLOCK = 1024  # members of a bucket that meet those of another block in one task
-FAMILY, FAMILY_SHINGLES = 256, 100_000  # texts, and their shingles, that are verified against another block's in one task
+FAMILY, FAMILY_SHINGLES = 512, 200_000  # texts, and their shingles, of a block
+PURE = 64  # members of one group in a family that get blocks of their own, which need not meet each other
+SPARSE, WIDE = 8, 4096  # texts of a shingle up to which its pairs are counted one by one; shingles of a matrix product
 
 
 def shingles(texts, width, lower=True):
@@ -92,9 +94,19 @@ def signatures(rows, names, n_rows, slots=SLOTS):
     return table
 
 
+def nodes(docs, id_col, text_col):
+    """(id, text): the node of a row is its id and its text, so rows that share an id are compared by their own texts.
+
+    Nodes are ordered by id, null ids last.
+    """
+    id_, text = docs[id_col], docs[text_col].cast("string")
+    return docs.select(F.struct(id_.isNull().alias("none"), id_.alias("id"), F.xxhash64(text).alias("h")).alias("id"), text.alias("text"))
+
+
 def signed(docs, id_col, text_col, width, lower=True):
-    """(id, n_shingles, set_a, set_b, sig, bands) of each row."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    """(id, n_shingles, set_a, set_b, sig, bands) of each row; ``id`` is the row's node."""
+    rows = nodes(docs, id_col, text_col)
+    kind = rows.schema["id"].dataType.simpleString()
 
     def work(piece):
         texts = Texts(piece.column(1))
@@ -120,7 +132,6 @@ def signed(docs, id_col, text_col, width, lower=True):
              pa.array(list(bands.view(np.int64)), pa.list_(pa.int64()))],
             names=["id", "n_shingles", "set_a", "set_b", "sig", "bands"])
 
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     return over_texts(rows, 1, work, f"id {kind}, n_shingles long, set_a long, set_b long, sig binary, bands array<long>")
 
 
@@ -163,155 +174,142 @@ def _verified(pairs, texts, width, lower, percent):
     return over_texts(both, 0, work, f"a {kind}, b {kind}", limit=2 << 20)
 
 
-def _compared(pairs, tested, signs, docs, id_col, text_col, width, lower, percent):
-    """(pairs looked at, links among them): estimated by signature, then verified on full sets."""
+def _compared(pairs, signs, docs, id_col, text_col, width, lower, percent):
+    """Links among pairs: estimated by signature, then verified on full sets."""
     pairs = (pairs.where("id <> pivot")
              .select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct())
-    if tested is not None:
-        pairs = pairs.join(tested, ["a", "b"], "left_anti")
     pairs = stored(pairs, "pairs")
     near = stored(_estimated(pairs, signs, percent / 100 - ESTIMATE_SLACK), "near")
     wanted = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
     texts = _texts(docs, id_col, text_col, wanted)
-    return pairs, stored(_verified(near, texts, width, lower, percent), "links")
+    return stored(_verified(near, texts, width, lower, percent), "links")
 
 
-def _agreeing(crowd, signs, least):
-    """Pairs of different groups in a bucket whose signatures agree in at least a share ``least`` of the slots.
+def _texts(docs, id_col, text_col, wanted):
+    """One text per wanted node."""
+    return stored(nodes(docs, id_col, text_col).join(wanted.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
 
-    Large buckets are cut into blocks and any two blocks meet in a task of their own, so
-    a hot bucket is many small tasks, and only pairs that agree become rows.
-    """
-    kind = crowd.schema["id"].dataType.simpleString()
-    n = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = crowd.hint("merge").join(signs.select("id", "sig"), "id").withColumn("own", F.pmod(F.xxhash64("id"), n).cast("int"))
-    rows = rows.select("bucket", "id", "group", "sig", "own", F.explode(F.sequence(F.lit(0), n - 1)).alias("other"))
-    rows = rows.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id", "group", "sig", "own")
 
+def intersections(rows, names, n, split):
+    """Sizes of the intersections of sets ``rows``/``names``: those before ``split`` with those from it on, or all with all at ``split`` n.
+
+    Shingles of few texts add their pairs one by one, the others by products of 0/1 matrices.
+    """
+    _, code, seen = np.unique(names, return_inverse=True, return_counts=True)
+    order = np.argsort(code, kind="stable")
+    code, rows = code[order], rows[order]
+    first = np.concatenate([[0], np.cumsum(seen)])[:-1]
+    total = np.zeros((n, n), np.float32)
+    for k in range(2, SPARSE + 1):
+        members = rows[first[seen == k][:, None] + np.arange(k)]
+        for i in range(k):
+            for j in range(i + 1, k):
+                np.add.at(total, (members[:, i], members[:, j]), 1)
+    total += total.T
+    dense = np.flatnonzero(seen > SPARSE)
+    for at in range(0, len(dense), WIDE):
+        some = dense[at:at + WIDE]
+        cells = np.concatenate([np.arange(first[c], first[c] + seen[c]) for c in some])
+        matrix = np.zeros((n, len(some)), np.float32)
+        matrix[rows[cells], np.searchsorted(some, code[cells])] = 1
+        if split < n:
+            total[:split, split:] += matrix[:split] @ matrix[split:].T
+        else:
+            total += matrix @ matrix.T
+    return (total[:split, split:] if split < n else total).astype(np.int64)
+
+
+def _spanning(pairs):
+    """Of pairs of numbers those that join what earlier ones have not joined: a union-find."""
+    root, keep = {}, []
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for k, (a, b) in enumerate(pairs):
+        x, y = find(a), find(b)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            keep.append(k)
+    return keep
+
+
+def _joined(meetings, kind, width, lower, percent):
+    """Links between groups, from rows (u, v, id, group, block, text) of the blocks u and v of a meeting."""
     def meet(key, table):
-        lo, hi = key[1].as_py(), key[2].as_py()
-        own = table.column("own").to_numpy()
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, SLOTS)
-        _, group = np.unique(table.column("group").to_numpy(), return_inverse=True)
-        right = np.flatnonzero(own == hi)
-        x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i in np.flatnonzero(own == lo):
-            at = right[right > i] if lo == hi else right
-            at = at[group[at] != group[i]]
-            at = at[(sig[at] == sig[i]).mean(1) >= least]
-            x.append(np.full(len(at), i))
-            y.append(at)
+        table = table.take(pa.array(np.argsort(table.column("block").to_numpy() != key[0].as_py(), kind="stable")))
+        n = table.num_rows
+        split = int((table.column("block").to_numpy() == key[0].as_py()).sum())
+        rows, names = shingles(Texts(table.column("text")), width, lower)
+        size = np.bincount(rows, minlength=n)
+        inter = intersections(rows, names, n, split)
+        codes = {}
+        group = np.array([codes.setdefault(tuple(g.values()), len(codes)) for g in table.column("group").to_pylist()])
+        union = size[:split, None] + (size[None, split:] if split < n else size[None, :]) - inter
+        x, y = np.nonzero((inter > 0) & (100 * inter >= percent * union))
+        y = y + split if split < n else y
+        apart = group[x] != group[y]
+        x, y = x[apart], y[apart]
+        _, one = np.unique(np.minimum(group[x], group[y]).astype(np.int64) * n + np.maximum(group[x], group[y]), return_index=True)
+        one = one[_spanning(list(zip(group[x[one]].tolist(), group[y[one]].tolist())))] if len(one) else one
         ids = table.column("id").combine_chunks()
-        return pa.table({"x": ids.take(pa.array(np.concatenate(x))), "y": ids.take(pa.array(np.concatenate(y)))})
+        return pa.table({"a": ids.take(pa.array(x[one])), "b": ids.take(pa.array(y[one]))})
 
-    met = rows.groupBy("bucket", "lo", "hi").applyInArrow(meet, f"x {kind}, y {kind}")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return meetings.groupBy("u", "v").applyInArrow(meet, f"a {kind}, b {kind}")
 
 
-def _verified_in_blocks(pairs, blocks, texts, width, lower, percent):
-    """As ``_verified``, for many pairs among few texts: a text is sent once per pair of blocks."""
-    kind = pairs.schema["a"].dataType.simpleString()
-    a = blocks.select(F.col("id").alias("a"), F.col("block").alias("block_a"))
-    b = blocks.select(F.col("id").alias("b"), F.col("block").alias("block_b"))
-    placed = stored(pairs.join(a, "a").join(b, "b").select(
-        "a", "b", F.least("block_a", "block_b").alias("u"), F.greatest("block_a", "block_b").alias("v")), "placed")
-    wanted = placed.select("u", "v", F.col("a").alias("id")).union(placed.select("u", "v", "b")).distinct()
-    # names of their own, since a cogroup cannot tell columns of one origin apart
-    sent = wanted.hint("merge").join(texts, "id").select(F.col("u").alias("u2"), F.col("v").alias("v2"), "id", "text")
-
-    def verify(pairs, members):
-        place = {x: k for k, x in enumerate(members.column("id").to_pylist())}
-        rows, names = shingles(Texts(members.column("text")), width, lower)
-        order = np.argsort(rows, kind="stable")
-        size = np.bincount(rows, minlength=len(place))
-        edges = np.concatenate([[0], np.cumsum(size)])
-        known, code = np.unique(names[order], return_inverse=True)
-        sets = [code[p:q] for p, q in zip(edges[:-1], edges[1:])]
-        x, y = (np.array([place[i] for i in pairs.column(c).to_pylist()], np.int64) for c in ("a", "b"))
-        keep = np.zeros(len(x), bool)
-        inside, now = np.zeros(len(known), bool), None
-        for k in np.argsort(x, kind="stable"):
-            if x[k] != now:
-                if now is not None:
-                    inside[sets[now]] = False
-                now = x[k]
-                inside[sets[now]] = True
-            inter = int(np.count_nonzero(inside[sets[y[k]]]))
-            union = int(size[now] + size[y[k]]) - inter
-            keep[k] = union > 0 and 100 * inter >= percent * union
-        return pairs.select(["a", "b"]).filter(pa.array(keep))
-
-    return placed.groupBy("u", "v").cogroup(sent.groupBy("u2", "v2")).applyInArrow(verify, f"a {kind}, b {kind}")
-
-
-def _texts(docs, id_col, text_col, wanted):
-    return stored(docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-                  .join(wanted.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
+def _rest(members, labels, signs, docs, id_col, text_col, width, lower, percent):
+    """Links between groups that still share a bucket.
 
-
-def _rest(members, labels, tested, signs, docs, id_col, text_col, width, lower, percent):
-    """Links between groups that still share a bucket: of its pairs, all that no pass has looked at."""
+    A member's family is its largest such bucket. Families are cut into blocks; a group with many members in a
+    family has blocks of its own. Two blocks meet if they share a bucket and hold more than one group together.
+    """
     held = stored(members.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("group")), "held")
     crowded = stored(held.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("n"))
                      .where("lo <> hi").select("bucket", "n"), "crowded")
     crowd = stored(held.join(crowded, "bucket"), "crowd")
-    near = _agreeing(crowd, signs, percent / 100 - ESTIMATE_SLACK)
-    near = stored(near.join(tested, ["a", "b"], "left_anti"), "near")
-    wanted = stored(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), "wanted")
-    # the members of a family mostly share their largest bucket
-    family = stored(crowd.join(wanted, "id", "left_semi").groupBy("id").agg(F.max(F.struct("n", "bucket")).alias("m"))
-                    .join(signs.select("id", "n_shingles"), "id").select("id", "n_shingles", F.col("m.bucket").alias("family")), "family")
-    sizes = stored(family.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / FAMILY, F.sum("n_shingles") / FAMILY_SHINGLES)).alias("n")), "sizes")
-    blocks = stored(family.join(sizes, "family").select("id", F.xxhash64("family", F.pmod(F.xxhash64("id"), "n")).alias("block")), "blocks")
-    return stored(_verified_in_blocks(near, blocks, _texts(docs, id_col, text_col, wanted), width, lower, percent), "links")
+    family = stored(crowd.groupBy("id", "group").agg(F.max(F.struct("n", "bucket")).alias("m"))
+                    .join(signs.select("id", "n_shingles"), "id").select("id", "group", "n_shingles", F.col("m.bucket").alias("family")), "family")
+    large = stored(family.groupBy("family", "group").agg(F.count("*").alias("n")).where(F.col("n") >= PURE)
+                   .select("family", "group", F.lit(True).alias("pure")), "large")
+    family = stored(family.join(large, ["family", "group"], "left").withColumn(
+        "lot", F.xxhash64("family", F.when(F.col("pure"), F.col("group")))), "lots")
+    sizes = stored(family.groupBy("lot").agg(F.ceil(F.greatest(F.count("*") / FAMILY, F.sum("n_shingles") / FAMILY_SHINGLES)).alias("n")), "sizes")
+    blocks = stored(family.join(sizes, "lot").select("id", "group", F.xxhash64("lot", F.pmod(F.xxhash64("id"), "n")).alias("block")), "blocks")
+    present = stored(crowd.select("bucket", "id").join(blocks, "id").groupBy("bucket", "block").agg(F.min("group").alias("lo"), F.max("group").alias("hi")), "present")
+    left, right = (present.select("bucket", *[F.col(c).alias(f"{c}_{side}") for c in ("block", "lo", "hi")]) for side in "uv")
+    several = F.least("lo_u", "lo_v") != F.greatest("hi_u", "hi_v")
+    pairs = left.join(right, "bucket").where((F.col("block_u") <= F.col("block_v")) & several).select(F.col("block_u").alias("u"), F.col("block_v").alias("v")).distinct()
+    pairs = stored(pairs, "meetings")
+    each = pairs.select("u", "v", F.explode(F.array_distinct(F.array("u", "v"))).alias("block"))
+    told = stored(blocks.join(_texts(docs, id_col, text_col, blocks.select("id")).hint("merge"), "id"), "told")
+    kind = signs.schema["id"].dataType.simpleString()
+    return stored(_joined(each.join(told, "block"), kind, width, lower, percent), "links")
 
 
 def _labels(members, signs, docs, *how):
     """(id, component) of the representatives that verified links connect.
 
-    A bucket's members are compared with one pivot each, drawn at random. A similar
-    pair shares 13 of the 32 buckets on average, each with a pivot of its own. Members of
-    buckets that hold several groups even so meet again under 64 keys of two bands each,
-    whose sharers are more alike, again one pivot per key, and only across groups. The
-    comparisons of these two passes grow with the members. What they leave, pairs of different
-    groups in one bucket, is then compared in full, whatever its number.
+    First a bucket's members are compared with one pivot each, drawn at random. A similar pair shares 13 of the
+    32 buckets on average, each with a pivot of its own, so most of a large group joins here, by
+    comparisons that grow with the members. What these leave, members of different groups in one bucket, is compared in blocks.
     """
     draw = F.xxhash64("id", "bucket")
-    pivots = members.groupBy("bucket").agg(F.min(F.struct(draw.alias("h"), F.col("id"))).alias("p"))
+    pivots = members.groupBy("bucket").agg(F.min(F.struct(draw.alias("draw"), F.col("id"))).alias("p"))
     pairs = members.join(stored(pivots.select("bucket", F.col("p.id").alias("pivot")), "pivots"), "bucket")
-    tested, found = _compared(pairs, None, signs, docs, *how)
-    labels = components.of(found)
-    held = members.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("group"))
-    still = stored(held.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("n"))
-                   .where("n > 2 AND lo <> hi").select("bucket"), "still")
-    open_ = stored(held.join(still, "bucket", "left_semi").select("id", "group").distinct(), "open")
-    n = SLOTS // BAND
-    keys = F.array(*[F.xxhash64(F.lit(step), F.lit(i), F.get("bands", F.lit(i)), F.get("bands", F.lit((i + step) % n)))
-                     for step in (1, 7) for i in range(n)])
-    deep = stored(signs.join(open_, "id").select("id", "group", F.explode(keys).alias("bucket")), "deep")
-    chosen = (deep.groupBy("bucket").agg(F.min(F.struct(draw.alias("h"), F.col("id").alias("pivot"), F.col("group").alias("own"))).alias("p"),
-                                         F.min("group").alias("lo"), F.max("group").alias("hi"))
-              .where("lo <> hi").select("bucket", "p.pivot", "p.own"))
-    pairs = deep.join(stored(chosen, "chosen"), "bucket").where("group <> own").select("id", "pivot")
-    again, more = _compared(pairs, tested, signs, docs, *how)
+    labels = components.of(_compared(pairs, signs, docs, *how))
+    rest = _rest(members, labels, signs, docs, *how)
     # the groups so far stand for the links behind them
-    labels = components.of(more.union(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))))
-    rest = _rest(members, labels, tested.union(again), signs, docs, *how)
     return components.of(rest.union(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))))
 
 
-def grouped(docs, id_col="doc_id", text_col="text", width=4, percent=80, lower=True):
-    """(id, n_shingles, component_id, kept) of each row.
-
-    Documents are linked where 100 * intersection >= percent * union of their sets of distinct
-    ``width``-word shingles of the lower-cased (A-Z) text; fewer words make one shingle.
-    ``component_id`` is the smallest id reachable by links, ``kept`` says that it is the own.
-    Null, empty and blank texts have no shingles and stand alone, and so does a null id,
-    whose component is null and which is kept. Rows that repeat an id are one document and
-    share its fate. An empty table gives an empty one. Other columns are not read.
-    """
+def _grouped(docs, id_col, text_col, width, percent, lower):
+    """(id, n_shingles, component): the node of each row and the smallest node reachable from it."""
     every = stored(signed(docs, id_col, text_col, width, lower), "signed")
-    real = every.where("id IS NOT NULL AND n_shingles > 0")
+    real = every.where("n_shingles > 0")
     classes = stored(
         real.groupBy("set_a", "set_b", "n_shingles")
         .agg(F.min(F.struct("id", "sig", "bands")).alias("rep"))
@@ -326,13 +324,39 @@ def grouped(docs, id_col="doc_id", text_col="text", width=4, percent=80, lower=T
         labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
         "set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component")), "of_class")
     found = every.select("id", "n_shingles", "set_a", "set_b").join(of_class, ["set_a", "set_b", "n_shingles"], "left")
-    component = F.when(F.col("id").isNull() | (F.col("n_shingles") == 0), F.col("id")).otherwise(F.col("component"))
-    return found.select(
-        F.col("id").alias(id_col), "n_shingles", component.alias("component_id"),
-        F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    return found.select("id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component")).alias("component"))
+
+
+def grouped(docs, id_col="doc_id", text_col="text", width=4, percent=80, lower=True):
+    """(id, n_shingles, component_id, kept) of each row.
+
+    Documents are linked where 100 * intersection >= percent * union of their sets of distinct
+    ``width``-word shingles of the lower-cased (A-Z) text; fewer words make one shingle.
+    ``component_id`` is the smallest id reachable by links, ``kept`` says that it is the own.
+    Null, empty and blank texts have no shingles and stand alone. Each row is judged by its own text, also
+    where rows repeat an id. A row without an id links like others; its component is null only where nobody in it has an
+    id, and one text of such a component is kept. Ids may be of any type that can be ordered. Texts count whole, whatever their
+    length. An empty table gives an empty one. Other columns are not read.
+    """
+    found = _grouped(docs, id_col, text_col, width, percent, lower)
+    kept = F.when(F.col("component.id").isNull(), F.col("id") == F.col("component")).otherwise(F.coalesce(F.col("id.id") == F.col("component.id"), F.lit(False)))
+    return found.select(F.col("id.id").alias(id_col), "n_shingles", F.col("component.id").alias("component_id"), kept.alias("kept"))
 
 
 def representatives(docs, id_col="doc_id", text_col="text", width=5, percent=80):
-    """The rows of ``docs`` that stay: one document of each group, all columns as they were."""
-    gone = grouped(docs, id_col, text_col, width, percent).where("NOT kept").select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """The rows of ``docs`` that stay: one row of each group, all columns as they were.
+
+    The row with the smallest id stays; of rows with this id and its text, one. Texts without words all stay, but of rows with
+    one id only one. Nothing else is looked at to tell rows apart.
+    """
+    found = stored(_grouped(docs, id_col, text_col, width, percent, True), "grouped")
+    name = [f"__node{k}" for k in range(len(docs.columns) + 2) if f"__node{k}" not in docs.columns][0]
+    rows = docs.withColumn(name, F.struct(docs[id_col].isNull().alias("none"), docs[id_col].alias("id"), F.xxhash64(docs[text_col].cast("string")).alias("h")))
+    # one row per node; a null id without words is nobody's copy
+    several = found.where((F.col("id") == F.col("component")) & ~((F.col("n_shingles") == 0) & F.col("id.none"))).groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+    several = stored(several.select(F.col("id").alias("__several")), "several")
+    gone = found.where("id <> component").select(F.col("id").alias("__gone"))
+    gone = stored(gone.union(several).distinct(), "gone")
+    once = rows.join(gone, F.col(name) == F.col("__gone"), "left_anti")
+    packed = rows.join(several, F.col(name) == F.col("__several"), "left_semi").groupBy(name).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
+    return once.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(packed.select("row.*"))

@@ -84,21 +84,76 @@ def template_families(draw, heavy=400, pairs=12):
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize("block,family", [(1024, 256), (40, 9)])
-def test_similar_pairs_in_crowded_buckets(spark, monkeypatch, block, family):
+@pytest.mark.parametrize("family,pure", [(512, 64), (9, 4), (40, 2)])
+def test_similar_pairs_in_crowded_buckets(spark, monkeypatch, family, pure):
     """No pivot need be one of the pair: what the pivots leave in a bucket is compared in full."""
-    monkeypatch.setattr(near_dup, "BLOCK", block)
     monkeypatch.setattr(near_dup, "FAMILY", family)
+    monkeypatch.setattr(near_dup, "PURE", pure)
     check(spark, template_families(random.Random(6)))
 
 
+def test_pairs_never_become_rows(spark, monkeypatch):
+    """Many texts at just under 0.8 to each other: the links that leave the tasks join groups, and are fewer than the members."""
+    seen, own = [], near_dup._joined
+
+    def counted(*args):
+        out = own(*args)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dup, "_joined", counted)
+    monkeypatch.setattr(near_dup, "FAMILY", 50)
+    draw = random.Random(9)
+    words = [f"w{i}" for i in range(200)]
+    docs = []
+    for i in range(300):
+        text = list(words)
+        for k in draw.sample(range(200), draw.choice([4, 6, 8])):
+            text[k] = f"n{i}x{k}"
+        docs.append((i, " ".join(text)))
+    check(spark, docs)
+    assert sum(seen) < 300
+
+
+def test_intersections():
+    draw = np.random.default_rng(5)
+    sets = [set(draw.choice(60, draw.integers(0, 40), replace=False).tolist()) | {1000 + i} for i in range(30)]
+    rows = np.array([i for i, s in enumerate(sets) for _ in s])
+    names = np.array([x for s in sets for x in s], np.uint64)
+    want = np.array([[len(a & b) for b in sets] for a in sets])
+    for wide in (4096, 7):
+        near_dup.WIDE = wide
+        got = near_dup.intersections(rows, names, 30, 30)
+        assert (got - np.diag(np.diag(got)) == want - np.diag(np.diag(want))).all()
+        assert (near_dup.intersections(rows, names, 30, 11) == want[:11, 11:]).all()
+    near_dup.WIDE = 4096
+
+
 def test_odd(spark):
     check(spark, list(enumerate([None, "", " ", "a", "A", "a b c", "a  b\nc", "a b c d", "a b c d", "x " * 5000, "x " * 5, "É", "é"])))
-    df = spark.createDataFrame([(None, "a b"), (None, "a b"), (5, "a b"), (5, "a b"), (9, "A B")], "doc_id long, text string")
+    df = spark.createDataFrame([(None, "a b"), (None, "A b"), (5, "a b"), (5, "a b"), (9, "A B"), (None, "q"), (None, "Q"), (None, None), (None, ""), (7, None), (7, None)], "doc_id long, text string")
     got = sorted(map(tuple, near_dup.grouped(df).collect()), key=str)
-    assert got == sorted([(None, 1, None, True)] * 2 + [(5, 1, 5, True)] * 2 + [(9, 1, 5, False)], key=str)
+    assert [r for r in got if r[0] is not None or r[2] is not None] == sorted(
+        [(None, 1, 5, False)] * 2 + [(5, 1, 5, True)] * 2 + [(9, 1, 5, False)] + [(7, 0, 7, True)] * 2, key=str)
+    assert sorted(r for r in got if r[0] is None and r[2] is None) == [(None, 0, None, True)] * 2 + [(None, 1, None, False), (None, 1, None, True)]
     assert near_dup.grouped(df.limit(0)).count() == 0
-    assert sorted(r["text"] for r in near_dup.representatives(df).collect()) == ["a b"] * 4
+    kept = [tuple(r) for r in near_dup.representatives(df).collect()]
+    assert sorted(kept, key=str) in [sorted([(5, "a b"), (None, q), (None, None), (None, ""), (7, None)], key=str) for q in ("q", "Q")]
+
+
+def test_two_texts_under_one_id(spark):
+    """Each row is judged by its own text."""
+    words = [f"w{i}" for i in range(101)]
+    docs = [(1, "another text altogether " * 9), (1, " ".join(words)), (2, " ".join(words[1:])), (3, " ".join(words[:50])), (3, " ".join(words[2:]))]
+    df = spark.createDataFrame([(i, t, "x", 0) for i, t in docs], "doc_id long, text string, __node0 string, n int")
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in near_dup.grouped(df).collect()) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (3, 3, True)]
+    kept = near_dup.representatives(df)
+    assert kept.columns == df.columns and sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([docs[0], docs[1], docs[3]])
+
+
+def test_ids_that_are_texts(spark):
+    df = spark.createDataFrame([("b", "one two three"), ("a", "one two three"), (None, "one two three")], "doc_id string, text string")
+    assert sorted((str(r.doc_id), r.component_id, r.kept) for r in near_dup.grouped(df).collect()) == [("None", "a", False), ("a", "a", True), ("b", "a", False)]
 
 
 def test_signature_is_the_minimum_over_all_levels():
