@@ -7,11 +7,12 @@ join these few shingles; places where a window would not fit are passed over, an
 others are compared word by word with the window.
 """
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from .shared import stored
 
 WINDOW = 10
+SENT_BYTES = 16 << 20  # prefixes sent out to all tasks; more are joined by a shuffle
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: what separates words before A-Z are lower-cased, and the words themselves
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -71,9 +72,10 @@ def _prefixes(wins, docs):
 
 
 def _key(docs, id_col, text_col):
-    """Columns that are never null and differ where id or text differ."""
+    """Columns that are never null and differ where id or text differ. Ids that are no whole numbers count by their hash."""
     id_, text = docs[id_col], docs[text_col].cast("string")
-    return F.coalesce(id_.cast("long"), F.lit(0)), F.xxhash64(id_.isNull(), text)
+    number = id_.cast("long") if isinstance(docs.schema[id_col].dataType, T.IntegralType) else F.xxhash64(id_)
+    return F.coalesce(number, F.lit(0).cast("long")), F.xxhash64(id_.isNull(), text)
 
 
 def keyed(docs, id_col, text_col):
@@ -81,11 +83,30 @@ def keyed(docs, id_col, text_col):
     return docs.select(i.alias("i"), h.alias("h"), docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
 
 
-def _judged(docs, items, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", width=WINDOW):
-    """``hits`` with the key (__i, __h) of each row."""
-    rows = keyed(docs, id_col, text_col)
-    wins = windows(items, item_col, item_text_col, width)
-    prefixes = stored(_prefixes(stored(wins, "windows"), rows), "prefixes")
+def _found_at_once(rows, prefixes):
+    """(i, h, id, n, copies, found): the occurring windows of each row, told where its words are cut; no text is moved.
+
+    Each row gives one marker, an element without words, and one element per word. Elements meet the prefixes, which are
+    sent out, and a window that fits is compared as text: its words hold no blank.
+    """
+    cut = rows.select("i", "h", "id", words(F.col("text")).alias("words"))
+    pairs = F.arrays_zip(F.col("words").alias("a"), F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))).alias("b"))
+    none = F.array(F.struct(F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b")))
+    cut = cut.select("i", "h", "id", "words", F.greatest(F.coalesce(F.size("words"), F.lit(0)), F.lit(0)).alias("n"),
+                     F.posexplode(F.concat(none, F.coalesce(pairs, none))).alias("at", "s"))
+    cut = cut.where("at = 0 OR s.a IS NOT NULL").select("i", "h", "id", "words", "n", (F.col("at") - 1).alias("at"), F.lower("s.a").alias("one"), F.lower("s.b").alias("two"))
+    p = prefixes.select(F.col("one").alias("o"), F.col("two").alias("t"), F.concat_ws(" ", "window").alias("said"), "size", "items", "skip")
+    start = F.col("at") - F.col("skip")
+    same = low(F.concat_ws(" ", F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("size")))) == F.col("said")
+    met = cut.join(F.broadcast(p), (F.col("one") == F.col("o")) & (F.col("t").isNull() | (F.col("two") == F.col("t"))), "left")
+    met = met.where((F.col("at") == -1) | F.col("said").isNotNull() & (start >= 0) & (start + F.col("size") <= F.col("n")) & same)
+    hit = F.when(F.col("at") >= 0, F.struct(start.alias("start"), F.col("size"), F.col("items")))
+    return met.groupBy("i", "h").agg(
+        F.first("id", ignorenulls=True).alias("id"), F.max("n").alias("n"), F.count_if(F.col("at") == -1).alias("copies"), F.collect_set(hit).alias("found"))
+
+
+def _found_by_join(rows, prefixes):
+    """The same for prefixes of any number: documents join them by a shuffle, and texts with candidates are read again."""
     p = prefixes.select(F.col("one").alias("o"), F.col("two").alias("t"), "window", "size", "items", "skip")
     start = F.col("at") - F.col("skip")
     fits = (start >= 0) & (start + F.col("size") <= F.col("n"))
@@ -98,16 +119,26 @@ def _judged(docs, items, id_col="doc_id", text_col="text", item_col="item_id", i
 
     # one array element binds the words, which would else be cut again for every candidate
     found = F.get(F.transform(F.array(words(F.col("text"))), lambda cut: F.filter("near", same(cut))), 0)
-    out = rows.join(near, ["i", "h"], "left").select(
-        "i", "h", "id", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"),
-        F.when(F.col("near").isNotNull(), found).alias("found"))
-    places = F.flatten(F.transform("found", lambda c: F.sequence(c["start"], c["start"] + F.size(c["window"]) - 1)))
+    found = F.transform(F.when(F.col("near").isNotNull(), found), lambda c: F.struct(c["start"].alias("start"), F.size(c["window"]).alias("size"), c["items"].alias("items")))
+    return rows.join(near, ["i", "h"], "left").select(
+        "i", "h", "id", F.greatest(F.coalesce(F.size(words(F.col("text"))), F.lit(0)), F.lit(0)).alias("n"), F.lit(1).cast("long").alias("copies"), found.alias("found"))
+
+
+def _judged(docs, items, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", width=WINDOW, sent_bytes=SENT_BYTES):
+    """``hits`` with the key (i, h) of each row, and the id as ``id``."""
+    rows = keyed(docs, id_col, text_col)
+    wins = windows(items, item_col, item_text_col, width)
+    prefixes = stored(_prefixes(stored(wins, "windows"), rows), "prefixes")
+    size = prefixes.agg(F.sum(F.length(F.to_json(F.struct("window", "items"))) + 100).alias("n")).first()["n"] or 0
+    found = _found_at_once(rows, prefixes) if size <= sent_bytes else _found_by_join(rows, prefixes)
+    places = F.flatten(F.transform("found", lambda c: F.sequence(c["start"], c["start"] + c["size"] - 1)))
     listed = F.sort_array(F.array_distinct(F.flatten(F.transform("found", lambda c: c["items"]))))
-    out = out.select("i", "h", "id", "n_words", F.coalesce(F.size(F.array_distinct(places)), F.lit(0)).cast("long").alias("n_hit"),
-                     F.coalesce(listed, F.array().cast("array<string>")).alias("items"))
-    out = out.withColumn("n_hit", F.greatest("n_hit", F.lit(0)))
-    return out.select(F.col("i").alias("__i"), F.col("h").alias("__h"), F.col("id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items",
-                      (F.col("n_hit") > 0).alias("contaminated"))
+    out = found.select("i", "h", "id", F.col("n").cast("long").alias("n_words"), "copies",
+                       F.greatest(F.coalesce(F.size(F.array_distinct(places)), F.lit(0)), F.lit(0)).cast("long").alias("n_hit"),
+                       F.coalesce(listed, F.array().cast("array<string>")).alias("items"))
+    # rows that are equal in id and text were told as one
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return out.select("i", "h", "id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def hits(docs, items, id_col="doc_id", text_col="text", **more):
@@ -117,9 +148,9 @@ def hits(docs, items, id_col="doc_id", text_col="text", **more):
     an occurring window, as sorted strings. Null, empty and wordless texts have no words and
     no hits; null and wordless items have no windows, and an item whose id is null hits words
     without being listed. Repeated rows of either table are judged alike and count once per
-    row or id. Empty tables give no rows, or rows without hits. Other columns are not read.
+    row or id. Ids may be of any simple type; texts of any length are judged whole. Empty tables give no rows, or rows without hits. Other columns are not read.
     """
-    return _judged(docs, items, id_col, text_col, **more).drop("__i", "__h")
+    return _judged(docs, items, id_col, text_col, **more).drop("i", "h").withColumnRenamed("id", id_col)
 
 
 def clean(docs, items, id_col="doc_id", text_col="text", **more):
@@ -128,6 +159,8 @@ def clean(docs, items, id_col="doc_id", text_col="text", **more):
     A row is judged by its own text: rows that repeat an id with another text, and rows
     with a null id, go or stay one by one.
     """
-    bad = _judged(docs, items, id_col, text_col, **more).where("contaminated").select("__i", "__h").distinct()
+    bad = _judged(docs, items, id_col, text_col, **more).where("contaminated").select(F.struct("i", "h").alias("key")).distinct()
     i, h = _key(docs, id_col, text_col)
-    return docs.join(stored(bad, "contaminated"), (i == F.col("__i")) & (h == F.col("__h")), "left_anti")
+    free = next(n for n in (f"__bad{k}" for k in range(len(docs.columns) + 1)) if n not in docs.columns)
+    bad = stored(bad.withColumnRenamed("key", free), "contaminated")
+    return docs.join(bad, (i == bad[free]["i"]) & (h == bad[free]["h"]), "left_anti")

@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from .words import U, mix
 
@@ -47,9 +47,10 @@ def anchors(names, allowed, first, last, ends, width):
 
 
 def keyed(docs, id_col, text_col):
-    """(i, h, id, text): ``i`` and ``h`` are never null and differ where id or text differ."""
+    """(i, h, id, text): ``i`` and ``h`` are never null and differ where id or text differ. Ids that are no whole numbers count by their hash."""
     id_, text = docs[id_col], docs[text_col].cast("string")
-    return docs.select(F.coalesce(id_.cast("long"), F.lit(0)).alias("i"),
+    number = id_.cast("long") if isinstance(docs.schema[id_col].dataType, T.IntegralType) else F.xxhash64(id_)
+    return docs.select(F.coalesce(number, F.lit(0).cast("long")).alias("i"),
                        F.xxhash64(id_.isNull(), text).alias("h"), id_.alias("id"), text.alias("text"))
 
 

@@ -40,6 +40,8 @@ def check(spark, docs, items, **more):
     got = decontaminate.hits(d, b, **more)
     assert got.columns == ["doc_id", "n_words", "n_hit", "n_items", "items", "contaminated"]
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(docs, items, **more)
+    joined = decontaminate.hits(d, b, sent_bytes=-1, **more)
+    assert sorted((tuple(r) for r in joined.collect()), key=str) == brute(docs, items, **more)
     return got
 
 
@@ -78,6 +80,14 @@ def test_clean_and_plan(spark):
     assert "Python" not in text and "Arrow" not in text and "NestedLoop" not in text and "Cartesian" not in text
 
 
+def test_ids_that_are_texts_and_names_that_clash(spark):
+    d = spark.createDataFrame([("a", "alpha beta", 1, 2, 3), ("b", "beta", 4, 5, 6), (None, "beta", 7, 8, 9)], "doc_id string, text string, __i int, __h int, __bad0 int")
+    b = spark.createDataFrame([("x", "alpha beta")], "item_id string, text string")
+    assert sorted((str(r.doc_id), r.n_hit, r["items"]) for r in decontaminate.hits(d, b).collect()) == [("None", 0, []), ("a", 2, ["x"]), ("b", 0, [])]
+    got = decontaminate.clean(d, b)
+    assert got.columns == d.columns and sorted(r["__i"] for r in got.collect()) == [4, 7]
+
+
 def test_clean_judges_rows_by_their_text(spark):
     rows = [(None, "alpha beta", "gone"), (None, "clean", "a"), (None, None, "b"), (None, "clean", "c"), (None, "x Alpha, beta", "gone"),
             (7, "alpha beta", "gone"), (7, "other", "d"), (0, "clean", "e"), (0, None, "f"), (8, "alpha beta", "gone"), (8, "alpha beta", "gone")]
