@@ -1,24 +1,28 @@
 """Byte-level BPE: encode texts to token ids and back.
 
-Two tiers. A minimal perfect hash over the vocabulary resolves a pre-token that is itself a
-token. A pre-token that is not goes through the merges: its bytes form a linked list, a
-heap holds the mergeable neighbours by rank. A pre-token seen before in the same worker
-is taken from a table of bounded size.
+Texts are cut into pre-tokens in bulk (``pretokens``). Each different pre-token is looked up in two tiers. A
+minimal perfect hash over the vocabulary resolves one that is itself a token. One that is not goes through the merges: its
+bytes form a linked list, a heap holds the mergeable neighbours by rank. The ids of pre-tokens seen before in
+the same worker are kept in arrays of bounded size.
 """
 
 import base64
 import heapq
+import sys
+import zlib
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
-from .arrow import batch, over_texts
+from . import pretokens
+from .arrow import over_texts
 
-KNOWN_PIECES = 400_000  # pre-tokens a worker remembers; the table starts anew when full
-KNOWN_LENGTH = 64  # longer ones are not remembered
+PIECE_BYTES = 1 << 20  # text cut at once
+AT_ONCE = 1 << 20  # ids decoded at once
 
 
 def read_ranks(path):
@@ -31,32 +35,33 @@ class PerfectHash:
     """Minimal perfect hash of byte strings: hash, displace, and compare the key found.
 
     Keys go to buckets; large buckets first, each looks for the smallest displacement that
-    sends its keys to free places. There are as many places as keys.
+    sends its keys to free places. There are as many places as keys. All keys are one byte string, the rest are arrays of numbers.
     """
 
     def __init__(self, keys, values):
         n = self.n = len(keys)
         self.buckets = max(1, n // 4)
-        self.shift = [0] * self.buckets
-        self.keys, self.values = [None] * n, [None] * n
+        shift, at = [0] * self.buckets, [-1] * n
         members = [[] for _ in range(self.buckets)]
-        for key, value in zip(keys, values):
+        for k, key in enumerate(keys):
             h = xxhash.xxh3_64_intdigest(key)
-            members[h % self.buckets].append((h, key, value))
-        free = n
+            members[h % self.buckets].append((h, k))
         for b in sorted(range(self.buckets), key=lambda b: -len(members[b])):
             if not members[b]:
                 break
             d = 0
             while True:
-                places = [self.place(h, d) for h, _, _ in members[b]]
-                if len(set(places)) == len(places) and all(self.keys[p] is None for p in places):
+                places = [self.place(h, d) for h, _ in members[b]]
+                if len(set(places)) == len(places) and all(at[p] < 0 for p in places):
                     break
                 d += 1
-            self.shift[b] = d
-            for p, (_, key, value) in zip(places, members[b]):
-                self.keys[p], self.values[p] = key, value
-            free -= len(places)
+            shift[b] = d
+            for p, (_, k) in zip(places, members[b]):
+                at[p] = k
+        ordered = [keys[k] for k in at]
+        self.shift, self.values = np.array(shift, np.uint32), np.array([values[k] for k in at], np.int32)
+        self.blob = b"".join(ordered)
+        self.edges = np.concatenate([[0], np.cumsum([len(k) for k in ordered])]).astype(np.int64)
 
     def place(self, h, d):
         x = (h ^ (d * 0x9E3779B97F4A7C15)) & 0xFFFFFFFFFFFFFFFF
@@ -64,9 +69,15 @@ class PerfectHash:
         return (x ^ (x >> 32)) % self.n
 
     def get(self, key):
+        if not self.n:
+            return None
         h = xxhash.xxh3_64_intdigest(key)
-        p = self.place(h, self.shift[h % self.buckets])
-        return self.values[p] if self.keys[p] == key else None
+        p = self.place(h, int(self.shift[h % self.buckets]))
+        return int(self.values[p]) if self.blob[self.edges[p]:self.edges[p + 1]] == key else None
+
+    def items(self):
+        edges = self.edges.tolist()
+        return ((self.blob[a:b], v) for a, b, v in zip(edges[:-1], edges[1:], self.values.tolist()))
 
 
 def merge(piece, ranks):
@@ -111,57 +122,85 @@ class Codec:
     """Vocabulary of a rank file and the pattern that cuts texts before the merges."""
 
     def __init__(self, ranks, pattern):
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.whole = PerfectHash(list(ranks), list(ranks.values()))
-        self.bytes_of = {i: token for token, i in ranks.items()}
-        self.known = {}
+        self._set(PerfectHash(list(ranks), list(ranks.values())), pattern, pretokens.classes())
+
+    def _set(self, whole, pattern, table):
+        self.whole, self.pattern, self.table = whole, regex.compile(pattern), table
+        # where the bytes of each id are
+        top = int(whole.values.max()) + 1 if whole.n else 0
+        self.start, self.size = np.zeros(top, np.int64), np.zeros(top, np.int64)
+        self.start[whole.values], self.size[whole.values] = whole.edges[:-1], np.diff(whole.edges)
+        self.key = zlib.crc32(whole.blob + whole.values.tobytes() + pattern.encode())
+        self.ranks, self.sent = None, None
+        bulk = pattern == public_tokenizers.PATTERN
+        self.memory = pretokens.Memory(self._pieces, table) if bulk else None
 
     def __reduce__(self):
-        return _rebuilt, (self.ranks, self.pattern.pattern, self.whole)
-
-    def _learn(self, piece):
-        raw = piece.encode("utf-8")
-        whole = self.whole.get(raw)
-        ids = (whole,) if whole is not None else merge(raw, self.ranks)
-        if len(piece) <= KNOWN_LENGTH:
-            if len(self.known) >= KNOWN_PIECES:
-                self.known.clear()
-            self.known[piece] = ids
-        return ids
+        return _rebuilt, (self.whole, self.pattern.pattern, self.table)
+
+    def _pieces(self, pieces):
+        """Ids of each pre-token."""
+        if self.ranks is None:
+            self.ranks = dict(self.whole.items())
+        get, out = self.whole.get, []
+        for piece in pieces:
+            raw = piece.encode("utf-8")
+            whole = get(raw)
+            out.append((whole,) if whole is not None else merge(raw, self.ranks))
+        return out
+
+    def encode_all(self, texts):
+        """(ids of all texts in a row, number of ids of each text).
+
+        Where texts hold code points that not all versions of Unicode know, or the pattern is another, they are cut by the pattern itself.
+        """
+        if self.memory is not None:
+            ids, sizes, odd = self.memory(texts)
+            if not odd.any():
+                return ids.astype(np.int32), sizes
+            lists = np.split(ids, np.cumsum(sizes)[:-1])
+        else:
+            odd, lists = np.ones(len(texts), bool), [None] * len(texts)
+        for k in np.flatnonzero(odd):
+            lists[k] = np.array([i for x in self._pieces(self.pattern.findall(texts[k])) for i in x], np.int32)
+        return np.concatenate([*lists, np.zeros(0, np.int32)]).astype(np.int32), np.array([len(x) for x in lists], np.int64)
 
     def encode(self, text):
-        """Ids of one text as an array."""
-        known, learn = self.known.get, self._learn
-        out = []
-        add = out.extend
-        for piece in self.pattern.findall(text):
-            add(known(piece) or learn(piece))
-        return out
+        """Ids of one text."""
+        return self.encode_all([text])[0].tolist()
+
+    def decode_all(self, ids):
+        """(bytes of all ids in a row, end of each id's bytes)."""
+        sizes = self.size[ids]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.start[ids] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return np.frombuffer(self.whole.blob, np.uint8)[at], ends
 
     def decode(self, ids):
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        return self.decode_all(np.array(ids, np.int64))[0].tobytes()
 
 
-def _rebuilt(ranks, pattern, whole):
+def _rebuilt(whole, pattern, table):
     codec = Codec.__new__(Codec)
-    codec.ranks, codec.pattern, codec.whole = ranks, regex.compile(pattern), whole
-    codec.bytes_of, codec.known = {i: t for t, i in ranks.items()}, {}
+    codec._set(whole, pattern, table)
     return codec
 
 
-_held = {}
-
-
 def _sent(spark, codec):
-    """The codec in a broadcast; a vocabulary has a fixed size, whatever the table's."""
-    sent = spark.sparkContext.broadcast((codec.ranks, codec.pattern.pattern, codec.whole))
+    """The codec of a Python worker, from one broadcast for both directions; a vocabulary has a fixed size, whatever the table's.
+
+    It is kept where all tasks of a worker find it, with the pre-tokens it knows.
+    """
+    if codec.sent is None:
+        codec.sent = spark.sparkContext.broadcast((codec.whole, codec.pattern.pattern, codec.table))
+    sent, key = codec.sent, codec.key
 
     def here():
-        key = sent._jbroadcast.id() if hasattr(sent, "_jbroadcast") and sent._jbroadcast else id(sent.value)
-        if key not in _held:
-            _held.clear()
-            _held[key] = _rebuilt(*sent.value)
-        return _held[key]
+        kept = vars(sys).setdefault("_codecs_of_this_worker", {})
+        if key not in kept:
+            kept.clear()
+            kept[key] = _rebuilt(*sent.value)
+        return kept[key]
 
     return here
 
@@ -169,44 +208,43 @@ def _sent(spark, codec):
 def encode(df, codec, text_col="text", ids_col="ids"):
     """``df`` with the token ids of the text as ``array<int>`` in place of a column ``ids_col``.
 
-    A null text counts as empty and has no ids. Special tokens are ordinary text. Rows are
-    independent: repeated rows, other columns and an empty table pass through unchanged.
+    A null text counts as empty and has no ids. Special tokens are ordinary text. A text of any length is encoded whole; it needs
+    about 60 times its size. Rows are independent: repeated rows, other columns and an empty table pass through unchanged.
     """
     here = _sent(df.sparkSession, codec)
     rest = [c for c in df.columns if c != ids_col]
     # a column that only passes through does not go to Python twice
     at = rest.index(text_col)
-    from pyspark.sql import types as T
-
     schema = T.StructType([df.schema[c] for c in rest] + [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))])
 
     def work(piece):
-        codec = here()
-        lists = [codec.encode(t) if t else [] for t in piece.column(at).to_pylist()]
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-        flat = np.fromiter((i for x in lists for i in x), np.int32, int(offsets[-1]))
+        flat, sizes = here().encode_all([t or "" for t in piece.column(at).to_pylist()])
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
         return pa.RecordBatch.from_arrays([*piece.columns, ids], names=[*piece.schema.names, ids_col])
 
-    return over_texts(df.select(*[F.col(f"`{c}`") for c in rest]), at, work, schema)
+    return over_texts(df.select(*[F.col(f"`{c}`") for c in rest]), at, work, schema, limit=PIECE_BYTES)
 
 
 def decode(df, codec, ids_col="ids", out_col="decoded"):
-    """``df`` with the bytes of the token ids in ``out_col``; no ids give no bytes."""
+    """``df`` with the bytes of the token ids in ``out_col``; no ids, or null, give no bytes."""
     here = _sent(df.sparkSession, codec)
     rest = [c for c in df.columns if c != out_col]
     at = rest.index(ids_col)
-    from pyspark.sql import types as T
-
     schema = T.StructType([df.schema[c] for c in rest] + [T.StructField(out_col, T.BinaryType())])
 
     def run(batches):
         codec = here()
         for rows in batches:
-            ids = rows.column(at)
-            flat = ids.flatten().to_pylist()
-            sizes = np.concatenate([[0], np.cumsum(np.nan_to_num(ids.value_lengths().to_numpy(zero_copy_only=False)))]).astype(int)
-            out = [codec.decode(flat[a:b]) for a, b in zip(sizes[:-1], sizes[1:])]
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out, pa.binary())], names=[*rows.schema.names, out_col])
+            sizes = np.nan_to_num(rows.column(at).value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+            ends, first = np.cumsum(sizes), 0
+            while first < rows.num_rows:
+                stop = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + AT_ONCE, side="right")))
+                some = rows.slice(first, stop - first)
+                raw, upto = codec.decode_all(some.column(at).flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+                edges = np.concatenate([[0], upto])[np.concatenate([[0], np.cumsum(sizes[first:stop])])]
+                out = pa.Array.from_buffers(pa.binary(), some.num_rows, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([*some.columns, out], names=[*rows.schema.names, out_col])
+                first = stop
 
     return df.select(*[F.col(f"`{c}`") for c in rest]).mapInArrow(run, schema)

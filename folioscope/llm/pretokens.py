@@ -30,7 +30,8 @@ def classes():
         for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\p{White_Space}"), (UNASSIGNED, r"\p{Cn}")):
             for m in regex.finditer(pattern + "+", text):
                 table[some[m.start()]:some[m.end() - 1] + 1] = kind
-    table[[c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn"]] = UNASSIGNED
+    kinds = np.array([unicodedata.category(c) == "Cn" for c in map(chr, range(0x110000))])
+    table[kinds] = UNASSIGNED
     table[0xD800:0xE000] = UNASSIGNED
     return table.tobytes()
 
