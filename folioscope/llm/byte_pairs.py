@@ -41,7 +41,7 @@ class PerfectHash:
     def __init__(self, keys, values):
         n = self.n = len(keys)
         self.buckets = max(1, n // 4)
-        shift, at = [0] * self.buckets, [-1] * n
+        shift, at = np.zeros(self.buckets, np.uint32), np.full(n, -1, np.int64)
         members = [[] for _ in range(self.buckets)]
         for k, key in enumerate(keys):
             h = xxhash.xxh3_64_intdigest(key)
@@ -49,20 +49,27 @@ class PerfectHash:
         for b in sorted(range(self.buckets), key=lambda b: -len(members[b])):
             if not members[b]:
                 break
-            d = 0
+            hashes, d, step = np.array([h for h, _ in members[b]], np.uint64), 0, 64
             while True:
-                places = [self.place(h, d) for h, _ in members[b]]
-                if len(set(places)) == len(places) and all(at[p] < 0 for p in places):
+                places = self._places(hashes, np.arange(d, d + step, dtype=np.uint64))
+                apart = np.sort(places, axis=0)
+                fits = np.flatnonzero((at[places] < 0).all(0) & (apart[1:] != apart[:-1]).all(0))
+                if len(fits):
                     break
-                d += 1
-            shift[b] = d
-            for p, (_, k) in zip(places, members[b]):
-                at[p] = k
+                d, step = d + step, min(2 * step, 1 << 14)
+            shift[b] = d + fits[0]
+            at[places[:, fits[0]]] = [k for _, k in members[b]]
         ordered = [keys[k] for k in at]
-        self.shift, self.values = np.array(shift, np.uint32), np.array([values[k] for k in at], np.int32)
+        self.shift, self.values = shift, np.array([values[k] for k in at], np.int32)
         self.blob = b"".join(ordered)
         self.edges = np.concatenate([[0], np.cumsum([len(k) for k in ordered])]).astype(np.int64)
 
+    def _places(self, hashes, shifts):
+        """``place`` for all hashes under all displacements."""
+        x = hashes[:, None] ^ (shifts * np.uint64(0x9E3779B97F4A7C15))[None, :]
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return ((x ^ (x >> np.uint64(32))) % np.uint64(self.n)).astype(np.int64)
+
     def place(self, h, d):
         x = (h ^ (d * 0x9E3779B97F4A7C15)) & 0xFFFFFFFFFFFFFFFF
         x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF
