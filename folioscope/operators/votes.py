@@ -7,6 +7,7 @@ One relevant vote, by anybody under any approach, makes an item relevant for a q
 from pyspark.sql import DataFrame, functions as F
 
 from .. import fixed_values as V
+from . import skew
 
 ALL_APPROACHES = (
     V.APPROACH_TEXT_ONLY, V.APPROACH_HYBRID, V.APPROACH_JOINT, V.APPROACH_UNIFIED,
@@ -27,9 +28,8 @@ def events(hits: DataFrame, votes: DataFrame, now=None, query="query") -> DataFr
     """Evaluation events from search hits and votes ``(evaluator, approach_id, query,
     result_id, liked)``.
 
-    Give hits that are a table (``session.stored``): then small ones are broadcast and
-    the votes are not shuffled. Otherwise many votes on one hit make a skewed partition,
-    which adaptive execution splits.
+    Give votes and hits that are tables (``session.stored``). Hits with a large share of the votes are
+    joined without a shuffle of these votes (``operators.skew``).
     """
     keys = ["approach_id", query, "result_id"]
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS") if now is None else now
@@ -38,7 +38,7 @@ def events(hits: DataFrame, votes: DataFrame, now=None, query="query") -> DataFr
         F.col("type").alias("result_type"), F.col("page").cast("int").alias("result_page"),
         F.col("score").cast("double").alias("result_score"),
     )
-    return storable(votes).join(shown, keys).select(
+    return skew.join(storable(votes), shown, keys).select(
         now.alias("timestamp"), "evaluator", "approach_id", F.col(query).alias("query"),
         "result_id", "result_type", "result_page", "result_score",
         F.when(F.col("liked"), V.VOTE_RELEVANT).otherwise(V.VOTE_NOT_RELEVANT).alias("evaluation"),
