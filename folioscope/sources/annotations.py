@@ -3,11 +3,11 @@
 CSV is the exchange format; jobs read the Parquet store, whose rows lie in folders by part (``done_keys``).
 """
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from .. import schemas
 from ..operators import corpus
-from . import done_keys, files, versions
+from . import csv_ranges, done_keys, files, versions
 
 
 def with_document(df: DataFrame) -> DataFrame:
@@ -20,14 +20,9 @@ def read_csv(spark, path, doc_id=None) -> DataFrame:
     breaks, doubled quotes.
 
     An empty field is null, quoted or not. Page numbers such as ``3.0`` (an integer column that once held a gap) are read too.
+    A large file is read by many tasks (``csv_ranges``).
     """
-    text = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schemas.ANNOTATION_FILE])
-    df = (
-        spark.read.schema(text)
-        .option("header", True).option("multiLine", True).option("encoding", "UTF-8")
-        .option("quote", '"').option("escape", '"').option("recursiveFileLookup", True)
-        .csv(path)
-    )
+    df = csv_ranges.read(spark, path, schemas.ANNOTATION_FILE)
     return df.select(F.lit(doc_id).cast("string").alias("doc_id"), *df.columns) \
         .withColumn("page", F.col("page").try_cast("double").cast("int"))
 
