@@ -48,9 +48,7 @@ ALPHABETS = {
 }
 GENDER_OF = {name.casefold(): g for by in GIVEN.values() for g, names in by.items() for name in names}
 
-EMAIL_LOCAL = re.compile(r"[\w.+-]*[\w+-]\Z")
 EMAIL_DOMAIN = re.compile(r"[\w-]+(?:\.[\w-]+)+")
-LOCAL_REACH = 64  # longest local part of an address
 IPV4 = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)"
 PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}[.-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?!\w)"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
@@ -95,6 +93,13 @@ def _normal(kind, raw):
     return raw
 
 
+def _local_part(text, at):
+    """Where the characters before ``at`` that may be the local part of an address begin."""
+    while at and (text[at - 1].isalnum() or text[at - 1] in "_.+-"):
+        at -= 1
+    return at
+
+
 def mentions(text):
     """(start, end, kind, normal form) of the entities of a text, in order, not overlapping.
 
@@ -106,10 +111,10 @@ def mentions(text):
     found = []
     at = text.find("@")
     while at >= 0:
-        head = EMAIL_LOCAL.search(text, max(0, at - LOCAL_REACH), at)
         tail = EMAIL_DOMAIN.match(text, at + 1)
-        if head and tail:
-            found.append((head.start(), tail.end(), "email"))
+        start = _local_part(text, at) if tail else at
+        if start < at and text[at - 1] != ".":
+            found.append((start, tail.end(), "email"))
         at = text.find("@", at + 1)
     if DIGIT.search(text):
         found += [(m.start(), m.end(), m.lastgroup) for m in NUMBERS.finditer(text)]

@@ -166,3 +166,12 @@ def test_odd_rows(spark):
     assert [x[2] for x in out] == [1, 0, 1, 0] and out[0][1] == out[2][1][200_000:]
     assert got.where("text IS NULL").count() == 2
     assert S.pseudonymised(df.limit(0), KEY).count() == 0
+
+
+def test_a_long_local_part_is_replaced_whole():
+    from folioscope.llm import surrogates
+
+    local = "bounce+" + "a.b-c_" * 60 + "z"
+    text = f"write to {local}@example.org, or .x@y.z, or {local}x@example.org; not .@y.z"
+    got = [text[a:b] for a, b, kind, _ in surrogates.mentions(text) if kind == "email"]
+    assert got == [f"{local}@example.org", ".x@y.z", f"{local}x@example.org"]
