@@ -229,3 +229,17 @@ SQL["op12_hard_negatives"] = """
     FROM p JOIN s USING (a) WHERE NOT same AND 100 * score BETWEEN 30 * ps AND 90 * ps
     QUALIFY row_number() OVER (PARTITION BY a, p ORDER BY score DESC, id) <= 10
 """
+
+SQL["op3_near_dup"] = f"""
+    WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_low('text')}, {SPACED}) AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, hash(unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(0, len(w) - 3), lambda k: list_slice(w, k + 1, k + 4))
+                                              WHEN len(w) > 0 THEN [w] ELSE [] END)) AS x FROM d),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+    links AS (SELECT a, b FROM common JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 80 * (na.n + nb.n - k)),
+    edge AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach AS (SELECT a AS x, a AS y FROM edge UNION SELECT x, b FROM reach JOIN edge ON y = a),
+    least AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(y, doc_id) AS component_id, coalesce(y, doc_id) = doc_id AS kept
+    FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least ON x = doc_id
+"""
