@@ -1,7 +1,7 @@
 """Quality rules on repetition.
 
-Rolling names of word n-grams of several lengths are compared inside each text; the rules
-look at the share of word characters inside n-grams, and of text inside lines, that occur
+A rolling hash names the word n-grams of all lengths: one running sum over the words, of which a window is
+the difference of two places. N-grams are compared inside each text; the rules look at the share of word characters inside n-grams, and of text inside lines, that occur
 more than once. One pass over the texts, no shuffle.
 """
 
@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 from .arrow import Texts, batch, over_texts
-from .words import Words, covered, per_row, repeated, span_names, table
+from .words import BASE, INVERSE, U, Words, covered, mix, per_row, powers, repeated, span_names, table
 
 BASE_WINDOW = 5
 MIN_WORDS = 10
@@ -45,8 +45,23 @@ def _lines(texts, words):
     return count(None), count(later), count(later * (ends - starts)), count(ends - starts)
 
 
+class Rolling:
+    """Names of all runs of words from one running polynomial hash, moved to a common start."""
+
+    def __init__(self, names):
+        self.n = len(names)
+        self.total = np.zeros(self.n + 1, U)
+        np.cumsum(names * powers(BASE, self.n)[:self.n], out=self.total[1:])
+
+    def of(self, width):
+        """The name of each run of ``width`` neighbours."""
+        m = max(self.n - width + 1, 0)
+        return mix((self.total[width:width + m] - self.total[:m]) * powers(INVERSE, self.n)[:m] + U(width))
+
+
 def measures(texts):
     words = Words(texts)
+    rolling = Rolling(words.names)
     n_words = words.counts
     # bytes that begin a code point; words are whole code points
     begins = (texts.data & 0xC0) != 0x80
@@ -56,10 +71,12 @@ def measures(texts):
     lines, dup_lines, dup_bytes, line_bytes = _lines(texts, words)
 
     def twice(width, only=None):
-        at, names = words.windows(width)
+        names = rolling.of(width)
+        inside = words.row[:len(names)] == words.row[width - 1:] if len(names) else np.zeros(0, bool)
         if only is not None:
-            keep = only[words.row[at]]
-            at, names = at[keep], names[keep]
+            inside &= only[words.row[:len(names)]]
+        at = np.flatnonzero(inside)
+        names = names[at]
         return covered(len(words.names), at[repeated(per_row(names, words.row[at]))], width)
 
     base = twice(BASE_WINDOW)
@@ -87,8 +104,8 @@ def measures(texts):
 def judge(docs, id_col="doc_id", text_col="text"):
     """Repetition measures and a verdict for each row.
 
-    Null, empty and blank texts have no words, all counts 0, and fail. Repeated rows and
-    null ids are judged row by row; an empty table gives an empty one. Only the two named
+    Null, empty and blank texts have no words, all counts 0, and fail. A text of any length is judged whole, in memory
+    of about 60 times its size. Repeated rows and null ids are judged row by row, ids may be of any type; an empty table gives an empty one. Only the two named
     columns are read, whatever others there are.
     """
     kind = docs.schema[id_col].dataType.simpleString()
