@@ -1,8 +1,8 @@
 """Conversations as training text with a loss mask per token.
 
 A whole conversation is rendered, its turn spans noted, and encoded once with offsets; the
-tokens of a span are found by binary search in the token offsets, so the mask fits the
-tokens whatever the tokenizer joins across a border.
+tokens of a span are found by binary search in the token offsets. Control strings are pre-tokens of their own,
+so no token joins text and template: the masked tokens are the text, no more and no less.
 """
 
 import re
@@ -79,29 +79,31 @@ def mask(starts, ends, spans):
     return out
 
 
-def masked_texts(text, starts, ends, loss, spans):
-    """The text under the mask, span by span: what the masked tokens cover, cut to the span."""
-    out = []
-    for a, b in spans:
-        i, j = np.searchsorted(ends, a, side="right"), np.searchsorted(starts, b, side="left")
-        on = np.flatnonzero(loss[i:j]) + i if b > a else ()
-        out.append(text[max(a, int(starts[on[0]])):min(b, int(ends[on[-1]]))] if len(on) else "")
-    return out
+def masked_texts(text, starts, ends, loss):
+    """What each run of masked tokens covers. Spans are not looked at."""
+    on = np.flatnonzero(loss)
+    if not len(on):
+        return []
+    first = np.concatenate([[True], np.diff(on) > 1])
+    last = np.concatenate([first[1:], [True]])
+    return [text[a:b] for a, b in zip(starts[on[first]].tolist(), ends[on[last]].tolist())]
 
 
 _loaded = {}
 
 
-def tokenizer(path):
-    """The tokenizer of a file, with untrimmed offsets and control strings as plain text."""
-    if path not in _loaded:
-        from tokenizers import Tokenizer, pre_tokenizers
+def tokenizer(path, controls):
+    """The tokenizer of a file, with untrimmed offsets, that cuts at control strings first. They are plain text to it."""
+    if (path, controls) not in _loaded:
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
 
         found = Tokenizer.from_file(path)
         found.encode_special_tokens = True
-        found.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=True)
-        _loaded[path] = found
-    return _loaded[path]
+        found.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.Split(Regex("|".join(re.escape(c) for c in controls)), "isolated"),
+            pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=True)])
+        _loaded[path, controls] = found
+    return _loaded[path, controls]
 
 
 def conversations(turns, id_col="conv_id", turn_col="turn", role_col="role", text_col="text"):
@@ -120,7 +122,7 @@ FORMATTED = "id {kind}, formatted string, ids array<int>, starts array<int>, end
 def formatted(turns, tokenizer_path, template=Template(), loss_roles=("assistant",), **columns):
     """Each conversation rendered and encoded: text, token ids, offsets, loss mask, turn spans.
 
-    Offsets count code points. Repeated rows are repeated turns; rows with a null id
+    Offsets count code points. A conversation of any length is encoded whole. Repeated rows are repeated turns; rows with a null id
     form one conversation; empty texts have empty spans and no masked token; an empty table
     gives an empty one; other columns are not read. The tokenizer file must be readable on
     every executor, as any installed package is.
@@ -130,7 +132,7 @@ def formatted(turns, tokenizer_path, template=Template(), loss_roles=("assistant
     schema = FORMATTED.format(kind=kind)
 
     def emit(ids, rendered):
-        encoded = tokenizer(tokenizer_path).encode_batch([t for t, _, _ in rendered], add_special_tokens=False)
+        encoded = tokenizer(tokenizer_path, template.controls).encode_batch([t for t, _, _ in rendered], add_special_tokens=False)
         out = {"ids": [], "starts": [], "ends": [], "loss": [], "spans": []}
         for (text, spans, roles), e in zip(rendered, encoded):
             offsets = np.array(e.offsets, np.int32).reshape(-1, 2)
@@ -167,10 +169,10 @@ def formatted(turns, tokenizer_path, template=Template(), loss_roles=("assistant
     return whole.mapInArrow(run, schema)
 
 
-def read_back(rows, template=Template(), loss_roles=("assistant",)):
+def read_back(rows, template=Template()):
     """What the formatted text and the mask hold: id, turns, and the unescaped loss texts.
 
-    Turns come from parsing the text; loss texts from the masked tokens' offsets.
+    Turns come from parsing the text; loss texts are what the runs of masked tokens cover. An empty text has no token and is not listed.
     """
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {kind}, turns array<struct<role:string,text:string>>, loss_texts array<string>, formatted_chars long"
@@ -178,13 +180,12 @@ def read_back(rows, template=Template(), loss_roles=("assistant",)):
     def run(batches):
         for batch in batches:
             turns, texts, chars = [], [], []
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("formatted", "starts", "ends", "loss", "spans")]
-            for text, starts, ends, loss, cell in zip(*columns):  # row by row: tokens stay in arrays
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("formatted", "starts", "ends", "loss")]
+            for text, starts, ends, loss in zip(*columns):  # row by row: tokens stay in arrays
                 text = text.as_py()
-                spans = [(s["start"], s["end"]) for s in cell.as_py() if s["role"] in loss_roles]
                 starts, ends, loss = (x.values.to_numpy(zero_copy_only=False) for x in (starts, ends, loss))
                 turns.append([{"role": a, "text": b} for a, b in template.parse(text)])
-                texts.append([template.unescape(t) for t in masked_texts(text, starts, ends, loss, spans)])
+                texts.append([template.unescape(t) for t in masked_texts(text, starts, ends, loss)])
                 chars.append(len(text))
             turn = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
             yield pa.RecordBatch.from_arrays(

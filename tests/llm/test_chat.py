@@ -31,6 +31,18 @@ def test_table(spark):
     assert all(r["formatted_chars"] > 0 for r in rows)
 
 
+def test_no_token_straddles_in_the_table(spark):
+    rows = chat.formatted(spark.read.parquet(f"{SF}/conversations.parquet"), PATH).collect()
+    ends = sum(len(r["spans"]) for r in rows)
+    assert ends > 80
+    for r in rows:
+        edges = np.array([e for s in r["spans"] for e in (s["start"], s["end"])])
+        starts, stops = np.array(r["starts"]), np.array(r["ends"])
+        at = np.searchsorted(stops, edges, side="right")  # the first token that ends after the edge
+        inside = at < len(starts)
+        assert not (starts[at[inside]] < edges[inside]).any()
+
+
 PIECES = [*T.controls, "\\", "<", ">", "[", "]", "/", "s", "INST", "<\\s>", "[\\\\/INST]", "é", " ", "\n", "漢", "🙂", "ok", "<|", "|>"]
 
 
@@ -38,7 +50,7 @@ PIECES = [*T.controls, "\\", "<", ">", "[", "]", "/", "s", "INST", "<\\s>", "[\\
 def test_round_trip_and_mask(seed):
     draw = random.Random(seed)
     text = lambda: "".join(draw.choice(PIECES) for _ in range(draw.randrange(12)))
-    tokens = chat.tokenizer(PATH)
+    tokens = chat.tokenizer(PATH, T.controls)
     for _ in range(400):
         turns = [(draw.choice(["user", "assistant", text()]), text()) for _ in range(draw.randrange(5))]
         rendered, spans = T.render(turns)
@@ -50,8 +62,10 @@ def test_round_trip_and_mask(seed):
         wanted = [s for s, (r, _) in zip(spans, turns) if r == "assistant"]
         got = chat.mask(offsets[:, 0], offsets[:, 1], wanted)
         assert got.tolist() == [any(a < y and x < b for x, y in wanted) for a, b in e.offsets]
-        cut = chat.masked_texts(rendered, offsets[:, 0], offsets[:, 1], got, wanted)
-        assert [T.unescape(c) for c in cut] == [t for r, t in turns if r == "assistant"]
+        cut = chat.masked_texts(rendered, offsets[:, 0], offsets[:, 1], got)
+        assert [T.unescape(c) for c in cut] == [t for r, t in turns if r == "assistant" and t]
+        # no token lies on a border of any turn
+        assert not any(x < edge < y for a, b in spans for edge in (a, b) for x, y in e.offsets)
         assert tokens.decode(e.ids, skip_special_tokens=False) == rendered
 
 
@@ -61,6 +75,6 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(*r, "e") for r in rows], "conv_id long, turn int, role string, text string, ids string")
     got = {r["id"]: r for r in chat.read_back(chat.formatted(df, PATH)).collect()}
     assert [tuple(t) for t in got[1]["turns"]] == [("", ""), ("assistant", "b"), ("assistant", "b")]
-    assert got[1]["loss_texts"] == ["b", "b"] and got[None]["loss_texts"] == [] and got[3]["loss_texts"] == [""]
+    assert got[1]["loss_texts"] == ["b", "b"] and got[None]["loss_texts"] == [] and got[3]["loss_texts"] == []
     assert got[2]["loss_texts"] == [" ", "x" * 60_000]
     assert chat.formatted(df.limit(0), PATH).count() == 0
