@@ -50,7 +50,7 @@ GENDER_OF = {name.casefold(): g for by in GIVEN.values() for g, names in by.item
 
 EMAIL_DOMAIN = re.compile(r"[\w-]+(?:\.[\w-]+)+")
 IPV4 = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)"
-PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}[.-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?!\w)"
+PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}[.-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?!\w)|(?<![\w.-])(?<!\d )\d{3} \d{3} \d{4}(?!\w| \d)"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 CARD = r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?!\w)"
 NUMBERS = re.compile(f"(?P<ip>{IPV4})|(?P<phone>{PHONE})|(?P<ssn>{SSN})|(?P<card>{CARD})", re.ASCII)
@@ -146,8 +146,10 @@ def _names(text):
             parts[words[-1]] = "family"
     if not parts:
         return []
-    again = re.compile(r"(?<!\w)(?:%s)(?!\w)" % "|".join(map(re.escape, sorted(parts, key=len, reverse=True))))
-    return [(m.start(), m.end(), parts[m[0]]) for m in again.finditer(text)]
+    again = re.compile(r"(?<!\w)(?:%s)(?!\w)" % "|".join(map(re.escape, sorted(parts, key=len, reverse=True))), re.IGNORECASE)
+    folded = {w.casefold(): kind for w, kind in sorted(parts.items(), reverse=True)}
+    # a word in lower case may be no name
+    return [(m.start(), m.end(), folded[m[0].casefold()]) for m in again.finditer(text) if m[0][0].isupper() and m[0].casefold() in folded]
 
 
 @functools.lru_cache(1024)
@@ -283,7 +285,7 @@ def redrawn(found, key):
     """(kind, value, draw) of the entities whose first surrogate is taken.
 
     Of entities with equal surrogates the smallest keeps it. A surrogate that is the value
-    of a real entity is nobody's. The others draw again until all surrogates differ, which
+    of a real entity is nobody's; all parts of names are held against each other. The others draw again until all surrogates differ, which
     happens because the values of every kind grow with the draws.
     """
     def drawn(rows):
@@ -294,14 +296,16 @@ def redrawn(found, key):
 
         return rows.mapInArrow(run, "kind string, value string, draw int, made string")
 
-    taken = found.select("kind", F.col("value").alias("made"))
+    # parts of names are told apart from each other, whichever part they are
+    space = F.when(F.col("kind").startswith("given") | (F.col("kind") == "family"), "name").otherwise(F.col("kind"))
+    taken = found.select(space.alias("space"), F.col("value").alias("made")).distinct()
     pending = found.withColumn("draw", F.lit(0))
     parts = []
     while True:
         tried = stored(drawn(pending), "drawn")
-        won = (tried.groupBy("kind", "made").agg(F.min("value").alias("value"), F.min("draw").alias("draw"))
-               .join(taken, ["kind", "made"], "left_anti"))
-        won = stored(won.select("kind", "value", "draw", "made"), "surrogates")
+        won = (tried.groupBy(space.alias("space"), "made").agg(F.min(F.struct("value", "kind", "draw")).alias("first"))
+               .join(taken, ["space", "made"], "left_anti"))
+        won = stored(won.select("space", "first.kind", "first.value", "first.draw", "made"), "surrogates")
         parts.append(won)
         lost = tried.join(won, ["kind", "value"], "left_anti").select("kind", "value", (F.col("draw") + 1).alias("draw"))
         pending = stored(lost, "pending")
@@ -313,7 +317,7 @@ def redrawn(found, key):
             for p in later[1:]:
                 out = out.union(p)
             return out.select("kind", "value", "draw")
-        taken = taken.union(won.select("kind", "made"))
+        taken = taken.union(won.select("space", "made"))
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
@@ -325,7 +329,8 @@ def pseudonymised(docs, key, id_col="doc_id", text_col="text", spans_col="entiti
 
     ``key`` is secret bytes: equal keys give equal surrogates in every run over the same
     corpus. Within a corpus two entities of a kind never get one surrogate, none equals a
-    real entity, and all spellings of an entity get the same. Spans count code points of the
+    real entity, and all spellings of an entity that are found get the same (names in lower case are not found). Parts of
+    names count as one kind. Ids may be of any type, texts of any length. Spans count code points of the
     input and hold no original. A null text stays null and has no spans; texts without
     entities stay byte for byte; repeated rows are treated alike; an empty table gives
     an empty one; other columns pass through, one named ``spans_col`` is replaced.
@@ -343,7 +348,9 @@ def pseudonymised(docs, key, id_col="doc_id", text_col="text", spans_col="entiti
         if size <= MAX_BROADCAST_BYTES:
             sent = {(r["kind"], r["value"]): r["draw"] for r in later.collect()}
         else:
-            rows, joined = rows.join(_draws_by_document(docs, later, id_col, text_col), rows[id_col].eqNullSafe(F.col("__id")), "left").drop("__id"), True
+            name = next(n for n in (f"__row{k}" for k in range(len(rest) + 1)) if n not in rest)
+            own = _draws_by_document(docs, later, id_col, text_col).withColumnRenamed("row", name)
+            rows, joined = rows.join(own, _row_key(rows, id_col, text_col) == own[name], "left").drop(own[name]), True
     draws = spark.sparkContext.broadcast(sent)
     at = rest.index(text_col)
     schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField(spans_col, SPANS)])
@@ -365,16 +372,21 @@ def pseudonymised(docs, key, id_col="doc_id", text_col="text", spans_col="entiti
     return rows.mapInArrow(run, schema)
 
 
+def _row_key(docs, id_col, text_col):
+    """Equal for rows with one id and one text, null ids included."""
+    return F.struct(docs[id_col].isNull().alias("none"), docs[id_col].alias("id"), F.xxhash64(docs[text_col].cast("string")).alias("h"))
+
+
 def _draws_by_document(docs, later, id_col, text_col):
-    """Per document the draws of its entities that have one, at most as many as it has entities."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    """Per id and text the draws of the entities that have one, at most as many as the text has entities."""
+    keys = docs.select(_row_key(docs, id_col, text_col).alias("row"), docs[text_col].cast("string").alias("text"))
 
     def run(batches):
         for b in batches:
             hits = [(i, k, v) for i, t in enumerate(b.column(1).to_pylist()) for k, v in {(k, v) for _, _, k, v in mentions(t)}]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array([i for i, _, _ in hits], pa.int64())), pa.array([k for _, k, _ in hits], pa.string()), pa.array([v for _, _, v in hits], pa.string())],
-                names=["__id", "kind", "value"])
+                names=["row", "kind", "value"])
 
-    pairs = docs.select(docs[id_col].alias("__id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, f"__id {kind}, kind string, value string")
-    return pairs.join(later, ["kind", "value"]).groupBy("__id").agg(F.collect_set(F.struct("kind", "value", "draw")).alias("__draws"))
+    pairs = keys.mapInArrow(run, f"row {keys.schema['row'].dataType.simpleString()}, kind string, value string")
+    return stored(pairs.distinct().join(later, ["kind", "value"]).groupBy("row").agg(F.collect_set(F.struct("kind", "value", "draw")).alias("__draws")), "draws")

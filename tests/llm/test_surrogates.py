@@ -175,3 +175,47 @@ def test_a_long_local_part_is_replaced_whole():
     text = f"write to {local}@example.org, or .x@y.z, or {local}x@example.org; not .@y.z"
     got = [text[a:b] for a, b, kind, _ in surrogates.mentions(text) if kind == "email"]
     assert got == [f"{local}@example.org", ".x@y.z", f"{local}x@example.org"]
+
+
+def kinds(text):
+    from folioscope.llm import surrogates
+
+    return [(text[a:b], kind) for a, b, kind, _ in surrogates.mentions(text)]
+
+
+def test_labelled_texts():
+    """What a reader marks by hand."""
+    assert kinds("Mr. JOHN SMITH wrote. Smith and John left.") == [("JOHN", "given:m"), ("SMITH", "family"), ("Smith", "family"), ("John", "given:m")]
+    assert kinds("Mr. John Smith. JOHN SMITH; smithy, Smithson") == [("John", "given:m"), ("Smith", "family"), ("JOHN", "given:m"), ("SMITH", "family")]
+    assert kinds("call 212 555 0000 or 212-555-0001") == [("212 555 0000", "phone"), ("212-555-0001", "phone")]
+    assert kinds("rows 212 555 0000 7, v1.212 555 0000, 5 212 555 0000") == []
+
+
+def test_parts_of_names_are_distinct_from_each_other(spark):
+    """No surrogate of one part is another's, or a real name of any part."""
+    from folioscope.llm import surrogates
+
+    given = ["Tom", "Robert", "James", "Maria", "Anna", "Paul", "Peter", "Laura", "Robin", "Alex"]
+    texts = [f"{t} {g} {f} came." for t, g, f in zip(["Mr.", "Mrs.", "Dr."] * 40, given * 12, [f"Fam{i}" for i in range(90)] + given * 3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made, real = {}, set()
+    for r in surrogates.pseudonymised(df, b"k").collect():
+        for a, b, kind, value in surrogates.mentions(texts[r["doc_id"]]):
+            real.add(value)
+            made.setdefault((kind, value), set()).add(next(e["surrogate"] for e in r["entities"] if e["start"] == a).casefold())
+    assert all(len(x) == 1 for x in made.values())
+    flat = [next(iter(x)) for x in made.values()]
+    assert len(set(flat)) == len(flat) and not set(flat) & real
+
+
+def test_joined_draws_by_id_and_text(spark, monkeypatch):
+    """Null ids are many rows, not one; a column may be called as it likes."""
+    from folioscope.llm import surrogates
+
+    texts = [f"Mr. Tom{chr(97 + i % 26)} Fam{i} and 10.0.0.{i % 250}" for i in range(120)] + ["Mr. Tom Robert"]
+    df = spark.createDataFrame([(None if i % 3 else i, t, i, "x") for i, t in enumerate(texts)], "doc_id long, text string, __id int, __row0 string")
+    want = {r["__id"]: (r["text"], r["__row0"]) for r in surrogates.pseudonymised(df, b"k").collect()}
+    monkeypatch.setattr(surrogates, "MAX_BROADCAST_BYTES", -1)
+    got = surrogates.pseudonymised(df, b"k")
+    assert got.columns == [*df.columns, "entities"]
+    assert {r["__id"]: (r["text"], r["__row0"]) for r in got.collect()} == want
