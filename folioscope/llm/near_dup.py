@@ -261,33 +261,58 @@ def _joined(meetings, kind, width, lower, percent):
     return meetings.groupBy("u", "v").applyInArrow(meet, f"a {kind}, b {kind}")
 
 
-def _rest(members, labels, signs, docs, id_col, text_col, width, lower, percent):
-    """Links between groups that still share a bucket.
-
-    A member's family is its largest such bucket. Families are cut into blocks; a group with many members in a
-    family has blocks of its own. Two blocks meet if they share a bucket and hold more than one group together.
-    """
+def _crowd(members, labels):
+    """(bucket, id, group, n): the members of buckets that hold several groups."""
     held = stored(members.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("group")), "held")
     crowded = stored(held.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("n"))
                      .where("lo <> hi").select("bucket", "n"), "crowded")
-    crowd = stored(held.join(crowded, "bucket"), "crowd")
+    return stored(held.join(crowded, "bucket"), "crowd")
+
+
+def _blocks(crowd, signs, pure):
+    """(id, group, block): a member's family is its largest crowded bucket, and families are cut into blocks.
+
+    ``pure``: a group with many members in a family has blocks of its own.
+    """
     family = stored(crowd.groupBy("id", "group").agg(F.max(F.struct("n", "bucket")).alias("m"))
                     .join(signs.select("id", "n_shingles"), "id").select("id", "group", "n_shingles", F.col("m.bucket").alias("family")), "family")
-    large = stored(family.groupBy("family", "group").agg(F.count("*").alias("n")).where(F.col("n") >= PURE)
-                   .select("family", "group", F.lit(True).alias("pure")), "large")
-    family = stored(family.join(large, ["family", "group"], "left").withColumn(
-        "lot", F.xxhash64("family", F.when(F.col("pure"), F.col("group")))), "lots")
+    if pure:
+        large = stored(family.groupBy("family", "group").agg(F.count("*").alias("n")).where(F.col("n") >= PURE)
+                       .select("family", "group", F.lit(True).alias("pure")), "large")
+        family = family.join(large, ["family", "group"], "left").withColumn("lot", F.xxhash64("family", F.when(F.col("pure"), F.col("group"))))
+    else:
+        family = family.withColumn("lot", F.xxhash64("family"))
+    family = stored(family, "lots")
     sizes = stored(family.groupBy("lot").agg(F.ceil(F.greatest(F.count("*") / FAMILY, F.sum("n_shingles") / FAMILY_SHINGLES)).alias("n")), "sizes")
-    blocks = stored(family.join(sizes, "lot").select("id", "group", F.xxhash64("lot", F.pmod(F.xxhash64("id"), "n")).alias("block")), "blocks")
+    return stored(family.join(sizes, "lot").select("id", "group", F.xxhash64("lot", F.pmod(F.xxhash64("id"), "n")).alias("block")), "blocks")
+
+
+def _met(blocks, pairs, signs, docs, id_col, text_col, width, lower, percent):
+    """Links of the meetings ``pairs`` (u, v) of blocks."""
+    pairs = stored(pairs, "meetings")
+    each = stored(pairs.select("u", "v", F.explode(F.array_distinct(F.array("u", "v"))).alias("block")), "each")
+    wanted = stored(blocks.join(each.select("block").distinct(), "block", "left_semi"), "wanted")
+    told = stored(wanted.join(_texts(docs, id_col, text_col, wanted.select("id")).hint("merge"), "id"), "told")
+    kind = signs.schema["id"].dataType.simpleString()
+    return stored(_joined(each.join(told, "block"), kind, width, lower, percent), "links")
+
+
+def _inside(members, labels, signs, docs, *how):
+    """Links inside blocks: every member meets those of one block, whichever their groups, which joins most of a family."""
+    blocks = _blocks(_crowd(members, labels), signs, pure=False)
+    several = blocks.groupBy("block").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi")
+    return _met(blocks, several.select(F.col("block").alias("u"), F.col("block").alias("v")), signs, docs, *how)
+
+
+def _rest(members, labels, signs, docs, *how):
+    """Links between groups that still share a bucket: two blocks meet if they share one and hold more than one group together."""
+    crowd = _crowd(members, labels)
+    blocks = _blocks(crowd, signs, pure=True)
     present = stored(crowd.select("bucket", "id").join(blocks, "id").groupBy("bucket", "block").agg(F.min("group").alias("lo"), F.max("group").alias("hi")), "present")
     left, right = (present.select("bucket", *[F.col(c).alias(f"{c}_{side}") for c in ("block", "lo", "hi")]) for side in "uv")
     several = F.least("lo_u", "lo_v") != F.greatest("hi_u", "hi_v")
     pairs = left.join(right, "bucket").where((F.col("block_u") <= F.col("block_v")) & several).select(F.col("block_u").alias("u"), F.col("block_v").alias("v")).distinct()
-    pairs = stored(pairs, "meetings")
-    each = pairs.select("u", "v", F.explode(F.array_distinct(F.array("u", "v"))).alias("block"))
-    told = stored(blocks.join(_texts(docs, id_col, text_col, blocks.select("id")).hint("merge"), "id"), "told")
-    kind = signs.schema["id"].dataType.simpleString()
-    return stored(_joined(each.join(told, "block"), kind, width, lower, percent), "links")
+    return _met(blocks, pairs, signs, docs, *how)
 
 
 def _labels(members, signs, docs, *how):
@@ -295,15 +320,18 @@ def _labels(members, signs, docs, *how):
 
     First a bucket's members are compared with one pivot each, drawn at random. A similar pair shares 13 of the
     32 buckets on average, each with a pivot of its own, so most of a large group joins here, by
-    comparisons that grow with the members. What these leave, members of different groups in one bucket, is compared in blocks.
+    comparisons that grow with the members. What these leave, members of different groups in one bucket, is compared in blocks:
+    first each block by itself, then blocks with each other as far as groups are still apart.
     """
     draw = F.xxhash64("id", "bucket")
     pivots = members.groupBy("bucket").agg(F.min(F.struct(draw.alias("draw"), F.col("id"))).alias("p"))
     pairs = members.join(stored(pivots.select("bucket", F.col("p.id").alias("pivot")), "pivots"), "bucket")
     labels = components.of(_compared(pairs, signs, docs, *how))
-    rest = _rest(members, labels, signs, docs, *how)
-    # the groups so far stand for the links behind them
-    return components.of(rest.union(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+    for links in (_inside, _rest):
+        # the groups so far stand for the links behind them
+        so_far = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        labels = components.of(links(members, labels, signs, docs, *how).union(so_far))
+    return labels
 
 
 def _grouped(docs, id_col, text_col, width, percent, lower):
