@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import fixed_values as V
 from ..operators import corpus, images as image_filter
-from ..session import checkpointed, stored
+from ..session import stored
 from ..sources import annotations as store
 
 ROWS_PER_TASK = 500  # prompts a task asks; a model call takes far longer than a row
@@ -87,9 +87,9 @@ def ask_images(candidates: DataFrame, make_annotate, image="image.data", rows_pe
 
 
 def _finish(answered, rows, path):
-    """The answers are checkpointed: neither the append nor the failure count calls the
+    """The answers are stored: neither the append nor the failure count calls the
     model again, and an executor lost later cannot repeat calls that were paid for."""
-    answered = checkpointed(answered)
+    answered = stored(answered, "answered")
     added = store.append_counted(rows(answered), path)
     return added, answered.filter(F.col("error").isNotNull()).count()
 

@@ -38,7 +38,16 @@ def write_csv(df: DataFrame, path, run=None):
 def append(df: DataFrame, path, run=None):
     """Add rows to the store, once per run key, with a filter of their keys beside them."""
     rows = with_document(df).select(*schemas.ANNOTATION.fieldNames()).withColumn("doc_id", F.col("doc_id").cast("string"))
-    versions.append(rows.withColumn("part", done_keys.part()), path, run, ("part",), lambda folder: done_keys.write(rows.select("doc_id", "id", "page"), folder))
+    versions.append(_by_part(rows), path, run, ("part",), _key_filter)
+
+
+def _by_part(rows):
+    """Rows of a part in one task, of a large one in a few: else each task leaves a file in every part."""
+    return rows.withColumn("part", done_keys.part()).hint("rebalance", "part")
+
+
+def _key_filter(written, folder):
+    done_keys.write(written.select("doc_id", "id", "page"), folder)
 
 
 def read(spark, path, where=None) -> DataFrame:
@@ -69,7 +78,7 @@ def not_done(candidates: DataFrame, path) -> DataFrame:
 def compact(spark, path):
     """Many small appends become one folder with one filter; the rows stay the same."""
     rows = read(spark, path)
-    versions.replace(rows.withColumn("part", done_keys.part()), path, None, ("part",), lambda folder: done_keys.write(rows.select("doc_id", "id", "page"), folder))
+    versions.replace(_by_part(rows), path, None, ("part",), _key_filter)
 
 
 def replace_clean(df: DataFrame, path, run=None):
@@ -87,4 +96,4 @@ def append_counted(df: DataFrame, path):
 
     seen = Observation()
     append(df.observe(seen, F.count(F.lit(1)).alias("rows")), path)
-    return seen.get["rows"]  # of the first of the writes, which see the same rows
+    return seen.get["rows"]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..operators import corpus, images as image_filter
 from ..plans import annotate
-from ..session import checkpointed
+from ..session import stored
 from ..sources import annotations as store, versions
 
 KEY = ["doc_id", "id"]
@@ -32,7 +32,7 @@ def failed(spark, path, kind="text") -> DataFrame:
 def _asked(todo, path, kind, ask, annotations):
     """Ask, keep the answers, and let what failed now take the place of what failed before."""
     schema = {"text": FAILED_TEXT, "image": FAILED_IMAGE}[kind]
-    answered = checkpointed(ask(todo))
+    answered = stored(ask(todo), "answered")
     store.append(annotations(answered), path)
     columns = [F.struct(F.col("image.data").alias("data")).alias("image") if n == "image" else F.col(n) for n in schema.fieldNames()]
     versions.replace(answered.filter(F.col("error").isNotNull()).select(*columns), failed_path(path, kind))

@@ -77,3 +77,15 @@ def test_a_repeated_append(spark, tmp_path):
     for _ in range(2):
         annotations.append(rows(spark, keys(["a"], [1])), path, run="r")
     assert annotations.read(spark, path).count() == 2
+
+
+def test_an_append_of_many_tasks_leaves_few_files(spark, tmp_path):
+    """A part is written by one task, whatever number of tasks answered, and the filter is of the rows that were written."""
+    path = str(tmp_path / "store")
+    many = rows(spark, keys(["a", "b"], range(0, 2000, 5))).repartition(40)
+    annotations.append(many, path)
+    parts = many.select(done_keys.part()).distinct().count()
+    assert parts > 20
+    assert len(list((tmp_path / "store").glob("version=*/part=*/*.parquet"))) <= 2 * parts
+    assert annotations.read(spark, path).count() == many.count()
+    assert annotations.not_done(blocks(spark, keys(["a", "b"], range(0, 2000, 5))), path).isEmpty()
