@@ -1,10 +1,14 @@
 """Exact top-k inner-product search for whole tables of queries.
 
 Scoring is a matrix product per Arrow batch, so only the best ``k`` items per query
-and task ever leave a task: no pair of query and item is materialised, and vectors are
-in no shuffle. Queries travel to the tasks, a table of many of them in parts of a checked size.
+and task ever leave a task: no pair of query and item is materialised. A table of few queries travels
+to the tasks. Many queries are dealt into chunks, as the items are, and a task takes a chunk of either; the
+driver holds none of them.
 """
 
+import math
+
+
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .. import fixed_values as V
@@ -14,6 +18,8 @@ from ..session import stored
 MAX_SENT_QUERIES = 65_536
 MAX_SENT_BYTES = 64 << 20
 MAX_SENT_HITS = 1_000_000
+CHUNK_BYTES = 32 << 20  # vectors of a chunk of items or of queries
+LEAST_CHUNK = 1024  # items, so that a small table still gives work to all cores
 _SCORES_AT_ONCE = 4_000_000
 
 
@@ -46,22 +52,24 @@ def _candidates(queries, items, k, floor, digits):
     import numpy as np
 
     slack = 0.0 if digits is None else 0.51 * 10.0 ** -digits
-    bar = floor.copy()
-    step = max(1, _SCORES_AT_ONCE // max(1, len(queries)))
+    wide = max(1, min(len(items), max(k + 1, _SCORES_AT_ONCE // 256)))
+    tall = max(1, _SCORES_AT_ONCE // wide)
     found = []
-    for start in range(0, len(items), step):
-        scores = queries @ items[start:start + step].T
-        n = scores.shape[1]
-        fresh = np.nonzero(np.isneginf(bar))[0]
-        if n > k and len(fresh):
-            bar[fresh] = _rounded(np.partition(scores[fresh], n - k, axis=1)[:, n - k], digits)
-        q, i = np.nonzero(scores >= (bar - slack)[:, None])
-        s = _rounded(scores[q, i], digits)
-        tied = s == bar[q]
-        count = np.concatenate([[0], np.cumsum(tied)])
-        earlier = count[:-1] - count[np.searchsorted(q, q)]
-        keep = (s > bar[q]) | (tied & (earlier < k))
-        found.append((q[keep], i[keep] + start, s[keep]))
+    for top in range(0, len(queries), tall):
+        bar = floor[top:top + tall].copy()
+        for start in range(0, len(items), wide):
+            scores = queries[top:top + tall] @ items[start:start + wide].T
+            n = scores.shape[1]
+            fresh = np.nonzero(np.isneginf(bar))[0]
+            if n > k and len(fresh):
+                bar[fresh] = _rounded(np.partition(scores[fresh], n - k, axis=1)[:, n - k], digits)
+            q, i = np.divmod(np.flatnonzero(scores >= (bar - slack)[:, None]), n)
+            s = _rounded(scores[q, i], digits)
+            tied = s == bar[q]
+            count = np.concatenate([[0], np.cumsum(tied)])
+            earlier = count[:-1] - count[np.searchsorted(q, q)]
+            keep = (s > bar[q]) | (tied & (earlier < k))
+            found.append((q[keep] + top, i[keep] + start, s[keep]))
     return tuple(np.concatenate(part) for part in zip(*found))
 
 
@@ -129,72 +137,119 @@ def _group_rows(batch, by):
             yield key, np.nonzero(member == number)[0]
 
 
+def _best(batches, groups, names, k, by, id_col, vector, query_id, keep, normalize, digits):
+    """Hits of the queries ``groups`` among the items of ``batches``; a running best ``k`` is kept."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    best, floors = {}, {}
+    for batch in batches:
+        if batch.column(vector).null_count:
+            batch = batch.filter(batch.column(vector).is_valid())
+        if batch.num_rows == 0:
+            continue
+        batch = batch.take(pc.sort_indices(batch.column(id_col)))
+        payload = batch.select([id_col, *keep])
+        for key, rows in _group_rows(batch, by):
+            if key not in groups:
+                continue
+            matrix = _matrix(batch.column(vector).take(pa.array(rows)))
+            sound = np.isfinite(matrix).all(axis=1)
+            if not sound.all():
+                matrix, rows = matrix[sound], rows[sound]
+            if not len(rows):
+                continue
+            places, query_matrix = groups[key]
+            if query_matrix.shape[1] != matrix.shape[1]:
+                raise ValueError(
+                    f"query width {query_matrix.shape[1]}, item width {matrix.shape[1]}"
+                )
+            floor = floors.setdefault(key, np.full(len(places), -np.inf))
+            q, i, s = _candidates(
+                query_matrix, _unit(matrix) if normalize else matrix, k, floor, digits
+            )
+            if not len(q):
+                continue
+            table = pa.Table.from_batches([payload.take(pa.array(rows[i]))])
+            table = table.append_column("_q", pa.array(places[q], pa.int64()))
+            table = table.append_column("_score", pa.array(s, pa.float64()))
+            if key in best:
+                table = pa.concat_tables([best[key], table])
+            table = _cut(table, k, id_col).combine_chunks()
+            best[key] = table
+            # the k-th score of a query with k hits is the bar for what follows
+            held, first, count = np.unique(
+                table.column("_q").to_numpy(), return_index=True, return_counts=True
+            )
+            full = count == k
+            bar = table.column("_score").to_numpy()[first[full] + k - 1]
+            floor[np.searchsorted(places, held[full])] = bar
+    for table in best.values():
+        who = names.take(table.column("_q"))
+        columns = [who.column(c) for c in [*by, query_id]]
+        columns += [table.column(id_col), table.column("_score")]
+        columns += [table.column(c) for c in keep]
+        out = pa.table(columns, names=[*by, query_id, id_col, "score", *keep])
+        yield from out.combine_chunks().to_batches()
+
+
 def _send_queries(items, queries_table, k, by, id_col, vector, query_id, keep, normalize,
                   digits, schema):
-    """Score against queries sent to every task; a task keeps a running best ``k``. Returns the hits and the broadcast."""
+    """Score against queries sent to every task."""
     sent = items.sparkSession.sparkContext.broadcast((
         _query_groups(queries_table, by, vector, normalize),
         queries_table.select([*by, query_id]),
     ))
 
     def score(batches):
-        import numpy as np
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        groups, names = sent.value
-        best, floors = {}, {}
-        for batch in batches:
-            if batch.column(vector).null_count:
-                batch = batch.filter(batch.column(vector).is_valid())
-            if batch.num_rows == 0:
-                continue
-            batch = batch.take(pc.sort_indices(batch.column(id_col)))
-            payload = batch.select([id_col, *keep])
-            for key, rows in _group_rows(batch, by):
-                if key not in groups:
-                    continue
-                matrix = _matrix(batch.column(vector).take(pa.array(rows)))
-                sound = np.isfinite(matrix).all(axis=1)
-                if not sound.all():
-                    matrix, rows = matrix[sound], rows[sound]
-                if not len(rows):
-                    continue
-                places, query_matrix = groups[key]
-                if query_matrix.shape[1] != matrix.shape[1]:
-                    raise ValueError(
-                        f"query width {query_matrix.shape[1]}, item width {matrix.shape[1]}"
-                    )
-                floor = floors.setdefault(key, np.full(len(places), -np.inf))
-                q, i, s = _candidates(
-                    query_matrix, _unit(matrix) if normalize else matrix, k, floor, digits
-                )
-                if not len(q):
-                    continue
-                table = pa.Table.from_batches([payload.take(pa.array(rows[i]))])
-                table = table.append_column("_q", pa.array(places[q], pa.int64()))
-                table = table.append_column("_score", pa.array(s, pa.float64()))
-                if key in best:
-                    table = pa.concat_tables([best[key], table])
-                table = _cut(table, k, id_col).combine_chunks()
-                best[key] = table
-                # the k-th score of a query with k hits is the bar for what follows
-                held, first, count = np.unique(
-                    table.column("_q").to_numpy(), return_index=True, return_counts=True
-                )
-                full = count == k
-                bar = table.column("_score").to_numpy()[first[full] + k - 1]
-                floor[np.searchsorted(places, held[full])] = bar
-        for table in best.values():
-            who = names.take(table.column("_q"))
-            columns = [who.column(c) for c in [*by, query_id]]
-            columns += [table.column(id_col), table.column("_score")]
-            columns += [table.column(c) for c in keep]
-            out = pa.table(columns, names=[*by, query_id, id_col, "score", *keep])
-            yield from out.combine_chunks().to_batches()
+        yield from _best(batches, *sent.value, k, by, id_col, vector, query_id, keep, normalize, digits)
 
     used = list(dict.fromkeys([*by, id_col, vector, *keep]))
-    return items.select(*used).mapInArrow(score, schema), sent
+    return items.select(*used).mapInArrow(score, schema)
+
+
+def _grid(items, queries, k, by, id_col, vector, query_id, keep, normalize, digits, schema, key, chunk):
+    """Score chunks of queries against chunks of items of their group, a pair of chunks in a task.
+
+    A chunk goes to as many tasks as the other side has chunks; what a task holds is bounded by ``chunk`` rows of either.
+    """
+    spark = items.sparkSession
+    used = list(dict.fromkeys([*by, id_col, vector, *key, *keep]))
+    items = stored(items.select(*used).filter(F.col(vector).isNotNull()), "items")
+    count = F.count(F.lit(1))
+    if by:  # one row per group
+        sizes = items.groupBy(*by).agg(count.alias("_items")).join(queries.groupBy(*by).agg(count.alias("_queries")), by).collect()
+    else:
+        sizes = [{"_items": items.count(), "_queries": queries.count()}]
+    cores, rows, cells = spark.sparkContext.defaultParallelism, [], 0
+    for r in sizes:
+        across = max(1, math.ceil(r["_queries"] / chunk))
+        enough = math.ceil(4 * cores / (len(sizes) * across))
+        down = max(1, math.ceil(r["_items"] / chunk), min(enough, math.ceil(r["_items"] / LEAST_CHUNK)))
+        rows.append((*[r[c] for c in by], across, down))
+        cells += across * down
+    fields = [*[queries.schema[c] for c in by], T.StructField("_across", T.IntegerType()), T.StructField("_down", T.IntegerType())]
+    shape = F.broadcast(spark.createDataFrame(rows, T.StructType(fields)))
+
+    def placed(df, side, other, number):
+        df = df.join(shape, by) if by else df.crossJoin(shape)
+        mine, all_of = F.pmod(F.xxhash64(*number), f"_{side}").cast("int").alias(f"_{side[0]}"), F.explode(F.sequence(F.lit(0), F.col(f"_{other}") - 1)).alias(f"_{other[0]}")
+        return df.select(*df.columns, mine).select(*df.columns[:-2], f"_{side[0]}", all_of).repartition(max(1, min(2 * cells, 4096)), *by, "_a", "_d")
+
+    def score(left, right):
+        import pyarrow as pa
+
+        out = list(_best(left.combine_chunks().to_batches(max_chunksize=10_000), _query_groups(right, by, vector, normalize), right.select([*by, query_id]),
+                         k, by, id_col, vector, query_id, keep, normalize, digits))
+        if out:
+            return pa.Table.from_batches(out)
+        source = {**{c: right for c in [*by, query_id]}, **{c: left for c in [id_col, *keep]}}
+        return pa.table({f: pa.array([], pa.float64() if f == "score" else source[f].schema.field(f).type) for f in schema.fieldNames()})
+
+    left = placed(items, "down", "across", [id_col, *key]).groupBy(*by, "_a", "_d")
+    right = placed(queries, "across", "down", [query_id]).groupBy(*by, "_a", "_d")
+    return left.cogroup(right).applyInArrow(score, schema)
 
 
 def _rows_at_once(queries, vector, k, max_queries, max_bytes):
@@ -219,9 +274,9 @@ def top_k(items: DataFrame, queries: DataFrame, k=V.TOP_K, by=(), id_col="id",
     filter it would compute the vector twice). Scores are rounded to ``digits`` before
     ranking, so the order does not depend on how the data was split.
 
-    Queries beyond the limits are sent in parts of that size, one after the other: a part's
-    hits are stored before the next part is read, so the driver holds one part. Every part
-    scans the items once; no vector is shuffled and no item copied.
+    Queries within the limits are sent to the tasks, and no vector is shuffled. Beyond them queries and items are
+    stored and dealt into chunks, and each pair of chunks is a task: vectors are shuffled as
+    often as the other side has chunks, and none passes through the driver.
     """
     by, keep, fetch, key = list(by), list(keep), list(fetch), list(key)
     keep = [*[c for c in key if c not in keep], *keep]
@@ -233,27 +288,22 @@ def top_k(items: DataFrame, queries: DataFrame, k=V.TOP_K, by=(), id_col="id",
     queries = queries.select(*by, query_id, vector).filter(F.col(vector).isNotNull())
     limit = _rows_at_once(queries, vector, k, max_sent_queries, max_sent_bytes)
 
-    def scored(part):
+    def asked(groups):
         wanted = items
         for c in by:  # literals, so that only the folders of these groups are read
-            wanted = wanted.filter(F.col(c).isin(sorted(set(part.column(c).to_pylist()) - {None})))
-        return _send_queries(wanted, part, k, by, id_col, vector, query_id, keep, normalize, digits, schema)
+            wanted = wanted.filter(F.col(c).isin(sorted(set(groups.column(c).to_pylist()) - {None})))
+        return wanted
 
+    how = (k, by, id_col, vector, query_id, keep, normalize, digits, schema)
     probe = queries.limit(limit + 1).toArrow()
     if probe.num_rows <= limit:
-        found, _ = scored(probe)
+        found = _send_queries(asked(probe), probe, *how)
     else:
+        width = max(1, len(probe.column(vector)[0]))
+        del probe
         held = stored(queries, "queries")
-        parts = -(-2 * held.count() // limit)  # twice as many as needed: a hash deals unevenly
-        place = F.pmod(F.xxhash64(*by, query_id), F.lit(parts))
-        found = None
-        for i in range(parts):
-            part = held.filter(place == i).toArrow()
-            if part.num_rows:
-                rows, sent = scored(part)
-                rows = stored(rows, "scored")
-                sent.unpersist()
-                found = rows if found is None else found.unionByName(rows)
+        chunk = max(LEAST_CHUNK, CHUNK_BYTES // (8 * width))
+        found = stored(_grid(asked(held.select(*by).distinct().toArrow()) if by else items, held, *how, key, chunk), "scored")
     order = Window.partitionBy(*by, query_id).orderBy(F.desc("score"), F.asc(id_col), *[F.asc(c) for c in key])
     hits = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     if fetch:

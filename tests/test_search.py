@@ -64,6 +64,28 @@ def test_parts_match_brute_force(spark, seed):
     assert rows(got) == expected(items, queries)
 
 
+def test_many_queries_do_not_pass_through_the_driver(spark, monkeypatch):
+    """Chunks of three rows, of items and of queries, and nothing is sent."""
+    def sent(*_):
+        raise AssertionError("queries were collected to be sent")
+
+    monkeypatch.setattr(search, "_send_queries", sent)
+    monkeypatch.setattr(search, "CHUNK_BYTES", 3 * 8 * 6)
+    monkeypatch.setattr(search, "LEAST_CHUNK", 3)
+    items, queries = random_case(4, n=60, q=5)
+    items += [(None, "text", "none", queries[0][3])]
+    got = search.top_k(*tables(spark, items, queries + [("a9", "text", "q", queries[0][3])]), by=BY, max_sent_queries=4)
+    assert rows(got) == expected(items, queries)
+    assert search.top_k(*tables(spark, items, [("a9", "text", f"q{j}", [1.0]) for j in range(9)]), by=BY, max_sent_queries=4).isEmpty()
+
+
+def test_candidates_of_many_queries_are_few():
+    rng = np.random.default_rng(2)
+    queries, items = search._unit(rng.normal(size=(20_000, 4))), search._unit(rng.normal(size=(4_000, 4)))
+    q, _, _ = search._candidates(queries, items, 5, np.full(len(queries), -np.inf), 6)
+    assert len(q) < 7 * len(queries)
+
+
 @pytest.mark.parametrize("limit", [100, 0])
 def test_a_crowd_of_equal_scores_is_cut_by_id(spark, limit):
     rng = np.random.default_rng(5)
