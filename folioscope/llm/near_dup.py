@@ -238,11 +238,13 @@ def _spanning(pairs):
 
 
 def _joined(meetings, kind, width, lower, percent):
-    """Links between groups, from rows (u, v, id, group, block, text) of the blocks u and v of a meeting."""
-    def meet(key, table):
-        table = table.take(pa.array(np.argsort(table.column("block").to_numpy() != key[0].as_py(), kind="stable")))
+    """Links between groups, from rows (u, v, block, members) of the blocks u and v of a meeting; members are (id, group, text)."""
+    def meet(key, rows):
+        rows = rows.take(pa.array(np.argsort(rows.column("block").to_numpy() != key[0].as_py(), kind="stable")))
+        packed = rows.column("members").combine_chunks()
+        split = len(packed[0])
+        table = pa.Table.from_batches([pa.RecordBatch.from_struct_array(packed.flatten())])
         n = table.num_rows
-        split = int((table.column("block").to_numpy() == key[0].as_py()).sum())
         rows, names = shingles(Texts(table.column("text")), width, lower)
         size = np.bincount(rows, minlength=n)
         inter = intersections(rows, names, n, split)
@@ -294,7 +296,9 @@ def _met(blocks, pairs, signs, docs, id_col, text_col, width, lower, percent):
     wanted = stored(blocks.join(each.select("block").distinct(), "block", "left_semi"), "wanted")
     told = stored(wanted.join(_texts(docs, id_col, text_col, wanted.select("id")).hint("merge"), "id"), "told")
     kind = signs.schema["id"].dataType.simpleString()
-    return stored(_joined(each.join(told, "block"), kind, width, lower, percent), "links")
+    # a block is one row, however many meetings it has
+    packed = stored(told.groupBy("block").agg(F.collect_list(F.struct("id", "group", "text")).alias("members")), "packed")
+    return stored(_joined(each.join(packed.hint("merge"), "block"), kind, width, lower, percent), "links")
 
 
 def _inside(members, labels, signs, docs, *how):

@@ -92,6 +92,19 @@ def test_similar_pairs_in_crowded_buckets(spark, monkeypatch, family, pure):
     check(spark, template_families(random.Random(6)))
 
 
+def test_a_block_is_one_row_of_a_meeting(spark, monkeypatch):
+    """What goes into the meetings grows with the blocks that meet, not with their members."""
+    seen, own = [], near_dup._joined
+
+    def counted(meetings, *args):
+        seen.append((meetings.count(), meetings.select("u", "v").distinct().count()))
+        return own(meetings, *args)
+
+    monkeypatch.setattr(near_dup, "_joined", counted)
+    check(spark, template_families(random.Random(6)))
+    assert any(met for _, met in seen) and all(rows <= 2 * met for rows, met in seen)
+
+
 def test_pairs_never_become_rows(spark, monkeypatch):
     """Many texts at just under 0.8 to each other: the links that leave the tasks join groups, and are fewer than the members."""
     seen, own = [], near_dup._joined
