@@ -35,10 +35,14 @@ def write_csv(df: DataFrame, path, run=None):
     files.append_run(df.select(*schemas.ANNOTATION_FILE.fieldNames()), path, lambda writer, folder: writer.csv(folder), run, **CSV)
 
 
-def append(df: DataFrame, path, run=None):
+def append(df: DataFrame, path, run=None, beside=None):
     """Add rows to the store, once per run key, with a filter of their keys beside them."""
     rows = with_document(df).select(*schemas.ANNOTATION.fieldNames()).withColumn("doc_id", F.col("doc_id").cast("string"))
-    versions.append(_by_part(rows), path, run, ("part",), _key_filter)
+    versions.append(_by_part(rows), path, run, ("part",), beside or _key_filter)
+
+
+def _key_filter(written, folder):
+    done_keys.write(written.select("doc_id", "id", "page"), folder)
 
 
 def _by_part(rows):
@@ -46,10 +50,6 @@ def _by_part(rows):
     return rows.withColumn("part", done_keys.part()).hint("rebalance", "part")
 
 
-def _key_filter(written, folder):
-    done_keys.write(written.select("doc_id", "id", "page"), folder)
-
-
 def read(spark, path, where=None) -> DataFrame:
     """The store; a store that was never written is an empty table."""
     return versions.read(spark, path, schemas.ANNOTATION, where=where)
@@ -91,9 +91,12 @@ def read_clean(spark, path, schema) -> DataFrame:
 
 
 def append_counted(df: DataFrame, path):
-    """Append and return the number of rows, counted during the write itself."""
-    from pyspark.sql import Observation
+    """Append and return the number of rows, counted in what was written."""
+    seen = []
+
+    def counted(written, folder):
+        _key_filter(written, folder)
+        seen.append(written.count())
 
-    seen = Observation()
-    append(df.observe(seen, F.count(F.lit(1)).alias("rows")), path)
-    return seen.get["rows"]
+    append(df, path, beside=counted)
+    return seen[-1]
