@@ -1,5 +1,8 @@
 """Builds with a cache: the same vectors, each input encoded once."""
 
+import hashlib
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +86,48 @@ def test_a_build_that_dies_goes_on(spark, tmp_path, monkeypatch):
 
 def test_an_empty_table(spark, tmp_path):
     assert approaches.build(rows(spark).limit(0), models(), cache=vector_cache.Cache(spark, str(tmp_path / "c"), "a")).count() == 0
+
+
+def test_one_approach(spark, tmp_path):
+    """Texts and images whose inputs go to one model under one template."""
+    some = approaches.only(V.APPROACH_TEXT_ONLY)
+    built = approaches.build(rows(spark), models(), some, cache=vector_cache.Cache(spark, str(tmp_path / "c"), "a"))
+    assert vectors(built) == vectors(approaches.build(rows(spark), models(), some))
+
+
+def test_rows_are_made_once(spark, tmp_path):
+    """A branch computes its rows once, whatever they come from."""
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        made.add(1)
+        return text
+
+    some = rows(spark)
+    some = some.withColumn("description_llm", F.udf(seen, "string").asNondeterministic()("description_llm"))
+    vectors(approaches.build(some, models(), cache=vector_cache.Cache(spark, str(tmp_path / "c"), "a")))
+    assert made.value <= 2 * some.count()
+
+
+@pytest.mark.parametrize("sent", [0, 1 << 12])
+def test_many_rows(spark, tmp_path, monkeypatch, sent):
+    """More inputs than a bitmap has bits, some in several rows; the bitmaps sent or not."""
+    monkeypatch.setattr(vector_cache, "SENT_BITMAPS", sent)
+    i = F.col("id")
+    some = spark.range(0, 20_000, 1, 2).select(
+        i.cast("string").alias("id"), F.lit(1).alias("page"), F.lit("text").alias("type"), F.concat(F.lit("word"), i % 15_000).alias("description_llm"),
+        F.lit("key words").alias("keywords_llm"), F.lit(None).cast("binary").alias("content"))
+    cache = vector_cache.Cache(spark, str(tmp_path / "c"), "a")
+    assert vectors(approaches.build(some, models(), cache=cache)) == vectors(approaches.build(some, models()))
+    assert {(r.model, r.encoded) for r in cache.encodes().collect()} == {(V.TEXT_MODEL, 15_000), (V.JOINT_MODEL, 30_000)}
+
+
+def test_hashed_words():
+    """Words parted by anything that is no word character, ASCII or not; single code points are none."""
+    texts = ["", None, "One two_2 x é", "Ölfaß–über”x” b’s", "a bc de\x1cf9", "́x ½½ 中文。中", "same same"]
+    got = encoders.hashed_words(WIDTH)()(texts)
+    for text, row in zip(texts, got):
+        want = [0] * WIDTH
+        for word in re.findall(r"\w{2,}", (text or "").lower()):
+            want[int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % WIDTH] += 1
+        assert row.tolist() == want
