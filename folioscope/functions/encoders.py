@@ -98,15 +98,24 @@ def hashed_words(width, cache_size=1 << 18):
         import numpy as np
 
         find = re.compile(r"\w{2,}").findall
+        is_word = re.compile(r"\w+").fullmatch
+        # bytes that part words; those of other code points than ASCII's are looked at when a piece is met first
+        parted = bytes(c if c > 127 or chr(c).isalnum() or c == 95 else 32 for c in range(256))
+        short, mixed = width, width + 1
+
+        def slot_of(word):
+            return int(hashlib.md5(word).hexdigest()[:8], 16) % width
 
         class Slots(dict):
-            """Slots of words seen before; emptied when it has grown too large."""
+            """Slots of pieces seen before; emptied when it has grown too large. ``short``: one code point, no word;
+            ``mixed``: other than a word."""
 
-            def __missing__(self, word):
+            def __missing__(self, piece):
                 if len(self) >= cache_size:
                     self.clear()
-                slot = int(hashlib.md5(word.encode("utf-8")).hexdigest()[:8], 16) % width
-                self[word] = slot
+                text = piece.decode("utf-8")
+                slot = mixed if is_word(text) is None else slot_of(piece) if len(text) > 1 else short
+                self[piece] = slot
                 return slot
 
         slots = Slots()
@@ -114,10 +123,16 @@ def hashed_words(width, cache_size=1 << 18):
         def predict(texts):
             out = np.zeros((len(texts), width), dtype=np.float32)
             for i, text in enumerate(texts):
-                words = find(text.lower()) if text is not None else []
-                if words:
-                    found = np.fromiter(map(slots.__getitem__, words), np.int64, len(words))
-                    out[i] = np.bincount(found, minlength=width)
+                pieces = text.lower().encode("utf-8").translate(parted).split() if text is not None else []
+                if not pieces:
+                    continue
+                counts = np.bincount(np.fromiter(map(slots.__getitem__, pieces), np.int64, len(pieces)), minlength=width + 2)
+                out[i] = counts[:width]
+                if counts[mixed]:
+                    for piece in pieces:
+                        if slots[piece] == mixed:
+                            for word in find(piece.decode("utf-8")):
+                                out[i, slot_of(word.encode("utf-8"))] += 1
             return out
 
         return predict
