@@ -34,6 +34,17 @@ TASK_IDS = 1 << 22  # ids that a reading task decodes
 TEXT_BYTES = 512 << 10  # text tokenised at once
 SEGMENT = ans.STEPS * ans.LANES
 
+
+def _byte_level():
+    """Code points 0 to 255 to the characters that stand for these bytes in a byte-level vocabulary."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+BYTE_LEVEL = _byte_level()
+
+
 def _load(path):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
     from tokenizers import Tokenizer
@@ -49,17 +60,23 @@ def _cuts_by_pattern(tokenizer):
 
 
 class _Encoder:
-    """Ids of whole texts. Pre-tokens that repeat are asked from the library once; texts that hold a special token or code points
+    """Ids of whole texts. Pre-tokens that repeat are asked from the library's model once; texts that hold a special token or code points
     that not all versions of Unicode know are asked whole."""
 
     def __init__(self, path, table):
         self.tokenizer = _load(path)
         self.special = [t["content"] for t in json.loads(self.tokenizer.to_str())["added_tokens"]]
-        self.memory = pretokens.Memory(self._ask, table) if _cuts_by_pattern(self.tokenizer) else None
+        self.model = self.tokenizer.model
+        self.memory = pretokens.Memory(self._ask_model, table) if _cuts_by_pattern(self.tokenizer) else None
 
     def _ask(self, texts):
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _ask_model(self, pieces):
+        """Ids of pre-tokens: there is nothing left to cut, so the merges are all that is asked."""
+        merged = self.model.tokenize
+        return [[x.id for x in merged(p.encode("utf-8").decode("latin-1").translate(BYTE_LEVEL))] for p in pieces]
+
     def __call__(self, texts):
         out = [None] * len(texts)
         whole = [self.memory is None or any(s in t for s in self.special) for t in texts]

@@ -65,6 +65,25 @@ def test_odd_rows(spark, monkeypatch):
         assert not pieces or pieces[0]["start"] == start
 
 
+def test_pre_tokens_are_asked_from_the_model(monkeypatch):
+    """Whole texts go to the library for special tokens and unknown code points only; the ids are the library's."""
+    t, asked, own = Tokenizer.from_file(PATH), [], token_files._Encoder._ask
+    monkeypatch.setattr(token_files._Encoder, "_ask", lambda self, texts: asked.extend(texts) or own(self, texts))
+    every = "".join(chr(c) for c in range(0x2000) if chr(c).isprintable() or c < 0x100)
+    plain = ["", "it's  we'll 'sfoo\n\n x\t y", "\x00\x7f\xa0\xad", "word" * 900 + " " * 90, "中文 \U0001F600é ½", *(f"{x} w{x}" for x in every.split(" "))]
+    odd = ["a <|endoftext|> b", "x\u0378"]
+    assert [list(x) for x in token_files._Encoder(PATH, token_files.pretokens.classes())(plain + odd)] == [t.encode(x, add_special_tokens=False).ids for x in plain + odd]
+    assert set(odd) <= set(asked) <= {x for x in plain + odd if x in odd or not x.isascii()}
+
+
+def test_byte_level():
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    assert sorted(token_files.BYTE_LEVEL.values()) == sorted(ByteLevel.alphabet())
+    for c in map(chr, range(0x2000)):
+        assert "".join(p for p, _ in ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(c)) == c.encode().decode("latin-1").translate(token_files.BYTE_LEVEL)
+
+
 def test_other_ids_and_empty(spark):
     path = written(spark, [("b", "t"), ("a", "u v"), (None, "w")], "doc_id string, text string, id int, ids string")
     assert [r[0] for r in sorted(rows(spark, path), key=lambda r: r[1])] == [None, "a", "b"]
