@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from . import components
-from .arrow import Texts, over_texts
+from .arrow import SMALL_BYTES, Texts, over_texts, pieces
 from .shared import stored
 from .words import U, Words, mix, per_row
 
@@ -49,6 +49,16 @@ def shingles(texts, width, lower=True):
     return rows[keep], names[keep]
 
 
+def _sets(batch, width, lower):
+    """``shingles`` of the column ``text`` of a batch, piece by piece."""
+    found, before = [], 0
+    for piece in pieces(batch, "text", SMALL_BYTES):
+        rows, names = shingles(Texts(piece.column("text")), width, lower)
+        found.append((rows + before, names))
+        before += piece.num_rows
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def _draw(names, level):
     """For each element its random number in [0, 1) and a second draw, at one level."""
     x = mix(names + STEP * U(2 * level + 1))
@@ -132,7 +142,7 @@ def signed(docs, id_col, text_col, width, lower=True):
              pa.array(list(bands.view(np.int64)), pa.list_(pa.int64()))],
             names=["id", "n_shingles", "set_a", "set_b", "sig", "bands"])
 
-    return over_texts(rows, 1, work, f"id {kind}, n_shingles long, set_a long, set_b long, sig binary, bands array<long>")
+    return over_texts(rows, 1, work, f"id {kind}, n_shingles long, set_a long, set_b long, sig binary, bands array<long>", limit=SMALL_BYTES)
 
 
 def _estimated(pairs, signs, least):
@@ -171,7 +181,7 @@ def _verified(pairs, texts, width, lower, percent):
         keep = (100 * inter >= percent * union) & (union > 0)
         return piece.select(["a", "b"]).filter(pa.array(keep))
 
-    return over_texts(both, 0, work, f"a {kind}, b {kind}", limit=2 << 20)
+    return over_texts(both, 0, work, f"a {kind}, b {kind}", limit=SMALL_BYTES)
 
 
 def _compared(pairs, signs, docs, id_col, text_col, width, lower, percent):
@@ -243,9 +253,9 @@ def _joined(meetings, kind, width, lower, percent):
         rows = rows.take(pa.array(np.argsort(rows.column("block").to_numpy() != key[0].as_py(), kind="stable")))
         packed = rows.column("members").combine_chunks()
         split = len(packed[0])
-        table = pa.Table.from_batches([pa.RecordBatch.from_struct_array(packed.flatten())])
+        table = pa.RecordBatch.from_struct_array(packed.flatten())
         n = table.num_rows
-        rows, names = shingles(Texts(table.column("text")), width, lower)
+        rows, names = _sets(table, width, lower)
         size = np.bincount(rows, minlength=n)
         inter = intersections(rows, names, n, split)
         codes = {}
@@ -257,7 +267,7 @@ def _joined(meetings, kind, width, lower, percent):
         x, y = x[apart], y[apart]
         _, one = np.unique(np.minimum(group[x], group[y]).astype(np.int64) * n + np.maximum(group[x], group[y]), return_index=True)
         one = one[_spanning(list(zip(group[x[one]].tolist(), group[y[one]].tolist())))] if len(one) else one
-        ids = table.column("id").combine_chunks()
+        ids = table.column("id")
         return pa.table({"a": ids.take(pa.array(x[one])), "b": ids.take(pa.array(y[one]))})
 
     return meetings.groupBy("u", "v").applyInArrow(meet, f"a {kind}, b {kind}")

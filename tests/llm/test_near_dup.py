@@ -2,12 +2,14 @@
 
 import random
 import re
+import tracemalloc
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from folioscope.llm import components, near_dup
+from folioscope.llm import arrow, components, near_dup, quality
 
 SF = "/root/testdata/sf0.001"
 
@@ -201,3 +203,53 @@ def test_components(spark):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
     assert got == {k: v for k, v in root.items() if any(k in e and e[0] != e[1] for e in edges)}
+
+
+def peak_mb(run):
+    """What ``run`` gives and the memory it took at most, NumPy's arrays included."""
+    tracemalloc.start()
+    try:
+        out = run()
+        return out, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def prose(draw, n, size):
+    return [" ".join(f"word{draw.randrange(5000)}" for _ in range(size)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("step", ["signatures", "quality"])
+def test_a_worker_takes_little_memory(spark, monkeypatch, step):
+    """Texts of 4 MB take a worker less than 60 MB: it keeps what it took, and two of them share an executor with its JVM."""
+    module = near_dup if step == "signatures" else quality
+    caught = []
+    monkeypatch.setattr(module, "over_texts", lambda df, text, work, schema, limit=arrow.CHUNK_BYTES: caught.append((text, work, limit)) or df)
+    docs = spark.createDataFrame([], "id long, text string")
+    near_dup.signed(docs, "id", "text", 5) if step == "signatures" else quality.passing(docs)
+    (text, work, limit), = caught
+    rows = pa.RecordBatch.from_pydict({"id": list(range(2000)), "text": prose(random.Random(1), 2000, 240)})
+    got, peak = peak_mb(lambda: sum(work(piece).num_rows for piece in arrow.pieces(rows, text, limit)))
+    assert got == 2000 and peak < 60
+
+
+def test_a_meeting_takes_little_memory():
+    """Two blocks of the largest size: texts of 3.6 MB, compared in full."""
+    class Meetings:
+        def groupBy(self, *keys):
+            return self
+
+        def applyInArrow(self, meet, schema):
+            return meet
+
+    draw = random.Random(2)
+    texts = prose(draw, 1024, 390)
+    texts[700] = texts[3] + " and more"
+    texts[900] = texts[900][:700] + " " + texts[5][700:]
+    members = [{"id": {"id": i}, "group": {"id": i}, "text": t} for i, t in enumerate(texts)]
+    rows = pa.table({"u": [1, 1], "v": [2, 2], "block": [2, 1], "members": [members[512:], members[:512]]})
+    meet = near_dup._joined(Meetings(), "long", 5, True, 80)
+    got, peak = peak_mb(lambda: meet((pa.scalar(1), pa.scalar(2)), rows))
+    want = {(a, b) for a, b in [(3, 700), (5, 900)] if 100 * len(sets(texts[a], 5) & sets(texts[b], 5)) >= 80 * len(sets(texts[a], 5) | sets(texts[b], 5))}
+    assert {(r["a"]["id"], r["b"]["id"]) for r in got.to_pylist()} == want and (3, 700) in want
+    assert peak < 100
