@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from .shared import stored
 
 
-def _star(edges, small):
-    """One star operation on undirected edges (a > b)."""
+def _star(edges, small, n):
+    """One star operation on undirected edges (a > b), ``n`` at most; it makes no more of them."""
     near = edges if small else edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     # a table of its own, so that Spark can split the edges of a hot node in the join
-    least = stored(near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+    least = stored(near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least", 2 * n)
     joined = near.join(least, "a")
     if small:  # smaller neighbours and the node itself meet the smallest
         out = joined.select(F.col("b").alias("x"), F.col("m").alias("y")).union(least.select(F.col("a").alias("x"), F.col("m").alias("y")))
@@ -32,11 +32,12 @@ def _stars(edges):
 
 
 def of(links):
-    """(id, component) of every id in ``links`` (a, b); the component is its smallest id."""
+    """(id, component) of every id in ``links`` (a, b), a stored table; the component is its smallest id."""
+    n = links.count()
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = stored(edges, "edges")
+    edges = stored(edges, "edges", n)
     while not _stars(edges):
-        edges = stored(_star(_star(edges, small=False), small=True), "edges")
+        edges = stored(_star(_star(edges, False, n), True, n), "edges", n)
     middles = edges.select(F.col("b").alias("id")).distinct()
     return stored(edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(
-        middles.select("id", F.col("id").alias("component"))), "components")
+        middles.select("id", F.col("id").alias("component"))), "components", 2 * n)

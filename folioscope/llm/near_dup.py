@@ -184,22 +184,18 @@ def _verified(pairs, texts, width, lower, percent):
     return over_texts(both, 0, work, f"a {kind}, b {kind}", limit=SMALL_BYTES)
 
 
-def _compared(pairs, signs, docs, id_col, text_col, width, lower, percent):
-    """Links among pairs: estimated by signature, then verified on full sets."""
+def _compared(pairs, n, signs, docs, id_col, text_col, width, lower, percent):
+    """Links among ``n`` pairs at most: estimated by signature, then verified on full sets."""
     pairs = (pairs.where("id <> pivot")
              .select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct())
-    pairs = stored(pairs, "pairs")
+    pairs = stored(pairs, "pairs", n)
     near = stored(_estimated(pairs, signs, percent / 100 - ESTIMATE_SLACK), "near")
     wanted = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
-    texts = _texts(docs, id_col, text_col, wanted)
+    texts = nodes(docs, id_col, text_col).join(wanted.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    texts = stored(texts, "texts")
     return stored(_verified(near, texts, width, lower, percent), "links")
 
 
-def _texts(docs, id_col, text_col, wanted):
-    """One text per wanted node."""
-    return stored(nodes(docs, id_col, text_col).join(wanted.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
-
-
 def intersections(rows, names, n, split):
     """Sizes of the intersections of sets ``rows``/``names``: those before ``split`` with those from it on, or all with all at ``split`` n.
 
@@ -273,12 +269,12 @@ def _joined(meetings, kind, width, lower, percent):
     return meetings.groupBy("u", "v").applyInArrow(meet, f"a {kind}, b {kind}")
 
 
-def _crowd(members, labels):
-    """(bucket, id, group, n): the members of buckets that hold several groups."""
-    held = stored(members.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("group")), "held")
+def _crowd(members, n, labels):
+    """(bucket, id, group, n): the members, ``n`` in all, of buckets that hold several groups."""
+    held = stored(members.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("group")), "held", n)
     crowded = stored(held.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("n"))
-                     .where("lo <> hi").select("bucket", "n"), "crowded")
-    return stored(held.join(crowded, "bucket"), "crowd")
+                     .where("lo <> hi").select("bucket", "n"), "crowded", n)
+    return stored(held.join(crowded, "bucket"), "crowd", n)
 
 
 def _blocks(crowd, signs, pure):
@@ -286,17 +282,18 @@ def _blocks(crowd, signs, pure):
 
     ``pure``: a group with many members in a family has blocks of its own.
     """
+    n = crowd.count()
     family = stored(crowd.groupBy("id", "group").agg(F.max(F.struct("n", "bucket")).alias("m"))
-                    .join(signs.select("id", "n_shingles"), "id").select("id", "group", "n_shingles", F.col("m.bucket").alias("family")), "family")
+                    .join(signs.select("id", "n_shingles"), "id").select("id", "group", "n_shingles", F.col("m.bucket").alias("family")), "family", n)
     if pure:
         large = stored(family.groupBy("family", "group").agg(F.count("*").alias("n")).where(F.col("n") >= PURE)
-                       .select("family", "group", F.lit(True).alias("pure")), "large")
+                       .select("family", "group", F.lit(True).alias("pure")), "large", n)
         family = family.join(large, ["family", "group"], "left").withColumn("lot", F.xxhash64("family", F.when(F.col("pure"), F.col("group"))))
     else:
         family = family.withColumn("lot", F.xxhash64("family"))
-    family = stored(family, "lots")
-    sizes = stored(family.groupBy("lot").agg(F.ceil(F.greatest(F.count("*") / FAMILY, F.sum("n_shingles") / FAMILY_SHINGLES)).alias("n")), "sizes")
-    return stored(family.join(sizes, "lot").select("id", "group", F.xxhash64("lot", F.pmod(F.xxhash64("id"), "n")).alias("block")), "blocks")
+    family = stored(family, "lots", n)
+    sizes = stored(family.groupBy("lot").agg(F.ceil(F.greatest(F.count("*") / FAMILY, F.sum("n_shingles") / FAMILY_SHINGLES)).alias("n")), "sizes", n)
+    return stored(family.join(sizes, "lot").select("id", "group", F.xxhash64("lot", F.pmod(F.xxhash64("id"), "n")).alias("block")), "blocks", n)
 
 
 def _met(blocks, pairs, signs, docs, id_col, text_col, width, lower, percent):
@@ -304,25 +301,26 @@ def _met(blocks, pairs, signs, docs, id_col, text_col, width, lower, percent):
     pairs = stored(pairs, "meetings")
     each = stored(pairs.select("u", "v", F.explode(F.array_distinct(F.array("u", "v"))).alias("block")), "each")
     wanted = stored(blocks.join(each.select("block").distinct(), "block", "left_semi"), "wanted")
-    told = stored(wanted.join(_texts(docs, id_col, text_col, wanted.select("id")).hint("merge"), "id"), "told")
+    told = (nodes(docs, id_col, text_col).join(wanted.hint("merge"), "id").groupBy("id")
+            .agg(F.first("group").alias("group"), F.first("block").alias("block"), F.min("text").alias("text")))
     kind = signs.schema["id"].dataType.simpleString()
     # a block is one row, however many meetings it has
     packed = stored(told.groupBy("block").agg(F.collect_list(F.struct("id", "group", "text")).alias("members")), "packed")
     return stored(_joined(each.join(packed.hint("merge"), "block"), kind, width, lower, percent), "links")
 
 
-def _inside(members, labels, signs, docs, *how):
+def _inside(members, n, labels, signs, docs, *how):
     """Links inside blocks: every member meets those of one block, whichever their groups, which joins most of a family."""
-    blocks = _blocks(_crowd(members, labels), signs, pure=False)
+    blocks = _blocks(_crowd(members, n, labels), signs, pure=False)
     several = blocks.groupBy("block").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi")
     return _met(blocks, several.select(F.col("block").alias("u"), F.col("block").alias("v")), signs, docs, *how)
 
 
-def _rest(members, labels, signs, docs, *how):
+def _rest(members, n, labels, signs, docs, *how):
     """Links between groups that still share a bucket: two blocks meet if they share one and hold more than one group together."""
-    crowd = _crowd(members, labels)
+    crowd = _crowd(members, n, labels)
     blocks = _blocks(crowd, signs, pure=True)
-    present = stored(crowd.select("bucket", "id").join(blocks, "id").groupBy("bucket", "block").agg(F.min("group").alias("lo"), F.max("group").alias("hi")), "present")
+    present = stored(crowd.select("bucket", "id").join(blocks, "id").groupBy("bucket", "block").agg(F.min("group").alias("lo"), F.max("group").alias("hi")), "present", n)
     left, right = (present.select("bucket", *[F.col(c).alias(f"{c}_{side}") for c in ("block", "lo", "hi")]) for side in "uv")
     several = F.least("lo_u", "lo_v") != F.greatest("hi_u", "hi_v")
     pairs = left.join(right, "bucket").where((F.col("block_u") <= F.col("block_v")) & several).select(F.col("block_u").alias("u"), F.col("block_v").alias("v")).distinct()
@@ -337,14 +335,15 @@ def _labels(members, signs, docs, *how):
     comparisons that grow with the members. What these leave, members of different groups in one bucket, is compared in blocks:
     first each block by itself, then blocks with each other as far as groups are still apart.
     """
+    n = members.count()
     draw = F.xxhash64("id", "bucket")
     pivots = members.groupBy("bucket").agg(F.min(F.struct(draw.alias("draw"), F.col("id"))).alias("p"))
-    pairs = members.join(stored(pivots.select("bucket", F.col("p.id").alias("pivot")), "pivots"), "bucket")
-    labels = components.of(_compared(pairs, signs, docs, *how))
+    pairs = members.join(stored(pivots.select("bucket", F.col("p.id").alias("pivot")), "pivots", n), "bucket")
+    labels = components.of(_compared(pairs, n, signs, docs, *how))
     for links in (_inside, _rest):
         # the groups so far stand for the links behind them
         so_far = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
-        labels = components.of(links(members, labels, signs, docs, *how).union(so_far))
+        labels = components.of(links(members, n, labels, signs, docs, *how).union(so_far))
     return labels
 
 
@@ -357,14 +356,15 @@ def _grouped(docs, id_col, text_col, width, percent, lower):
         .agg(F.min(F.struct("id", "sig", "bands")).alias("rep"))
         .select("set_a", "set_b", "n_shingles", F.col("rep.id").alias("id"), F.col("rep.sig").alias("sig"), F.col("rep.bands").alias("bands")),
         "classes")
+    n = classes.count()
     banded = classes.select("id", F.explode("bands").alias("bucket"))
     # tables of their own: Spark splits a hot key of a join only where both sides come as they are
-    shared = stored(banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "shared")
-    members = stored(banded.join(shared, "bucket", "left_semi"), "members")
+    shared = stored(banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "shared", n * SLOTS // BAND)
+    members = stored(banded.join(shared, "bucket", "left_semi"), "members", n * SLOTS // BAND)
     labels = _labels(members, classes, docs, id_col, text_col, width, lower, percent)
     of_class = stored(classes.select("set_a", "set_b", "n_shingles", F.col("id").alias("rep")).join(
         labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
-        "set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component")), "of_class")
+        "set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component")), "of_class", n)
     found = every.select("id", "n_shingles", "set_a", "set_b").join(of_class, ["set_a", "set_b", "n_shingles"], "left")
     return found.select("id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component")).alias("component"))
 
@@ -392,13 +392,14 @@ def representatives(docs, id_col="doc_id", text_col="text", width=5, percent=80)
     one id only one. Nothing else is looked at to tell rows apart.
     """
     found = stored(_grouped(docs, id_col, text_col, width, percent, True), "grouped")
+    n = found.count()
     name = [f"__node{k}" for k in range(len(docs.columns) + 2) if f"__node{k}" not in docs.columns][0]
     rows = docs.withColumn(name, F.struct(docs[id_col].isNull().alias("none"), docs[id_col].alias("id"), F.xxhash64(docs[text_col].cast("string")).alias("h")))
     # one row per node; a null id without words is nobody's copy
     several = found.where((F.col("id") == F.col("component")) & ~((F.col("n_shingles") == 0) & F.col("id.none"))).groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
-    several = stored(several.select(F.col("id").alias("__several")), "several")
+    several = stored(several.select(F.col("id").alias("__several")), "several", n)
     gone = found.where("id <> component").select(F.col("id").alias("__gone"))
-    gone = stored(gone.union(several).distinct(), "gone")
+    gone = stored(gone.union(several).distinct(), "gone", n)
     once = rows.join(gone, F.col(name) == F.col("__gone"), "left_anti")
     packed = rows.join(several, F.col(name) == F.col("__several"), "left_semi").groupBy(name).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
     return once.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(packed.select("row.*"))

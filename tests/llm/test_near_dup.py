@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from folioscope.llm import arrow, components, near_dup, quality
+from folioscope.llm import arrow, components, near_dup, quality, shared
 
 SF = "/root/testdata/sf0.001"
 
@@ -130,6 +130,40 @@ def test_pairs_never_become_rows(spark, monkeypatch):
     assert sum(seen) < 300
 
 
+def test_small_tables_are_few_files(spark, monkeypatch):
+    """Tables of ids and numbers get as many files as their rows are worth, not one for each partition of a shuffle."""
+    files, own = {}, shared.scratch
+
+    def counted(df, name):
+        path, table = own(df, name)
+        files.setdefault(name, []).append(len(table.inputFiles()))
+        return path, table
+
+    held = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    monkeypatch.setattr(shared, "scratch", counted)
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        check(spark, template_families(random.Random(6)))
+        components.of(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    small = {"shared", "members", "pivots", "pairs", "edges", "least", "components", "held", "crowded", "crowd", "family", "sizes", "blocks", "present", "of_class"}
+    assert small <= set(files)
+    assert max(max(files[name]) for name in small) <= spark.sparkContext.defaultParallelism
+
+
+def test_rows_worth_more_files(spark, monkeypatch):
+    """Nor do tables of many rows go through fewer tasks than their rows are worth."""
+    monkeypatch.setattr(shared, "FILE_ROWS", 10)
+    df = spark.range(100).repartition(16, "id")
+    assert len(shared.stored(df, rows=90).inputFiles()) == 9
+    table = shared.stored(df, rows=10)
+    assert len(table.inputFiles()) == spark.sparkContext.defaultParallelism and table.count() == 100
+
+
 def test_intersections():
     draw = np.random.default_rng(5)
     sets = [set(draw.choice(60, draw.integers(0, 40), replace=False).tolist()) | {1000 + i} for i in range(30)]
