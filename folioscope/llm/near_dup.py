@@ -189,7 +189,7 @@ def _compared(pairs, n, signs, docs, id_col, text_col, width, lower, percent):
     pairs = (pairs.where("id <> pivot")
              .select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct())
     pairs = stored(pairs, "pairs", n)
-    near = stored(_estimated(pairs, signs, percent / 100 - ESTIMATE_SLACK), "near")
+    near = stored(_estimated(pairs, signs, percent / 100 - ESTIMATE_SLACK), "near", n)
     wanted = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
     texts = nodes(docs, id_col, text_col).join(wanted.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     texts = stored(texts, "texts")
@@ -296,9 +296,9 @@ def _blocks(crowd, signs, pure):
     return stored(family.join(sizes, "lot").select("id", "group", F.xxhash64("lot", F.pmod(F.xxhash64("id"), "n")).alias("block")), "blocks", n)
 
 
-def _met(blocks, pairs, signs, docs, id_col, text_col, width, lower, percent):
-    """Links of the meetings ``pairs`` (u, v) of blocks."""
-    pairs = stored(pairs, "meetings")
+def _met(blocks, pairs, n, signs, docs, id_col, text_col, width, lower, percent):
+    """Links of the meetings ``pairs`` (u, v) of blocks, ``n`` at most if that is known."""
+    pairs = stored(pairs, "meetings", n)
     each = stored(pairs.select("u", "v", F.explode(F.array_distinct(F.array("u", "v"))).alias("block")), "each")
     wanted = stored(blocks.join(each.select("block").distinct(), "block", "left_semi"), "wanted")
     told = (nodes(docs, id_col, text_col).join(wanted.hint("merge"), "id").groupBy("id")
@@ -313,7 +313,7 @@ def _inside(members, n, labels, signs, docs, *how):
     """Links inside blocks: every member meets those of one block, whichever their groups, which joins most of a family."""
     blocks = _blocks(_crowd(members, n, labels), signs, pure=False)
     several = blocks.groupBy("block").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi")
-    return _met(blocks, several.select(F.col("block").alias("u"), F.col("block").alias("v")), signs, docs, *how)
+    return _met(blocks, several.select(F.col("block").alias("u"), F.col("block").alias("v")), n, signs, docs, *how)
 
 
 def _rest(members, n, labels, signs, docs, *how):
@@ -324,7 +324,7 @@ def _rest(members, n, labels, signs, docs, *how):
     left, right = (present.select("bucket", *[F.col(c).alias(f"{c}_{side}") for c in ("block", "lo", "hi")]) for side in "uv")
     several = F.least("lo_u", "lo_v") != F.greatest("hi_u", "hi_v")
     pairs = left.join(right, "bucket").where((F.col("block_u") <= F.col("block_v")) & several).select(F.col("block_u").alias("u"), F.col("block_v").alias("v")).distinct()
-    return _met(blocks, pairs, signs, docs, *how)
+    return _met(blocks, pairs, None, signs, docs, *how)
 
 
 def _labels(members, signs, docs, *how):

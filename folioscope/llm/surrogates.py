@@ -299,17 +299,18 @@ def redrawn(found, key):
     # parts of names are told apart from each other, whichever part they are
     space = F.when(F.col("kind").startswith("given") | (F.col("kind") == "family"), "name").otherwise(F.col("kind"))
     taken = found.select(space.alias("space"), F.col("value").alias("made")).distinct()
-    pending = found.withColumn("draw", F.lit(0))
+    pending, n = found.withColumn("draw", F.lit(0)), found.count()
     parts = []
     while True:
-        tried = stored(drawn(pending), "drawn")
+        tried = stored(drawn(pending), "drawn", n)
         won = (tried.groupBy(space.alias("space"), "made").agg(F.min(F.struct("value", "kind", "draw")).alias("first"))
                .join(taken, ["space", "made"], "left_anti"))
-        won = stored(won.select("space", "first.kind", "first.value", "first.draw", "made"), "surrogates")
+        won = stored(won.select("space", "first.kind", "first.value", "first.draw", "made"), "surrogates", n)
         parts.append(won)
         lost = tried.join(won, ["kind", "value"], "left_anti").select("kind", "value", (F.col("draw") + 1).alias("draw"))
-        pending = stored(lost, "pending")
-        if pending.isEmpty():
+        pending = stored(lost, "pending", n)
+        n = pending.count()
+        if not n:
             later = parts[1:]
             if not later:
                 return None
