@@ -4,11 +4,25 @@
 loads whatever model the caller uses and returns ``predict(batch) -> matrix``.
 """
 
-from pyspark.ml.functions import predict_batch_udf
-from pyspark.sql import types as T
+import uuid
+from collections import OrderedDict
+
+from pyspark.sql import functions as F, types as T
 
 
 ALL_FAILED = 16  # so many inputs of one batch that all fail are the model's fault
+MODELS_KEPT = 4  # in a Python worker; a build uses three
+_models = OrderedDict()
+
+
+def _model(name, make):
+    """The model of an encoder, made once per Python worker; the ones that were used last are kept."""
+    if name not in _models:
+        _models[name] = make()
+    _models.move_to_end(name)
+    while len(_models) > MODELS_KEPT:
+        _models.popitem(last=False)
+    return _models[name]
 
 
 def guarded(make_predict, width):
@@ -74,13 +88,30 @@ def encoder(make_predict, width, batch_size=256, failures="zero"):
     damaged; ``raise`` ends the job, for texts. ``sources.vectors.failures`` counts the former.
     It is declared nondeterministic, which stops the optimizer from copying the call into
     a filter or a second projection: each row is encoded once.
+
+    Encoders of one projection share a Python worker and its Arrow batch: an iterator function
+    would have a worker and a batch each, all at a time in every task. The inputs of ``batch_size``
+    rows are Python objects at once.
     """
-    guard = {"zero": guarded, "raise": strict}[failures]
-    return predict_batch_udf(
-        guard(make_predict, width),
-        return_type=T.ArrayType(T.FloatType()),
-        batch_size=batch_size,
-    ).asNondeterministic()
+    import pyarrow as pa
+
+    guard = {"zero": guarded, "raise": strict}[failures](make_predict, width)
+    name = uuid.uuid4()
+
+    def predict(column: pa.Array) -> pa.Array:
+        import numpy as np
+
+        model = _model(name, guard)
+        out = np.empty((len(column), width), dtype=np.float32)
+        for start in range(0, len(column), batch_size):
+            inputs = column.slice(start, batch_size).to_pylist()
+            batch = np.empty(len(inputs), dtype=object)
+            batch[:] = inputs
+            out[start:start + len(batch)] = model(batch)
+        ends = np.arange(0, out.size + 1, width, dtype=np.int32)
+        return pa.ListArray.from_arrays(ends, out.ravel())
+
+    return F.arrow_udf(predict, T.ArrayType(T.FloatType())).asNondeterministic()
 
 
 def hashed_words(width, cache_size=1 << 18):

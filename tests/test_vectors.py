@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.functions import encoders, vectors as U
+from tests.conftest import plan
 
 
 def unit(v):
@@ -72,3 +73,23 @@ def test_a_broken_model_raises(spark):
         df.limit(1).select(encoders.encoder(broken, 2, failures="raise")("t")).collect()
     nothing = spark.createDataFrame([(None,)] * 40, "t string").coalesce(1)
     assert {tuple(r[0]) for r in nothing.select(encoders.encoder(broken, 2)("t")).collect()} == {(0.0, 0.0)}
+
+
+def test_encoders_of_a_projection_share_a_worker(spark):
+    """An iterator function would be a Python worker of its own, with its own Arrow batch."""
+    a, b = encoders.encoder(encoders.hashed_words(8), 8), encoders.encoder(encoders.hashed_words(16), 16)
+    df = spark.createDataFrame([(f"w{i} x{i} y{i % 3}" if i % 5 else None,) for i in range(700)], "t string").coalesce(1)
+    both = df.select("t", a("t").alias("a"), b("t").alias("b"))
+    assert plan(both).count("ArrowEvalPython") == 1
+    rows = both.collect()
+    narrow, wide = encoders.hashed_words(8)(), encoders.hashed_words(16)()
+    assert [r.a for r in rows] == narrow([r.t for r in rows]).tolist() and [r.b for r in rows] == wide([r.t for r in rows]).tolist()
+    assert spark.createDataFrame([], "t string").select(a("t")).collect() == []
+
+
+def test_a_model_is_made_once_per_worker(monkeypatch):
+    monkeypatch.setattr(encoders, "_models", encoders.OrderedDict())
+    made = []
+    for name in "aabacdeafa":
+        encoders._model(name, lambda: made.append(name) or name)
+    assert made == list("abcdef") and len(encoders._models) == encoders.MODELS_KEPT
