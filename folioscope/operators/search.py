@@ -21,6 +21,8 @@ MAX_SENT_HITS = 1_000_000
 CHUNK_BYTES = 32 << 20  # vectors of a chunk of items or of queries
 LEAST_CHUNK = 1024  # items, so that a small table still gives work to all cores
 _SCORES_AT_ONCE = 4_000_000
+_CROWD = 8  # times k: more candidates of a query in a block are scored with the block
+_MAXIMA_OF = 16  # columns
 
 
 def _unit(matrix):
@@ -41,38 +43,115 @@ def _rounded(scores, digits):
     return np.sign(scores) * np.floor(np.abs(scores) * scale + 0.5) / scale + 0.0
 
 
+def _maxima(scores, k):
+    """Per row the maxima over few columns each; a maximum's columns are its own place and those ``width`` apart.
+
+    At least ``k`` columns reach the k-th best maximum, so it is as good a limit as the k-th best score, and is found faster.
+    """
+    import numpy as np
+
+    n = scores.shape[1]
+    apart = max(1, min(_MAXIMA_OF, n // (8 * k)))
+    width = n // apart
+    tops = scores[:, :apart * width].reshape(len(scores), apart, width).max(axis=1)
+    for start in range(apart * width, n, width):
+        rest = scores[:, start:start + width]
+        tops[:, :rest.shape[1]] = np.maximum(tops[:, :rest.shape[1]], rest)
+    return tops
+
+
+def _crowded(queries, items, bar, k, slack, digits):
+    """(query position, item position, score) as of ``_candidates``, from scores in double of all pairs."""
+    import numpy as np
+
+    scores = queries @ items.T
+    n = scores.shape[1]
+    if n > k:
+        bar = np.maximum(bar, _rounded(np.partition(scores, n - k, axis=1)[:, n - k], digits))
+    q, i = np.divmod(np.flatnonzero(scores >= (bar - slack)[:, None]), n)
+    s = _rounded(scores[q, i], digits)
+    tied = s == bar[q]
+    count = np.concatenate([[0], np.cumsum(tied)])
+    earlier = count[:-1] - count[np.searchsorted(q, q)]
+    keep = (s > bar[q]) | (tied & (earlier < k))
+    return q[keep], i[keep], s[keep]
+
+
 def _candidates(queries, items, k, floor, digits):
     """(query position, item position, score) of the items that can be among the best
     ``k`` of their query, given the scores they have to reach so far (``floor``).
 
-    Where there is no such score yet, the k-th best of the first block sets it; after
-    that a block costs a product and a comparison. Items come ordered by id, so of equal
-    scores the first ``k`` are enough: a block full of copies yields few rows, too.
+    Products in single precision, whose error has a bound, tell which pairs can reach the floor, or the
+    k-th best of the block; only those are scored, in double. Where a query has a crowd of them, as among copies, its block is scored in
+    double at once. Items come ordered by id, so of equal scores there the first ``k`` are enough: a block full of copies yields few rows, too.
     """
     import numpy as np
 
     slack = 0.0 if digits is None else 0.51 * 10.0 ** -digits
     wide = max(1, min(len(items), max(k + 1, _SCORES_AT_ONCE // 256)))
     tall = max(1, _SCORES_AT_ONCE // wide)
+    lengths = [np.sqrt(np.einsum("ij,ij->i", m, m)) for m in (queries, items)]
+    longest = [np.nanmax(x, initial=0.0) for x in lengths]
+    # of rounding both vectors and of the sum, see Higham, Accuracy and Stability of Numerical Algorithms, 3.1; numbers below single precision's range add next to nothing
+    error = 1.01 * (queries.shape[1] + 3) * 2.0 ** -24 * lengths[0] * longest[1] + 1e-30
+    single = max(longest) < 1e10
+    if single:
+        left, right = queries.astype(np.float32), items.astype(np.float32)
     found = []
     for top in range(0, len(queries), tall):
-        bar = floor[top:top + tall].copy()
+        asked, bar, off = queries[top:top + tall], floor[top:top + tall], error[top:top + tall]
         for start in range(0, len(items), wide):
-            scores = queries[top:top + tall] @ items[start:start + wide].T
-            n = scores.shape[1]
-            fresh = np.nonzero(np.isneginf(bar))[0]
-            if n > k and len(fresh):
-                bar[fresh] = _rounded(np.partition(scores[fresh], n - k, axis=1)[:, n - k], digits)
-            q, i = np.divmod(np.flatnonzero(scores >= (bar - slack)[:, None]), n)
-            s = _rounded(scores[q, i], digits)
-            tied = s == bar[q]
-            count = np.concatenate([[0], np.cumsum(tied)])
-            earlier = count[:-1] - count[np.searchsorted(q, q)]
-            keep = (s > bar[q]) | (tied & (earlier < k))
-            found.append((q[keep] + top, i[keep] + start, s[keep]))
+            block, mine = items[start:start + wide], []
+            if single:
+                scores = left[top:top + tall] @ right[start:start + wide].T
+                tops = _maxima(scores, k)
+                width = tops.shape[1]
+                reach = bar - slack - off
+                fresh = np.isneginf(bar)
+                if fresh.any() and width >= k:
+                    best = tops if fresh.all() else tops[fresh]
+                    best = best.max(axis=1) if k == 1 else np.partition(best, width - k, axis=1)[:, width - k]
+                    reach[fresh] = best - 2 * (off[fresh] + slack)
+                reach = np.nextafter(reach.astype(np.float32), np.float32(-np.inf))  # not above what it was in double
+                q, i = np.divmod(np.flatnonzero(tops >= reach[:, None]), width)
+                crowd = np.bincount(q, minlength=len(asked)) > _CROWD * k
+                crowded = np.flatnonzero(crowd)
+                if len(crowded):
+                    q, i = q[~crowd[q]], i[~crowd[q]]
+                places = np.arange(0, len(block), width)
+                q, i = np.repeat(q, len(places)), (i[:, None] + places).ravel()
+                there = i < len(block)
+                there[there] = scores[q[there], i[there]] >= reach[q[there]]
+                q, i = q[there], i[there]
+                s = _rounded(np.einsum("ij,ij->i", asked[q], block[i]), digits)
+                keep = s >= bar[q]
+                mine.append((q[keep], i[keep], s[keep]))
+            else:
+                crowded = np.arange(len(asked))
+            if len(crowded):
+                q, i, s = _crowded(asked[crowded], block, bar[crowded], k, slack, digits)
+                mine.append((crowded[q], i, s))
+            found += [(q + top, i + start, s) for q, i, s in mine]
+            if start + wide < len(items):
+                for q, _, s in mine:
+                    bar = _raised(bar, q, s, k)
     return tuple(np.concatenate(part) for part in zip(*found))
 
 
+def _raised(bar, q, s, k):
+    """``bar`` raised to the k-th best of the scores ``s`` where a query has as many; ``q`` is in order."""
+    import numpy as np
+
+    held, first, count = np.unique(q, return_index=True, return_counts=True)
+    full = count >= k
+    if not full.any():
+        return bar
+    order = np.lexsort((-s, q))
+    bar = bar.copy()
+    bar[held[full]] = np.maximum(bar[held[full]], s[order][first[full] + k - 1])
+    return bar
+
+
 def _cut(table, k, id_col):
     """Best ``k`` rows per query position of an Arrow table, ordered by score, then id."""
     import numpy as np
@@ -210,7 +289,7 @@ def _send_queries(items, queries_table, k, by, id_col, vector, query_id, keep, n
 
 
 def _grid(items, queries, k, by, id_col, vector, query_id, keep, normalize, digits, schema, key, chunk):
-    """Score chunks of queries against chunks of items of their group, a pair of chunks in a task.
+    """Score chunks of queries against chunks of items of their group, a pair of chunks (a cell) in a task of its own, large ones first.
 
     A chunk goes to as many tasks as the other side has chunks; what a task holds is bounded by ``chunk`` rows of either.
     """
@@ -222,20 +301,25 @@ def _grid(items, queries, k, by, id_col, vector, query_id, keep, normalize, digi
         sizes = items.groupBy(*by).agg(count.alias("_items")).join(queries.groupBy(*by).agg(count.alias("_queries")), by).collect()
     else:
         sizes = [{"_items": items.count(), "_queries": queries.count()}]
-    cores, rows, cells = spark.sparkContext.defaultParallelism, [], 0
+    cores, shapes = spark.sparkContext.defaultParallelism, []
     for r in sizes:
         across = max(1, math.ceil(r["_queries"] / chunk))
         enough = math.ceil(4 * cores / (len(sizes) * across))
         down = max(1, math.ceil(r["_items"] / chunk), min(enough, math.ceil(r["_items"] / LEAST_CHUNK)))
-        rows.append((*[r[c] for c in by], across, down))
+        shapes.append((r["_items"] * r["_queries"] / (across * down), across, down, [r[c] for c in by]))
+    rows, cells = [], 0
+    for _, across, down, group in sorted(shapes, key=lambda s: -s[0]):
+        rows.append((*group, cells, across, down))
         cells += across * down
-    fields = [*[queries.schema[c] for c in by], T.StructField("_across", T.IntegerType()), T.StructField("_down", T.IntegerType())]
+    fields = [*[queries.schema[c] for c in by], *[T.StructField(c, T.IntegerType()) for c in ("_first", "_across", "_down")]]
     shape = F.broadcast(spark.createDataFrame(rows, T.StructType(fields)))
 
-    def placed(df, side, other, number):
-        df = df.join(shape, by) if by else df.crossJoin(shape)
-        mine, all_of = F.pmod(F.xxhash64(*number), f"_{side}").cast("int").alias(f"_{side[0]}"), F.explode(F.sequence(F.lit(0), F.col(f"_{other}") - 1)).alias(f"_{other[0]}")
-        return df.select(*df.columns, mine).select(*df.columns[:-2], f"_{side[0]}", all_of).repartition(max(1, min(2 * cells, 4096)), *by, "_a", "_d")
+    def placed(df, numbers):
+        each = df.join(shape, by) if by else df.crossJoin(shape)
+        return each.select(*df.columns, F.explode(F.expr(numbers)).alias("_cell")).repartitionById(max(1, min(cells, 4096)), F.col("_cell")).groupBy("_cell")
+
+    def number(side, *names):
+        return f"cast(pmod(xxhash64({', '.join(f'`{c}`' for c in names)}), _{side}) AS int)"
 
     def score(left, right):
         import pyarrow as pa
@@ -247,8 +331,11 @@ def _grid(items, queries, k, by, id_col, vector, query_id, keep, normalize, digi
         source = {**{c: right for c in [*by, query_id]}, **{c: left for c in [id_col, *keep]}}
         return pa.table({f: pa.array([], pa.float64() if f == "score" else source[f].schema.field(f).type) for f in schema.fieldNames()})
 
-    left = placed(items, "down", "across", [id_col, *key]).groupBy(*by, "_a", "_d")
-    right = placed(queries, "across", "down", [query_id]).groupBy(*by, "_a", "_d")
+    # cells are numbered by row: the chunks of items down, those of queries across
+    mine = f"_first + {number('down', id_col, *key)} * _across"
+    left = placed(items, f"sequence({mine}, {mine} + _across - 1)")
+    mine = f"_first + {number('across', query_id)}"
+    right = placed(queries, f"sequence({mine}, {mine} + (_down - 1) * _across, _across)")
     return left.cogroup(right).applyInArrow(score, schema)
 
 
@@ -342,7 +429,8 @@ def best_page(hits: DataFrame, by=("approach_id",), query_id="query_id", id_col=
     first = hits.filter(F.col("rank") == 1)
     if items is not None:
         first = stored(first, "first")
-        texts = fetched(first.filter(F.col("type") == "text"), items, [text], [*by, "type", *key, id_col])
+        is_text = F.col("type") == "text"  # said of both sides, so that a store's images are not read
+        texts = fetched(first.filter(is_text), items.filter(is_text), [text], [*by, "type", *key, id_col])
         first = first.filter(F.col("type") != "text").withColumn(text, F.lit(None).cast("string")).unionByName(texts)
     first = first.withColumn("_snippet", X.first_words(F.col(text)))
 

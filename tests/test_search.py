@@ -86,6 +86,47 @@ def test_candidates_of_many_queries_are_few():
     assert len(q) < 7 * len(queries)
 
 
+def test_pairs_without_a_chance_are_not_scored_in_double():
+    made = []
+
+    class Seen(np.ndarray):
+        def __matmul__(self, other):
+            made.append(self.dtype)
+            return np.asarray(self) @ np.asarray(other)
+
+    rng = np.random.default_rng(3)
+    queries, items = search._unit(rng.normal(size=(300, 16))), search._unit(rng.normal(size=(1500, 16)))
+    exact = search._rounded(queries @ items.T, 6)
+    for k in (1, 5):
+        q, i, s = search._candidates(queries.view(Seen), items, k, np.full(300, -np.inf), 6)
+        assert len(q) < 1.5 * k * len(queries) and np.array_equal(s, exact[q, i])
+        assert set(zip(q, i)) >= {(a, b) for a in range(300) for b in np.flatnonzero(exact[a] >= np.sort(exact[a])[-k])}
+    assert made and set(made) == {np.dtype(np.float32)}
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_scores_that_differ_beyond_single_precision(k):
+    """Steps of 2e-6 among scores near 1, and of 1e-9 where nothing is rounded; zero and huge vectors beside them."""
+    turn = lambda scores: np.stack([scores, np.sqrt(1 - scores ** 2)] + [np.zeros(len(scores))] * 30, axis=1)
+    order = np.random.default_rng(7).permutation(900)
+    for step, digits, scale in ((2e-6, 6, 1.0), (1e-9, None, 1.0), (1e-9, None, 1e15)):
+        items = np.concatenate([turn(0.9 - step * order), np.zeros((40, 32))]) * scale
+        queries = np.zeros((3, 32))
+        queries[0, 0], queries[2, 0] = 1.0, -1.0
+        q, i, s = search._candidates(queries, items, k, np.full(3, -np.inf), digits)
+        best = {a: [int(b) for _, b in sorted((-x, b) for c, b, x in zip(q, i, s) if c == a)][:k] for a in range(3)}
+        assert best == {0: [int(b) for b in np.argsort(order)[:k]], 1: list(range(k)), 2: list(range(900, 900 + k))}
+
+
+def test_maxima_hold_every_column():
+    rng = np.random.default_rng(8)
+    for n, k in ((1, 1), (7, 5), (143, 1), (300, 2), (1000, 1)):
+        scores = rng.normal(size=(4, n)).astype(np.float32)
+        tops = search._maxima(scores, k)
+        width = tops.shape[1]
+        assert width >= min(n, k) and np.array_equal(tops, [[row[place::width].max() for place in range(width)] for row in scores])
+
+
 @pytest.mark.parametrize("limit", [100, 0])
 def test_a_crowd_of_equal_scores_is_cut_by_id(spark, limit):
     rng = np.random.default_rng(5)
@@ -144,6 +185,16 @@ def test_best_page_reads_the_text_of_first_hits(spark):
     assert [(r.type, r.id, r.page, r.snippet) for r in got] == [("text", "t", 3, "some words")]
 
 
+def test_best_page_reads_texts_only(spark, tmp_path):
+    hits = spark.createDataFrame([("a", "text", "q", 1, "t", 0.5, 3), ("a", "image", "q", 1, "i", 0.4, 4)],
+                                 "approach_id string, type string, query_id string, rank int, id string, score double, page int")
+    spark.createDataFrame([("a", "text", "t", "some  words"), ("a", "image", "i", "x")],
+                          "approach_id string, type string, id string, original_text string").write.partitionBy("type").parquet(str(tmp_path / "v"))
+    got = search.best_page(hits, items=spark.read.parquet(str(tmp_path / "v")))
+    assert re.search(r"PartitionFilters: \[[^\]]*\(type#\d+ = text\)", plan(got))
+    assert [(r.type, r.id, r.snippet) for r in got.collect()] == [("text", "t", "some words")]
+
+
 def test_fewer_items_than_k_and_unknown_groups(spark):
     items = [("a1", "text", x, [1.0, 0.0]) for x in "bca"]
     queries = [("a1", "text", "q", [1.0, 1.0]), ("a9", "text", "q", [1.0, 1.0])]
